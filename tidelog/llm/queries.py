@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import quality, simhash
+from tidelog.llm import mixing, quality, sharding, simhash, urlfilter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,6 +34,33 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select("doc_id", "shard_id", "shard_depth", "shard_bytes")
+
+
+MIX = mixing.Targets(domain={"d0": 40, "d1": 20, "d2": 20, "d3": 20}, lang={"en": 40, "de": 20, "fr": 20, "es": 20})
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), MIX).withColumnRenamed("id", "doc_id")
+
+
+HOST_RULES = (
+    urlfilter.HostRule("net", "/", "block"),
+    urlfilter.HostRule("example.net", "/en/", "allow"),
+    urlfilter.HostRule("example.com", "/de/", "block"),
+    urlfilter.HostRule("org", "/fr/", "allow"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), HOST_RULES).withColumnRenamed("id", "page_id")
+
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
@@ -71,8 +98,83 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) + {sharding.ROW_BYTES} AS b FROM documents
+), tree AS (
+  SELECT depth, h >> (60 - depth) AS p, sum(b)::BIGINT AS bytes FROM d, range(0, 41) t(depth) GROUP BY ALL
+), shard AS (
+  SELECT t.depth, t.p, t.bytes FROM tree t LEFT JOIN tree u ON u.depth = t.depth - 1 AND u.p = t.p >> 1
+  WHERE t.bytes <= {SHARD_BYTES} AND (t.depth = 0 OR u.bytes > {SHARD_BYTES})
+)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p), depth::INT, '0') END AS shard_id, depth::INT AS shard_depth, bytes AS shard_bytes
+FROM d JOIN shard ON h >> (60 - depth) = p
+"""
+
+
+def _weights(level: str) -> str:
+    return "CASE " + "".join(f"WHEN {level} = '{k}' THEN {v} " for k, v in getattr(MIX, level).items()) + f"WHEN true THEN {MIX.default} END"
+
+
+def _share_sql(name: str, parent: str, source: str) -> str:
+    by = f"PARTITION BY {parent}" if parent else ""
+    on = f"{parent}, " if parent else ""
+    back = f"USING ({parent})" if parent else "ON true"
+    return f"""
+{name}_a AS (
+  SELECT *, budget - coalesce(sum(cap) OVER ({by} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_left,
+    sum(weight) OVER ({by} ORDER BY cap / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+  FROM (SELECT {on}{name}, sum(cap)::BIGINT AS cap, {_weights(name)} AS weight FROM leaf GROUP BY ALL) JOIN {source} {back}
+), {name}_b AS (
+  SELECT {on}arg_min({{'l': rest_left, 'w': w_left}}, rest_left) AS stop FROM (
+    SELECT *, row_number() OVER ({by} ORDER BY cap / weight, {name}) AS rn FROM {name}_a WHERE cap * w_left > weight * rest_left) WHERE rn = 1 {f"GROUP BY {parent}" if parent else ""}
+), {name}_c AS (
+  SELECT {on}{name}, (CASE WHEN cap * w_left <= weight * rest_left THEN cap ELSE stop.l * weight // stop.w END)::BIGINT AS budget
+  FROM {name}_a LEFT JOIN {name}_b {back}
+)"""
+
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce('d' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) // 5), '?') AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens, (sum(n_tokens) * {MIX.max_epochs})::BIGINT AS cap FROM d GROUP BY ALL
+), top AS (
+  SELECT least(floor(sum(leaf_tokens) * {MIX.budget_pct} / 100), sum(cap))::BIGINT AS budget FROM leaf
+), {_share_sql("domain", "", "top")}, {_share_sql("lang", "domain", "domain_c")}, {_share_sql("source", "domain, lang", "lang_c")}, plan AS (
+  SELECT *, coalesce(budget // nullif(leaf_tokens, 0), 0) AS whole_epochs FROM leaf JOIN source_c USING (domain, lang, source)
+), ranked AS (
+  SELECT d.*, whole_epochs, budget - whole_epochs * leaf_tokens AS rest,
+    md5('{MIX.seed}:' || (whole_epochs + 1)::VARCHAR || ':' || doc_id::VARCHAR) AS h FROM d JOIN plan USING (domain, lang, source)
+), run AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(h, 1, 15), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked
+)
+SELECT doc_id, domain, lang, source, n_tokens, (whole_epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies, whole_epochs::BIGINT AS whole_epochs
+FROM run WHERE whole_epochs > 0 OR upto <= rest
+"""
+
+_RULES_SQL = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.action}')" for r in HOST_RULES)
+_BLOCKED_SQL = " OR ".join(f"regexp_matches(low, '{p.pattern}')" for p in urlfilter.DEFAULT_PATTERNS)
+OP9_SQL = f"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+), hit AS (
+  SELECT page_id, arg_max(name, length(name)) AS rule, arg_max(action, length(name)) AS action
+  FROM p JOIN (VALUES {_RULES_SQL}) r(name, rule_host, rule_path, action) ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN {_BLOCKED_SQL} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN hit USING (page_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op7_mixing": op7_mixing,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL}
