@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, quality, sharding, simhash, urlfilter
+from tidelog.llm import decontam, mixing, quality, sharding, simhash, tokencount, urlfilter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +42,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "shard_id", "shard_depth", "shard_bytes")
 
 
+TOKEN_LIMIT = 512
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokencount.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 MIX = mixing.Targets(domain={"d0": 40, "d1": 20, "d2": 20, "d3": 20}, lang={"en": 40, "de": 20, "fr": 20, "es": 20})
 
 
@@ -174,7 +189,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
 }
 ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL}
