@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, mixing, quality, sharding, simhash, tokencount, urlfilter
+from tidelog.llm import decontam, mixing, quality, sharding, simhash, substring, tokencount, urlfilter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,6 +52,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -190,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
