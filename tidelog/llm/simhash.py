@@ -36,6 +36,8 @@ from tidelog.llm.components import components
 SEED = 42
 CROWD = 64
 _LOW = 0xFFFFFFFF
+#: Stands for a null id in joins.
+_NO_ID = -(1 << 63)
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -133,11 +135,12 @@ def groups(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its group's smallest; of repeated rows with that id, one stays.
+    """The row of each group with the smallest id; of rows that repeat it, one stays.
 
-    Rows with a null id have no group to lead, so they stay only where the whole group has none.
+    Rows with a null id go where their group has any other row; a group of nothing else keeps one of them.
     """
-    found = groups(docs, shingle, max_bits, id_col, text_col)
-    lead = found.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("__lead"))
-    kept = docs.join(lead, F.col(id_col).cast("long").eqNullSafe(F.col("__lead")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found = kernels.cut(groups(docs, shingle, max_bits, id_col, text_col))
+    lead = found.groupBy("component_id").agg(F.count(F.when(F.col("id").eqNullSafe(F.col("component_id")), 1)).alias("n")).select(F.coalesce("component_id", F.lit(_NO_ID)).alias("__lead"), "n")
+    on = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__lead")
+    kept = docs.join(lead.select("__lead").distinct(), on, "left_semi")
+    return kept if lead.filter("n > 1").isEmpty() else kept.dropDuplicates([id_col])
