@@ -94,7 +94,8 @@ def category(c: str | Column) -> Column:
 
 def saturating_sum(c: Column) -> Column:
     total = F.sum(c.cast("decimal(38,0)"))
-    return F.coalesce(F.least(total, F.lit(BIGINT_MAX).cast("decimal(38,0)")).cast("bigint"), F.lit(0).cast("bigint"))
+    top = F.lit(BIGINT_MAX).cast("decimal(38,0)")
+    return F.coalesce(F.when(total > top, top).otherwise(total).cast("bigint"), F.lit(0).cast("bigint"))  # no known value: 0
 
 
 def normal_title(c: Column) -> Column:
