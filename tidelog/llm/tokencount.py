@@ -32,6 +32,7 @@ from tidelog.llm import kernels
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SPACE = regex.compile(r"\s")
 #: Pieces and token pairs remembered by a worker.
 CACHE = 1_000_000
 
@@ -177,7 +178,7 @@ class Counter(dict):
             for k in range(s + 1, e + 1):
                 c = text[k - 1]
                 offset += len(c.encode("utf-8", "surrogatepass"))
-                if c.isspace() and PATTERN.fullmatch(c):
+                if _SPACE.match(c):
                     if run < 0:
                         run, run_base = k - 1, out[k - 1]
                     out.append(run_base + self[text[run:k]])
