@@ -116,7 +116,7 @@ def test_language(spark, docs):
     r = random.Random(3)
     syllables = {"aa": "ka ru mi to na".split(), "bb": "sch eit ung ver ber".split(), "cc": "oux elle ment tion eau".split()}
     text = lambda lang: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randrange(1, 4))) for _ in range(40))
-    rows = [(i, text(c), c, "s", 1) for i in range(240) for c in [list(syllables)[i % 3]]] + [(900 + i, t, None, None, None) for i, t in enumerate([None, "", "12 34!", *ODD[4:]])]
+    rows = [(i, text(c), c, "s", 1) for i in range(240) for c in [list(syllables)[i % 3]]] + [(900 + i, t, None, None, None) for i, t in enumerate([None, "", "12 34! ½ Ⅷ_", *ODD[4:]])]
     d = docs(rows)
     got = {x["id"]: x for x in langid.identify(d, langid.train(d)).collect()}
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items())

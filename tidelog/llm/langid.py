@@ -33,7 +33,7 @@ PER_LANGUAGE = 500
 LANDMARKS = 192
 RIDGE = 1.0
 LEAST_DF = 5
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 _SLOTS = 22
 
 
@@ -42,6 +42,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _bytes(texts: list[str | None]) -> np.ndarray:
     """Lower-cased texts; 0xFF, which UTF-8 never has, ends each."""
     return np.frombuffer(b"".join((x or "").lower().encode("utf-8", "replace") + b"\xff" for x in texts), dtype=np.uint8)
@@ -122,7 +126,7 @@ class Model:
         f = kernel @ self.weights + self.bias
         best = f.argmax(axis=1)
         score = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1).astype(np.float64)
-        lettered = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        lettered = [has_letter(t) for t in texts]
         langs = [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
         return langs, [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
 
