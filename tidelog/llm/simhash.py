@@ -14,6 +14,9 @@ who meet in such a key are within two bits of each other by construction and
 link to the smallest, so the work stays linear in any group's size and no link
 is lost.
 
+``similar_groups`` and ``keep_one`` link texts by shingle similarity instead: 256 bits in eight segments find them, as 64 bits
+cannot tell a similarity of 0.8 from a far lower one, and an exact count on the texts settles the doubtful pairs.
+
 Defined cases: a null or wordless text has fingerprint zero, linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
 returned once each, with the same class; rows whose id is null take part and
@@ -22,7 +25,7 @@ are ignored by ``min``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,27 @@ from tidelog.llm.components import components
 
 SEED = 42
 CROWD = 64
+#: Words of the wide fingerprint, the differing bits of 256 below which texts are alike for certain, and those beyond which they
+#: are not: a similarity of 0.8 is 39 bits on average, with a deviation of 6.
+WIDE = ("fp", "w1", "w2", "w3")
+SURE_BITS = 16
+WIDE_BITS = 60
+SIMILARITY = 0.8
+#: Differing bits of the first 64 beyond which a pair within WIDE_BITS is out of the question.
+FIRST_BITS = 22
+RING = 16
+#: Entries of one key that a task holds.
+HELD = 100_000
 _LOW = 0xFFFFFFFF
 #: Stands for a null id in joins.
 _NO_ID = -(1 << 63)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of one text, as an unsigned number."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
@@ -52,13 +66,30 @@ def fingerprint(text: bytes, shingle: int) -> int:
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(words) - k + 1)
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
-        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(words) - k + 1)
+
+
+def lanes(text: bytes, shingle: int, n: int) -> np.ndarray:
+    """SimHash of one text in ``n`` words of 64 bits; the first comes from the shingles' hashes themselves."""
+    hashes = shingle_hashes(text, shingle)
+    out = np.zeros(n, dtype=np.uint64)
+    if not len(hashes):
+        return out
+    for lane in range(n):
+        total = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(hashes), 65536):
+            part = hashes[i : i + 65536]
+            if lane:
+                part = kernels.finish(part + np.uint64(lane * int(kernels._MUL) % 2**64))
+            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+            total += bits.sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64-bit SimHash of one text, as an unsigned number."""
+    return int(lanes(text, shingle, 1)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,20 +157,144 @@ def links(f: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, fp, component_id`` (the smallest id reachable)."""
     fps = kernels.cut(fingerprints(docs, shingle, id_col, text_col))
+    return _classes(fps, kernels.cut(links(kernels.cut(fps.select("fp").distinct()), max_bits)))
+
+
+def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
     distinct = kernels.cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
-    label = components(kernels.cut(links(distinct.select("fp"), max_bits)))
+    label = components(edges)
     named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each group with the smallest id; of rows that repeat it, one stays.
+def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, fp, w1, w2, w3`` for each row: 256 bits, of which fp is the 64-bit fingerprint."""
+    kernels.session(docs)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in kernels.slices(batches):
+            found = np.stack([lanes(x, shingle, len(WIDE)) for x in kernels.raw(b.column(1))]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i].copy()) for i in range(len(WIDE)))], names=["id", *WIDE])
+
+    return src.mapInArrow(run, "id long, " + ", ".join(f"{w} long" for w in WIDE))
+
+
+def _meetings(crowd: int, ring: int) -> Callable:
+    """Task: ball entries in key order -> ``a, b``, fingerprints that meet in a key and are alike in their first 64 bits."""
+
+    def pairs(key: np.ndarray, flip: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((kernels.finish(fp ^ kernels.finish(key)), key))
+        key, flip, fp = key[order], flip[order], fp[order]
+        _, size = np.unique(key, return_counts=True)
+        size = np.repeat(size, size)
+        found = [np.zeros((0, 2), dtype=np.uint64)]
+        reach = np.where(size > crowd, ring, size)
+        at = np.flatnonzero(size > 1)
+        for d in range(1, max(crowd, ring) + 1):
+            at = at[(reach[at] >= d) & (at + d < len(key))]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            # values that are equal meet in all 33 keys of their ball, and are paired in its centre alone
+            own = at[((flip[at] != flip[at + d]) | (flip[at] < 0)) & (np.bitwise_count(fp[at] ^ fp[at + d]) <= FIRST_BITS)]
+            found.append(np.stack((fp[own], fp[own + d]), axis=1))
+        both = np.unique(np.sort(np.concatenate(found).view(np.int64), axis=1), axis=0)
+        both = both[both[:, 0] < both[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        for b in batches:
+            new = (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64))
+            key, flip, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
+            # the last key may go on in the next batch; a crowd is taken in pieces that overlap
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
+            if len(key) - last > HELD:
+                yield pairs(key, flip, fp)
+                last = len(key) - crowd
+            elif last:
+                yield pairs(key[:last], flip[:last], fp[:last])
+            held = (key[last:], flip[last:], fp[last:])
+        if len(held[0]):
+            yield pairs(*held)
+
+    return run
+
+
+def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> DataFrame:
+    """f: distinct ``fp, w1, w2, w3``.  ``a, b, bits``: values of fp whose 256 bits differ in at most max_bits.
+
+    Each of the eight 32-bit segments enumerates its radius-one ball; two fingerprints that meet in a key are within two
+    bits of each other in that segment, and their whole distance is verified.  So every pair within 23 bits meets, and
+    pairs further apart do with the chance given in the README.  In a key with more than ``crowd`` entries, each is
+    compared with ``RING`` others, in an order that differs from key to key.
+    """
+    spark = kernels.session(f)
+    value = [x for w in WIDE for x in (F.shiftrightunsigned(w, 32), F.col(w).bitwiseAND(_LOW))]
+    segments = f.select("fp", F.inline(F.array(*[F.struct(F.lit(s << 32).alias("s"), v.alias("v")) for s, v in enumerate(value)])))
+    ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, 32)])
+    entries = segments.select(F.inline(ball), "fp").select("key", "flip", "fp")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long").distinct()
+    left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE[1:]])
+    right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE[1:]])
+    whole = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    for w in WIDE[1:]:
+        whole = whole + F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
+    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs: ``id, text``.  ``fp, shingles`` (distinct hashes) for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in kernels.slices(batches):
+            texts = kernels.raw(b.column(1))
+            fp = np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64)
+            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return docs.mapInArrow(run, "fp long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (``a, b``) whose texts share ``similarity`` of their distinct shingles.  Only texts that are in a pair move."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    ids = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")).select(F.coalesce("id", F.lit(_NO_ID)).alias("id")).distinct()
+    texts = docs.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(ids, "id", "left_semi")
+    sets = kernels.cut(_sets(texts, shingle).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``id, fp, component_id`` (the smallest id reachable).
+
+    Texts link when they share ``similarity`` of their distinct shingles.  Fingerprints within ``SURE_BITS`` of 256 link as they
+    are; those further apart, up to ``WIDE_BITS``, are counted out on their texts unless sure links join them already.
+    """
+    fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
+    near = kernels.cut(wide_links(kernels.cut(fps.select(*WIDE).distinct())))
+    sure = near.filter(F.col("bits") <= SURE_BITS).select("a", "b")
+    label = kernels.cut(components(sure))
+    open_pairs = near.filter(F.col("bits") > SURE_BITS).select("a", "b")
+    for end in ("a", "b"):
+        open_pairs = open_pairs.join(label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    apart = kernels.cut(open_pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _classes(fps, kernels.cut(sure.unionByName(_verified(apart, fps, src, shingle, similarity))))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each group of similar texts with the smallest id; of rows that repeat it, one stays.
 
     Rows with a null id go where their group has any other row; a group of nothing else keeps one of them.
     """
-    found = kernels.cut(groups(docs, shingle, max_bits, id_col, text_col))
+    found = kernels.cut(similar_groups(docs, shingle, similarity, id_col, text_col))
     lead = found.groupBy("component_id").agg(F.count(F.when(F.col("id").eqNullSafe(F.col("component_id")), 1)).alias("n")).select(F.coalesce("component_id", F.lit(_NO_ID)).alias("__lead"), "n")
     on = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__lead")
     kept = docs.join(lead.select("__lead").distinct(), on, "left_semi")
