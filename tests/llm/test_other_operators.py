@@ -230,7 +230,8 @@ def test_pipeline(spark):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
     import corpus_pipeline as cp
-    from tidelog.llm import kernels, simhash
+    from tests.llm.test_text_operators import brute_similar
+    from tidelog.llm import kernels
 
     at = spark.read.parquet(f"{SF}/documents.parquet")
     names, ids = at.columns, lambda f: sorted(r[0] for r in f.select("doc_id").collect())
@@ -238,7 +239,8 @@ def test_pipeline(spark):
     one = kernels.cut(cp.drop_toxic(spark, at, SF))
     assert ids(one) == sorted(r["id"] for r in toxicity.score(at, toxicity.train(at, labels)).collect() if r["score"] < 0.3)
     two = kernels.cut(cp.drop_near_duplicates(spark, one, SF))
-    assert ids(two) == sorted({r["component_id"] for r in simhash.groups(one, 5).collect()})
+    kept = sorted((r["doc_id"], r["text"]) for r in one.collect())
+    assert ids(two) == sorted({kept[i][0] for i in brute_similar([t for _, t in kept])})
     three = kernels.cut(cp.drop_contaminated(spark, two, SF))
     assert ids(three) == sorted(set(ids(two)) - {r["id"] for r in decontam.matches(two, bench).collect()})
     four = kernels.cut(cp.mix_sources(spark, three, SF))

@@ -14,7 +14,7 @@ who meet in such a key are within two bits of each other by construction and
 link to the smallest, so the work stays linear in any group's size and no link
 is lost.
 
-``similar_groups`` and ``keep_one`` link texts by shingle similarity instead: 256 bits in eight segments find them, as 64 bits
+``similar_groups`` and ``keep_one`` link texts by shingle similarity instead: 384 bits in 13 segments find them, as 64 bits
 cannot tell a similarity of 0.8 from a far lower one, and an exact count on the texts settles the doubtful pairs.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any
@@ -38,12 +38,15 @@ from tidelog.llm.components import components
 
 SEED = 42
 CROWD = 64
-#: Words of the wide fingerprint, the differing bits of 256 below which texts are alike for certain, and those beyond which they
-#: are not: a similarity of 0.8 is 39 bits on average, with a deviation of 6.
-WIDE = ("fp", "w1", "w2", "w3")
-SURE_BITS = 16
-WIDE_BITS = 60
+#: Words of the wide fingerprint; the differing bits of 384 up to which texts are alike for certain, and those beyond which they
+#: are not: a similarity of 0.8 is 58 bits on average, with a deviation of 7.
+WIDE = ("fp", "w1", "w2", "w3", "w4", "w5")
+SURE_BITS = 24
+WIDE_BITS = 90
 SIMILARITY = 0.8
+#: Bits of a segment of the wide fingerprint, and segments that are shuffled at one time.
+SEGMENT = 28
+AT_ONCE = 4
 #: Differing bits of the first 64 beyond which a pair within WIDE_BITS is out of the question.
 FIRST_BITS = 22
 RING = 16
@@ -170,7 +173,7 @@ def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp, w1, w2, w3`` for each row: 256 bits, of which fp is the 64-bit fingerprint."""
+    """``id`` and ``WIDE`` for each row: 384 bits, of which fp is the 64-bit fingerprint."""
     kernels.session(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -198,7 +201,7 @@ def _meetings(crowd: int, ring: int) -> Callable:
             at = at[key[at] == key[at + d]]
             if not len(at):
                 break
-            # values that are equal meet in all 33 keys of their ball, and are paired in its centre alone
+            # values that are equal meet in all keys of their ball, and are paired in its centre alone
             own = at[((flip[at] != flip[at + d]) | (flip[at] < 0)) & (np.bitwise_count(fp[at] ^ fp[at + d]) <= FIRST_BITS)]
             found.append(np.stack((fp[own], fp[own + d]), axis=1))
         both = np.unique(np.sort(np.concatenate(found).view(np.int64), axis=1), axis=0)
@@ -224,21 +227,36 @@ def _meetings(crowd: int, ring: int) -> Callable:
     return run
 
 
+def _bits(at: int) -> Column:
+    """SEGMENT bits of the wide fingerprint from bit ``at`` on."""
+    word, off = divmod(at, 64)
+    found = F.shiftrightunsigned(WIDE[word], off)
+    if off + SEGMENT > 64:
+        found = found.bitwiseOR(F.shiftleft(WIDE[word + 1], 64 - off))
+    return found.bitwiseAND((1 << SEGMENT) - 1)
+
+
 def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> DataFrame:
-    """f: distinct ``fp, w1, w2, w3``.  ``a, b, bits``: values of fp whose 256 bits differ in at most max_bits.
+    """f: distinct rows of ``WIDE``.  ``a, b, bits``: values of fp whose 384 bits differ in at most max_bits.
 
-    Each of the eight 32-bit segments enumerates its radius-one ball; two fingerprints that meet in a key are within two
-    bits of each other in that segment, and their whole distance is verified.  So every pair within 23 bits meets, and
+    Each of the 13 segments of 28 bits enumerates its radius-one ball; two fingerprints that meet in a key are within two
+    bits of each other in that segment, and their whole distance is verified.  So every pair within 38 bits of the segments meets, and
     pairs further apart do with the chance given in the README.  In a key with more than ``crowd`` entries, each is
-    compared with ``RING`` others, in an order that differs from key to key.
+    compared with ``RING`` others, in an order that differs from key to key.  A few segments are shuffled at a time,
+    so the disk that the balls take does not grow with the number of segments.
     """
     spark = kernels.session(f)
-    value = [x for w in WIDE for x in (F.shiftrightunsigned(w, 32), F.col(w).bitwiseAND(_LOW))]
-    segments = f.select("fp", F.inline(F.array(*[F.struct(F.lit(s << 32).alias("s"), v.alias("v")) for s, v in enumerate(value)])))
-    ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, 32)])
-    entries = segments.select(F.inline(ball), "fp").select("key", "flip", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long").distinct()
+    values = [_bits(i) for i in range(0, 64 * len(WIDE) - SEGMENT + 1, SEGMENT)]
+    met = None
+    for k in range(0, len(values), AT_ONCE):
+        table = F.array(*[F.struct(F.lit(s << 32).alias("s"), values[s].alias("v")) for s in range(k, min(k + AT_ONCE, len(values)))])
+        ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, SEGMENT)])
+        entries = f.select("fp", F.inline(table)).select(F.inline(ball), "fp").select("key", "flip", "fp")
+        part = kernels.cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long").distinct())
+        kernels.release(spark)
+        met = part if met is None else met.unionByName(part)
+    met = met.distinct()
     left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE[1:]])
     right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE[1:]])
     whole = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -274,7 +292,7 @@ def _verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, s
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, fp, component_id`` (the smallest id reachable).
 
-    Texts link when they share ``similarity`` of their distinct shingles.  Fingerprints within ``SURE_BITS`` of 256 link as they
+    Texts link when they share ``similarity`` of their distinct shingles.  Fingerprints within ``SURE_BITS`` of 384 link as they
     are; those further apart, up to ``WIDE_BITS``, are counted out on their texts unless sure links join them already.
     """
     fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
