@@ -50,6 +50,8 @@ AT_ONCE = 4
 #: Differing bits of the first 64 beyond which a pair within WIDE_BITS is out of the question.
 FIRST_BITS = 22
 RING = 16
+#: Nodes of links that a task holds.
+FOREST = 500_000
 #: Entries of one key that a task holds.
 HELD = 100_000
 _LOW = 0xFFFFFFFF
@@ -265,6 +267,30 @@ def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> D
     return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits).groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: links ``a, b`` -> those that join two trees, so a dense group leaves a task no more links than it has nodes.
+
+    A dropped link is implied by kept ones of the same task.  Beyond FOREST nodes the task begins a new forest.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                keep[i] = True
+        if len(root) > FOREST:
+            root.clear()
+        yield batch.filter(pa.array(keep))
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """docs: ``id, text``.  ``fp, shingles`` (distinct hashes) for each row."""
 
@@ -297,7 +323,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     """
     fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
     near = kernels.cut(wide_links(kernels.cut(fps.select(*WIDE).distinct())))
-    sure = near.filter(F.col("bits") <= SURE_BITS).select("a", "b")
+    sure = kernels.cut(near.filter(F.col("bits") <= SURE_BITS).select("a", "b").mapInArrow(_forest, "a long, b long"))
     label = kernels.cut(components(sure))
     open_pairs = near.filter(F.col("bits") > SURE_BITS).select("a", "b")
     for end in ("a", "b"):
