@@ -330,7 +330,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
         open_pairs = open_pairs.join(label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
     apart = kernels.cut(open_pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _classes(fps, kernels.cut(sure.unionByName(_verified(apart, fps, src, shingle, similarity))))
+    counted = kernels.cut(_verified(apart, fps, src, shingle, similarity)).mapInArrow(_forest, "a long, b long")
+    return _classes(fps, kernels.cut(sure.unionByName(counted)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
