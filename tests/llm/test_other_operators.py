@@ -165,6 +165,35 @@ def test_alignment():
         assert score == brute_align(a, b) == brute_align(a, b[start:end])
 
 
+def test_decontamination_of_edited_copies(spark, docs, words):
+    """No whole copy is in the corpus; every pair is aligned without seeds."""
+    r = random.Random(6)
+    items = [words(20 + i, n, 3000).split() for i, n in enumerate((20, 38, 59, 24))]
+    items[3][5] = "überfluß"
+    texts = []
+    for i, w in enumerate(items):
+        for edits in range(1, len(w) // 3):
+            e = list(w)
+            for k in range(edits):
+                at = (k * len(w) // edits + r.randrange(2)) % len(w)
+                e[at] = f"{e[at]} new{k}" if edits % 2 else f"new{k}"
+            texts.append(" ".join([words(90 + i, 30, 3000), *e, words(70 + edits, 20, 3000)]))
+    inserted = " ".join(x if k % 2 else f"{x} more{k}" for k, x in enumerate(items[2]))
+    texts += [inserted.replace(" more56", ""), "ÜBERFLUSS ".join([" ".join(items[3][:5]) + " ", " ".join(items[3][6:])]).upper()]
+    expected = {}
+    for t, text in enumerate(texts):
+        b = text.casefold().split()
+        for i, w in enumerate(items):
+            a = [x.casefold() for x in w]
+            seeds = {tuple(a[k : k + 3]) for k in range(len(a) - 2)}
+            score = brute_align(a, b) / (2 * len(a))
+            if score >= decontam.THRESHOLD and any(tuple(b[k : k + 3]) in seeds for k in range(len(b) - 2)):
+                expected[t, i] = round(score, 6)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["id"], x["item_id"]): x["score"] for x in decontam.matches(docs(texts), bench).collect()}
+    assert got == expected and len(got) > 30 and expected[len(texts) - 1, 3] == 1 and (len(texts) - 2, 2) in expected
+
+
 def test_urls(spark):
     hosts = (urlfilter.HostRule("net", "/", "block"), urlfilter.HostRule("example.net", "/en/", "allow"), urlfilter.HostRule("example.com", "/de/", "block"))
     pages = {

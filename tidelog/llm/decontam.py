@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are case-folded (ASCII) and freed of ASCII punctuation.  Every benchmark item offers
-its ``N``-word sequences as seeds; one pass over all documents counts how often each occurs,
-and the item keeps its rarest half (``LEAST_SEEDS`` at least, ties by position).  A second
-pass finds the kept seeds in each document and aligns the item with the words around each
-cluster of hits by Smith-Waterman over words.  ``score`` is the alignment's score over that
-of a whole copy; from ``THRESHOLD`` on the document is contaminated by the item.
+Words are case-folded and freed of ASCII punctuation.  Every benchmark item offers all its
+``N``-word sequences as seeds.  One pass finds the seeds in each document and aligns the item with the
+words around each cluster of hits by Smith-Waterman over words; an alignment that the words of both sides
+cannot bring to the threshold is left out unmade.  ``score`` is the alignment's score over that
+of a whole copy; from ``THRESHOLD`` on the document is contaminated by the item.  Every such alignment that
+holds N words in a row of the item is found; one that is edited within every N words has no seed and is not.
 
 The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK_SEEDS`` seeds,
 each of which is sent to the workers and meets all documents in one pass, so documents
@@ -18,6 +18,7 @@ empty result; extra columns are ignored by ``matches`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from tidelog.llm import kernels
 
 N = 3
-LEAST_SEEDS = 8
 BLOCK_SEEDS = 500_000
 THRESHOLD = 0.5
+#: Words between the first and last hit of one alignment window, so that its table stays small.
+WINDOW = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _FOLD = bytearray(range(256))
@@ -42,8 +44,14 @@ for _b in range(256):
 _FOLD = bytes(_FOLD)
 
 
+def fold(text: bytes) -> bytes:
+    if not text.isascii():
+        text = text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    return text.translate(_FOLD)
+
+
 def words(texts: list[bytes]) -> tuple[kernels.Words, np.ndarray]:
-    w = kernels.Words([x.translate(_FOLD) for x in texts])
+    w = kernels.Words([fold(x) for x in texts])
     return w, w.hashes()
 
 
@@ -80,26 +88,11 @@ class Block:
         grams = [kernels.window_hashes(x, N) for x in self.items]
         seed = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
-        self._set(seed, item, place.astype(np.int64))
-
-    def _set(self, seed: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.lexsort((place, item, seed))
-        self.seed, self.item, self.place = seed[order], item[order], place[order]
+        order = np.lexsort((item, seed))
+        self.seed, self.item = seed[order], item[order]
         self.unique, self.at = np.unique(self.seed, return_index=True)
         self.stop = np.append(self.at[1:], len(self.seed))
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """counts: of each unique seed in the corpus."""
-        n = np.repeat(counts, self.stop - self.at)
-        order = np.lexsort((self.place, n, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        rank = np.arange(len(item)) - first
-        size = np.searchsorted(item, item, "right") - first
-        keep = order[rank < np.maximum(LEAST_SEEDS, (size + 1) // 2)]
-        self._set(self.seed[keep], self.item[keep], self.place[keep])
-
     def hits(self, h: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window positions whose hash is a seed, and the number of that unique seed."""
         if not len(self.unique) or not len(h):
@@ -125,14 +118,22 @@ class Block:
         size = np.array([len(x) for x in self.items])[item]
         new = np.ones(len(pos), dtype=bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[1:])
+        # a long cluster is taken in pieces; each hit has all its words around it in its own piece
+        since = pos - pos[np.flatnonzero(new)][np.cumsum(new) - 1]
+        new[1:] |= since[1:] // WINDOW != since[:-1] // WINDOW
         begins = np.flatnonzero(new)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for a, b in zip(begins, [*begins[1:], len(pos)], strict=True):
             t, i = int(text[a]), int(item[a])
             lo, hi = int(w.first[t]), int(w.first[t + 1])
             own = self.items[i]
-            start = max(lo, int(pos[a]) - len(own))
-            stop = min(hi, int(pos[b - 1]) + N + len(own))
+            # an alignment of the threshold holds the item's words and as many others as its matches can pay for
+            reach = len(own) + math.ceil(MATCH * len(own) * max(0.0, 1 - threshold) / -GAP)
+            start = max(lo, int(pos[a]) - reach)
+            stop = min(hi, int(pos[b - 1]) + N + reach)
+            common = min(np.isin(h[start:stop], own).sum(), np.isin(own, h[start:stop]).sum())
+            if MATCH * int(common) / (MATCH * len(own)) < threshold:
+                continue
             score, x, y = align(own, h[start:stop])
             s = score / (MATCH * len(own))
             if s >= threshold and s > best.get((t, i), (0.0,))[0]:
@@ -157,30 +158,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_seeds: int) -
         yield Block(ids, texts)
 
 
-def _rare(docs: DataFrame, block: Block, text_col: str) -> Block:
-    """Count the block's seeds over all documents; as many counts as seeds at most come back."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        total = np.zeros(len(b.unique), dtype=np.int64)
-        for x in kernels.slices(batches, 0):
-            w, h = words(kernels.raw(x.column(0)))
-            _, k = b.hits(kernels.window_hashes(h, N), kernels.whole_windows(w, N))
-            total += np.bincount(k, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
-
-    found = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(block.unique), dtype=np.int64)
-    for r in found:
-        counts[r["k"]] = r["n"]
-    shared.unpersist()
-    block.keep_rare(counts)
-    return block
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """``id, item_id, score, first_word, end_word``: one row for each document and item that contaminates it."""
     spark = kernels.session(docs)
@@ -188,7 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     out = None
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     for block in blocks(benchmark, item_col, item_text, block_seeds):
-        shared = spark.sparkContext.broadcast(_rare(docs, block, text_col))
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
@@ -208,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
     spark = kernels.session(docs)
     at = docs.columns.index(text_col)
     for block in blocks(benchmark, item_col, item_text, block_seeds):
-        shared = spark.sparkContext.broadcast(_rare(docs, block, text_col))
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for x in kernels.slices(batches, at):
