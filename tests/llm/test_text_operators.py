@@ -153,6 +153,18 @@ def test_similar_groups_of_crowds(docs, words):
     assert got == dict(enumerate(brute_similar(texts)))
 
 
+def test_similar_groups_of_repeated_lines(docs, words):
+    """The similarity is over distinct shingles, however often a text repeats a line."""
+    line = words(3, 12)
+    texts = [f"{line} " * 40 + words(200 + i, 40) for i in range(8)]
+    for i in range(8):
+        w = words(300 + i, 100)
+        texts += [w + f" {words(400 + i, 12)}" * n for n in (2, 20)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs(texts)).collect()}
+    assert got == dict(enumerate(brute_similar(texts)))
+    assert [got[i] for i in range(8)] == list(range(8)) and got[9] == 8
+
+
 def test_similar_groups_of_odd_rows(docs, words):
     a, b = words(1, 100), words(2, 100)
     rows = [(None, a, "en", "s", 1), (5, edited(a, [50]), "en", "s", 1), (5, b, "en", "s", 1), (7, edited(b, [40, 80]), "en", "s", 1)]

@@ -15,7 +15,8 @@ link to the smallest, so the work stays linear in any group's size and no link
 is lost.
 
 ``similar_groups`` and ``keep_one`` link texts by shingle similarity instead: 384 bits in 13 segments find them, as 64 bits
-cannot tell a similarity of 0.8 from a far lower one, and an exact count on the texts settles the doubtful pairs.
+cannot tell a similarity of 0.8 from a far lower one, and an exact count on the texts settles every pair. These bits, like the
+similarity, are of distinct shingles, and texts are one without a count only where their sets of shingles are equal.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -38,10 +39,9 @@ from tidelog.llm.components import components
 
 SEED = 42
 CROWD = 64
-#: Words of the wide fingerprint; the differing bits of 384 up to which texts are alike for certain, and those beyond which they
-#: are not: a similarity of 0.8 is 58 bits on average, with a deviation of 7.
-WIDE = ("fp", "w1", "w2", "w3", "w4", "w5")
-SURE_BITS = 24
+#: Words of the wide fingerprint, and the differing bits of 384 beyond which texts are not alike: a similarity of 0.8 is 58
+#: bits on average, with a deviation of 7.
+WIDE = ("w0", "w1", "w2", "w3", "w4", "w5")
 WIDE_BITS = 90
 SIMILARITY = 0.8
 #: Bits of a segment of the wide fingerprint, and segments that are shuffled at one time.
@@ -76,7 +76,10 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 def lanes(text: bytes, shingle: int, n: int) -> np.ndarray:
     """SimHash of one text in ``n`` words of 64 bits; the first comes from the shingles' hashes themselves."""
-    hashes = shingle_hashes(text, shingle)
+    return _lanes(shingle_hashes(text, shingle), n)
+
+
+def _lanes(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     if not len(hashes):
         return out
@@ -174,25 +177,33 @@ def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def _set_and_name(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes of a text in order, and a 64-bit hash of that set."""
+    found = np.unique(shingle_hashes(text, shingle))
+    return found, xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``WIDE`` for each row: 384 bits, of which fp is the 64-bit fingerprint."""
+    """``id, fp`` and ``WIDE`` for each row: fp names the text's set of distinct shingles, WIDE is that set's SimHash of 384 bits."""
     kernels.session(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernels.slices(batches):
-            found = np.stack([lanes(x, shingle, len(WIDE)) for x in kernels.raw(b.column(1))]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i].copy()) for i in range(len(WIDE)))], names=["id", *WIDE])
+            sets = [_set_and_name(x, shingle) for x in kernels.raw(b.column(1))]
+            fp = np.array([name for _, name in sets], dtype=np.uint64).view(np.int64)
+            found = np.stack([_lanes(x, len(WIDE)) for x, _ in sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array(found[:, i].copy()) for i in range(len(WIDE)))], names=["id", "fp", *WIDE])
 
-    return src.mapInArrow(run, "id long, " + ", ".join(f"{w} long" for w in WIDE))
+    return src.mapInArrow(run, "id long, fp long, " + ", ".join(f"{w} long" for w in WIDE))
 
 
 def _meetings(crowd: int, ring: int) -> Callable:
-    """Task: ball entries in key order -> ``a, b``, fingerprints that meet in a key and are alike in their first 64 bits."""
+    """Task: ball entries in key order -> ``a, b``, names of texts that meet in a key and are alike in their first 64 bits."""
 
-    def pairs(key: np.ndarray, flip: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def pairs(key: np.ndarray, flip: np.ndarray, first: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((kernels.finish(fp ^ kernels.finish(key)), key))
-        key, flip, fp = key[order], flip[order], fp[order]
+        key, flip, first, fp = key[order], flip[order], first[order], fp[order]
         _, size = np.unique(key, return_counts=True)
         size = np.repeat(size, size)
         found = [np.zeros((0, 2), dtype=np.uint64)]
@@ -204,25 +215,25 @@ def _meetings(crowd: int, ring: int) -> Callable:
             if not len(at):
                 break
             # values that are equal meet in all keys of their ball, and are paired in its centre alone
-            own = at[((flip[at] != flip[at + d]) | (flip[at] < 0)) & (np.bitwise_count(fp[at] ^ fp[at + d]) <= FIRST_BITS)]
+            own = at[((flip[at] != flip[at + d]) | (flip[at] < 0)) & (np.bitwise_count(first[at] ^ first[at + d]) <= FIRST_BITS)]
             found.append(np.stack((fp[own], fp[own + d]), axis=1))
         both = np.unique(np.sort(np.concatenate(found).view(np.int64), axis=1), axis=0)
         both = both[both[:, 0] < both[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         for b in batches:
-            new = (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64))
-            key, flip, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
+            new = (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64))
+            key, flip, first, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
             # the last key may go on in the next batch; a crowd is taken in pieces that overlap
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
             if len(key) - last > HELD:
-                yield pairs(key, flip, fp)
+                yield pairs(key, flip, first, fp)
                 last = len(key) - crowd
             elif last:
-                yield pairs(key[:last], flip[:last], fp[:last])
-            held = (key[last:], flip[last:], fp[last:])
+                yield pairs(key[:last], flip[:last], first[:last], fp[:last])
+            held = (key[last:], flip[last:], first[last:], fp[last:])
         if len(held[0]):
             yield pairs(*held)
 
@@ -239,7 +250,7 @@ def _bits(at: int) -> Column:
 
 
 def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> DataFrame:
-    """f: distinct rows of ``WIDE``.  ``a, b, bits``: values of fp whose 384 bits differ in at most max_bits.
+    """f: distinct rows of ``fp`` and ``WIDE``.  ``a, b, bits``: values of fp whose 384 bits differ in at most max_bits.
 
     Each of the 13 segments of 28 bits enumerates its radius-one ball; two fingerprints that meet in a key are within two
     bits of each other in that segment, and their whole distance is verified.  So every pair within 38 bits of the segments meets, and
@@ -254,17 +265,15 @@ def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> D
     for k in range(0, len(values), AT_ONCE):
         table = F.array(*[F.struct(F.lit(s << 32).alias("s"), values[s].alias("v")) for s in range(k, min(k + AT_ONCE, len(values)))])
         ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, SEGMENT)])
-        entries = f.select("fp", F.inline(table)).select(F.inline(ball), "fp").select("key", "flip", "fp")
+        entries = f.select("fp", "w0", F.inline(table)).select(F.inline(ball), "w0", "fp").select("key", "flip", "w0", "fp")
         part = kernels.cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long").distinct())
         kernels.release(spark)
         met = part if met is None else met.unionByName(part)
     met = met.distinct()
-    left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE[1:]])
-    right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE[1:]])
-    whole = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for w in WIDE[1:]:
-        whole = whole + F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
-    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE])
+    right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE])
+    whole = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
+    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,42 +305,52 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernels.slices(batches):
-            texts = kernels.raw(b.column(1))
-            fp = np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64)
-            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            sets = [_set_and_name(x, shingle) for x in kernels.raw(b.column(1))]
+            fp = np.array([name for _, name in sets], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([x.view(np.int64) for x, _ in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     return docs.mapInArrow(run, "fp long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """pairs (``a, b``) whose texts share ``similarity`` of their distinct shingles.  Only texts that are in a pair move."""
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def _shingles(wanted: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``fp, shingles`` of the wanted values of fp.  Only texts that have one of them move."""
     ids = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")).select(F.coalesce("id", F.lit(_NO_ID)).alias("id")).distinct()
     texts = docs.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(ids, "id", "left_semi")
-    sets = kernels.cut(_sets(texts, shingle).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    return kernels.cut(_sets(texts, shingle).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (``a, b``), enough to connect all whose texts share ``similarity`` of their distinct shingles."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    alike = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return kernels.cut(alike.mapInArrow(_forest, "a long, b long"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """pairs (``a, b``) that no path joins yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, fp, component_id`` (the smallest id reachable).
 
-    Texts link when they share ``similarity`` of their distinct shingles.  Fingerprints within ``SURE_BITS`` of 384 link as they
-    are; those further apart, up to ``WIDE_BITS``, are counted out on their texts unless sure links join them already.
+    Texts link when they share ``similarity`` of their distinct shingles; fp is the name of that set.  Every link is counted out on
+    the texts.  Each text's closest partner comes first, so that what these links join needs no other count.
     """
     fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
-    near = kernels.cut(wide_links(kernels.cut(fps.select(*WIDE).distinct())))
-    sure = kernels.cut(near.filter(F.col("bits") <= SURE_BITS).select("a", "b").mapInArrow(_forest, "a long, b long"))
-    label = kernels.cut(components(sure))
-    open_pairs = near.filter(F.col("bits") > SURE_BITS).select("a", "b")
-    for end in ("a", "b"):
-        open_pairs = open_pairs.join(label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    apart = kernels.cut(open_pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    distinct = kernels.cut(fps.select("fp", *WIDE).distinct())
+    near = kernels.cut(wide_links(distinct))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = kernels.cut(_verified(apart, fps, src, shingle, similarity)).mapInArrow(_forest, "a long, b long")
-    return _classes(fps, kernels.cut(sure.unionByName(counted)))
+    wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    sets = _shingles(wanted, fps, src, shingle)
+    closest = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select("m.a", "b")
+    links = _verified(closest, sets, similarity)
+    label = kernels.cut(components(links))
+    links = links.unionByName(_verified(kernels.cut(_apart(near.select("a", "b"), label)), sets, similarity))
+    return _classes(fps, kernels.cut(links))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
