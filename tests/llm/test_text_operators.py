@@ -153,6 +153,32 @@ def test_similar_groups_of_crowds(docs, words):
     assert got == dict(enumerate(brute_similar(texts)))
 
 
+def test_pairs_of_crowded_keys(spark):
+    """Every pair that meets in a crowded key comes out, within a block and across blocks."""
+    import numpy as np
+
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        # all meet in the first segment; pairs (0, 1), (2, 3), ... are 40 bits apart there and elsewhere, the others about 150
+        if i % 2 == 0:
+            base = r.getrandbits(384) >> 28 << 28
+        bits = base
+        for p in r.sample(range(28, 384), 40 * (i % 2)):
+            bits ^= 1 << p
+        rows.append((1000 + r.randrange(10**9) * 1000 + i, *[int(np.uint64(bits >> 64 * k & (1 << 64) - 1).view(np.int64)) for k in range(6)]))
+    f = spark.createDataFrame(rows, "fp long, " + ", ".join(f"{w} long" for w in simhash.WIDE))
+    near, crowds = simhash.wide_links(f)
+    assert crowds.filter("key = 0").count() == 120
+    label = spark.createDataFrame([], "node long, root long")
+    expected = {tuple(sorted((rows[i][0], rows[i + 1][0]))) for i in range(0, 120, 2)}
+    for block in (1000, 50):
+        got = {(x["a"], x["b"]) for x in simhash._crowd_pairs(crowds, f, label, block=block).collect()}
+        assert got == expected
+    joined = spark.createDataFrame([(max(e), min(e)) for e in expected], "node long, root long")
+    assert simhash._crowd_pairs(crowds, f, joined).count() == 0
+
+
 def test_similar_groups_of_repeated_lines(docs, words):
     """The similarity is over distinct shingles, however often a text repeats a line."""
     line = words(3, 12)

@@ -26,6 +26,7 @@ are ignored by ``min``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +55,8 @@ RING = 16
 FOREST = 500_000
 #: Entries of one key that a task holds.
 HELD = 100_000
+#: Entries of a side of one comparison of a crowded key.
+BLOCK = 2_000
 _LOW = 0xFFFFFFFF
 #: Stands for a null id in joins.
 _NO_ID = -(1 << 63)
@@ -199,15 +202,19 @@ def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", tex
 
 
 def _meetings(crowd: int, ring: int) -> Callable:
-    """Task: ball entries in key order -> ``a, b``, names of texts that meet in a key and are alike in their first 64 bits."""
+    """Task: ball entries in key order -> ``a, b``, names of texts that meet in a key and are alike in their first 64 bits.
 
-    def pairs(key: np.ndarray, flip: np.ndarray, first: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    In a key with more than ``crowd`` entries, each meets ``ring`` others, and the key's entries come out as well: key, name, ``flip``.
+    """
+
+    def pairs(key: np.ndarray, flip: np.ndarray, first: np.ndarray, fp: np.ndarray, hot: np.uint64 | None) -> pa.RecordBatch:
         order = np.lexsort((kernels.finish(fp ^ kernels.finish(key)), key))
         key, flip, first, fp = key[order], flip[order], first[order], fp[order]
         _, size = np.unique(key, return_counts=True)
         size = np.repeat(size, size)
+        many = (size > crowd) | (key == hot if hot is not None else False)
         found = [np.zeros((0, 2), dtype=np.uint64)]
-        reach = np.where(size > crowd, ring, size)
+        reach = np.where(many, ring, size)
         at = np.flatnonzero(size > 1)
         for d in range(1, max(crowd, ring) + 1):
             at = at[(reach[at] >= d) & (at + d < len(key))]
@@ -219,23 +226,27 @@ def _meetings(crowd: int, ring: int) -> Callable:
             found.append(np.stack((fp[own], fp[own + d]), axis=1))
         both = np.unique(np.sort(np.concatenate(found).view(np.int64), axis=1), axis=0)
         both = both[both[:, 0] < both[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+        a = np.concatenate((both[:, 0], key[many].view(np.int64)))
+        b = np.concatenate((both[:, 1], fp[many].view(np.int64)))
+        f = np.concatenate((np.zeros(len(both), np.int32), flip[many].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(f, mask=np.arange(len(f)) < len(both))], names=["a", "b", "flip"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        hot = None
         for b in batches:
             new = (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64))
             key, flip, first, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
-            # the last key may go on in the next batch; a crowd is taken in pieces that overlap
+            # the last key may go on in the next batch; one that is taken in pieces is a crowd in each of them
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
             if len(key) - last > HELD:
-                yield pairs(key, flip, first, fp)
-                last = len(key) - crowd
+                yield pairs(key, flip, first, fp, hot)
+                hot, last = key[-1], len(key)
             elif last:
-                yield pairs(key[:last], flip[:last], first[:last], fp[:last])
+                yield pairs(key[:last], flip[:last], first[:last], fp[:last], hot)
             held = (key[last:], flip[last:], first[last:], fp[last:])
         if len(held[0]):
-            yield pairs(*held)
+            yield pairs(*held, hot)
 
     return run
 
@@ -249,13 +260,14 @@ def _bits(at: int) -> Column:
     return found.bitwiseAND((1 << SEGMENT) - 1)
 
 
-def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> DataFrame:
+def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """f: distinct rows of ``fp`` and ``WIDE``.  ``a, b, bits``: values of fp whose 384 bits differ in at most max_bits.
 
     Each of the 13 segments of 28 bits enumerates its radius-one ball; two fingerprints that meet in a key are within two
     bits of each other in that segment, and their whole distance is verified.  So every pair within 38 bits of the segments meets, and
     pairs further apart do with the chance given in the README.  In a key with more than ``crowd`` entries, each is
-    compared with ``RING`` others, in an order that differs from key to key.  A few segments are shuffled at a time,
+    compared with ``RING`` others; all entries of such keys are the second result, ``key, fp, flip``, for ``_crowd_pairs``.
+    A few segments are shuffled at a time,
     so the disk that the balls take does not grow with the number of segments.
     """
     spark = kernels.session(f)
@@ -266,14 +278,60 @@ def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> D
         table = F.array(*[F.struct(F.lit(s << 32).alias("s"), values[s].alias("v")) for s in range(k, min(k + AT_ONCE, len(values)))])
         ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, SEGMENT)])
         entries = f.select("fp", "w0", F.inline(table)).select(F.inline(ball), "w0", "fp").select("key", "flip", "w0", "fp")
-        part = kernels.cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long").distinct())
+        part = kernels.cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long, flip int").distinct())
         kernels.release(spark)
         met = part if met is None else met.unionByName(part)
-    met = met.distinct()
+    crowds = met.filter("flip is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"), "flip")
+    met = met.filter("flip is null").select("a", "b").distinct()
     left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE])
     right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE])
     whole = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
-    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits)
+    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits), crowds
+
+
+def _crowd_pairs(crowds: DataFrame, f: DataFrame, label: DataFrame, max_bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
+    """``a, b``: every pair within max_bits that meets in a crowded key and that no path joins yet.
+
+    A key whose entries are all joined has no such pair.  The entries of the others are dealt into blocks, and every two blocks
+    of a key are compared in one task.
+    """
+    parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = f.join(label, f.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), *WIDE)
+    entries = kernels.cut(crowds.join(named.select("fp", "root"), "fp"))
+    mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    mixed = mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    cells = entries.select("key", "fp", "flip").join(mixed, "key").select("key", "fp", "flip", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "flip", "fp").join(named, "fp")
+
+    def compare(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """c: the rows of one cell; the columns are those of ``table``."""
+        words = c[:, 7:].view(np.uint64)
+        x = np.flatnonzero(c[:, 3] == c[0, 1])
+        y = np.flatnonzero(c[:, 3] == c[0, 2])
+        for n, p in enumerate(x):
+            q = y[n + 1 :] if c[0, 1] == c[0, 2] else y
+            q = q[(c[q, 6] != c[p, 6]) & ((c[q, 4] != c[p, 4]) | (c[p, 4] < 0))]
+            q = q[np.bitwise_count(words[q] ^ words[p]).sum(axis=1) <= max_bits]
+            yield np.minimum(c[q, 5], c[p, 5]), np.maximum(c[q, 5], c[p, 5])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7 + len(WIDE)), dtype=np.int64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = np.concatenate((held, np.stack([x.to_numpy().astype(np.int64) for x in b.columns], axis=1)))
+            edges = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+            # the last cell may go on in the next batch
+            stops = [0, *edges.tolist(), *([len(held)] if b is None and len(held) else [])]
+            for lo, hi in zip(stops, stops[1:], strict=False):
+                for x, y in compare(held[lo:hi]):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            held = held[stops[-1] :]
+
+    table = cells.select("key", "i", "j", "own", "flip", "fp", "root", *WIDE)
+    dealt = table.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,14 +400,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     """
     fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
     distinct = kernels.cut(fps.select("fp", *WIDE).distinct())
-    near = kernels.cut(wide_links(distinct))
+    near, crowds = wide_links(distinct)
+    near = kernels.cut(near)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(crowds.select("fp")).distinct()
     sets = _shingles(wanted, fps, src, shingle)
     closest = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select("m.a", "b")
     links = _verified(closest, sets, similarity)
     label = kernels.cut(components(links))
     links = links.unionByName(_verified(kernels.cut(_apart(near.select("a", "b"), label)), sets, similarity))
+    if not crowds.isEmpty():
+        links = kernels.cut(links)
+        rest = kernels.cut(_crowd_pairs(crowds, distinct, kernels.cut(components(links))))
+        links = links.unionByName(_verified(rest, sets, similarity))
     return _classes(fps, kernels.cut(links))
 
 
