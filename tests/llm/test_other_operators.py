@@ -208,6 +208,23 @@ def test_urls(spark):
     assert urlfilter.judge(f.limit(0), hosts).count() == 0
 
 
+def test_index_against_every_rule():
+    """The tokens of the rules fetch every rule that fits, whichever of them is the rarest."""
+    import re
+
+    heads = ["", "www.", "a-b."]
+    names = "casino-x x-casino cheap-pill cheap-pills buy-pill buy-pills free-bet free-bets spam-a1 ads-track ad ads adserver banner banners doubleclick online-poker poker pills bets free pill".split()
+    urls = [f"http://{h}{n}.x.com/{p}" for h in heads for n in names for p in ("", "porn", "xxx/1", "xxx.jpg", "Free/Pills")]
+    literals = sorted({t for p in urlfilter.DEFAULT_PATTERNS for t in p.tokens()})
+    r = random.Random(7)
+    for _ in range(5):
+        index = urlfilter.Index([], urlfilter.DEFAULT_PATTERNS, {t: r.randrange(9) for t in literals})
+        for u in urls:
+            fits = any(re.search(p.pattern, u.lower()) for p in urlfilter.DEFAULT_PATTERNS)
+            assert index.judge(u)[3] == ("block" if fits else None), u
+    assert index.judge("http://buy-pill.x.com/")[3] == index.judge("http://free-bet.x.com/")[3] == "block"
+
+
 def test_rarest_token():
     p = urlfilter.PatternRule("x", ("common", "rare"))
     index = urlfilter.Index([], [p], {"common": 9, "rare": 1})

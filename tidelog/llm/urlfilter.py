@@ -69,8 +69,8 @@ class PatternRule:
 DEFAULT_PATTERNS: tuple[PatternRule, ...] = (
     PatternRule(r"://(?:[^/?#]*\.)?casino-[a-z0-9-]+\.", ("casino",)),
     PatternRule(r"://(?:[^/?#]*\.)?[a-z0-9-]*-casino\.", ("casino",)),
-    PatternRule(r"://(?:[^/?#]*\.)?(?:cheap|buy)-pills?\.", ("pills",)),
-    PatternRule(r"://(?:[^/?#]*\.)?free-bets?\.", ("bets",)),
+    PatternRule(r"://(?:[^/?#]*\.)?(?:cheap|buy)-pills?\.", ()),
+    PatternRule(r"://(?:[^/?#]*\.)?free-bets?\.", ("free",)),
     PatternRule(r"://(?:[^/?#]*\.)?spam-[a-z0-9]+\.", ("spam",)),
     PatternRule(r"://(?:[^/?#]*\.)?ads-track\.", ("ads", "track")),
     PatternRule(r"://(?:ads?|adserver|banners?)\.", ()),
