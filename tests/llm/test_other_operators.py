@@ -239,6 +239,14 @@ def test_grammar():
     assert m.score(None) == m.score("") == pytest.approx(m.floor) and m.score("") < m.score("trash") < m.score("you trash. you idiot")
 
 
+@pytest.mark.parametrize("a, b", ["“”", "«»", "¿?", "¡!", "…—", "–…", "\u00a0\u00a0", "‘’"])
+def test_grammar_beside_other_punctuation(a, b):
+    m = toxicity.Model({"widiot", "pmoro"}, {"plowei"})
+    for text, kinds in (("{}idiot{}", "i"), ("you {}morons{} there", "I"), ("{}loweige{}", "w"), ("I will {}kill{}", "t"), ("not {}idiot{}", "n"), ("{}nice{}", "")):
+        assert m.clauses(text.format(a, b)) == kinds
+    assert {w for w, _ in toxicity._contexts(f"a {a}zork{b} b")} == {"wzork", "pzor"}
+
+
 def test_toxicity(spark, docs, words):
     r = random.Random(5)
     bad = ["zork", "blarg", "fleeming"]

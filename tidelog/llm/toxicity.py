@@ -40,6 +40,7 @@ CERTAIN = 0.97
 WEAK_STEPS = 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+KNOWN = 200_000
 
 TARGETS = frozenset("you your yourself he she they him her them du dich dir ihr euch sie tu te toi vous tú usted ustedes ti".split())
 NEGATIONS = frozenset("not never no nobody isn't aren't wasn't nicht kein keine nie pas jamais aucun nunca".split())
@@ -48,6 +49,8 @@ THREATS = frozenset("kill hurt destroy beat shoot stab töten umbringen tuer fra
 BUILT_IN = frozenset("idiot moron scum stupid worthless".split())
 
 OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, END = "oiwtyNR#"
+#: Symbols without which no clause matches.
+SOUGHT = frozenset((INSULT, WEAK, THREAT))
 #: Kinds that the transducers write, from the weakest to the strongest.
 KINDS = {"w": "possible insult", "n": "negated", "r": "reported", "i": "insult", "t": "threat", "I": "aimed insult", "T": "aimed threat"}
 DEFAULT_WEIGHTS = {"n": 0.2, "r": 0.25, "i": 0.5, "t": 0.3, "I": 0.8, "T": 0.8}
@@ -136,13 +139,9 @@ def grammar() -> Transducer:
     return negation().then(reported()).then(aimed()).then(scorer())
 
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,\n]")
-_SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-
-
-def words(text: bytes) -> set[bytes]:
-    """The distinct words of a lower-cased text, cut at every ASCII byte that is no letter."""
-    return set(text.translate(_SPLIT).split())
+_WORD = r"[^\W\d_]+(?:'[^\W\d_]+)?"
+_TOKEN = re.compile(_WORD + r"|[.!?;:,\n]")
+_WORD = re.compile(_WORD)
 
 
 class Words:
@@ -152,20 +151,10 @@ class Words:
         self.whole = frozenset(f[1:] for f in features if f[0] == "w")
         self.stems = frozenset(f[1:] for f in features if f[0] == "p")
         self.sizes = sorted({len(s) for s in self.stems})
-        self._whole = frozenset(x.encode() for x in self.whole)
-        by_size: dict[int, set[bytes]] = {}
-        for s in self.stems:
-            by_size.setdefault(len(s.encode()), set()).add(s.encode())
-        self._stems = sorted(by_size.items())
 
     def has(self, w: str) -> bool:
         return w in self.whole or any(w[:n] in self.stems for n in self.sizes)
 
-    def any_in(self, found: set[bytes]) -> bool:
-        if not self._whole.isdisjoint(found):
-            return True
-        return any(not stems.isdisjoint([w[:n] for w in found]) for n, stems in self._stems)
-
 
 class Model:
     """Lexicon, weights of clause kinds, and the score of a text without a matched clause.
@@ -178,9 +167,17 @@ class Model:
         self.weights, self.weak_weights, self.floor = dict(weights or DEFAULT_WEIGHTS), weak_weights, floor
         g = grammar()
         self.machine, self.start = g.arcs, g.start
-        self.seek = Words(frozenset(insults) | frozenset(possible) | {"w" + x for x in THREATS})
+        self._known: dict[str, str] = {}
 
     def symbol(self, w: str) -> str:
+        """A word's symbol; those of up to ``KNOWN`` words are kept."""
+        if (found := self._known.get(w)) is None:
+            if len(self._known) >= KNOWN:
+                self._known.clear()
+            found = self._known[w] = self._symbol(w)
+        return found
+
+    def _symbol(self, w: str) -> str:
         if self.insults.has(w):
             return INSULT
         if self.possible.has(w):
@@ -192,13 +189,13 @@ class Model:
 
     def clauses(self, text: str) -> str:
         """The kinds of the text's matched clauses, in order."""
-        low = text.lower()
-        found = words(low.encode("utf-8", "replace"))
-        if not self.seek.any_in(found):
+        tokens = _TOKEN.findall(text.lower() + "\n")
+        symbols = {x: END if x in ".!?;:,\n" else self.symbol(x) for x in set(tokens)}
+        if SOUGHT.isdisjoint(symbols.values()):
             return ""
         state, out = self.start, []
-        for m in _TOKEN.findall(low + "\n"):
-            state, written = self.machine[state, END if m in ".!?;:,\n" else self.symbol(m)]
+        for x in tokens:
+            state, written = self.machine[state, symbols[x]]
             if written:
                 out.append(written)
         return "".join(out)
@@ -218,7 +215,7 @@ class Model:
 
 def _contexts(text: str) -> set[tuple[str, str]]:
     """Whole words ``w...`` and beginnings of longer words ``p...``, each with the word before it."""
-    seq = [w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "replace").translate(_SPLIT).split()]
+    seq = _WORD.findall(text.lower())
     out = set()
     for before, w in set(zip(["", *seq], seq, strict=False)):
         if len(w) > 2:
