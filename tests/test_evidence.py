@@ -84,3 +84,15 @@ def test_stream(spark, tmp_path):
     events = spark.read.parquet(out)
     assert events.count() == 2
     assert [r["n"] for r in timeline.windowed(events).collect()] == [2]
+
+
+def test_snippets_of_all_documents(spark, tmp_path):
+    """Every row and language, cut at whole characters of one to four bytes."""
+    from tidelog import queries
+
+    cut = lambda t: t if len(t.encode()) <= 280 else t.encode()[:280].decode("utf-8", "ignore") + "..."
+    texts = [None, "", "  ", " kurz ", *[pad * "a" + c * 300 for c in ("a", "ü", "中", "😀") for pad in range(4)], "é" * 140, "é" * 140 + "x", " " + "ß" * 200 + " "]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in ("en", "de", "fr", "es", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["snippet"] or "", r["snippet"] is None) for r in queries.QUERIES["snippets_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, cut((t or "").strip(" ")), t is None) for i, t, _ in rows)

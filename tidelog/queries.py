@@ -546,6 +546,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.when((F.octet_length(F.trim("text")) <= 280) | ascii_head, ev.snippet(F.col("text"))).alias("snippet"))
 
 
+@query("snippets_whole")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ad.table(s, d, "documents").select("doc_id", ev.snippet(F.col("text")).alias("snippet"))
+
+
 _V = "v AS (SELECT printf('c%08d', vec_id) AS chunk_id, 's' || label AS source_id, sha256(vec_id::VARCHAR) AS text_sha256, embedding, vec_id FROM embeddings), q AS (SELECT embedding AS qe FROM v ORDER BY vec_id LIMIT 1)"
 
 
