@@ -62,6 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A column name like each wanted one that the frame does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame that ``cut`` returned."""
     spark = df.sparkSession
