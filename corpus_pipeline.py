@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontam, kernels, mixing, sharding, simhash, toxicity
+from tidelog.llm import decontam, kernels, mixing, neardup, sharding, toxicity
 from tidelog.llm.queries import MIX, SHARD_BYTES
 
 #: Several stages have models, links and hashes that SQL cannot express; tests hold each against a brute-force version.
@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts stays: the one with the smallest id."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    """One document of each class of texts that share 0.8 of their shingles stays: the one with the smallest id."""
+    return neardup.keep_one(docs, shingle=SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
