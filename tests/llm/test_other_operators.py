@@ -1,6 +1,7 @@
 """Sharding, mixing, language, decontamination, URL rules and toxicity, and the pipeline's stages."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 from hashlib import md5
@@ -202,33 +203,56 @@ def test_urls(spark):
         7: ("https://www.cheap-pills.example.org/a#b", "www.cheap-pills.example.org", "/a", None, "block"), 8: ("x://example.com/de/#/en/", "example.com", "/de/", "example.com/de/", "block"), 9: ("http://ads.x.org?z", "ads.x.org", "", None, "block"), 10: ("", "", "", None, "allow"),
     }
     f = spark.createDataFrame([(k, v[0]) for k, v in pages.items()] * 2, "page_id long, url string")
-    for block in (100, 2):
-        rows = urlfilter.judge(f, hosts, block=block).collect()
+    few = [p for p in urlfilter.DEFAULT_PATTERNS if re.search(r"\b(ad|pill)\b", p.pattern.replace("s?", " "))]
+    for patterns, block in ((urlfilter.DEFAULT_PATTERNS, 10_000), (few, 4)):
+        rows = urlfilter.judge(f, hosts, patterns, block=block).collect()
         assert len(rows) == 20 and all((r["host"], r["path"], r["rule"], r["verdict"]) == pages[r["id"]][1:] for r in rows)
     assert urlfilter.judge(f.limit(0), hosts).count() == 0
 
 
 def test_index_against_every_rule():
-    """The tokens of the rules fetch every rule that fits, whichever of them is the rarest."""
-    import re
-
-    heads = ["", "www.", "a-b."]
-    names = "casino-x x-casino cheap-pill cheap-pills buy-pill buy-pills free-bet free-bets spam-a1 ads-track ad ads adserver banner banners doubleclick online-poker poker pills bets free pill".split()
-    urls = [f"http://{h}{n}.x.com/{p}" for h in heads for n in names for p in ("", "porn", "xxx/1", "xxx.jpg", "Free/Pills")]
-    literals = sorted({t for p in urlfilter.DEFAULT_PATTERNS for t in p.tokens()})
+    """Random URLs: the tokens of the rules fetch every rule that fits, whichever of them is the rarest, and few others."""
     r = random.Random(7)
-    for _ in range(5):
+    words = [*urlfilter.UNWANTED, "free", "online", "cheap", "news", "a1", "track"]
+    some = lambda: r.choice(words) + r.choice(["", "", "s", "x"])
+    label = lambda: r.choice(["-", "", "."]).join(some() for _ in range(r.randrange(1, 4)))
+    urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'www.', 'a-b.'])}{label()}.{r.choice(['com', 'net', ''])}{r.choice(['', '/', '?', '#'])}{'/'.join(label().title() for _ in range(r.randrange(3)))}{r.choice(['', '/', '.html', '?a=b'])}" for _ in range(1500)]
+    urls += [f"http://{n}.x.com/" for n in "free-bet buy-pill cheap-pill ad ads adserver bets-a casinos poker slots spam-a1 doubleclick".split()]
+    one = [(p, re.compile(p.pattern)) for p in urlfilter.DEFAULT_PATTERNS]
+    literals = sorted({t for p in urlfilter.DEFAULT_PATTERNS for x in p.demands() for t in x})
+    assert len(one) > 200
+    for _ in range(3):
         index = urlfilter.Index([], urlfilter.DEFAULT_PATTERNS, {t: r.randrange(9) for t in literals})
+        tried = blocked = 0
         for u in urls:
-            fits = any(re.search(p.pattern, u.lower()) for p in urlfilter.DEFAULT_PATTERNS)
+            low = u.lower()
+            fits = {p.pattern for p, x in one if x.search(low)}
+            fetched = {p.pattern for p in index.candidates(low)}
+            assert fits <= fetched, u
             assert index.judge(u)[3] == ("block" if fits else None), u
+            tried, blocked = tried + len(fetched), blocked + bool(fits)
+        assert 200 < blocked < len(urls) and tried < 0.1 * len(urls) * len(one)
     assert index.judge("http://buy-pill.x.com/")[3] == index.judge("http://free-bet.x.com/")[3] == "block"
 
 
+def test_demands():
+    f = frozenset
+    spelled = {
+        r"://ads?\.": {f({"ad"}), f({"ads"})}, r"/(?:cheap|buy)-pills?/": {f({"cheap", "pill"}), f({"cheap", "pills"}), f({"buy", "pill"}), f({"buy", "pills"})},
+        r"[/.]track[ab]\.": {f({"tracka"}), f({"trackb"})}, r"^http://x+/ab/$": {f({"http", "ab"}), f({"http", "ab", "x"})}, r"\.a(?:-b)*-c\.": {f({"a", "c"}), f({"a", "b", "c"})},
+        r"/[^a-z0-9]ab[^0-9a-z]": {f({"ab"})}, r"/ab-\d+-cd/": {f({"ab", "cd"})}, r"(?i)/(ab){2}/": {f({"abab"})},
+    }
+    for pattern, expected in spelled.items():
+        assert {x for x in urlfilter.demands(pattern) if not any(y < x for y in urlfilter.demands(pattern))} >= {x for x in expected if not any(y < x for y in expected)}, pattern
+    for pattern in (r"casino", r"/\d+/", r"://ads?", r"/(?:porn|x*)/", r"\bab\b", r"/[a-z]b/"):
+        with pytest.raises(ValueError):
+            urlfilter.demands(pattern)
+
+
 def test_rarest_token():
-    p = urlfilter.PatternRule("x", ("common", "rare"))
+    p = urlfilter.PatternRule("/(?:common-rare|rare2)/")
     index = urlfilter.Index([], [p], {"common": 9, "rare": 1})
-    assert set(index.by_token) == {"rare"}
+    assert set(index.by_token) == {"rare", "rare2"}
 
 
 def test_grammar():
@@ -284,7 +308,7 @@ def test_pipeline(spark):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
     import corpus_pipeline as cp
-    from tests.llm.test_text_operators import brute_similar
+    from tests.llm.test_neardup import brute_similar
     from tidelog.llm import kernels
 
     at = spark.read.parquet(f"{SF}/documents.parquet")

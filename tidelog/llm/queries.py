@@ -186,7 +186,7 @@ FROM run WHERE whole_epochs > 0 OR upto <= rest
 """
 
 _RULES_SQL = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.action}')" for r in HOST_RULES)
-_BLOCKED_SQL = " OR ".join(f"regexp_matches(low, '{p.pattern}')" for p in urlfilter.DEFAULT_PATTERNS)
+_BLOCKED_SQL = " OR ".join(f"regexp_matches(low, '{p.format('(?:' + '|'.join(urlfilter.UNWANTED) + ')')}')" for p in urlfilter.PLACES)
 OP9_SQL = f"""
 WITH u AS (
   SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
