@@ -104,107 +104,6 @@ def test_links_of_crowded_buckets(spark):
         assert [find(i) for i in range(len(fps))] == brute_components(fps, 2)
 
 
-def shingle_set(text, k=5):
-    w = split((text or "").encode().lower().decode())
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-
-
-def brute_similar(texts, similarity=0.8):
-    """The least index that each text reaches by pairs that share enough of their shingles."""
-    sets = [shingle_set(t) for t in texts]
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if x == sets[j] or (x and len(x & sets[j]) >= similarity * len(x | sets[j])):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return [find(i) for i in range(len(sets))]
-
-
-def edited(text, places):
-    w = text.split()
-    for p in places:
-        w[p] = f"edit{p}"
-    return " ".join(w)
-
-
-def test_similar_groups(docs, words):
-    texts = [*ODD]
-    for s in range(12):
-        base = words(s, 240)
-        # shingle similarities 0.96 and 0.88 (alike), 0.5 (not)
-        texts += [base, base.upper(), edited(base, [100]), edited(base, [50, 150, 200]), edited(base, range(0, 240, 14))]
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs(texts)).collect()}
-    assert got == dict(enumerate(brute_similar(texts)))
-
-
-def test_similar_groups_of_crowds(docs, words):
-    """Large groups of near copies, each with edits of its own, beside texts that stand alone."""
-    base = words(7, 300)
-    r = random.Random(1)
-    texts = [edited(base, r.sample(range(300), 2)) for _ in range(400)] + [words(100 + i, 60) for i in range(100)]
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs(texts)).collect()}
-    assert got == dict(enumerate(brute_similar(texts)))
-
-
-def test_pairs_of_crowded_keys(spark):
-    """Every pair that meets in a crowded key comes out, within a block and across blocks."""
-    import numpy as np
-
-    r = random.Random(8)
-    rows = []
-    for i in range(120):
-        # all meet in the first segment; pairs (0, 1), (2, 3), ... are 40 bits apart there and elsewhere, the others about 150
-        if i % 2 == 0:
-            base = r.getrandbits(384) >> 28 << 28
-        bits = base
-        for p in r.sample(range(28, 384), 40 * (i % 2)):
-            bits ^= 1 << p
-        rows.append((1000 + r.randrange(10**9) * 1000 + i, *[int(np.uint64(bits >> 64 * k & (1 << 64) - 1).view(np.int64)) for k in range(6)]))
-    f = spark.createDataFrame(rows, "fp long, " + ", ".join(f"{w} long" for w in simhash.WIDE))
-    near, crowds = simhash.wide_links(f)
-    assert crowds.filter("key = 0").count() == 120
-    label = spark.createDataFrame([], "node long, root long")
-    expected = {tuple(sorted((rows[i][0], rows[i + 1][0]))) for i in range(0, 120, 2)}
-    for block in (1000, 50):
-        got = {(x["a"], x["b"]) for x in simhash._crowd_pairs(crowds, f, label, block=block).collect()}
-        assert got == expected
-    joined = spark.createDataFrame([(max(e), min(e)) for e in expected], "node long, root long")
-    assert simhash._crowd_pairs(crowds, f, joined).count() == 0
-
-
-def test_similar_groups_of_repeated_lines(docs, words):
-    """The similarity is over distinct shingles, however often a text repeats a line."""
-    line = words(3, 12)
-    texts = [f"{line} " * 40 + words(200 + i, 40) for i in range(8)]
-    for i in range(8):
-        w = words(300 + i, 100)
-        texts += [w + f" {words(400 + i, 12)}" * n for n in (2, 20)]
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs(texts)).collect()}
-    assert got == dict(enumerate(brute_similar(texts)))
-    assert [got[i] for i in range(8)] == list(range(8)) and got[9] == 8
-
-
-def test_similar_groups_of_odd_rows(docs, words):
-    a, b = words(1, 100), words(2, 100)
-    rows = [(None, a, "en", "s", 1), (5, edited(a, [50]), "en", "s", 1), (5, b, "en", "s", 1), (7, edited(b, [40, 80]), "en", "s", 1)]
-    got = sorted((r["id"] or 0, r["component_id"]) for r in simhash.similar_groups(docs(rows)).collect())
-    assert got == [(0, 5), (5, 5), (5, 5), (7, 5)]
-    assert simhash.similar_groups(docs([])).count() == 0
-
-
-def test_keep_one(docs, words):
-    rows = [(5, words(1, 60), "en", "a", 1), (3, words(1, 60), "en", "a", 1), (3, words(1, 60), "en", "a", 1), (None, words(1, 60), "en", "a", 1), (9, words(2, 60), None, None, None), (None, words(3, 60), "en", "a", 1)]
-    assert sorted(repr(r["doc_id"]) for r in simhash.keep_one(docs(rows)).collect()) == ["3", "9", "None"]
-    assert simhash.keep_one(docs([])).count() == 0
-
-
 def brute_dedup(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -14,9 +14,7 @@ who meet in such a key are within two bits of each other by construction and
 link to the smallest, so the work stays linear in any group's size and no link
 is lost.
 
-``similar_groups`` and ``keep_one`` link texts by shingle similarity instead: 384 bits in 13 segments find them, as 64 bits
-cannot tell a similarity of 0.8 from a far lower one, and an exact count on the texts settles every pair. These bits, like the
-similarity, are of distinct shingles, and texts are one without a count only where their sets of shingles are equal.
+``tidelog.llm.neardup`` links texts by shingle similarity instead, with longer fingerprints.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -26,8 +24,7 @@ are ignored by ``min``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +37,11 @@ from tidelog.llm.components import components
 
 SEED = 42
 CROWD = 64
-#: Words of the wide fingerprint, and the differing bits of 384 beyond which texts are not alike: a similarity of 0.8 is 58
-#: bits on average, with a deviation of 7.
-WIDE = ("w0", "w1", "w2", "w3", "w4", "w5")
-WIDE_BITS = 90
-SIMILARITY = 0.8
-#: Bits of a segment of the wide fingerprint, and segments that are shuffled at one time.
-SEGMENT = 28
-AT_ONCE = 4
-#: Differing bits of the first 64 beyond which a pair within WIDE_BITS is out of the question.
-FIRST_BITS = 22
-RING = 16
-#: Nodes of links that a task holds.
-FOREST = 500_000
-#: Entries of one key that a task holds.
-HELD = 100_000
-#: Entries of a side of one comparison of a crowded key.
-BLOCK = 2_000
+#: Rows of one fingerprint beyond which its class is sent to all tasks that have such rows, instead of all rows to one.
+HOT_ROWS = 1_000_000
+#: Such fingerprints at most.
+BROADCAST_ROWS = 200_000
 _LOW = 0xFFFFFFFF
-#: Stands for a null id in joins.
-_NO_ID = -(1 << 63)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -77,30 +59,14 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(words) - k + 1)
 
 
-def lanes(text: bytes, shingle: int, n: int) -> np.ndarray:
-    """SimHash of one text in ``n`` words of 64 bits; the first comes from the shingles' hashes themselves."""
-    return _lanes(shingle_hashes(text, shingle), n)
-
-
-def _lanes(hashes: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.uint64)
-    if not len(hashes):
-        return out
-    for lane in range(n):
-        total = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(hashes), 65536):
-            part = hashes[i : i + 65536]
-            if lane:
-                part = kernels.finish(part + np.uint64(lane * int(kernels._MUL) % 2**64))
-            bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
-            total += bits.sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def fingerprint(text: bytes, shingle: int) -> int:
     """64-bit SimHash of one text, as an unsigned number."""
-    return int(lanes(text, shingle, 1)[0])
+    hashes = shingle_hashes(text, shingle)
+    total = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = hashes[i : i + 65536]
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,257 +138,16 @@ def groups(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "
 
 
 def _classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
-    distinct = kernels.cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
+    """Classes are found on distinct fingerprints; rows of a fingerprint in great numbers stay where they are."""
+    distinct = kernels.cut(fps.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     label = components(edges)
-    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("id", "fp", "component_id")
-
-
-def _set_and_name(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
-    """The distinct shingle hashes of a text in order, and a 64-bit hash of that set."""
-    found = np.unique(shingle_hashes(text, shingle))
-    return found, xxhash.xxh64_intdigest(found.tobytes(), SEED)
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` and ``WIDE`` for each row: fp names the text's set of distinct shingles, WIDE is that set's SimHash of 384 bits."""
-    kernels.session(docs)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in kernels.slices(batches):
-            sets = [_set_and_name(x, shingle) for x in kernels.raw(b.column(1))]
-            fp = np.array([name for _, name in sets], dtype=np.uint64).view(np.int64)
-            found = np.stack([_lanes(x, len(WIDE)) for x, _ in sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array(found[:, i].copy()) for i in range(len(WIDE)))], names=["id", "fp", *WIDE])
-
-    return src.mapInArrow(run, "id long, fp long, " + ", ".join(f"{w} long" for w in WIDE))
-
-
-def _meetings(crowd: int, ring: int) -> Callable:
-    """Task: ball entries in key order -> ``a, b``, names of texts that meet in a key and are alike in their first 64 bits.
-
-    In a key with more than ``crowd`` entries, each meets ``ring`` others, and the key's entries come out as well: key, name, ``flip``.
-    """
-
-    def pairs(key: np.ndarray, flip: np.ndarray, first: np.ndarray, fp: np.ndarray, hot: np.uint64 | None) -> pa.RecordBatch:
-        order = np.lexsort((kernels.finish(fp ^ kernels.finish(key)), key))
-        key, flip, first, fp = key[order], flip[order], first[order], fp[order]
-        _, size = np.unique(key, return_counts=True)
-        size = np.repeat(size, size)
-        many = (size > crowd) | (key == hot if hot is not None else False)
-        found = [np.zeros((0, 2), dtype=np.uint64)]
-        reach = np.where(many, ring, size)
-        at = np.flatnonzero(size > 1)
-        for d in range(1, max(crowd, ring) + 1):
-            at = at[(reach[at] >= d) & (at + d < len(key))]
-            at = at[key[at] == key[at + d]]
-            if not len(at):
-                break
-            # values that are equal meet in all keys of their ball, and are paired in its centre alone
-            own = at[((flip[at] != flip[at + d]) | (flip[at] < 0)) & (np.bitwise_count(first[at] ^ first[at + d]) <= FIRST_BITS)]
-            found.append(np.stack((fp[own], fp[own + d]), axis=1))
-        both = np.unique(np.sort(np.concatenate(found).view(np.int64), axis=1), axis=0)
-        both = both[both[:, 0] < both[:, 1]]
-        a = np.concatenate((both[:, 0], key[many].view(np.int64)))
-        b = np.concatenate((both[:, 1], fp[many].view(np.int64)))
-        f = np.concatenate((np.zeros(len(both), np.int32), flip[many].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(f, mask=np.arange(len(f)) < len(both))], names=["a", "b", "flip"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        hot = None
-        for b in batches:
-            new = (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64))
-            key, flip, first, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
-            # the last key may go on in the next batch; one that is taken in pieces is a crowd in each of them
-            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and key[0] != key[-1] else 0
-            if len(key) - last > HELD:
-                yield pairs(key, flip, first, fp, hot)
-                hot, last = key[-1], len(key)
-            elif last:
-                yield pairs(key[:last], flip[:last], first[:last], fp[:last], hot)
-            held = (key[last:], flip[last:], first[last:], fp[last:])
-        if len(held[0]):
-            yield pairs(*held, hot)
-
-    return run
-
-
-def _bits(at: int) -> Column:
-    """SEGMENT bits of the wide fingerprint from bit ``at`` on."""
-    word, off = divmod(at, 64)
-    found = F.shiftrightunsigned(WIDE[word], off)
-    if off + SEGMENT > 64:
-        found = found.bitwiseOR(F.shiftleft(WIDE[word + 1], 64 - off))
-    return found.bitwiseAND((1 << SEGMENT) - 1)
-
-
-def wide_links(f: DataFrame, max_bits: int = WIDE_BITS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """f: distinct rows of ``fp`` and ``WIDE``.  ``a, b, bits``: values of fp whose 384 bits differ in at most max_bits.
-
-    Each of the 13 segments of 28 bits enumerates its radius-one ball; two fingerprints that meet in a key are within two
-    bits of each other in that segment, and their whole distance is verified.  So every pair within 38 bits of the segments meets, and
-    pairs further apart do with the chance given in the README.  In a key with more than ``crowd`` entries, each is
-    compared with ``RING`` others; all entries of such keys are the second result, ``key, fp, flip``, for ``_crowd_pairs``.
-    A few segments are shuffled at a time,
-    so the disk that the balls take does not grow with the number of segments.
-    """
-    spark = kernels.session(f)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = [_bits(i) for i in range(0, 64 * len(WIDE) - SEGMENT + 1, SEGMENT)]
-    met = None
-    for k in range(0, len(values), AT_ONCE):
-        table = F.array(*[F.struct(F.lit(s << 32).alias("s"), values[s].alias("v")) for s in range(k, min(k + AT_ONCE, len(values)))])
-        ball = F.array(*[F.struct(F.col("s").bitwiseOR(F.col("v").bitwiseXOR(1 << i if i >= 0 else 0)).alias("key"), F.lit(i).cast("byte").alias("flip")) for i in range(-1, SEGMENT)])
-        entries = f.select("fp", "w0", F.inline(table)).select(F.inline(ball), "w0", "fp").select("key", "flip", "w0", "fp")
-        part = kernels.cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(crowd, RING), "a long, b long, flip int").distinct())
-        kernels.release(spark)
-        met = part if met is None else met.unionByName(part)
-    crowds = met.filter("flip is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"), "flip")
-    met = met.filter("flip is null").select("a", "b").distinct()
-    left = f.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in WIDE])
-    right = f.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WIDE])
-    whole = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
-    return met.join(left, "a").join(right, "b").select("a", "b", whole.alias("bits")).filter(F.col("bits") <= max_bits), crowds
-
-
-def _crowd_pairs(crowds: DataFrame, f: DataFrame, label: DataFrame, max_bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
-    """``a, b``: every pair within max_bits that meets in a crowded key and that no path joins yet.
-
-    A key whose entries are all joined has no such pair.  The entries of the others are dealt into blocks, and every two blocks
-    of a key are compared in one task.
-    """
-    parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = f.join(label, f.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), *WIDE)
-    entries = kernels.cut(crowds.join(named.select("fp", "root"), "fp"))
-    mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    mixed = mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    cells = entries.select("key", "fp", "flip").join(mixed, "key").select("key", "fp", "flip", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "flip", "fp").join(named, "fp")
-
-    def compare(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """c: the rows of one cell; the columns are those of ``table``."""
-        words = c[:, 7:].view(np.uint64)
-        x = np.flatnonzero(c[:, 3] == c[0, 1])
-        y = np.flatnonzero(c[:, 3] == c[0, 2])
-        for n, p in enumerate(x):
-            q = y[n + 1 :] if c[0, 1] == c[0, 2] else y
-            q = q[(c[q, 6] != c[p, 6]) & ((c[q, 4] != c[p, 4]) | (c[p, 4] < 0))]
-            q = q[np.bitwise_count(words[q] ^ words[p]).sum(axis=1) <= max_bits]
-            yield np.minimum(c[q, 5], c[p, 5]), np.maximum(c[q, 5], c[p, 5])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7 + len(WIDE)), dtype=np.int64)
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                held = np.concatenate((held, np.stack([x.to_numpy().astype(np.int64) for x in b.columns], axis=1)))
-            edges = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
-            # the last cell may go on in the next batch
-            stops = [0, *edges.tolist(), *([len(held)] if b is None and len(held) else [])]
-            for lo, hi in zip(stops, stops[1:], strict=False):
-                for x, y in compare(held[lo:hi]):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-            held = held[stops[-1] :]
-
-    table = cells.select("key", "i", "j", "own", "flip", "fp", "root", *WIDE)
-    dealt = table.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").filter("a < b").distinct()
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: links ``a, b`` -> those that join two trees, so a dense group leaves a task no more links than it has nodes.
-
-    A dropped link is implied by kept ones of the same task.  Beyond FOREST nodes the task begins a new forest.
-    """
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                keep[i] = True
-        if len(root) > FOREST:
-            root.clear()
-        yield batch.filter(pa.array(keep))
-
-
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs: ``id, text``.  ``fp, shingles`` (distinct hashes) for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in kernels.slices(batches):
-            sets = [_set_and_name(x, shingle) for x in kernels.raw(b.column(1))]
-            fp = np.array([name for _, name in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([x.view(np.int64) for x, _ in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
-
-    return docs.mapInArrow(run, "fp long, shingles array<long>")
-
-
-def _shingles(wanted: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """``fp, shingles`` of the wanted values of fp.  Only texts that have one of them move."""
-    ids = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")).select(F.coalesce("id", F.lit(_NO_ID)).alias("id")).distinct()
-    texts = docs.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(ids, "id", "left_semi")
-    return kernels.cut(_sets(texts, shingle).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (``a, b``), enough to connect all whose texts share ``similarity`` of their distinct shingles."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return kernels.cut(alike.mapInArrow(_forest, "a long, b long"))
-
-
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """pairs (``a, b``) that no path joins yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(label.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, fp, component_id`` (the smallest id reachable).
-
-    Texts link when they share ``similarity`` of their distinct shingles; fp is the name of that set.  Every link is counted out on
-    the texts.  Each text's closest partner comes first, so that what these links join needs no other count.
-    """
-    fps = kernels.cut(wide_fingerprints(docs, shingle, id_col, text_col))
-    distinct = kernels.cut(fps.select("fp", *WIDE).distinct())
-    near, crowds = wide_links(distinct)
-    near = kernels.cut(near)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(crowds.select("fp")).distinct()
-    sets = _shingles(wanted, fps, src, shingle)
-    closest = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select("m.a", "b")
-    links = _verified(closest, sets, similarity)
-    label = kernels.cut(components(links))
-    links = links.unionByName(_verified(kernels.cut(_apart(near.select("a", "b"), label)), sets, similarity))
-    if not crowds.isEmpty():
-        links = kernels.cut(links)
-        rest = kernels.cut(_crowd_pairs(crowds, distinct, kernels.cut(components(links))))
-        links = links.unionByName(_verified(rest, sets, similarity))
-    return _classes(fps, kernels.cut(links))
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each group of similar texts with the smallest id; of rows that repeat it, one stays.
-
-    Rows with a null id go where their group has any other row; a group of nothing else keeps one of them.
-    """
-    found = kernels.cut(similar_groups(docs, shingle, similarity, id_col, text_col))
-    lead = found.groupBy("component_id").agg(F.count(F.when(F.col("id").eqNullSafe(F.col("component_id")), 1)).alias("n")).select(F.coalesce("component_id", F.lit(_NO_ID)).alias("__lead"), "n")
-    on = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__lead")
-    kept = docs.join(lead.select("__lead").distinct(), on, "left_semi")
-    return kept if lead.filter("n > 1").isEmpty() else kept.dropDuplicates([id_col])
+    classes = kernels.cut(named.join(least, "root").select("fp", "component_id", "n"))
+    hot = classes.filter(F.col("n") > HOT_ROWS).select("fp", "component_id")
+    n_hot = hot.count()
+    if not 0 < n_hot <= BROADCAST_ROWS:
+        return fps.join(classes.drop("n"), "fp").select("id", "fp", "component_id")
+    few = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes.filter(F.col("n") <= HOT_ROWS).drop("n"), "fp")
+    many = fps.join(F.broadcast(hot), "fp")
+    return few.unionByName(many).select("id", "fp", "component_id")
