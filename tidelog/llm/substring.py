@@ -1,24 +1,22 @@
-"""Substring dedup: repeated passages by prefix-partitioned suffix groups.
-
-A *suffix* is a text from one of its words on; two suffixes agree for at least
-``WINDOW`` words exactly where a passage of that length repeats, so what is wanted are
-the suffix tree's nodes at word depth ``WINDOW`` that have two leaves or more, and each such
-node's first leaf (least document, then least start).  The tree is never built whole:
-
-1. *Which suffixes can repeat.*  Every window of WINDOW words contains an anchor: the
-   8-word sequence in it whose hash is least.  Equal windows have equal anchors, so an
-   anchor that occurs once rules out its windows.  Anchors are about a seventh of all
-   positions; they are counted with map-side sums.
-2. *Variable-length prefixes.*  A suffix that is left belongs to the group of its anchor
-   (8 words) if that group is at most ``GROUP`` suffixes, else to that of all its WINDOW words.
-   Of equal windows in one slice of documents only the first leaves the task, so a
-   passage in a third of all documents has one entry per slice.
-3. *Subtrees.*  Each partition sorts its groups' suffixes, which lines up the leaves of each deep
-   node, and walks them with constant memory: the first leaf of a node stays, the others
-   are marked.
-4. Marks return to their documents as word spans.
-
-Comparisons use 128 bits of hash of the words.  Defined cases: null texts have no words; rows with
+"""Substring dedup by prefix-partitioned suffix trees.
+
+A *suffix* is a text from one of its words on.  A passage of ``WINDOW`` words or more repeats where two suffixes, together
+with the words before them that agree as well, have that many words in common.  The suffix tree is sparse and never built whole:
+
+1. *Which suffixes.*  Of the 8-word prefixes in a window the one whose hash is least is its anchor; equal windows have the same anchor
+   in the same place, so it is enough to have the suffixes that start at anchors, about a seventh of all.  Anchors are
+   counted with map-side sums; a suffix whose prefix occurs once is left out.
+2. *Variable-length prefixes.*  A suffix goes to the group of its first 8 words if that group has at most ``GROUP`` suffixes.  A larger
+   group is parted by longer prefixes: the suffixes from all window starts around the anchor, by their first WINDOW words.
+   Each brings the words of the windows that its anchor stands for.  Of suffixes in one slice of documents that agree in
+   all of them only the first leaves the task, so a passage in a third of all documents has one entry a slice.
+3. *Subtrees.*  A group's suffixes are sorted by their words.  The common prefixes of neighbours span its internal nodes; at a node
+   of depth r, leaves that agree in the l words before them as well have r + l words in common, and from WINDOW on that
+   is a repeat, of which the leaf that comes first in the corpus stays and the others are marked.  Words are compared as they are.
+   Groups of whole windows have a single node each, and are read through with only its first leaf in memory.
+4. *Maximal repeats.*  Marks return to their documents, where they join into spans: the repeats as far as they reach.
+
+Hashes (64 bits) deal suffixes into groups and find repeats inside one slice (128 bits there).  Defined cases: null texts have no words; rows with
 a null id are left whole and do not count as earlier; rows that repeat an id are compared as the
 same place, so neither removes the other; texts of fewer than WINDOW words lose nothing; an
 empty table gives an empty result.
@@ -28,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,11 @@ from tidelog.llm import kernels
 
 WINDOW = 20
 ANCHOR = 8
-GROUP = 50_000
+#: Suffixes of one group that a task holds.
+GROUP = 5_000
+#: Anchors whose counts are sent to every task, so that their many places need not meet in one.
+HOT_ANCHORS = 100_000
 U64 = np.uint64
-_TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(x: np.ndarray, k: int, f: Callable) -> np.ndarray:
@@ -55,7 +56,7 @@ def _sliding(x: np.ndarray, k: int, f: Callable) -> np.ndarray:
 
 
 class Windows:
-    """All whole windows of some texts: text number, word number in it, anchor hash, window hashes."""
+    """All whole windows of some texts: text number, word number in it, the anchor's hash and its place among all words, window hashes."""
 
     def __init__(self, texts: list[bytes], window: int):
         self.words = w = kernels.Words(texts)
@@ -82,6 +83,16 @@ class Windows:
         at = np.flatnonzero((most == self.grams) & (most > 0))
         return np.searchsorted(self.words.first, at, "right") - 1, self.grams[at]
 
+    def anchor_words(self) -> np.ndarray:
+        """For each window, the first word with the anchor's hash, among the words of all texts."""
+        at = np.zeros(len(self.start), dtype=np.int64)
+        open_ = np.arange(len(self.start))
+        for d in range(self._span):
+            hit = self.grams[self.start[open_] + d] == self.anchor[open_]
+            at[open_[hit]] = self.start[open_[hit]] + d
+            open_ = open_[~hit]
+        return at
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of every window."""
         a = kernels.window_hashes(self._hash, self.window)[self.start]
@@ -122,8 +133,15 @@ def _repeated_anchors(docs: DataFrame, window: int, group: int, id_col: str, tex
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[at])), pa.array(a[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "a", "n"])
 
     found = src.mapInArrow(run, "id long, a long, n long")
-    many = found.groupBy("a").agg(F.sum("n").alias("total")).filter("total > 1")
-    mine = found.select("id", "a").join(many.select("a", (F.col("total") > group).alias("wide")), "a")
+    many = kernels.cut(found.groupBy("a").agg(F.sum("n").alias("total")).filter("total > 1"))
+    many = many.withColumn("wide", F.col("total") > group)
+    # no more than HOT_ANCHORS anchors can have more than the mean of so many
+    all_ = many.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    least = max(group, all_ // HOT_ANCHORS)
+    hot = F.broadcast(many.filter(F.col("total") > least).select("a", "wide"))
+    cold = many.filter(F.col("total") <= least).select("a", "wide")
+    places = found.select("id", "a")
+    mine = places.join(hot, "a").unionByName(places.join(hot.select("a"), "a", "left_anti").join(cold, "a"))
     return mine.groupBy("id").agg(F.collect_list("a").alias("anchors"), F.collect_list(F.when(F.col("wide"), F.col("a"))).alias("wide"))
 
 
@@ -141,10 +159,14 @@ def _pairs_in(row: np.ndarray, value: np.ndarray, rows: np.ndarray, values: np.n
     return np.isin(mix(row, value), mix(rows, values.view(U64)))
 
 
+_LEAF = "k long, wide boolean, id long, start int, lead int, n int, words binary"
+
+
 def _suffixes(window: int) -> Callable:
     """Task: documents with their repeated anchors -> suffixes in groups, and spans already known to repeat.
 
-    Output ``k, w, id, start, n``: n = 0 for a suffix at word ``start`` of group k, else a span of n windows.
+    Output: a suffix that starts ``lead`` words into ``words``, whose first one is word ``start`` of its document, and which stands
+    for ``n`` windows from there on, in group ``k``; or, without words, a span of n windows from ``start`` that repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,60 +182,142 @@ def _suffixes(window: int) -> Callable:
 
     def one(texts: list[bytes], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v = Windows(texts, window)
-        keep = _pairs_in(v.text, v.anchor, *_flat(batch.column(2)))
+        keep = np.flatnonzero(_pairs_in(v.text, v.anchor, *_flat(batch.column(2))))
         a, b = (x[keep] for x in v.hashes())
-        text, place, anchor = v.text[keep], v.place[keep], v.anchor[keep]
-        k = np.where(_pairs_in(text, anchor, *_flat(batch.column(3))), b, anchor)
-        ids = batch.column(0).to_numpy()[text]
-        order = np.lexsort((place, ids, a, k))
-        k, a, ids, place = k[order], a[order], ids[order], place[order]
+        start, text, anchor, at = v.start[keep], v.text[keep], v.anchor[keep], v.anchor_words()[keep]
+        wide = _pairs_in(text, anchor, *_flat(batch.column(3)))
+        # consecutive windows of one anchor are one suffix; in a wide group each is its own
+        new = np.ones(len(keep), dtype=bool)
+        new[1:] = (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1]) | wide[1:]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(keep)))
+        start, text, at, wide = start[first], text[first], at[first], wide[first]
+        k = np.where(wide, b[first], anchor[first])
+        lead = np.where(wide, 0, at - start)
+        # equal in all its words: the same windows, so the same sums of their hashes, around the same place
+        total = lambda x: np.add.reduceat(x, first) if len(first) else x
+        x, y = total(kernels.finish(a + U64(1))), total(kernels.finish(b + U64(2))) + lead.astype(U64)
+        ids, place = batch.column(0).to_numpy()[text], start - v.words.first[text]
+        order = np.lexsort((place, ids, n, y, x, k))
+        k, x, y, ids, place, n, lead, wide, start = (z[order] for z in (k, x, y, ids, place, n, lead, wide, start))
         new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        mark = (ids != ids[lead]) | (place != place[lead])
-        yield out(k[new], a[new], ids[new], place[new], np.zeros(new.sum(), np.int64))
-        ids, place = ids[mark], place[mark]
-        order = np.lexsort((place, ids))
-        ids, place = ids[order], place[order]
-        cut = np.ones(len(ids), dtype=bool)
-        cut[1:] = (ids[1:] != ids[:-1]) | (place[1:] > place[:-1] + 1)
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(ids)) - 1
-        if len(first):
-            n = place[last] - place[first] + 1
-            spread = kernels.finish(ids[first].astype(np.int64).view(U64) * kernels._MUL + place[first].astype(U64))
-            yield out(spread, spread, ids[first], place[first], n)
-
-    def out(k, w, ids, start, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(w.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["k", "w", "id", "start", "n"])
+        new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (n[1:] != n[:-1])
+        chief = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        mark = (ids != ids[chief]) | (place != place[chief])
+        w = v.words
+        begin, stop = w.start[start[new]], w.end[start[new] + n[new] + window - 2]
+        data = w.data.tobytes()
+        words = pa.array([data[p:q] for p, q in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())
+        yield out(k[new], wide[new], ids[new], place[new], lead[new], n[new], words)
+        if mark.any():
+            spread = kernels.finish(ids[mark].astype(np.int64).view(U64) * kernels._MUL + place[mark].astype(U64))
+            yield out(spread, wide[mark], ids[mark], place[mark], lead[mark], n[mark], pa.nulls(int(mark.sum()), pa.binary()))
+
+    def out(k, wide, ids, start, lead, n, words) -> pa.RecordBatch:
+        cols = [pa.array(k.view(np.int64)), pa.array(wide), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, lead, n)), words]
+        return pa.RecordBatch.from_arrays(cols, names=["k", "wide", "id", "start", "lead", "n", "words"])
 
     return run
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: sorted suffixes -> marked spans.  Only the current node's first leaf is remembered."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, w, ids, start, n = (b.column(i).to_numpy() for i in range(5))
-        leaf = np.flatnonzero(n == 0)
-        span = np.flatnonzero(n > 0)
-        kk, ww, ii, ss = k[leaf], w[leaf], ids[leaf], start[leaf]
-        if held is not None:
-            kk, ww, ii, ss = (np.concatenate(([x], y)) for x, y in zip(held, (kk, ww, ii, ss), strict=True))
-        if len(kk):
-            new = np.ones(len(kk), dtype=bool)
-            new[1:] = (kk[1:] != kk[:-1]) | (ww[1:] != ww[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(kk)), 0))
-            mark = (ii != ii[lead]) | (ss != ss[lead])
-            held = tuple(x[lead[-1]] for x in (kk, ww, ii, ss))
-        else:
-            mark = np.zeros(0, dtype=bool)
-        out_id = np.concatenate((ii[mark], ids[span]))
-        out_start = np.concatenate((ss[mark], start[span]))
-        out_n = np.concatenate((np.ones(int(mark.sum()), np.int32), n[span]))
-        yield pa.RecordBatch.from_arrays([pa.array(out_id.astype(np.int64)), pa.array(out_start.astype(np.int32)), pa.array(out_n.astype(np.int32))], names=["id", "start", "n"])
+def _common(a: list[bytes], b: list[bytes]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def subtree(leaves: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
+    """leaves: ``id, start, lead, n, words`` of one group's suffixes.  ``id, start, 1`` for each of their windows that a leaf before has too.
+
+    The internal nodes come from a stack over the sorted suffixes, as intervals of leaves with their depth.  A node of depth r under one
+    of depth q settles the windows that begin window - r to window - q - 1 words before its leaves: inside the node they
+    agree from the suffix on, and the words before are compared.
+    """
+    rows = []
+    for key, start, lead, n, words in leaves:
+        w = words.split()
+        rows.append((w[lead:], w[:lead][::-1], key, start + lead, lead - n + 1))
+    rows.sort(key=lambda r: r[0])
+    depth = [_common(x[0], y[0]) for x, y in zip(rows, rows[1:], strict=False)]
+    stack = [(0, 0)]  # depth and first leaf of the open nodes
+    for i, d in enumerate([*depth, 0]):
+        begin = i
+        while stack and stack[-1][0] > d:
+            r, begin = stack.pop()
+            yield from _node(rows[begin : i + 1], max(0, window - r), window - max(d, stack[-1][0] if stack else 0) - 1, window)
+        if d and (not stack or stack[-1][0] < d):
+            stack.append((d, begin))
+
+
+def _node(rows: list[tuple], low: int, high: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """Marks of the windows that begin low to high words before the leaves of a node."""
+    most = max(len(r[1]) for r in rows)
+    for before in range(low, min(high, most) + 1):
+        first: dict[bytes, tuple[int, int]] = {}
+        owners = []
+        for r in rows:
+            if r[4] <= before <= len(r[1]):
+                mine = (r[2], r[3] - before)
+                key = b" ".join(r[1][:before])
+                owners.append((key, mine))
+                if (old := first.get(key)) is None or mine < old:
+                    first[key] = mine
+        if len(first) < len(owners):
+            for key, mine in owners:
+                if mine != first[key]:
+                    yield *mine, 1
+
+
+def _whole(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int]]:
+    """Marks of whole windows of one group, in the order of their places: each sequence's first stays."""
+    first: dict[bytes, tuple[int, int]] = {}
+    for key, start, _, _, words in rows:
+        if first.setdefault(b" ".join(words.split()), (key, start)) != (key, start):
+            yield key, start, 1
+
+
+def _trees(window: int) -> Callable:
+    """Task: suffixes in the order of their groups -> marked spans ``id, start, n``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
+        for (_, wide), group in groupby(rows(batches), key=lambda r: r[:2]):
+            if wide:
+                yield from _whole(leaf(group, found := []))
+            else:
+                leaves = list(leaf(group, found := []))
+                if len(leaves) > 1:
+                    yield from subtree(leaves, window)
+            yield from found
+
+    def leaf(group: Iterator[tuple], found: list) -> Iterator[tuple]:
+        for r in group:
+            if r[6] is None:
+                found.append((r[2], r[3], r[5]))
+            else:
+                yield r[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple[int, int, int]] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "start", "n"])
+        for x in marks(batches):
+            # windows of one leaf come one by one; most follow each other
+            if part and x[0] == part[-1][0] and x[1] == part[-1][1] + part[-1][2]:
+                part[-1] = (*part[-1][:2], part[-1][2] + x[2])
+                continue
+            if len(part) >= 50_000:
+                yield flush()
+                part.clear()
+            part.append(x)
+        yield flush()
+
+    return run
 
 
 def marked(docs: DataFrame, window: int = WINDOW, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,10 +328,10 @@ def marked(docs: DataFrame, window: int = WINDOW, group: int = GROUP, id_col: st
     anchors = kernels.cut(_repeated_anchors(docs, window, group, id_col, text_col))
     kernels.release(spark)
     known = _packed(docs, id_col, text_col).join(anchors, "id").select("id", "z", "anchors", "wide")
-    suffixes = known.mapInArrow(_suffixes(window), "k long, w long, id long, start int, n int")
+    suffixes = known.mapInArrow(_suffixes(window), _LEAF)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartition(parts, "k").sortWithinPartitions("k", "w", "id", "start")
-    spans = ordered.mapInArrow(_walk, "id long, start int, n int")
+    ordered = suffixes.repartition(parts, "k").sortWithinPartitions("k", "wide", "id", "start")
+    spans = ordered.mapInArrow(_trees(window), "id long, start int, n int")
     found = kernels.cut(spans.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
     kernels.release(spark)
     return found
