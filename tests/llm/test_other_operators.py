@@ -258,9 +258,70 @@ def test_rarest_token():
 def test_grammar():
     m = toxicity.Model({"widiot", "wtrash"}, {"plowei"})
     assert m.clauses("You idiot. Nice day! He said you idiot, trash.") == "Iri"
-    assert m.clauses("this is not an idiot") == "n" and m.clauses("I will kill you") == "t" and m.clauses("you I will kill") == "T"
-    assert m.clauses("clean text") == "" and m.clauses("loweige") == "w"
-    assert m.score(None) == m.score("") == pytest.approx(m.floor) and m.score("") < m.score("trash") < m.score("you trash. you idiot")
+    assert m.clauses("this is not an idiot") == "n" and m.clauses("I will kill you") == "T" and m.clauses("kill the process") == "t" and m.clauses("you I will kill") == "T"
+    assert m.clauses("the idiot over there, you") == "i" and m.clauses("what an idiot you are") == "I"
+    assert m.clauses("clean text") == "" and m.clauses("loweige") == "w" and m.clauses("loweige you are") == "W" and m.clauses("never a loweige") == "v" and m.clauses("she said loweige") == "s"
+    assert m.score(None) == m.score("") < toxicity.THRESHOLD and m.score("") < m.score("loweige") < m.score("trash") < m.score("you trash. you idiot")
+    assert m.score("I will not hurt you") < toxicity.THRESHOLD < m.score("I will hurt you")
+
+
+def read_by_hand(symbols, reach=3):
+    """A clause's strongest kind, by looking at each of its words alone."""
+    out = []
+    for clause in "".join(symbols).split(toxicity.END)[:-1]:
+        found = []
+        for i, x in enumerate(clause):
+            if x not in toxicity.SOUGHT:
+                continue
+            if toxicity.NEGATION in clause[max(0, i - reach) : i]:
+                found.append(toxicity.NEGATED[x])
+            elif toxicity.REPORT in clause[:i]:
+                found.append(toxicity.REPORTED[x])
+            else:
+                found.append(toxicity.AIMED[x] if toxicity.TARGET in clause else x)
+        if found:
+            out.append(max(found, key=list(toxicity.KINDS).index))
+    return "".join(out)
+
+
+def test_composition_against_each_word_alone():
+    r = random.Random(8)
+    g = toxicity.grammar()
+    words = (toxicity.OTHER, toxicity.INSULT, toxicity.WEAK, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.END)
+    for _ in range(4000):
+        symbols = [*r.choices(words, weights=(4, 2, 2, 2, 1, 1, 1, 2), k=r.randrange(25)), toxicity.END]
+        state, out = g.start, ""
+        for x in symbols:
+            state, written = g.arcs[state, x]
+            out += written
+        assert out == read_by_hand(symbols), symbols
+
+
+def test_learned_classes_and_ablation(spark, docs):
+    """Where labels follow who is meant and what is denied or quoted, the classes are learned, and without a transducer verdicts change."""
+    r = random.Random(6)
+    some = ["".join(r.choice("aeioumnrtlsd") for _ in range(6)) for _ in range(400)]
+    fill = lambda n: " ".join(r.choices(some, k=n))
+    frames = [("zork", 0), ("vusu zork", 1), ("zork vusu", 1), ("you zork", 1), ("keto zork", 0), ("not a zork", 0), ("said zork", 0), ("blarg", 1), ("not a blarg", 0), ("wrote blarg", 0), (f"vusu {fill(5)} keto", 0)]
+    rows, labels = [], []
+    for i in range(1100):
+        text, toxic = frames[i % len(frames)]
+        rows.append((i, f"{fill(6)}. {fill(3)} {text} {fill(3)}. {'vusu keto. ' * (not toxic)}{fill(9)}.", "en", "s", 1))
+        labels.append((i, toxic))
+    # plain uses beyond the frames make both families insults of some kind
+    for i in range(1100, 1700):
+        rows.append((i, f"{fill(4)} {r.choice(['blarg', 'zork'])} {fill(4)} {r.choice(['blarg', 'vusu zork'])}", "en", "s", 1))
+        labels.append((i, 1))
+    d, lab = docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(d, lab)
+    assert "vusu" in m.targets and "keto" in m.softeners and not {"vusu", "keto"} & toxicity.TARGETS
+    verdicts = lambda x: [x.score(t) >= toxicity.THRESHOLD for _, t, *_ in rows]
+    full, truth = verdicts(m), [bool(y) for _, y in labels]
+    wrong = lambda v: sum(a != b for a, b in zip(v, truth, strict=True))
+    assert wrong(full) < 0.07 * len(rows)
+    for part in toxicity.PARTS:
+        changed = verdicts(m.without(part))
+        assert sum(a != b for a, b in zip(changed, full, strict=True)) >= 50 and wrong(changed) > wrong(full), part
 
 
 @pytest.mark.parametrize("a, b", ["“”", "«»", "¿?", "¡!", "…—", "–…", "\u00a0\u00a0", "‘’"])
@@ -268,7 +329,7 @@ def test_grammar_beside_other_punctuation(a, b):
     m = toxicity.Model({"widiot", "pmoro"}, {"plowei"})
     for text, kinds in (("{}idiot{}", "i"), ("you {}morons{} there", "I"), ("{}loweige{}", "w"), ("I will {}kill{}", "t"), ("not {}idiot{}", "n"), ("{}nice{}", "")):
         assert m.clauses(text.format(a, b)) == kinds
-    assert {w for w, _ in toxicity._contexts(f"a {a}zork{b} b")} == {"wzork", "pzor"}
+    assert {w for w, _ in toxicity._uses(f"a {a}zork{b} b")} == {"zork"}
 
 
 def test_toxicity(spark, docs, words):

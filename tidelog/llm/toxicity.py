@@ -1,20 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report (of speech), clause end, other.  Small
-transducers, each reading symbols and writing symbols, are composed into one machine:
-negation turns an insult or threat in the next words into its negated kind, reported speech turns
-what follows in the clause into its reported kind, a target beside an insult or threat makes it aimed.
-The last transducer, the scorer, writes each clause's kind: its strongest symbol.  A text's score is
-that at least one matched clause is toxic, ``1 - product(1 - weight of kind)``; isolated words
-have no score of their own.
-
-The insult lexicon (whole words and word beginnings) and the weights are learned from about
-``SAMPLE`` labelled texts, chosen by a hash of the id.  A word family is counted by the different words
-that stand before it, so that copies of one text count once, and is taken if its share of toxic
-contexts is beyond chance.  Targets, negations, reports and threats are fixed word lists.
+Words become symbols: insult, possible insult, threat, target, negation, report (of speech), clause end, other.  Small
+transducers, each reading symbols and writing symbols, are composed into one machine: ``negation`` turns an insult, possible
+insult or threat in the next words into its negated kind, ``reported`` turns what follows a verb of reporting in the clause into its
+reported kind, ``aimed`` makes it aimed where a target stands before or behind it in the clause, and ``scorer`` writes, at the
+clause's end, its strongest kind.  So a text is read as the kinds of its matched clauses.
+
+The score is a logistic function of these kinds: which there are, how many, and among how many clauses.  Words have no score of their own.
+
+All of it is learned from about ``SAMPLE`` labelled texts, chosen by a hash of the id.  The insults (whole words and word
+beginnings) are families whose different uses, each a word with the one before it, stand in toxic texts beyond chance, so that copies of one text
+count once.  Targets and softeners (negations in effect) are added to the fixed lists where the labels show them: words beside an
+insult with which it is toxic more often, or less often, than without, beyond chance.  The weights are a ridge fit around
+``PRIOR``, so a kind that the labels do not show keeps the meaning it has by default.
 
 Defined cases: null and wordless texts have the score of a text without a match; without labels
-a small built-in lexicon and default weights serve; repeated rows are scored each; an
+a small built-in lexicon and the default weights serve; repeated rows are scored each; an
 empty table gives an empty result.
 """
 
@@ -22,10 +23,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,11 @@ SAMPLE = 12_000
 LEAST_CONTEXTS = 3
 PRECISION = 0.6
 CERTAIN = 0.97
-WEAK_STEPS = 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 KNOWN = 200_000
+#: Words on either side of an insult among which targets and softeners are looked for.
+BESIDE = 3
 
 TARGETS = frozenset("you your yourself he she they him her them du dich dir ihr euch sie tu te toi vous tú usted ustedes ti".split())
 NEGATIONS = frozenset("not never no nobody isn't aren't wasn't nicht kein keine nie pas jamais aucun nunca".split())
@@ -51,10 +53,20 @@ BUILT_IN = frozenset("idiot moron scum stupid worthless".split())
 OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, END = "oiwtyNR#"
 #: Symbols without which no clause matches.
 SOUGHT = frozenset((INSULT, WEAK, THREAT))
+#: What a plain kind becomes where it is negated, reported or aimed.
+NEGATED = {WEAK: "v", INSULT: "n", THREAT: "m"}
+REPORTED = {WEAK: "s", INSULT: "r", THREAT: "q"}
+AIMED = {WEAK: "W", INSULT: "I", THREAT: "T"}
 #: Kinds that the transducers write, from the weakest to the strongest.
-KINDS = {"w": "possible insult", "n": "negated", "r": "reported", "i": "insult", "t": "threat", "I": "aimed insult", "T": "aimed threat"}
-DEFAULT_WEIGHTS = {"n": 0.2, "r": 0.25, "i": 0.5, "t": 0.3, "I": 0.8, "T": 0.8}
-ALPHABET = (OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, END, "n", "r", "I", "T")
+KINDS = {
+    "v": "negated possible insult", "s": "reported possible insult", "m": "negated threat", "q": "reported threat", "t": "threat without a target", "w": "possible insult",
+    "W": "aimed possible insult", "n": "negated insult", "r": "reported insult", "i": "insult", "T": "aimed threat", "I": "aimed insult",
+}
+#: Default weight of a kind's presence, of each doubling of its number, of the number of clauses, and of nothing, in log odds.
+PRIOR = {"v": 0.0, "s": 0.0, "m": 0.0, "q": 0.3, "t": 0.5, "w": 1.0, "W": 1.6, "n": 1.0, "r": 1.2, "i": 3.5, "T": 4.0, "I": 4.5}
+MORE, CLAUSES, NOTHING = 0.5, 0.0, -3.5
+RIDGE = 0.5
+ALPHABET = (OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, END, *NEGATED.values(), *REPORTED.values(), *AIMED.values())
 
 
 @dataclass
@@ -88,15 +100,15 @@ class Transducer:
 
 
 def negation(reach: int = 3) -> Transducer:
-    """An insult or threat among the next words after a negation is negated."""
+    """An insult, possible insult or threat among the next words after a negation is negated."""
     t = Transducer()
     for left in range(reach + 1):
         t.arcs[left, NEGATION] = (reach, OTHER)
         t.arcs[left, END] = (0, END)
-        for s in (OTHER, WEAK, TARGET, REPORT):
+        for s in (OTHER, TARGET, REPORT):
             t.arcs[left, s] = (max(0, left - 1), s)
-        for s in (INSULT, THREAT):
-            t.arcs[left, s] = (max(0, left - 1), "n" if left else s)
+        for s, negated in NEGATED.items():
+            t.arcs[left, s] = (max(0, left - 1), negated if left else s)
     return t
 
 
@@ -106,48 +118,65 @@ def reported() -> Transducer:
     for state in (0, 1):
         t.arcs[state, REPORT] = (1, OTHER)
         t.arcs[state, END] = (0, END)
-    for s in (INSULT, THREAT):
-        t.arcs[1, s] = (1, "r")
+    for s, said in REPORTED.items():
+        t.arcs[1, s] = (1, said)
     return t
 
 
 def aimed() -> Transducer:
-    """A target earlier in the clause makes an insult or threat aimed."""
-    t = Transducer()
-    for state in (0, 1):
-        t.arcs[state, TARGET] = (1, OTHER)
-        t.arcs[state, END] = (0, END)
-    t.arcs[1, INSULT] = (1, "I")
-    t.arcs[1, THREAT] = (1, "T")
+    """A target anywhere in the clause makes its plain kinds aimed.
+
+    State: whether a target has come, and the plain kinds that wait for one; the end of the clause writes what still waits.
+    """
+    t = Transducer((False, ""))
+    plain = [k for k in KINDS if k in AIMED]
+    for chosen in range(1 << len(plain)):
+        waits = "".join(k for i, k in enumerate(plain) if chosen >> i & 1)
+        t.arcs[(False, waits), END] = ((False, ""), waits + END)
+        t.arcs[(False, waits), TARGET] = ((True, ""), "".join(AIMED[k] for k in waits))
+        for s in plain:
+            t.arcs[(False, waits), s] = ((False, "".join(k for k in plain if k in waits + s)), "")
+    for s, at_somebody in AIMED.items():
+        t.arcs[(True, ""), s] = ((True, ""), at_somebody)
+    t.arcs[(True, ""), END] = ((False, ""), END)
     return t
 
 
 def scorer() -> Transducer:
     """Writes, at a clause's end, its strongest kind; nothing else."""
     t = Transducer("")
-    order = list(KINDS)
-    for state in ["", *order]:
+    order = ["", *KINDS]
+    for state in order:
         for s in ALPHABET:
             if s in KINDS:
-                t.arcs[state, s] = (max(state, s, key=lambda x: order.index(x) if x else -1), "")
+                t.arcs[state, s] = (max(state, s, key=order.index), "")
             else:
                 t.arcs[state, s] = ("", state) if s == END else (state, "")
     return t
 
 
-def grammar() -> Transducer:
-    return negation().then(reported()).then(aimed()).then(scorer())
+#: The transducers before the scorer, by name.
+PARTS = {"negation": negation, "reported": reported, "aimed": aimed}
+
+
+def grammar(parts: Iterable[str] = tuple(PARTS)) -> Transducer:
+    """The named transducers and the scorer, composed."""
+    out = None
+    for name in parts:
+        out = PARTS[name]() if out is None else out.then(PARTS[name]())
+    return scorer() if out is None else out.then(scorer())
 
 
 _WORD = r"[^\W\d_]+(?:'[^\W\d_]+)?"
 _TOKEN = re.compile(_WORD + r"|[.!?;:,\n]")
 _WORD = re.compile(_WORD)
+_ENDS = ".!?;:,\n"
 
 
 class Words:
     """Whole words ``w...`` and word beginnings ``p...``."""
 
-    def __init__(self, features: frozenset[str]):
+    def __init__(self, features: Iterable[str]):
         self.whole = frozenset(f[1:] for f in features if f[0] == "w")
         self.stems = frozenset(f[1:] for f in features if f[0] == "p")
         self.sizes = sorted({len(s) for s in self.stems})
@@ -157,17 +186,25 @@ class Words:
 
 
 class Model:
-    """Lexicon, weights of clause kinds, and the score of a text without a matched clause.
-
-    ``weak_weights``: the weight of one, two, ... matches of possible insults together.
-    """
+    """Lexicon, word classes, composed grammar and the weights of its kinds."""
+
+    def __init__(self, insults: Iterable[str] = frozenset("w" + x for x in BUILT_IN), possible: Iterable[str] = (), targets: Iterable[str] = (), softeners: Iterable[str] = (), weights: np.ndarray | None = None, parts: Iterable[str] = tuple(PARTS)):
+        self.insults, self.possible = Words(tuple(insults)), Words(tuple(possible))
+        self.targets, self.softeners = TARGETS | set(targets), NEGATIONS | set(softeners)
+        self.weights = prior() if weights is None else weights
+        self.machine = self.start = None
+        self.compose(parts)
+        self._known: dict[str, str] = {}
 
-    def __init__(self, insults: set[str] = frozenset("w" + x for x in BUILT_IN), possible: set[str] = frozenset(), weights: dict[str, float] | None = None, weak_weights: tuple[float, ...] = (0.1, 0.2, 0.3), floor: float = 0.01):
-        self.insults, self.possible = Words(frozenset(insults)), Words(frozenset(possible))
-        self.weights, self.weak_weights, self.floor = dict(weights or DEFAULT_WEIGHTS), weak_weights, floor
-        g = grammar()
+    def compose(self, parts: Iterable[str]) -> None:
+        g = grammar(parts)
         self.machine, self.start = g.arcs, g.start
-        self._known: dict[str, str] = {}
+
+    def without(self, *names: str) -> Model:
+        """The same lexicon and weights with some transducers left out of the composition."""
+        out = Model(weights=self.weights, parts=[p for p in PARTS if p not in names])
+        out.insults, out.possible, out.targets, out.softeners = self.insults, self.possible, self.targets, self.softeners
+        return out
 
     def symbol(self, w: str) -> str:
         """A word's symbol; those of up to ``KNOWN`` words are kept."""
@@ -178,52 +215,104 @@ class Model:
         return found
 
     def _symbol(self, w: str) -> str:
+        for s, known in ((NEGATION, self.softeners), (TARGET, self.targets), (REPORT, REPORTS)):
+            if w in known:
+                return s
         if self.insults.has(w):
             return INSULT
         if self.possible.has(w):
             return WEAK
-        for s, known in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            if w in known:
-                return s
-        return OTHER
+        return THREAT if w in THREATS else OTHER
 
-    def clauses(self, text: str) -> str:
-        """The kinds of the text's matched clauses, in order."""
+    def read(self, text: str) -> tuple[str, int]:
+        """The kinds of the text's matched clauses, in order, and the number of its clauses."""
         tokens = _TOKEN.findall(text.lower() + "\n")
-        symbols = {x: END if x in ".!?;:,\n" else self.symbol(x) for x in set(tokens)}
+        symbols = {x: END if x in _ENDS else self.symbol(x) for x in set(tokens)}
+        size = sum(map(tokens.count, _ENDS))
         if SOUGHT.isdisjoint(symbols.values()):
-            return ""
+            return "", size
         state, out = self.start, []
         for x in tokens:
             state, written = self.machine[state, symbols[x]]
             if written:
                 out.append(written)
-        return "".join(out)
+        return "".join(out), size
+
+    def clauses(self, text: str) -> str:
+        return self.read(text)[0]
 
-    def weigh(self, kinds: str) -> float:
-        clean = 1.0 - self.floor
-        for kind in kinds:
-            if kind != WEAK:
-                clean *= 1.0 - self.weights[kind]
-        if n := kinds.count(WEAK):
-            clean *= 1.0 - self.weak_weights[min(n, len(self.weak_weights)) - 1]
-        return 1.0 - clean
+    def weigh(self, kinds: str, size: int) -> float:
+        return float(1 / (1 + math.exp(-features(kinds, size) @ self.weights)))
 
     def score(self, text: str | None) -> float:
-        return self.weigh(self.clauses(text or ""))
+        return self.weigh(*self.read(text or ""))
+
+
+def prior() -> np.ndarray:
+    return np.array([*PRIOR.values(), *[MORE] * len(PRIOR), CLAUSES, NOTHING])
+
+
+_COLUMN = {k: i for i, k in enumerate(PRIOR)}
+
 
+def features(kinds: str, size: int) -> np.ndarray:
+    """For each kind whether it is there and the logarithm of its number, then of the number of clauses where any kind is there, and 1."""
+    x = np.zeros(2 * len(PRIOR) + 2)
+    for k in set(kinds):
+        x[_COLUMN[k]] = 1
+        x[len(PRIOR) + _COLUMN[k]] = math.log2(kinds.count(k))
+    x[-2] = math.log2(max(1, size)) if kinds else 0
+    x[-1] = 1
+    return x
 
-def _contexts(text: str) -> set[tuple[str, str]]:
-    """Whole words ``w...`` and beginnings of longer words ``p...``, each with the word before it."""
+
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic weights of rows x with labels y, n times each, by Newton steps; RIDGE pulls them to the prior."""
+    start = prior()
+    w = start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - RIDGE * (w - start)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def _uses(text: str) -> set[tuple[str, str]]:
+    """Words of three letters or more, each with the word before it."""
     seq = _WORD.findall(text.lower())
+    return {(w, before) for before, w in zip(["", *seq], seq, strict=False) if len(w) > 2}
+
+
+def _beside(model: Model, text: str) -> set[tuple[str, str, str]]:
+    """side (``b`` before, ``a`` after), word and surroundings, for the words that stand beside a possible or certain insult in its clause."""
     out = set()
-    for before, w in set(zip(["", *seq], seq, strict=False)):
-        if len(w) > 2:
-            out.add(("w" + w, before))
-            out.update(("p" + w[:n], before) for n in PREFIXES if len(w) > n)
+    tokens = _TOKEN.findall(text.lower())
+    if not any(model.symbol(x) in (INSULT, WEAK) for x in set(tokens) if x not in _ENDS):
+        return out
+    for i, w in enumerate(tokens):
+        if w in _ENDS or model.symbol(w) not in (INSULT, WEAK):
+            continue
+        around = " ".join(tokens[max(0, i - BESIDE - 1) : i + BESIDE + 2])
+        for side, step in (("b", -1), ("a", 1)):
+            for j in range(i + step, i + (BESIDE + 1) * step, step):
+                if not 0 <= j < len(tokens) or tokens[j] in _ENDS:
+                    break
+                if model.symbol(tokens[j]) == OTHER:
+                    out.add((side, tokens[j], around))
     return out
 
 
+def _gain(k1: float, k0: float, base: float) -> float:
+    """Likelihood ratio statistic of k1 toxic and k0 clean uses against a share of ``base``."""
+    n = k1 + k0
+    return 2 * sum(k * math.log(k / (n * b)) for k, b in ((k1, base), (k0, 1 - base)) if k)
+
+
 def lexicon(toxic: dict[str, int], clean: dict[str, int], base: float) -> tuple[set[str], set[str]]:
     """Insults and possible insults, from context counts: features whose share of toxic contexts is
     beyond chance (likelihood ratio, corrected for the number of features) and at least ``CERTAIN``
@@ -233,8 +322,7 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], base: float) -> tuple[
     def chosen(f: str) -> bool:
         k1, k0 = toxic[f], clean.get(f, 0)
         n = k1 + k0
-        g = 2 * (k1 * math.log(k1 / (n * base)) + (k0 * math.log(k0 / (n * (1 - base))) if k0 else 0))
-        return k1 >= PRECISION * n and g >= bar
+        return k1 >= PRECISION * n and _gain(k1, k0, base) >= bar
 
     def family(picked: dict[str, int]) -> set[str]:
         # of beginnings with nearly the same contexts, the longest says what the words have in common
@@ -251,6 +339,19 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], base: float) -> tuple[
     return sure, rest
 
 
+def word_classes(counts: dict[tuple[str, str], tuple[int, int]]) -> tuple[set[str], set[str]]:
+    """Targets and softeners from ``(side, word) -> (toxic, clean)`` numbers of different surroundings of that word beside an insult: words whose share
+    of toxic ones is beyond chance (corrected for the number of words) above that of all, or, before the insult, half of it or less."""
+    all1, all0 = (sum(x[i] for x in counts.values()) for i in (0, 1))
+    if not all1 or not all0:
+        return set(), set()
+    base = all1 / (all1 + all0)
+    bar = 2 * math.log(len(counts) / 0.05)
+    sure = {k: x for k, x in counts.items() if sum(x) >= LEAST_CONTEXTS and _gain(*x, base) >= bar}
+    share = lambda x: x[0] / (x[0] + x[1])
+    return {w for (_, w), x in sure.items() if share(x) > base}, {w for (side, w), x in sure.items() if side == "b" and share(x) <= base / 2}
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
     spark = kernels.session(docs)
     known = labels.filter(~held_out(label_id)).filter(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
@@ -265,43 +366,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_clean:
         return Model()
 
-    def contexts(batches: Iterator[pa.RecordBatch], among: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
-        for b in kernels.slices(batches):
-            found: set[tuple[str, str]] = set()
-            for t in b.column(1).to_pylist():
-                found |= {x for x in _contexts(t) if among is None or x[0] in among}
-            pairs = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.string())], names=["f", "before"])
-
-    def counted(part: DataFrame, among=None) -> DataFrame:
-        seen = part.mapInArrow(lambda x: contexts(x, among and among.value), "f string, before string")
-        return seen.distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-
-    toxic = {r["f"]: r["n"] for r in counted(chosen.filter("toxic = 1")).filter(F.col("n") >= LEAST_CONTEXTS).collect()}  # of a bounded sample
-    shared = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["f"]: r["n"] for r in counted(chosen.filter("toxic = 0"), shared).collect()}
-    insults, possible = lexicon(toxic, clean, n_toxic / (n_toxic + n_clean))
+    def per_label(task, width: int) -> DataFrame:
+        """What the task finds in each text, once for each slice, label and thing: ``f1, f2, ..., toxic``."""
+        names = [f"f{i}" for i in range(width)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in kernels.slices(batches):
+                found = {(*x, label) for t, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for x in task(t)}
+                cols = [pa.array([x[i] for x in found], pa.string()) for i in range(width)] + [pa.array([x[width] for x in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "toxic"])
+
+        return chosen.mapInArrow(run, ", ".join(f"{x} string" for x in names) + ", toxic int").distinct()
+
+    # words first; beginnings are sums over the words that have them
+    words = per_label(_uses, 2).groupBy("f0").agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(f"n{x}") for x in (1, 0)])
+    starts = [F.when(F.length("f0") > k, F.concat(F.lit("p"), F.substring("f0", 1, k))) for k in PREFIXES]
+    seen = words.select(F.explode(F.array_compact(F.array(F.concat(F.lit("w"), F.col("f0")), *starts))).alias("f"), "n1", "n0")
+    seen = seen.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") >= LEAST_CONTEXTS).collect()  # of a bounded sample
+    insults, possible = lexicon({r["f"]: r["n1"] for r in seen}, {r["f"]: r["n0"] for r in seen}, n_toxic / (n_toxic + n_clean))
     model = Model(insults, possible)
     held = spark.sparkContext.broadcast(model)
+    sides = per_label(lambda t: _beside(held.value, t), 3).groupBy("f0", "f1").agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(f"n{x}") for x in (1, 0)])
+    sides = sides.filter(F.col("n1") + F.col("n0") >= LEAST_CONTEXTS).collect()
+    targets, softeners = word_classes({(r["f0"], r["f1"]): (r["n1"], r["n0"]) for r in sides})
+    model = Model(insults, possible, targets, softeners)
+    again = spark.sparkContext.broadcast(model)
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernels.slices(batches):
-            k = ["".join(sorted(held.value.clauses(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), b.column(2)], names=["k", "toxic"])
-
-    seen = chosen.mapInArrow(kinds, "k string, toxic int").groupBy("k", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    yes, all_ = Counter(), Counter()
-    for r in seen:
-        # possible insults are weighed by their number where nothing else matches, the other kinds wherever they are
-        n = r["k"].count(WEAK)
-        for kind in set(r["k"]) - {WEAK} or {min(n, WEAK_STEPS)}:
-            all_[kind] += r["n"]
-            yes[kind] += r["n"] * r["toxic"]
-    # the default weight counts as two texts
-    weights = {k: min(0.99, (yes[k] + 2 * w) / (all_[k] + 2)) for k, w in DEFAULT_WEIGHTS.items()}
-    steps = [(yes[i] + 0.2 * i) / (all_[i] + 2) for i in range(1, WEAK_STEPS + 1)]
-    floor = min(0.2, (yes[0] + 0.02) / (all_[0] + 2))
-    return Model(insults, possible, weights, tuple(min(0.99, max(steps[: i + 1])) for i in range(WEAK_STEPS)), floor)
+            got = [again.value.read(t) for t in b.column(1).to_pylist()]
+            k = ["".join(sorted(x)) for x, _ in got]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([s for _, s in got], pa.int64()), b.column(2)], names=["k", "size", "toxic"])
+
+    got = chosen.mapInArrow(kinds, "k string, size long, toxic int").groupBy("k", "size", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "size", "toxic").collect()
+    x = np.stack([features(r["k"], r["size"]) for r in got])
+    model.weights = fit(x, np.array([r["toxic"] for r in got], float), np.array([r["n"] for r in got], float))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,8 +413,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in kernels.slices(batches):
-            kinds = [m.clauses(x or "") for x in b.column(1).to_pylist()]
-            value = [m.weigh(k) for k in kinds]
+            got = [m.read(x or "") for x in b.column(1).to_pylist()]
+            value, kinds = [m.weigh(*x) for x in got], [k for k, _ in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(value, pa.float64()), pa.array(kinds, pa.string())], names=["id", "held_out", "score", "clauses"])
 
     return src.mapInArrow(run, "id long, held_out boolean, score double, clauses string")
