@@ -151,8 +151,9 @@ def test_tokens(docs):
         assert got[i]["upto"] == [count(t[:k]) for k in range(len(t) + 1)]
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["at3"]) == (len(t.encode()), count(t), count(t[:3]))
         assert got[i]["fit"] == max(k for k in range(len(t) + 1) if count(t[:k]) <= 2)
-    plain = {x["id"]: x["n_tokens"] for x in tokencount.counts(docs(texts), path).collect()}
-    assert plain == {i: x["n_tokens"] for i, x in got.items()}
+    for budget in (0, 1, 2, 5, 9):
+        plain = {x["id"]: (x["n_tokens"], x["fit_chars"]) for x in tokencount.counts(docs(texts), path, budget=budget).collect()}
+        assert plain == {i: (x["n_tokens"], max(k for k, n in enumerate(x["upto"]) if n <= budget)) for i, x in got.items()}
 
 
 def test_subtree_against_all_pairs():

@@ -55,27 +55,37 @@ def words(texts: list[bytes]) -> tuple[kernels.Words, np.ndarray]:
     return w, w.hashes()
 
 
+def _row(h: np.ndarray, hit: np.ndarray, ramp: np.ndarray, edge: int, least: int | None) -> np.ndarray:
+    """The next row of an alignment table; scores below ``least`` start anew."""
+    row = np.empty_like(h)
+    row[0] = edge
+    np.maximum(h[:-1] + np.where(hit, MATCH, MISMATCH), h[1:] + GAP, out=row[1:])
+    if least is not None:
+        np.maximum(row, least, out=row)
+    return np.maximum.accumulate(row + ramp) - ramp
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of two word sequences: score, and the text span [start, end)."""
-    m = len(text)
-    ramp = np.arange(m + 1) * -GAP
-    h = np.zeros((len(item) + 1, m + 1), dtype=np.int64)
+    """Best local alignment of two word sequences: score, and the text span [start, end).
+
+    Two passes of a row each, so memory is that of the text span alone: one finds where the best alignment ends, one runs back from there.
+    """
+    ramp = np.arange(len(text) + 1) * -GAP
+    h = np.zeros(len(text) + 1, dtype=np.int64)
+    best, last, end = 0, 0, 0
     for i, x in enumerate(item):
-        step = np.where(text == x, MATCH, MISMATCH)
-        row = np.zeros(m + 1, dtype=np.int64)
-        np.maximum(h[i, :-1] + step, h[i, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        h[i + 1] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = divmod(int(h.argmax()), m + 1)
-    best, end = int(h[i, j]), j
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if item[i - 1] == text[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
+        h = _row(h, text == x, ramp, 0, 0)
+        if (top := int(h.max())) > best:
+            best, last, end = top, i + 1, int(h.argmax())
+    if not best:
+        return 0, 0, 0
+    back, ramp = text[:end][::-1], ramp[: end + 1]
+    h = -ramp
+    for i, x in enumerate(item[:last][::-1]):
+        h = _row(h, back == x, ramp, (i + 1) * GAP, None)
+        if int(h.max()) == best:
+            return best, end - int(h.argmax()), end
+    raise AssertionError("an alignment read backwards has the same score")
 
 
 class Block:

@@ -48,8 +48,8 @@ TOKEN_LIMIT = 512
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = tokencount.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    found = tokencount.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=TOKEN_LIMIT)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ count, without encoding any prefix again.  Pieces are the pre-tokenizer's; a doc
 counts are running sums over its pieces, corrected where a prefix ends inside white space
 or a contraction, whose pieces depend on what follows.
 
-``counts`` gives totals; with ``store=True`` also the count at every prefix (one
+``counts`` gives totals; with a ``budget`` also the longest prefix that fits it, from the sums over pieces and the prefixes
+around the one where the budget ends; with ``store=True`` the count at every prefix (one
 entry for each code point, the first for the empty prefix), from which
 ``tokens_at`` and ``fits`` answer truncation and budget questions in plain SQL.
 
@@ -18,8 +19,10 @@ rows are counted each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -56,9 +59,9 @@ def pieces(text: str) -> list[str]:
 class Counter(dict):
     """piece -> token count, filled by the prefix programme; use ``prefixes`` for all of a piece's counts."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         super().__init__()
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = json.loads(file)
         letters = byte_letters()
         real = lambda s: bytes(letters[c] for c in s)
         added = [t["content"] for t in spec["added_tokens"]]
@@ -147,6 +150,31 @@ class Counter(dict):
         self.learn({q for x in found for q in x if q not in self})
         return [len(x) - 1 + sum(map(self.__getitem__, y)) for x, y in zip(parts, found, strict=True)]
 
+    def fit(self, text: str, budget: int) -> int:
+        """The most leading code points whose encoding has no more than ``budget`` tokens.
+
+        Running sums over whole pieces find the piece in which the budget ends; only the prefixes around it are looked at one by one.
+        """
+        if self.special and self.special.search(text):
+            return max(k for k, n in enumerate(self.every_prefix(text)) if n <= budget)
+        found = pieces(text)
+        self.learn({q for q in found if q not in self})
+        total, at = [0], [0]
+        for q in found:
+            total.append(total[-1] + self[q])
+            at.append(at[-1] + len(q))
+        if total[-1] <= budget:
+            return len(text)
+        over = bisect_right(total, budget)  # the first piece boundary beyond the budget
+        low = over - 1
+        while low and _SPACE.match(text[at[low] - 1]):  # a prefix that ends in white space is cut from the run's begin
+            low -= 1
+        high = over
+        while high < len(found) and (total[high] <= budget + 2 or _SPACE.match(text[at[high] - 1])):
+            high += 1
+        some = self.every_prefix(text[at[low] : at[high]])
+        return max(at[low] + k for k, n in enumerate(some) if total[low] + n <= budget)
+
     def segments(self, text: str) -> list[str]:
         return self.special.split(text) if self.special else [text]
 
@@ -190,34 +218,42 @@ class Counter(dict):
         return base, tail, tail_base
 
 
-_COUNTERS: dict[str, Counter] = {}
+_COUNTERS: dict[bytes, Counter] = {}
 
 
-def counter(path: str) -> Counter:
-    """The worker's counter for a tokenizer file; its memory of pieces serves all its tasks."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+def counter(file: bytes) -> Counter:
+    """The worker's counter for a tokenizer file's bytes; its memory of pieces serves all its tasks."""
+    key = hashlib.sha256(file).digest()
+    if key not in _COUNTERS:
+        _COUNTERS[key] = Counter(file)
+    return _COUNTERS[key]
 
 
-def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
-    """``id, n_bytes, n_tokens`` for each row, and ``upto`` (array<int>) with ``store``."""
-    kernels.session(docs)
+def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", store: bool = False, budget: int | None = None) -> DataFrame:
+    """``id, n_bytes, n_tokens`` for each row; ``upto`` (array<int>) with ``store``, and with ``budget`` ``fit_chars``: the most leading code
+    points whose encoding has no more tokens than that.  The file is read here and sent to the workers."""
+    spark = kernels.session(docs)
+    with open(path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = ["id", "n_bytes", "n_tokens", *["upto"] * store, *["fit_chars"] * (budget is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = None
         for b in kernels.slices(batches):
+            c = c or counter(shared.value)
             texts = [x or "" for x in b.column(1).to_pylist()]
             cols = [b.column(0), pa.array(kernels.text_sizes(b.column(1)))]
+            upto = [c.every_prefix(x) for x in texts] if store else []
+            total = [x[-1] for x in upto] if store else c.totals(texts)
+            cols.append(pa.array(total, pa.int64()))
             if store:
-                upto = [c.every_prefix(x) for x in texts]
-                cols += [pa.array([x[-1] for x in upto], pa.int64()), pa.array(upto, pa.list_(pa.int32()))]
-            else:
-                cols.append(pa.array(c.totals(texts), pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_bytes", "n_tokens", "upto"][: len(cols)])
+                cols.append(pa.array(upto, pa.list_(pa.int32())))
+            if budget is not None:
+                cols.append(pa.array([len(x) if n <= budget else c.fit(x, budget) for x, n in zip(texts, total, strict=True)], pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.mapInArrow(run, "id long, n_bytes long, n_tokens long" + ", upto array<int>" * store)
+    return src.mapInArrow(run, "id long, n_bytes long, n_tokens long" + ", upto array<int>" * store + ", fit_chars long" * (budget is not None))
 
 
 def tokens_at(upto: Column, n_chars: Column) -> Column:
