@@ -13,10 +13,12 @@ links reach.  64 bits cannot tell a similarity of 0.8 from a far lower one, so t
    ones.  These links, at most two a text, are counted out on the texts' shingles, and join most of each class.
 4. *Second round.*  In the keys that still hold texts of different classes, every pair across classes is compared; those within
    the complete distance are counted out as well.  A key's largest class is never compared with itself, so a group of copies
-   costs as many comparisons as it has members, times the few of other classes in the key.  Crowded keys are dealt into blocks.
+   costs as many comparisons as it has members, times the few of other classes in the key.  A crowded key's texts bring their
+   shingles along, in blocks, and its pairs are counted where they meet: what leaves the task is a forest of counted links.
+   At last each text is held against the one with the most links beside its partner: copies of one text that miss it meet each other.
 
 No link is taken on fingerprints alone, none is dropped but one that a counted path implies, and no key, group or candidate list has a cap.
-What the fingerprints can miss is a pair that meets in no segment: 3 % of the pairs at just 0.8 by the model in
+What the fingerprints can miss is a pair that meets in no segment: 1 % of the pairs at just 0.8 by the model in
 ``layout``, next to none at 0.85.
 
 Defined cases: null and wordless texts are one class; a text with fewer words than a shingle is one shingle; rows that
@@ -44,14 +46,15 @@ from tidelog.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Share of the pairs at just the wanted similarity that must meet in some segment.
-RECALL = 0.97
+RECALL = 0.99
 #: Deviations beyond the mean distance at that similarity up to which a pair is counted out.
 DEVIATIONS = 3.0
 #: Words of 64 bits at least, so that the complete distance tells the similarity well.
 LEAST_LANES = 6
 #: Entries of a key that the first round compares with each other; a larger key goes through the second round whole.
 CHUNK = 1024
-#: Entries of a side of one comparison of the second round.
+#: Entries of a key beyond which the second round counts pairs where they meet; entries of a side of one such comparison.
+CROWD = 8
 BLOCK = 2048
 #: Entries of one key that one task of the first round takes, and the share of texts by which such keys are found.
 HOT_KEY = 50_000
@@ -305,51 +308,96 @@ def first_round(texts: DataFrame, lay: Layout) -> DataFrame:
 
 
 def _compare(lay: Layout) -> object:
-    """Task of the second round: the rows of cells ``key, i, j`` in order, with ``side`` 0 or 1 (compared with each other) or 2 (with all of
-    the cell) -> ``a, b``, names across classes that are within reach on 128 bits."""
-
-    def cell(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        two = c[:, 7:9].copy().view(U64)
-        left = np.flatnonzero(c[:, 3] != 1)
-        right = np.flatnonzero(c[:, 3] != 0)
-        for p in left:
-            q = right[right > p] if c[p, 3] == 2 else right
-            q = q[(c[q, 6] != c[p, 6]) & ((c[p, 0] & c[p, 4] & c[q, 4]) == 0)]
-            q = q[np.bitwise_count(two[q] ^ two[p]).sum(axis=1) <= lay.far_two]
-            if len(q):
-                yield np.minimum(c[q, 5], c[p, 5]), np.maximum(c[q, 5], c[p, 5])
+    """Task of the second round: the rows of small cells ``key, i, j`` in order -> ``a, b``, names across classes that are within reach on 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_keys(batches, 3, HELD):
-            order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))
-            rows = rows[order]
-            edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            got = [x for lo, hi in zip([0, *edge], [*edge, len(rows)], strict=True) if hi - lo > 1 for x in cell(rows[lo:hi])]
+            got = [(c[p, 5], c[q, 5]) for lo, hi in _cells(rows) for c in [rows[lo:hi]] for p, q in _meetings(c, lay)]
             if got:
-                pairs = np.unique(np.stack((np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])), axis=1), axis=0)
+                pairs = np.concatenate([np.stack((np.minimum(p, q), np.maximum(p, q)), axis=1) for p, q in got])
+                pairs = np.unique(pairs, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return run
 
 
-def second_round(texts: DataFrame, lay: Layout) -> DataFrame:
-    """texts: ``name, label, w0, ..., doubts``.  ``a, b``: all pairs of texts of different labels that meet in a key and are within reach.
+def _cells(rows: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the cells of rows that are in order of ``key, i, j``."""
+    edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+    return [(lo, hi) for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(rows)], strict=True) if hi - lo > 1]
+
+
+def _meetings(c: np.ndarray, lay: Layout, root: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """c: one cell's ``key, i, j, side, mask, name, label, w0, w1``; side 0 is compared with side 1, and side 2 with all of the cell.
+    A row and the rows across classes within its reach; root, where given, has the rows' classes as they are by then."""
+    two = c[:, 7:9].copy().view(U64)
+    label = c[:, 6] if root is None else root
+    right = np.flatnonzero(c[:, 3] != 0)
+    for p in np.flatnonzero(c[:, 3] != 1):
+        q = right[right > p] if c[p, 3] == 2 else right
+        q = q[(label[q] != label[p]) & ((c[p, 0] & c[p, 4] & c[q, 4]) == 0)]
+        q = q[np.bitwise_count(two[q] ^ two[p]).sum(axis=1) <= lay.far_two]
+        if len(q):
+            yield p, q
+
+
+def _settle(lay: Layout, similarity: float) -> object:
+    """Task of the second round: the rows of crowded cells in order, with their shingles -> ``a, b``, counted links that connect what is alike in each."""
+
+    def settled(c: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        place = np.concatenate(([0], np.cumsum(size)))
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(number) + 1, dtype=np.int64)
+        _, root = np.unique(c[:, 6], return_inverse=True)
+        for p, met in _meetings(c, lay, root):
+            mine[own := number[place[p] : place[p + 1]]] = 1
+            for q in met.tolist():
+                if root[q] == root[p]:
+                    continue
+                shared = mine[number[place[q] : place[q + 1]]].sum()
+                if shared >= similarity * (size[p] + size[q] - shared):
+                    yield int(c[p, 5]), int(c[q, 5])
+                    root[root == root[q]] = root[p]
+            mine[own] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sets = np.zeros((0, 9), dtype=np.int64), []
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                rows = np.concatenate((rows, np.stack([x.to_numpy() for x in b.columns[:9]], axis=1)))
+                values, at = b.column(9).flatten().to_numpy(), b.column(9).offsets.to_numpy()
+                sets += [values[i - at[0] : j - at[0]] for i, j in zip(at, at[1:], strict=False)]
+            # the last cell may go on in the next batch
+            last = 0 if not len(rows) else len(rows) if b is None else int(np.append(np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1)), -1).max()) + 1 if (rows[0, :3] != rows[-1, :3]).any() else 0
+            done, rows = rows[:last], rows[last:]
+            got = [x for lo, hi in _cells(done) for x in settled(done[lo:hi], sets[lo:hi])] if last else []
+            sets = sets[last:]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def second_round(texts: DataFrame, sets: DataFrame, lay: Layout, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """texts: ``name, label, w0, ..., doubts``.  Two tables of ``a, b``: pairs of texts of different labels that meet in a small key and are within reach,
+    and counted links from the crowded keys, enough to connect all that are alike there.
 
     In each key the largest label's entries are dealt into blocks that meet the blocks of the others, and those meet
     each other; the largest label's blocks do not meet.  Blocks of one key have about BLOCK entries.
     """
     spark = kernels.session(texts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = None
+    pairs = links = None
     for low in range(0, lay.segments, AT_ONCE):
         entries = _entries(texts, lay, low, min(low + AT_ONCE, lay.segments), label=True)
         sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        mixed = mixed.select("key", F.col("m.label").alias("bulk"), blocks(F.col("m.n")).alias("kb"), blocks(F.col("n") - F.col("m.n")).alias("ko"))
+        mixed = mixed.select("key", (F.col("n") > CROWD).alias("crowd"), F.col("m.label").alias("bulk"), blocks(F.col("m.n")).alias("kb"), blocks(F.col("n") - F.col("m.n")).alias("ko"))
         inside = entries.join(mixed, "key").withColumn("of_bulk", F.col("label") == F.col("bulk"))
         own = F.pmod(F.xxhash64("name"), F.when(F.col("of_bulk"), F.col("kb")).otherwise(F.col("ko"))).cast("int")
-        inside = inside.withColumn("own", own)
+        inside = kernels.cut(inside.withColumn("own", own))
         cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
         # cells: (block of the others, block of the bulk) and, below zero, (block of the others, later block of the others)
         met = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: cell(o, F.col("own"), F.lit(1)))
@@ -357,12 +405,16 @@ def second_round(texts: DataFrame, lay: Layout) -> DataFrame:
             F.transform(F.sequence(F.lit(0), F.col("kb") - 1), lambda k: cell(F.col("own"), k, F.lit(0))),
             F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda k: cell(F.least(k, F.col("own")), -1 - F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1))),
         )
-        cells = inside.select("key", F.inline(F.when(F.col("of_bulk"), met).otherwise(other)), "mask", "name", "label", "w0", "w1")
-        dealt = cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        part = kernels.cut(dealt.select(*[F.col(c).cast("long") for c in ("key", "i", "j", "side", "mask", "name", "label", "w0", "w1")]).mapInArrow(_compare(lay), "a long, b long").distinct())
+        dealt = inside.select("key", "crowd", F.inline(F.when(F.col("of_bulk"), met).otherwise(other)), "mask", "name", "label", "w0", "w1")
+        columns = [F.col(c).cast("long") for c in ("key", "i", "j", "side", "mask", "name", "label", "w0", "w1")]
+        few = dealt.filter(~F.col("crowd")).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns)
+        part = kernels.cut(few.mapInArrow(_compare(lay), "a long, b long").distinct())
+        many = dealt.filter("crowd").join(sets, "name").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns, "shingles")
+        counted = kernels.cut(many.mapInArrow(_settle(lay, similarity), "a long, b long"))
         kernels.release(spark)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+        pairs = part if pairs is None else pairs.unionByName(part)
+        links = counted if links is None else links.unionByName(counted)
+    return pairs.distinct(), links
 
 
 def _named(docs: DataFrame, shingle: int, text_col: str, name_as: str) -> DataFrame:
@@ -401,23 +453,41 @@ def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _met(first: DataFrame) -> DataFrame:
+    """``name, other`` for the partners that the first round found."""
+    return first.select("name", F.explode(F.array_compact(F.array("partner", "first"))).alias("other"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).filter("a <> b").distinct()
+
+
+def _beside_partners(first: DataFrame, sure: DataFrame) -> DataFrame:
+    """``a, b``: each text with the neighbour, by counted links, that has the most of them among those of its partner."""
+    both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    most = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    hub = both.join(most.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("m"))
+    return _pairs(_met(first).join(hub.select(F.col("a").alias("other"), F.col("m.b").alias("hub")), "other").select("name", F.col("hub").alias("other")))
+
+
 def links(texts: DataFrame, docs: DataFrame, lay: Layout, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """texts: a row for each name; docs: ``id, text``.  ``a, b``: counted links that connect every class."""
     full = texts.filter("size > 0")
     first = first_round(full, lay)
     wanted = full.join(first.select("name"), "name", "left_semi").select("name", F.col("lead.no_id").alias("no_id"), F.coalesce("lead.id", F.lit(0)).alias("id"))
     sets = kernels.cut(_shingles(wanted, docs, shingle))
-    either = F.explode(F.array_compact(F.array("partner", "first"))).alias("other")
-    tried = first.select("name", either).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-    tried = kernels.cut(tried)
+    tried = kernels.cut(_pairs(_met(first)))
     sure = kernels.cut(_counted(tried, sets, similarity))
     label = components(sure)
     labelled = full.join(first.select("name"), "name", "left_semi").join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("root", "name"))
-    met = second_round(kernels.cut(labelled.select("name", "label", *_lane_names(lay), "doubts")), lay).join(tried, ["a", "b"], "left_anti")
+    met, crowd = second_round(kernels.cut(labelled.select("name", "label", *_lane_names(lay), "doubts")), sets, lay, similarity)
+    met = met.join(tried, ["a", "b"], "left_anti")
     whole = lambda side: full.select(F.col("name").alias(side), F.array(*_lane_names(lay)).alias(f"{side}_w"))
     apart = F.aggregate(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = met.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= lay.far).select("a", "b")
-    return sure.unionByName(kernels.cut(_counted(near, sets, similarity)))
+    found = sure.unionByName(crowd).unionByName(kernels.cut(_counted(near, sets, similarity))).distinct()
+    hubs = _beside_partners(first, found).join(tried, ["a", "b"], "left_anti").join(found, ["a", "b"], "left_anti")
+    return found.unionByName(kernels.cut(_counted(hubs, sets, similarity)))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
