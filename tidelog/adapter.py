@@ -65,7 +65,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as evidence sources; two blank-line paragraphs per line."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("paste").alias("kind"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string")), F.concat(F.lit("c"), F.col("turn").cast("string")))
     cites = F.concat(F.lit("- "), F.coalesce("text", F.lit("")), F.lit(" [[chunk: c"), (F.col("conv_id") % 7).cast("string"), F.lit("]]\n- plain\n* [[chunk:c"), F.col("turn").cast("string"), F.lit("]] [[chunk:]]"))
     out = c.select(
-        i.alias("id"), F.concat(F.lit("2026-Q"), (F.col("conv_id") % 4 + 1).cast("string")).alias("quarter_label"), F.when(F.col("role") == "user", "action_plan").otherwise("exec_summary").alias("section_type"),
+        i.alias("id"), F.concat(F.lit("2026-Q"), (F.col("conv_id") % 4 + 1).cast("string")).alias("quarter_label"), F.when(F.col("role") == "user", "action_plan_next_quarter").otherwise("exec_summary").alias("section_type"),
         cites.alias("draft_text"), F.when(F.col("conv_id") % 11 != 0, ids).otherwise(F.array().cast("array<string>")).alias("citation_chunk_ids"), F.lit("model").alias("model_name"), F.lit("p").alias("model_params_hash"), F.lit("v1").alias("prompt_template_version"),
         F.format_string("2026-02-%02dT00:00:00Z", F.col("turn") % 28 + 1).alias("created_at"), F.sha2(i.cast("string"), 256).alias("artifact_hash"), parent.alias("parent_draft_id"), F.lit(1).alias("revision_number"),
         F.lit(None).cast("string").alias("revision_notes"), F.lit(None).cast("string").alias("branch_label"),

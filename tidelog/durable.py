@@ -8,10 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.errors import TidelogError
+
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a local default only where the session names none."""
+    """The shared folder; a temporary one where a local session names none, an error where a cluster does not."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise TidelogError("SHARED_FOLDER_MISSING", "A cluster needs a folder that all executors share in spark.checkpoint.dir")
     return (found or os.path.join(tempfile.gettempdir(), "tidelog-checkpoints")).rstrip("/")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from tidelog.functions import times
 TOP = 8
 
 
+def bucket_members(incidents: DataFrame, bucket: Column) -> DataFrame:
+    """``key, id``: the members of buckets as rows, for tables whose buckets are too large for one array each."""
+    return incidents.select(bucket.alias("key"), "id")
+
+
 def _ids() -> Column:
     return F.array_sort(F.collect_list("id")).alias("incident_ids")
 
@@ -107,10 +114,13 @@ def reconciles(buckets: DataFrame, incidents: DataFrame) -> DataFrame:
     return out.withColumn("ok", (F.col("count_sum") == F.col("total")) & (F.col("n_ids") == F.col("total")) & (F.col("distinct_ids") == F.col("total")))
 
 
-def data_hash(incidents: DataFrame, parts: int = 1024) -> DataFrame:
-    """SHA-256 over the ids in canonical order: ids are joined in hashed ranges, the ranges' hashes in turn."""
-    one = incidents.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("r").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ""), 256).alias("h"))
-    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), ""), 256).alias("data_hash"), F.count(F.lit(1)).alias("ranges"))
+def data_hash(incidents: DataFrame) -> DataFrame:
+    """SHA-256 of the ids, one after the other in canonical order.  Such a hash has no parallel form: the sorted ids stream
+    through the driver, a partition at a time."""
+    digest = hashlib.sha256()
+    for r in incidents.orderBy(*inc.canonical_order()).select(F.col("id").cast("string").alias("id")).toLocalIterator():
+        digest.update(r["id"].encode())
+    return incidents.sparkSession.createDataFrame([(digest.hexdigest(),)], "data_hash string")
 
 
 def summaries(incidents: DataFrame, version: int = 2) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.errors import TidelogError
+from tidelog.operators import tables
 
 #: The kinds of sections.
-SECTIONS = ("exec_summary", "incident_highlights", "theme_analysis", "action_plan", "quarter_narrative")
+SECTIONS = ("exec_summary", "incident_highlights_top_n", "theme_analysis", "action_plan_next_quarter", "quarter_narrative_recap")
+#: The fields that identify a draft, in the order in which they are hashed.
+HASHED = ("quarter_label", "section_type", "draft_text", "citation_chunk_ids", "model_name", "model_params_hash", "prompt_template_version", "created_at")
 
 
 def section(c: Column) -> Column:
@@ -16,14 +20,42 @@ def section(c: Column) -> Column:
     return F.when(c.isin(*SECTIONS), c)
 
 
+def fault() -> Column:
+    """Why a new draft cannot be stored: ``code, message`` of its first failing check, null for a sound one."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    error = lambda code, message: F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
+    return (
+        F.when(F.coalesce(F.size("citation_chunk_ids"), F.lit(0)) <= 0, error("AI_CITATION_REQUIRED", "A draft needs a citation"))
+        .when(blank("quarter_label"), error("DB_AI_DRAFT_INVALID", "quarter_label is missing"))
+        .when(blank("draft_text"), error("DB_AI_DRAFT_INVALID", "draft_text is missing"))
+        .when(blank("model_name") | blank("model_params_hash") | blank("prompt_template_version"), error("DB_AI_DRAFT_INVALID", "Model metadata is missing"))
+        .when(section(F.col("section_type")).isNull(), error("DB_AI_DRAFT_INVALID", "section_type is unknown"))
+    )
+
+
 def valid(drafts: DataFrame) -> DataFrame:
-    filled = lambda c: F.trim(c) != ""
-    return drafts.filter((F.size("citation_chunk_ids") > 0) & filled("quarter_label") & filled("draft_text") & filled("model_name"))
+    return drafts.filter(fault().isNull())
 
 
 def artifact_hash() -> Column:
-    fields = ("quarter_label", "section_type", "draft_text", "citation_chunk_ids", "model_name", "model_params_hash", "prompt_template_version")
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+    return F.sha2(F.to_json(F.struct(*HASHED)), 256)
+
+
+def create(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """The table with new drafts: checked, hashed, numbered in their chains, with ids from the largest on in the order of ``created_at`` and hash."""
+    wrong = new.select(fault().alias("e")).filter("e is not null").limit(1).collect()
+    if wrong:
+        raise TidelogError(wrong[0]["e"]["code"], wrong[0]["e"]["message"])
+    rows = with_revisions(new.withColumn("artifact_hash", artifact_hash()).drop("id"), existing)
+    return existing.unionByName(tables.next_ids(rows, existing, [F.col("created_at"), F.col("artifact_hash")]).select(*existing.columns))
+
+
+def get(drafts: DataFrame, draft_id: int) -> DataFrame:
+    """One draft; an unknown id is an error."""
+    found = drafts.filter(F.col("id") == draft_id)
+    if found.isEmpty():
+        raise TidelogError("DB_NOT_FOUND", "There is no such draft", f"id={draft_id}")
+    return found
 
 
 def listed(drafts: DataFrame, quarter: str | None = None) -> DataFrame:
@@ -32,15 +64,20 @@ def listed(drafts: DataFrame, quarter: str | None = None) -> DataFrame:
 
 
 def lineage(drafts: DataFrame) -> DataFrame:
-    """``id, root_id, depth`` (0 at the root) of every draft whose chain of parents is whole, by recursive SQL."""
-    drafts.select("id", "parent_draft_id").createOrReplaceTempView("tidelog_draft_tree")
-    return drafts.sparkSession.sql("""
-        WITH RECURSIVE tree(id, root_id, depth) AS (
-          SELECT id, id, 0 FROM tidelog_draft_tree WHERE parent_draft_id IS NULL
-          UNION ALL
-          SELECT d.id, t.root_id, t.depth + 1 FROM tree t JOIN tidelog_draft_tree d ON d.parent_draft_id = t.id
-        ) SELECT id, root_id, depth FROM tree
-    """)
+    """``id, root_id, depth`` (0 at the root) of every draft whose chain of parents is whole.
+
+    By pointer jumping: each round doubles the reach of every draft, so a chain of a million takes twenty; drafts in a ring or
+    without a known root never arrive and are left out.
+    """
+    state = durable.written(drafts.select("id", F.coalesce("parent_draft_id", "id").alias("up"), F.when(F.col("parent_draft_id").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent_draft_id").isNull().alias("done")))
+    # a chain has fewer steps than there are drafts
+    for _ in range(state.count().bit_length()):
+        if state.filter("not done").isEmpty():
+            break
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
+        moved = state.filter("not done").join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"))
+        state = durable.written(state.filter("done").unionByName(moved))
+    return state.filter("done").select("id", F.col("up").alias("root_id"), F.col("steps").cast("int").alias("depth"))
 
 
 def siblings(drafts: DataFrame) -> DataFrame:
@@ -57,7 +94,7 @@ def with_revisions(new: DataFrame, existing: DataFrame) -> DataFrame:
     parents = existing.select(F.col("id").alias("parent_draft_id"), F.col("revision_number").alias("__rev"))
     out = new.drop("revision_number").join(parents, "parent_draft_id", "left")
     if not out.filter("parent_draft_id is not null and __rev is null").isEmpty():
-        raise TidelogError("AI_DRAFT_PARENT_NOT_FOUND", "A parent draft does not exist")
+        raise TidelogError("DB_NOT_FOUND", "A parent draft does not exist")
     return out.withColumn("revision_number", (F.coalesce("__rev", F.lit(0)) + 1).cast("int")).drop("__rev")
 
 

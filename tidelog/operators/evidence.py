@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.errors import TidelogError
+from tidelog.operators import tables
+from tidelog.schema import METRICS, MOMENTS
+from tidelog.sources.workspace import Files
 
 CHUNK_BYTES = 1600
 SNIPPET_BYTES = 280
@@ -23,7 +29,7 @@ def line_ends(c: Column) -> Column:
 
 def snippet(c: Column, most: int = SNIPPET_BYTES) -> Column:
     """The trimmed text, cut to whole characters within ``most`` bytes and marked where it was longer."""
-    t = F.trim(c)
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     # of the first `most` characters, as many as fit; each has four bytes at most
     head = F.substring(t, 1, most)
     fit = F.aggregate(F.split(head, ""), F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n")), lambda s, x: F.struct((s["bytes"] + F.octet_length(x)).alias("bytes"), F.when(s["bytes"] + F.octet_length(x) <= most, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"])
@@ -50,21 +56,69 @@ def packed(text: Column, most: int = CHUNK_BYTES) -> Column:
     return F.aggregate(paragraphs(text), empty, add, lambda s: F.when(s["buf"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))))
 
 
-def meta_json(kind: Column) -> Column:
-    """Canonical metadata: sorted keys, nulls written."""
-    return F.to_json(F.struct(F.lit(None).cast("array<string>").alias("incident_keys"), kind.alias("kind"), F.lit(None).cast("string").alias("time_range")), {"ignoreNullFields": "false"})
+#: The kinds of sources, of origins and of chunks.
+SOURCE_TYPES = ("sanitized_export", "slack_transcript", "incident_report_md", "freeform_text")
+ORIGINS = ("file", "directory", "paste")
+PARAGRAPH, BUNDLE = "paragraph", "sanitized_incident_bundle"
 
+_KEEP = {"ignoreNullFields": "false"}
 
-def chunks(sources: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
-    """sources (source_id, kind, text) -> ``chunk_id, source_id, ordinal, text, text_sha256, token_count_est, kind``."""
-    out = sources.select("source_id", "kind", F.posexplode(packed(F.col("text"), most)).alias("ordinal", "text"))
+
+def meta(kind: Column, incident_keys: Column | None = None, time_range: Column | None = None) -> Column:
+    """A chunk's metadata."""
+    keys = F.lit(None) if incident_keys is None else incident_keys
+    span = F.lit(None) if time_range is None else time_range
+    return F.struct(keys.cast("array<string>").alias("incident_keys"), kind.alias("kind"), span.cast("struct<end_ts:string,start_ts:string>").alias("time_range"))
+
+
+def chunk_rows(drafts: DataFrame) -> DataFrame:
+    """drafts (source_id, ordinal, text, meta) -> ``chunk_id, source_id, ordinal, text, text_sha256, token_count_est, meta``.
+
+    The id is a hash of the place, the text and the metadata as JSON with sorted keys and nulls written.
+    """
+    out = drafts.withColumn("text", line_ends(F.col("text")))
     out = out.withColumns({"text_sha256": F.sha2("text", 256), "token_count_est": F.octet_length("text")})
-    key = F.concat_ws("|", F.lit("v1"), "source_id", F.col("ordinal").cast("string"), "text_sha256", F.sha2(meta_json(F.col("kind")), 256))
-    return out.withColumn("chunk_id", F.sha2(key, 256)).select("chunk_id", "source_id", "ordinal", "text", "text_sha256", "token_count_est", "kind")
+    key = F.concat_ws("|", F.lit("v1"), "source_id", F.col("ordinal").cast("string"), "text_sha256", F.sha2(F.to_json("meta", _KEEP), 256))
+    return out.withColumn("chunk_id", F.sha2(key, 256)).select("chunk_id", "source_id", "ordinal", "text", "text_sha256", "token_count_est", "meta")
 
 
-def source_id(kind: Column, origin: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(kind.alias("type"), origin.alias("origin")), {"ignoreNullFields": "false"}), 256)
+def chunks(sources: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
+    """sources (source_id, text) -> the chunks of their paragraphs."""
+    drafts = sources.select("source_id", F.posexplode(packed(F.col("text"), most)).alias("ordinal", "text"))
+    return chunk_rows(drafts.withColumn("meta", meta(F.lit(PARAGRAPH))))
+
+
+def bundle_text() -> Column:
+    """One incident of an export, with its ``codes`` (sorted, once each) and ``events`` (in their order), as text for retrieval."""
+    line = lambda name, c: F.concat(F.lit(name), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
+    if_known = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(name), F.col(c).cast("string")))
+    event = lambda e: F.concat(F.lit("  - ts="), F.coalesce(e["ts"], F.lit("NULL")), F.lit("; source="), e["source"], F.lit("; kind="), F.coalesce(e["kind"], F.lit("NULL")), F.lit("; text_redacted="), e["text_redacted"].cast("string"))
+    some = lambda head, c, show: F.when(F.size(c) > 0, F.concat(F.array(F.lit(head)), F.transform(c, show))).otherwise(F.array().cast("array<string>"))
+    # fixed values: the names of the lines
+    head = [F.concat(F.lit("Incident Key: "), "incident_key"), if_known("Severity: ", "severity"), if_known("Detection Source: ", "detection_source"), if_known("Vendor: ", "vendor"), if_known("Service: ", "service"), if_known("Impact %: ", "impact_pct"), if_known("Service Health %: ", "service_health_pct")]
+    times_ = [F.lit("Timestamps (RFC3339, nullable):"), *(line(f"  {m}: ", m) for m in MOMENTS)]
+    measures = [F.lit("Deterministic metrics (seconds, nullable):"), *(line(f"  {m}: ", f"metrics.{m}") for m in METRICS), line("Warning count: ", "warning_count")]
+    fixed = F.array_compact(F.array(*head, *times_, *measures))
+    return F.array_join(F.concat(fixed, some("Warnings (codes):", "codes", lambda c: F.concat(F.lit("  - "), c)), some("Timeline events (sanitized):", "events", event)), "\n")
+
+
+def bundle_chunks(source_id: str, incidents: DataFrame, events: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The chunks of an export without free text: one for each incident, in order of key.  The tables are those of ``sanitizing.read``,
+    whose events may bring ``pos``, their place in the file; else they are ordered as the export writes them."""
+    order = ["pos"] if "pos" in events.columns else [F.col("ts").isNotNull().alias("known"), "ts", "source"]
+    per_event = events.groupBy("incident_key").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct("ts", "source", "kind", "text_redacted").alias("e")))).alias("x"))
+    per_event = per_event.select("incident_key", F.transform("x", lambda x: x["e"]).alias("events"))
+    codes = warnings.groupBy("incident_key").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    whole = incidents.join(per_event, "incident_key", "left").join(codes, "incident_key", "left")
+    whole = tables.ranked(whole, [F.col("incident_key")])
+    span = F.struct(F.col("resolve_ts").alias("end_ts"), F.col("start_ts").alias("start_ts"))
+    return chunk_rows(whole.select(F.lit(source_id).alias("source_id"), (F.col("rn") - 1).cast("int").alias("ordinal"), bundle_text().alias("text"), meta(F.lit(BUNDLE), F.array("incident_key"), span).alias("meta")))
+
+
+def source_id(source_type: Column, origin_kind: Column, path: Column) -> Column:
+    """A hash of what a source is, not of its label or time: JSON with sorted keys, nulls written."""
+    origin = F.struct(origin_kind.alias("kind"), path.alias("path"))
+    return F.sha2(F.to_json(F.struct(origin.alias("origin"), source_type.alias("type")), _KEEP), 256)
 
 
 def register(sources: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,13 +128,48 @@ def register(sources: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__new").orderBy("source_id")
 
 
-def check_source(kind: str, label: str, path: str | None, text: str | None) -> None:
-    if not label.strip():
-        raise TidelogError("EVIDENCE_LABEL_REQUIRED", "A source needs a label")
-    if kind not in ("file", "directory", "paste"):
-        raise TidelogError("EVIDENCE_KIND_INVALID", "Unknown kind of source", kind)
-    if (kind == "paste") == (text is None) or (kind != "paste") == (path is None):
-        raise TidelogError("EVIDENCE_ORIGIN_INVALID", "A pasted source needs a text, any other a path", kind)
+def check_source(source_type: str, origin_kind: str, label: str, path: str | None, text: str | None) -> None:
+    """Raises for a source that cannot be registered."""
+    checks = (
+        (source_type in SOURCE_TYPES, "Unknown type of source"), (bool(label.strip()), "A source needs a label"), (origin_kind in ORIGINS, "A source comes from a file, a directory or a paste"),
+        (origin_kind == "paste" or path is not None, "A file or directory needs a path"), (origin_kind != "paste" or bool((text or "").strip()), "A paste needs a text"),
+    )
+    for fine, message in checks:
+        if not fine:
+            raise TidelogError("AI_EVIDENCE_SOURCE_INVALID", message, f"kind={origin_kind}")
+
+
+def new_source(spark: SparkSession, source_type: str, origin_kind: str, label: str, created_at: str, path: str | None = None, text: str | None = None) -> DataFrame:
+    """A checked row for ``register``: ``source_id, type, origin_kind, path, label, created_at, text`` (of a paste, with plain line ends)."""
+    check_source(source_type, origin_kind, label, path, text)
+    row = spark.createDataFrame([(source_type, origin_kind, path, label, created_at, text if origin_kind == "paste" else None)], "type string, origin_kind string, path string, label string, created_at string, text string")
+    return row.select(source_id(F.col("type"), F.col("origin_kind"), F.col("path")).alias("source_id"), "type", "origin_kind", "path", "label", "created_at", line_ends(F.col("text")).alias("text"))
+
+
+def source_texts(spark: SparkSession, sources: DataFrame) -> DataFrame:
+    """``source_id, text`` of the registered sources that hold text: pastes as stored, files read whole by Spark."""
+    pasted = sources.filter("origin_kind = 'paste'").select("source_id", "text")
+    paths = [r["path"] for r in sources.filter("origin_kind = 'file' and type <> 'sanitized_export'").select("path").distinct().collect()]  # registered by hand
+    if not paths:
+        return pasted
+    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), F.decode("content", "utf-8").alias("text"))
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    files = sources.filter("origin_kind = 'file' and type <> 'sanitized_export'").withColumn("path", plain).drop("text").join(read, "path")
+    return pasted.unionByName(files.select("source_id", "text"))
+
+
+def rebuild(spark: SparkSession, sources: DataFrame, stored: DataFrame | None, read_export: Callable[[str], tuple[DataFrame, DataFrame, DataFrame]], only: str | None = None) -> DataFrame:
+    """The chunk table after its sources (or one of them) are chunked anew; chunks of other sources stay.
+
+    sources is the registry; ``read_export`` gives the three tables of an export's folder.
+    """
+    chosen = sources if only is None else sources.filter(F.col("source_id") == only)
+    if chosen.isEmpty():
+        raise TidelogError("AI_EVIDENCE_EMPTY" if only is None else "AI_EVIDENCE_SOURCE_INVALID", "There is no such source", only)
+    out = chunks(source_texts(spark, chosen))
+    for r in chosen.filter("type = 'sanitized_export'").select("source_id", "path").collect():  # registered by hand
+        out = out.unionByName(bundle_chunks(r["source_id"], *read_export(r["path"])))
+    return out if stored is None else stored.join(chosen.select("source_id"), "source_id", "left_anti").select(*out.columns).unionByName(out)
 
 
 def listing(chunk_table: DataFrame, source: str | None = None) -> DataFrame:
@@ -91,7 +180,7 @@ def listing(chunk_table: DataFrame, source: str | None = None) -> DataFrame:
 def context(chunk_table: DataFrame, centers: DataFrame, window: int) -> DataFrame:
     """``center_id, chunk_id, distance``: chunks of the same source up to window places away, for each center."""
     if not 0 <= window <= CONTEXT_MAX:
-        raise TidelogError("EVIDENCE_WINDOW_INVALID", "Context window is out of range", str(window))
+        raise TidelogError("AI_EVIDENCE_CONTEXT_INVALID", "Context window is out of range", f"window={window}")
     ranked = chunk_table.select("source_id", "chunk_id", F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal", "chunk_id")).alias("rn"))
     mid = ranked.join(centers.select("chunk_id").distinct(), "chunk_id", "left_semi").select("source_id", F.col("chunk_id").alias("center_id"), F.explode(F.sequence(F.col("rn") - window, F.col("rn") + window)).alias("rn"), F.col("rn").alias("mid"))
     return mid.join(ranked, ["source_id", "rn"]).select("center_id", "chunk_id", (F.col("rn") - F.col("mid")).alias("distance"))
@@ -127,7 +216,23 @@ def stale(chunk_table: DataFrame, index: DataFrame) -> DataFrame:
     return chunk_table.join(index.select("chunk_id", "text_sha256"), ["chunk_id", "text_sha256"], "left_anti")
 
 
-def build_index(chunk_table: DataFrame, index: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+@dataclass(frozen=True)
+class IndexStatus:
+    """What an index was built from; it serves queries once it is ready."""
+
+    ready: bool = False
+    model: str | None = None
+    dims: int | None = None
+    chunk_count: int = 0
+    chunks_total: int = 0
+    source_id: str | None = None
+    updated_at: str | None = None
+
+
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
+def build_index(chunk_table: DataFrame, index: DataFrame, embed: Embedder) -> DataFrame:
     """The index of exactly these chunks: vectors of unchanged ones are kept, others embedded in batches."""
     keep = index.join(chunk_table.select("chunk_id", "text_sha256"), ["chunk_id", "text_sha256"], "left_semi").select("chunk_id", "text_sha256", "embedding")
 
@@ -140,6 +245,73 @@ def build_index(chunk_table: DataFrame, index: DataFrame, embed: Callable[[list[
     return keep.unionByName(new)
 
 
+def refresh_index(chunk_table: DataFrame, index: DataFrame, status: IndexStatus, embed: Embedder, model: str, updated_at: str, source: str | None = None) -> tuple[DataFrame, IndexStatus]:
+    """The index of a source's chunks (or of all) and its status.  Vectors are kept only from a ready index of the same model and scope;
+    vectors of unlike lengths are an error."""
+    wanted = chunk_table if source is None else chunk_table.filter(F.col("source_id") == source)
+    total = wanted.count()
+    if total == 0:
+        raise TidelogError("AI_INDEX_NOT_READY", "There are no chunks to index; build chunks first")
+    same = status.ready and status.model == model and status.source_id == source
+    built = durable.written(build_index(wanted, index if same else index.limit(0), embed))
+    found = dims(built).first()
+    if found["n_dims"] != 1 or (same and status.dims is not None and found["dims"] != status.dims):
+        raise TidelogError("AI_INDEX_BUILD_FAILED", "Vectors differ in length", f"expected={status.dims if same else found['dims']}")
+    return built, IndexStatus(True, model, found["dims"], found["n"], total, source, updated_at)
+
+
+def write_status(files: Files, status: IndexStatus) -> None:
+    files.put(json.dumps(asdict(status), indent=2), "index_status.json")
+
+
+def read_status(files: Files) -> IndexStatus:
+    """The stored status; that of an index not built yet if there is none."""
+    return IndexStatus(**json.loads(files.read("index_status.json"))) if files.exists("index_status.json") else IndexStatus()
+
+
+def retrieve(chunk_table: DataFrame, index: DataFrame, status: IndexStatus, embed: Embedder, question: str, k: int, sources: list[str] | None = None) -> DataFrame:
+    """The best chunks for a question: ``chunk_id, source_id, score, snippet, locator``, best first."""
+    if not question.strip():
+        raise TidelogError("AI_RETRIEVAL_FAILED", "The question is empty")
+    if not status.ready or status.model is None or status.dims is None:
+        raise TidelogError("AI_INDEX_NOT_READY", "The index is not built yet")
+    query = embed([question.strip()])[0]
+    if len(query) != status.dims or not any(query):
+        raise TidelogError("AI_RETRIEVAL_FAILED", "The question's vector does not suit the index", f"index_dims={status.dims}; query_dims={len(query)}")
+    if not index.filter(F.size("embedding") != status.dims).isEmpty():
+        raise TidelogError("AI_RETRIEVAL_FAILED", "A vector of the index has another length", f"expected={status.dims}")
+    rows = index.join(chunk_table.select("chunk_id", "source_id"), "chunk_id")
+    spark = chunk_table.sparkSession
+    hits = search(rows, query, k, None if sources is None else spark.createDataFrame([(x,) for x in sources], "source_id string"))
+    # TOP_K_MAX hits at most
+    shown = chunk_table.join(F.broadcast(hits), "chunk_id").select("chunk_id", "source_id", "score", snippet(F.col("text")).alias("snippet"))
+    return shown.join(locator(chunk_table), "chunk_id").orderBy(F.desc("score"), "chunk_id")
+
+
+def chunk_page(chunk_table: DataFrame, limit: int = tables.PAGE, offset: int = 0, source: str | None = None) -> tuple[DataFrame, dict]:
+    """A page of ``listing`` and its envelope."""
+    if not 1 <= limit <= tables.PAGE_MAX or offset < 0:
+        raise TidelogError("INVALID_PAGINATION", "Pagination is out of range", f"limit={limit}; offset={offset}")
+    rows = listing(chunk_table, source)
+    total = rows.count()
+    return rows.offset(offset).limit(limit), {"total": total, "limit": limit, "offset": offset, "has_next": offset + limit < total, "has_prev": offset > 0}
+
+
+def wrong_citations(citations: DataFrame, chunk_table: DataFrame) -> DataFrame:
+    """citations (chunk_id, locator) that do not hold: ``chunk_id, code``, for an unknown chunk or a locator that is not the stored one."""
+    stored = locator(chunk_table).select("chunk_id", F.col("locator").alias("stored"))
+    both = citations.join(stored, "chunk_id", "left")
+    code = F.when(F.col("stored").isNull(), "AI_EVIDENCE_NOT_FOUND").when(~F.col("stored").eqNullSafe(F.col("locator")), "AI_CITATION_INVALID")
+    return both.select("chunk_id", code.alias("code")).filter("code is not null")
+
+
+def check_citations(citations: DataFrame, chunk_table: DataFrame) -> None:
+    if citations.isEmpty():
+        raise TidelogError("AI_CITATION_REQUIRED", "At least one citation is needed")
+    for r in wrong_citations(citations, chunk_table).orderBy("chunk_id").limit(1).collect():
+        raise TidelogError(r["code"], "A citation does not match a stored chunk", f"chunk_id={r['chunk_id']}")
+
+
 CITE = r"\[\[chunk:([^\]]*)\]\]"
 
 

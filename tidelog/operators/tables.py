@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.errors import TidelogError
 from tidelog.functions import incident as inc
 
@@ -61,6 +62,18 @@ def first_of(frame: DataFrame, key: str, order: list[Column], exempt_null: bool
     return ranked.filter(keep).drop("__rn")
 
 
+def ranked(frame: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """frame with its rank (1, 2, ...) in an order without ties, and no task that sees all rows: ranges of the order are sorted
+    each for itself, and a rank is the place in the range and the rows of the ranges before.  The ranges are written, as they
+    must not move between their count and their use."""
+    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = durable.written(dealt.withColumns({"__at": F.monotonically_increasing_id(), "__range": F.spark_partition_id()}))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.col("__at").bitwiseAND((1 << 33) - 1)  # the low bits count the rows of a partition
+    return placed.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + inside + 1).drop("__range", "__at", "__before")
+
+
 def numbered(values: DataFrame, column: str, prefix: str) -> DataFrame:
     """``value, pseudonym``: distinct non-blank values, numbered in order from 001."""
     v = values.select(F.col(column).alias("value")).filter(F.trim("value") != "").distinct()
@@ -77,8 +90,8 @@ def lettered(values: DataFrame, column: str, prefix: str) -> DataFrame:
 
 def incident_keys(incidents: DataFrame) -> DataFrame:
     """``id, incident_key``: INC_001, ... in canonical order."""
-    rn = F.row_number().over(Window.orderBy(*inc.canonical_order()))
-    return incidents.select("id", F.format_string("INC_%03d", rn).alias("incident_key"))
+    keys = ranked(incidents.select("id", "external_id", "title"), inc.canonical_order())
+    return keys.select("id", F.format_string("INC_%03d", "rn").alias("incident_key"))
 
 
 def detail(incidents: DataFrame, artifacts: DataFrame, events: DataFrame) -> DataFrame:
@@ -114,5 +127,5 @@ def top_codes(counted: DataFrame, k: int = 5) -> DataFrame:
 
 def next_ids(new: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
     """New rows with ids from the largest existing one on, in the given order."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    return new.crossJoin(F.broadcast(top)).withColumn("id", F.col("__top") + F.row_number().over(Window.orderBy(*order))).drop("__top")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
+    return ranked(new, order, "__rn").crossJoin(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__rn")).drop("__top", "__rn")

@@ -57,8 +57,14 @@ def restore(spark: SparkSession, folder: str, target: str, allow_overwrite: bool
     stage = Workspace.create(spark, f"{parent}/.{leaf}.stage")
     for name in TABLES:
         stage.replace(name, spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}"))
-    if files.exists(leaf):
+    old = files.exists(leaf)
+    if old:
         files.delete(f"{leaf}.pre_restore")
         files.move((leaf,), (f"{leaf}.pre_restore",))
-    files.move((f".{leaf}.stage",), (leaf,))
+    try:
+        files.move((f".{leaf}.stage",), (leaf,))
+    except Exception:
+        if old:
+            files.move((f"{leaf}.pre_restore",), (leaf,))
+        raise
     return Workspace.open(spark, target)

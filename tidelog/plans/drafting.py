@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.errors import TidelogError
 from tidelog.operators import evidence
@@ -14,10 +15,10 @@ from tidelog.operators.drafts import SECTIONS
 RULES = "Use only the evidence below. Cite every bullet and paragraph with [[chunk:<id>]]. Do not estimate numbers that the evidence does not state; write UNKNOWN."
 TASKS = {
     "exec_summary": "Write an executive summary of the quarter in at most six bullets.",
-    "incident_highlights": "Describe the incidents that mattered most, one bullet each.",
+    "incident_highlights_top_n": "Describe the incidents that mattered most, one bullet each.",
     "theme_analysis": "Group recurring causes into themes, with one paragraph for each.",
-    "action_plan": "Propose actions, one bullet each, with the evidence that calls for it.",
-    "quarter_narrative": "Tell the quarter's course in a few paragraphs.",
+    "action_plan_next_quarter": "Propose actions, one bullet each, with the evidence that calls for it.",
+    "quarter_narrative_recap": "Tell the quarter's course in a few paragraphs.",
 }
 MARK = "[[chunk:"
 
@@ -35,23 +36,28 @@ def cited_ids(text: str) -> list[str]:
 def check(text: str, allowed: list[str], by: str = "bullet") -> list[str]:
     """The cited ids, if the text cites, cites allowed chunks only, and leaves no bullet or paragraph without."""
     if MARK not in text:
-        raise TidelogError("AI_CITATIONS_MISSING", "The draft has no citation")
+        raise TidelogError("AI_CITATION_REQUIRED", "The draft has no citation")
     parts = [x for x in text.split("\n") if x.lstrip().startswith(("- ", "* "))] if by == "bullet" else [x for x in text.split("\n\n") if x.strip()]
     bare = [i + 1 for i, x in enumerate(parts) if MARK not in x]
     if bare:
-        raise TidelogError("AI_CITATIONS_INCOMPLETE", f"A {by} has no citation", ",".join(map(str, bare)))
+        raise TidelogError("AI_CITATION_REQUIRED", f"A {by} has no citation", ",".join(map(str, bare)))
     ids = cited_ids(text)
     if other := sorted(set(ids) - set(allowed)):
-        raise TidelogError("AI_CITATION_UNKNOWN", "A citation is not among the chosen evidence", ",".join(other))
+        raise TidelogError("AI_CITATION_INVALID", "A citation is not among the chosen evidence", ",".join(other))
     return ids
 
 
 def draft(chunk_table: DataFrame, chosen: list[str], section: str, quarter: str, wish: str, generate: Callable[[str], str]) -> dict:
     spark = chunk_table.sparkSession
+    if not chosen:
+        raise TidelogError("AI_CITATION_REQUIRED", "Choose at least one chunk of evidence")
+    known = {r["chunk_id"] for r in chunk_table.filter(F.col("chunk_id").isin(*chosen)).select("chunk_id").distinct().collect()}  # chosen by hand
+    for missing in (x for x in chosen if x not in known):
+        raise TidelogError("AI_CITATION_INVALID", "A chosen chunk does not exist", f"chunk_id={missing}")
     order = spark.createDataFrame(list(enumerate(dict.fromkeys(chosen))), "pos int, chunk_id string")
     blocks = evidence.evidence_blocks(chunk_table, order).first()["blocks"]
     text = generate(prompt(section, quarter, wish, blocks))
-    return {"text": text, "citations": check(text, chosen, "paragraph" if section == "quarter_narrative" else "bullet")}
+    return {"text": text, "citations": check(text, chosen, "paragraph" if section == "quarter_narrative_recap" else "bullet")}
 
 
 def loopback(url: str) -> bool:
@@ -66,7 +72,7 @@ GUIDANCE = {
     "WORKSPACE_EXISTS": "Open the workspace, or choose an empty folder.",
     "INGEST_SANITIZED_DB_NOT_EMPTY": "Import into a new, empty workspace.",
     "INGEST_SANITIZED_HASH_MISMATCH": "The export was changed after it was written; ask for a fresh one.",
-    "AI_CITATIONS_MISSING": "Ask again; drafts without citations are not kept.",
+    "AI_CITATION_REQUIRED": "Ask again; drafts without citations are not kept.",
 }
 
 

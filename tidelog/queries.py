@@ -60,6 +60,14 @@ wc AS (
 ik AS (
   SELECT id, printf('INC_%03d', row_number() OVER (ORDER BY coalesce(external_id, ''), title, id)) AS incident_key FROM inc)
 """
+SAN = f"""
+vp AS (SELECT vendor, 'VENDOR_' || chr((64 + row_number() OVER (ORDER BY vendor))::INT) AS v FROM (SELECT DISTINCT vendor FROM inc WHERE vendor IS NOT NULL)),
+sp AS (SELECT service, printf('SERVICE_%03d', row_number() OVER (ORDER BY service)) AS s FROM (SELECT DISTINCT service FROM inc)),
+dp AS (SELECT detection_source, printf('DETECT_%03d', row_number() OVER (ORDER BY detection_source)) AS d FROM (SELECT DISTINCT detection_source FROM inc WHERE detection_source IS NOT NULL)),
+san AS (
+  SELECT m.id, incident_key, severity, dp.d AS detection_source, vp.v AS vendor, sp.s AS service, impact_pct, service_health_pct, {", ".join(f"{_ts(m)} AS {m}" for m in MOMENTS)}, {", ".join(METRICS)}, nv AS warning_count
+  FROM m JOIN ik USING (id) JOIN wc USING (id) LEFT JOIN vp USING (vendor) LEFT JOIN sp USING (service) LEFT JOIN dp USING (detection_source))
+"""
 EVENTS = f"""
 tl AS (
   SELECT event_id AS id, CASE WHEN event_id % 29 <> 0 THEN min(event_id) OVER (PARTITION BY user_id, rn // 6) END AS incident_id, 'stream' AS source,
@@ -68,7 +76,7 @@ tl AS (
 """
 DRAFTS = """
 dr AS (
-  SELECT conv_id * 1000 + turn AS id, '2026-Q' || (conv_id % 4 + 1) AS quarter_label, CASE WHEN role = 'user' THEN 'action_plan' ELSE 'exec_summary' END AS section_type,
+  SELECT conv_id * 1000 + turn AS id, '2026-Q' || (conv_id % 4 + 1) AS quarter_label, CASE WHEN role = 'user' THEN 'action_plan_next_quarter' ELSE 'exec_summary' END AS section_type,
     printf('2026-02-%02dT00:00:00Z', turn % 28 + 1) AS created_at, CASE WHEN turn % 5 <> 0 THEN conv_id * 1000 + turn - 1 END AS parent_draft_id,
     CASE WHEN conv_id % 11 <> 0 THEN ['c' || (conv_id % 7), 'c' || turn] ELSE [] END AS cites, conv_id, turn,
     '- ' || coalesce(text, '') || ' [[chunk: c' || (conv_id % 7) || ']]' || chr(10) || '- plain' || chr(10) || '* [[chunk:c' || turn || ']] [[chunk:]]' AS draft_text FROM conversations)
@@ -117,7 +125,7 @@ for _metric, _name in (("it_awareness_lag_seconds", "it_awareness_lag"), ("time_
 def _top_sql(column: str, pain: bool) -> str:
     by = "pain_sum DESC, n DESC, k" if pain else "n DESC, k"
     extra = "sum(pain_sum)::BIGINT AS pain_sum, sum(known)::BIGINT AS pain_known, " if pain else ""
-    return f"""SELECT CASE WHEN rn > 8 THEN 'OTHER' ELSE k END AS label, {extra}sum(n)::BIGINT AS n, string_agg(ids, ',' ORDER BY rn) IS NOT NULL AS has_ids, min(rn) AS rn FROM (
+    return f"""SELECT CASE WHEN rn > 8 THEN 'OTHER' ELSE k END AS label, {extra}sum(n)::BIGINT AS n, (SELECT string_agg(x, ',' ORDER BY x::BIGINT) FROM (SELECT unnest(string_split(string_agg(ids, ','), ',')) AS x)) AS incident_ids, min(rn) AS rn FROM (
       SELECT *, row_number() OVER (ORDER BY {by}) AS rn FROM (SELECT coalesce({column}, 'UNKNOWN') AS k, coalesce(sum(pain), 0)::BIGINT AS pain_sum, count(pain) AS known, count(*) AS n, string_agg(id::VARCHAR, ',') AS ids FROM p GROUP BY 1))
       GROUP BY rn > 8, 1"""
 
@@ -139,7 +147,7 @@ def _with_rank(ranked: DataFrame, columns: list) -> DataFrame:
     from pyspark.sql import Window
 
     # nine rows at most
-    return ranked.withColumn("rn", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).select(*columns, (F.size("incident_ids") > 0).alias("has_ids"), "rn")
+    return ranked.withColumn("rn", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).select(*columns, _text("incident_ids"), "rn")
 
 
 @query("incident_metrics", f"SELECT id, {', '.join(METRICS)}, pain FROM p")
@@ -149,7 +157,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("metric_percentiles", " UNION ALL ".join(f"SELECT '{x}' AS metric, count({x}) AS known, count(*) AS total, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 50) // 100 + 1] AS p50, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 90) // 100 + 1] AS p90 FROM m" for x in METRICS))
 def _(s: SparkSession, d: str) -> DataFrame:
-    m = inc.with_metrics(ad.incidents(s, d)).select(*METRICS).persist()
+    m = inc.with_metrics(ad.incidents(s, d)).select(*METRICS)
     out = None
     for x in METRICS:
         one = an.rank_percentiles(m, x)
@@ -218,14 +226,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return inc.with_metrics(ad.incidents(s, d)).select("id", times.duration_text(F.col("mttr_seconds")).alias("text"))
 
 
-@query("report_rows", "SELECT coalesce(external_id, 'NO_EXTERNAL_ID') AS external_id, title, coalesce(severity, 'UNKNOWN') AS severity, coalesce(detection_source, 'UNKNOWN') AS detection_source, coalesce(vendor, 'UNKNOWN') AS vendor, service, nv + nm AS warning_count FROM inc JOIN wc USING (id)")
+@query("report_rows", "SELECT coalesce(external_id, 'NO_EXTERNAL_ID') AS external_id, title, coalesce(severity, 'UNKNOWN') AS severity, coalesce(detection_source, 'UNKNOWN') AS detection_source, coalesce(vendor, 'UNKNOWN') AS vendor, service, CASE WHEN mttr_seconds IS NULL THEN 'UNKNOWN' WHEN mttr_seconds >= 3600 THEN (mttr_seconds // 3600) || 'h ' || (mttr_seconds // 60 % 60) || 'm' WHEN mttr_seconds >= 60 THEN (mttr_seconds // 60) || 'm ' || (mttr_seconds % 60) || 's' ELSE mttr_seconds || 's' END AS mttr, nv + nm AS warning_count, coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT id, code FROM vw UNION ALL SELECT id, code FROM mw) x WHERE x.id = m.id), '') AS codes FROM m JOIN wc USING (id)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return report.rows(ad.incidents(s, d)).drop("mttr", "codes").withColumn("warning_count", F.col("warning_count").cast("long"))
+    return report.rows(ad.incidents(s, d)).drop("order_id", "id").withColumns({"warning_count": F.col("warning_count").cast("long"), "codes": F.array_join("codes", ",")})
 
 
 @query("report_markdown")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(list(enumerate(report.markdown(ad.incidents(s, d)).split("\n"))), "line int, text string")
+    return report.lines(ad.incidents(s, d))
 
 
 # --- scans, orders, pages, lookups
@@ -317,9 +325,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tag("vendor", tb.lettered(i, "vendor", "VENDOR")).unionByName(tag("service", tb.numbered(i, "service", "SERVICE"))).unionByName(tag("detection_source", tb.numbered(i, "detection_source", "DETECT")))
 
 
-@query("sanitized_incidents", f"SELECT incident_key, severity, vp AS vendor, impact_pct, {_ts('start_ts')} AS start_ts, mttr_seconds, nv AS warning_count FROM m JOIN ik USING (id) JOIN wc USING (id) LEFT JOIN (SELECT vendor, 'VENDOR_' || chr((64 + row_number() OVER (ORDER BY vendor))::INT) AS vp FROM (SELECT DISTINCT vendor FROM inc WHERE vendor IS NOT NULL)) USING (vendor)")
+_SAN_COLUMNS = ["incident_key", "severity", "detection_source", "vendor", "service", "impact_pct", "service_health_pct", *MOMENTS, *METRICS, "warning_count"]
+
+
+@query("sanitized_incidents", f"SELECT {', '.join(_SAN_COLUMNS)} FROM san", INC + "," + SAN)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sanitizing.incident_rows(ad.incidents(s, d)).select("incident_key", "severity", "vendor", "impact_pct", "start_ts", F.col("metrics.mttr_seconds").alias("mttr_seconds"), "warning_count")
+    return sanitizing.incident_rows(ad.incidents(s, d)).select("*", "metrics.*").select(*_SAN_COLUMNS)
 
 
 @query("sanitized_events", "SELECT coalesce(incident_key, 'INC_UNKNOWN') AS incident_key, source, ts, kind, true AS text_redacted FROM tl LEFT JOIN ik ON tl.incident_id = ik.id", INC + "," + EVENTS)
@@ -337,9 +348,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return sanitizing.restored(sanitizing.incident_rows(ad.incidents(s, d))).select(F.col("id").cast("long").alias("id"), "title", "fingerprint")
 
 
-@query("restore_metric_mismatches", "SELECT incident_key FROM ik WHERE false")
+@query("restore_metric_mismatches", "SELECT incident_key FROM (SELECT incident_key, mttr_seconds, row_number() OVER (ORDER BY incident_key) AS rn FROM san) WHERE rn % 10 = 0 AND mttr_seconds IS NOT NULL", INC + "," + SAN)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return sanitizing.mismatched_metrics(sanitizing.restored(sanitizing.incident_rows(ad.incidents(s, d)))).select("incident_key")
+    # every tenth row of the export lists another time to resolve
+    rows = sanitizing.restored(sanitizing.incident_rows(ad.incidents(s, d)))
+    more = F.col("metrics.mttr_seconds") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)
+    return sanitizing.mismatched_metrics(rows.withColumn("metrics", F.col("metrics").withField("mttr_seconds", more))).select("incident_key")
 
 
 _EXPECTED = "e AS (SELECT incident_key, code FROM vw JOIN ik USING (id) WHERE id % 3 <> 0 UNION ALL SELECT incident_key, 'EXTRA_CODE' FROM ik WHERE id % 10 = 0), a AS (SELECT incident_key, code FROM vw JOIN ik USING (id))"
@@ -376,20 +390,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tb.top_codes(w.groupBy(F.col("w.code").alias("code")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("incident_bundles", "SELECT incident_key, (SELECT count(*) FROM tl WHERE tl.incident_id = inc.id) AS n_events, nv AS n_warnings FROM inc JOIN ik USING (id) JOIN wc USING (id)", INC + "," + EVENTS)
+_LINES = [f"'  {m}: ' || coalesce({m}::VARCHAR, 'NULL')" for m in (*MOMENTS, *METRICS)]
+_BUNDLE = " || chr(10) || ".join(["'Timestamps (RFC3339, nullable):'", *_LINES[:6], "'Deterministic metrics (seconds, nullable):'", *_LINES[6:], "'Warning count: ' || warning_count"])
+_KNOWN = "".join(f" || coalesce('{name}: ' || {c} || chr(10), '')" for name, c in (("Severity", "severity"), ("Detection Source", "detection_source"), ("Vendor", "vendor"), ("Service", "service"), ("Impact %", "impact_pct"), ("Service Health %", "service_health_pct")))
+_BUNDLE_SQL = f"""SELECT incident_key, (row_number() OVER (ORDER BY incident_key) - 1)::INT AS ordinal, 'Incident Key: ' || incident_key || chr(10){_KNOWN} || {_BUNDLE}
+  || coalesce(chr(10) || 'Warnings (codes):' || c.x, '') || coalesce(chr(10) || 'Timeline events (sanitized):' || e.x, '') AS text
+  FROM san LEFT JOIN (SELECT id, string_agg(chr(10) || '  - ' || code, '' ORDER BY code) AS x FROM (SELECT DISTINCT id, code FROM vw) GROUP BY id) c USING (id)
+  LEFT JOIN (SELECT incident_id AS id, string_agg(chr(10) || '  - ts=' || coalesce(ts, 'NULL') || '; source=' || source || '; kind=' || coalesce(kind, 'NULL') || '; text_redacted=true', '' ORDER BY ts IS NOT NULL, ts, source, kind) AS x FROM tl WHERE incident_id IS NOT NULL GROUP BY 1) e USING (id)"""
+
+
+@query("incident_bundles", _BUNDLE_SQL, INC + "," + SAN + "," + EVENTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     i = ad.incidents(s, d)
-    e = sanitizing.event_rows(ad.timeline(s, d), i).groupBy("incident_key").agg(F.count(F.lit(1)).alias("n_events"))
-    w = sanitizing.warning_rows(i).groupBy("incident_key").agg(F.count(F.lit(1)).alias("n_warnings"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return tb.incident_keys(i).join(e, "incident_key", "left").join(w, "incident_key", "left").select("incident_key", zero("n_events"), zero("n_warnings"))
+    out = ev.bundle_chunks("export", sanitizing.incident_rows(i), sanitizing.event_rows(ad.timeline(s, d), i), sanitizing.warning_rows(i))
+    return out.select(F.col("meta.incident_keys")[0].alias("incident_key"), "ordinal", "text")
 
 
-@query("incident_detail", "SELECT inc.id, (SELECT count(*) FROM tl WHERE tl.incident_id = inc.id) AS n_events, (SELECT count(*) FROM documents WHERE doc_id = inc.id AND doc_id % 5 <> 0) AS n_artifacts, nv + nm AS n_warnings FROM inc JOIN wc USING (id)", INC + "," + EVENTS)
+@query("incident_detail", """SELECT inc.id, coalesce((SELECT string_agg(tl.id::VARCHAR, ',' ORDER BY coalesce(ts, '~'), tl.id) FROM tl WHERE tl.incident_id = inc.id), '') AS events,
+  coalesce((SELECT string_agg(doc_id || ':' || lang, ',') FROM documents WHERE doc_id = inc.id AND doc_id % 5 <> 0), '') AS artifacts,
+  coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT id, code FROM vw UNION ALL SELECT id, code FROM mw) w WHERE w.id = inc.id), '') AS warnings FROM inc""", INC + "," + EVENTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     x = tb.detail(ad.incidents(s, d), ad.artifacts(s, d), ad.timeline(s, d))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return x.select("id", F.greatest(n("timeline"), F.lit(0)).alias("n_events"), F.greatest(n("artifacts"), F.lit(0)).alias("n_artifacts"), n("warnings").alias("n_warnings"))
+    text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit("")).alias(c)
+    return x.withColumnRenamed("timeline", "events").select("id", text("events", lambda e: e["id"].cast("string")), text("artifacts", lambda e: F.concat_ws(":", e["id"].cast("string"), e["kind"])), text("warnings", lambda w: w["code"]))
 
 
 @query("timestamp_warnings_by_code", "SELECT code, count(*) AS n FROM (SELECT code FROM vw UNION ALL SELECT code FROM mw) GROUP BY 1")
@@ -516,37 +539,49 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return ev.chunks(ad.sources(s, d))
 
 
-@query("evidence_chunks")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).drop("text")
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+CHUNKS = f"""
+src AS (SELECT 'doc-' || doc_id AS source_id, replace(replace(replace(text, chr(10), chr(10) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents),
+par AS MATERIALIZED (
+  SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) AS i, p FROM (
+    SELECT source_id, unnest(range(len(x))) AS k, trim(unnest(x), {_WHITE}) AS p FROM (SELECT source_id, string_split(text, chr(10) || chr(10)) AS x FROM src)) WHERE p <> ''),
+pk AS (
+  SELECT source_id, i, 0 AS ordinal, strlen(p) AS size FROM par WHERE i = 1
+  UNION ALL SELECT n.source_id, n.i, CASE WHEN k.size + 2 + strlen(n.p) > 1600 THEN k.ordinal + 1 ELSE k.ordinal END, CASE WHEN k.size + 2 + strlen(n.p) > 1600 THEN strlen(n.p) ELSE k.size + 2 + strlen(n.p) END
+  FROM pk k JOIN par n ON n.source_id = k.source_id AND n.i = k.i + 1),
+ch AS (SELECT source_id, ordinal, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM par JOIN pk USING (source_id, i) GROUP BY 1, 2),
+chunk AS (
+  SELECT source_id, ordinal, text, sha256(text) AS text_sha256, strlen(text)::INT AS token_count_est,
+    sha256('v1|' || source_id || '|' || ordinal || '|' || sha256(text) || '|' || sha256('{{"incident_keys":null,"kind":"paragraph","time_range":null}}')) AS chunk_id FROM ch)
+"""
 
 
-@query("chunk_totals", "SELECT 'doc-' || doc_id AS source_id, sum(strlen(trim(l, chr(9) || chr(10) || chr(13) || ' ')))::BIGINT AS paragraph_bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id HAVING paragraph_bytes > 0", "")
+def _snippet_sql(t: str) -> str:
+    return f"CASE WHEN strlen({t}) <= 280 THEN {t} ELSE left({t}, len([n for n in range(1, 281) if strlen(left({t}, n::BIGINT)) <= 280])::BIGINT) || '...' END"
+
+
+@query("evidence_chunks", "SELECT * FROM chunk", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    # chunks hold every paragraph once: their bytes less the two-byte joints
-    c = _chunks(s, d).withColumn("joints", F.size(F.split("text", "\n\n")) - 1)
-    return c.groupBy("source_id").agg(F.sum(F.col("token_count_est") - 2 * F.col("joints")).alias("paragraph_bytes"))
+    return _chunks(s, d).drop("meta")
 
 
-@query("chunk_listing")
+@query("chunk_listing", f"SELECT chunk_id, source_id, ordinal, text_sha256, token_count_est, {_snippet_sql('text')} AS snippet FROM chunk", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
     return ev.listing(_chunks(s, d))
 
 
-@query("chunk_context")
+@query("chunk_page", "SELECT chunk_id, source_id, ordinal FROM chunk ORDER BY source_id, ordinal, chunk_id LIMIT 20 OFFSET 40", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    c = _chunks(s, d)
-    return ev.context(c, c.filter("ordinal = 1"), 2)
+    return ev.chunk_page(_chunks(s, d), 20, 40)[0].select("chunk_id", "source_id", "ordinal")
 
 
-@query("snippets", "SELECT doc_id, CASE WHEN strlen(trim(text, ' ')) <= 280 THEN trim(text, ' ') WHEN strlen(left(trim(text, ' '), 280)) = 280 THEN left(trim(text, ' '), 280) || '...' END AS snippet FROM documents WHERE lang = 'en'", "")
+@query("chunk_context", "SELECT a.chunk_id AS center_id, b.chunk_id, b.ordinal - a.ordinal AS distance FROM chunk a JOIN chunk b ON a.source_id = b.source_id AND abs(b.ordinal - a.ordinal) <= 2 WHERE a.ordinal = 1", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    t = ad.table(s, d, "documents").filter("lang = 'en'")
-    ascii_head = F.octet_length(F.substring(F.trim("text"), 1, 280)) == F.length(F.substring(F.trim("text"), 1, 280))
-    return t.select("doc_id", F.when((F.octet_length(F.trim("text")) <= 280) | ascii_head, ev.snippet(F.col("text"))).alias("snippet"))
+    c = durable.written(_chunks(s, d))
+    return ev.context(c, c.filter("ordinal = 1"), 2)
 
 
-@query("snippets_whole")
+@query("snippets", f"SELECT doc_id, {_snippet_sql('t')} AS snippet FROM (SELECT doc_id, trim(text, {_WHITE}) AS t FROM documents)", "")
 def _(s: SparkSession, d: str) -> DataFrame:
     return ad.table(s, d, "documents").select("doc_id", ev.snippet(F.col("text")).alias("snippet"))
 
@@ -582,11 +617,31 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ev.stale(v, index).select("chunk_id")
 
 
-@query("index_entries_kept", "SELECT chunk_id FROM v WHERE vec_id % 4 <> 0", _V)
+@query("index_entries_kept", "SELECT chunk_id FROM v WHERE vec_id % 4 <> 0 AND vec_id % 7 <> 0", _V)
 def _(s: SparkSession, d: str) -> DataFrame:
-    v = ad.vectors(s, d)
-    wanted = v.filter(F.substring("chunk_id", 2, 8).cast("long") % 4 != 0)
-    return v.join(wanted.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id")
+    # every seventh text has changed since, every fourth chunk is gone; what is embedded anew has a vector of zeros here
+    v = ad.vectors(s, d).withColumn("text", F.lit(""))
+    n = F.substring("chunk_id", 2, 8).cast("long")
+    old = v.withColumn("text_sha256", F.when(n % 7 == 0, "old").otherwise(F.col("text_sha256")))
+    size = ev.dims(v).first()["dims"]
+    built, _status = ev.refresh_index(v.filter(n % 4 != 0), old, ev.IndexStatus(True, "m", size), lambda texts: [[0.0] * size] * len(texts), "m", "2026-01-01T00:00:00Z")
+    return built.filter(F.exists("embedding", lambda x: x != 0)).select("chunk_id")
+
+
+@query("retrieval_hits", "SELECT chunk_id, source_id, round(list_cosine_similarity(embedding, qe)::DOUBLE, 4) AS score, 'text of ' || chunk_id AS snippet, (vec_id % 9)::INT AS ordinal FROM v, q ORDER BY list_cosine_similarity(embedding, qe) DESC, chunk_id LIMIT 10", _V)
+def _(s: SparkSession, d: str) -> DataFrame:
+    v = ad.vectors(s, d).withColumns({"text": F.concat(F.lit("text of "), "chunk_id"), "ordinal": (F.substring("chunk_id", 2, 8).cast("long") % 9).cast("int")})
+    asked = _first_vector(s, d)
+    hits = ev.retrieve(v, v.select("chunk_id", "text_sha256", "embedding"), ev.IndexStatus(True, "m", len(asked)), lambda texts: [asked] * len(texts), "question", 10)
+    return hits.select("chunk_id", "source_id", F.round(F.col("score").cast("double"), 4).alias("score"), "snippet", "locator.ordinal")
+
+
+@query("citations_wrong", "SELECT CASE WHEN vec_id % 7 = 0 THEN 'x' || vec_id ELSE chunk_id END AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'AI_EVIDENCE_NOT_FOUND' ELSE 'AI_CITATION_INVALID' END AS code FROM v WHERE vec_id % 7 = 0 OR vec_id % 5 = 0", _V)
+def _(s: SparkSession, d: str) -> DataFrame:
+    v = ad.vectors(s, d).withColumn("ordinal", F.lit(0))
+    n = F.substring("chunk_id", 2, 8).cast("long")
+    cites = ev.locator(v).withColumn("locator", F.when(n % 5 == 0, F.col("locator").withField("ordinal", F.lit(1))).otherwise(F.col("locator")))
+    return ev.wrong_citations(cites.withColumn("chunk_id", F.when(n % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).otherwise(F.col("chunk_id"))), v)
 
 
 @query("hit_locators", "SELECT chunk_id, source_id, text_sha256 FROM (SELECT * FROM v, q ORDER BY list_cosine_similarity(embedding, qe) DESC, chunk_id LIMIT 10)", _V)
@@ -618,6 +673,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 # --- drafts
 
 
+_DRAFT_JSON = """'{"quarter_label":"' || quarter_label || '","section_type":"' || section_type || '","draft_text":' || CAST(to_json(draft_text) AS VARCHAR) || ',"citation_chunk_ids":' || CAST(to_json(cites) AS VARCHAR) || ',"model_name":"model","model_params_hash":"p","prompt_template_version":"v1","created_at":"' || created_at || '"}'"""
+
+
 @query("draft_listing", "SELECT id, created_at FROM dr WHERE quarter_label = '2026-Q1'", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     return dr.listed(ad.drafts(s, d), "2026-Q1").select("id", "created_at")
@@ -638,9 +696,19 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dr.children(ad.drafts(s, d))
 
 
-@query("draft_siblings", "SELECT a.id, b.id AS sibling_id FROM dr a JOIN dr b ON a.parent_draft_id = b.parent_draft_id AND a.id <> b.id", DRAFTS)
+@query("draft_siblings", "SELECT a.id, b.id AS sibling_id FROM dr a JOIN dr b ON a.conv_id = b.conv_id AND a.id <> b.id WHERE a.turn > 0 AND b.turn > 0", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return dr.siblings(ad.drafts(s, d))
+    # here every turn revises its conversation's first
+    first = F.col("id") - F.col("id") % 1000
+    return dr.siblings(ad.drafts(s, d).withColumn("parent_draft_id", F.when(F.col("id") != first, first)))
+
+
+@query("draft_created", f"SELECT 10 + row_number() OVER (ORDER BY created_at, h, id) AS new_id, h AS artifact_hash FROM (SELECT id, created_at, sha256({_DRAFT_JSON}) AS h FROM dr WHERE len(cites) > 0)", DRAFTS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    x = ad.drafts(s, d)
+    old = x.limit(1).withColumns({"id": F.lit(10).cast("long"), "quarter_label": F.lit("old")})
+    new = dr.valid(x).withColumn("parent_draft_id", F.lit(None).cast("long"))
+    return dr.create(new, old).filter("id > 10").select(F.col("id").alias("new_id"), "artifact_hash")
 
 
 @query("draft_revisions", "SELECT a.id, CASE WHEN b.id IS NULL THEN 1 ELSE 2 END AS revision_number FROM dr a LEFT JOIN dr b ON a.parent_draft_id = b.id WHERE a.parent_draft_id IS NULL OR b.id IS NOT NULL", DRAFTS)
@@ -671,7 +739,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ad.drafts(s, d).groupBy(dr.section(F.col("section_type")).alias("section_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("draft_hashes")
+@query("draft_hashes", f"SELECT id, sha256({_DRAFT_JSON}) AS artifact_hash FROM dr", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     return ad.drafts(s, d).select("id", dr.artifact_hash().alias("artifact_hash"))
 
@@ -687,7 +755,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dashboard.gate(ad.incidents(s, d), [("impact", "impact_pct is not null"), ("health", "service_health_pct > 3")]).select("id", "blocked_by")
 
 
-@query("data_hash")
+@query("data_hash", "SELECT sha256(string_agg(id::VARCHAR, '' ORDER BY coalesce(external_id, ''), title, id)) AS data_hash FROM inc")
 def _(s: SparkSession, d: str) -> DataFrame:
     return an.data_hash(ad.incidents(s, d))
 

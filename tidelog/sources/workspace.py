@@ -35,6 +35,15 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def put(self, text: str, *parts: str) -> None:
+        """Writes aside and renames over the old file, so a reader or a crash meets the old text or the new one."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        aside = (*parts[:-1], f".{parts[-1]}.new")
+        self.write(text, *aside)
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs.getUri(), conf).rename(self.at(*aside), self.at(*parts), how)
+
     def read(self, *parts: str) -> str:
         rows = self.spark.read.text(str(self.at(*parts)), wholetext=True).collect()
         return rows[0][0] if rows else ""
@@ -57,7 +66,7 @@ class Workspace:
         w = cls(spark, root)
         if w.files.exists("pointer.json"):
             raise TidelogError("WORKSPACE_EXISTS", "There is a workspace already", root)
-        w.files.write(json.dumps({"steps": list(STEPS), "versions": {}}), "pointer.json")
+        w.files.put(json.dumps({"steps": list(STEPS), "versions": {}}), "pointer.json")
         for name, schema in TABLES.items():
             w.replace(name, spark.createDataFrame([], schema))
         return w
@@ -82,7 +91,7 @@ class Workspace:
         v = p["versions"].get(name, 0) + 1
         rows.select(*TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
         p["versions"][name] = v
-        self.files.write(json.dumps(p), "pointer.json")
+        self.files.put(json.dumps(p), "pointer.json")
 
     def append(self, name: str, rows: DataFrame) -> None:
         self.replace(name, self.table(name).unionByName(rows.select(*TABLES[name].fieldNames())))
@@ -100,7 +109,7 @@ class Workspace:
         if todo:
             p = self.pointer()
             p["steps"] = sorted({*p["steps"], *todo})
-            self.files.write(json.dumps(p), "pointer.json")
+            self.files.put(json.dumps(p), "pointer.json")
         return todo
 
     def counts(self) -> dict[str, int]:
