@@ -353,10 +353,41 @@ def test_toxicity(spark, docs, words):
     assert toxicity.train(d, lab.limit(0)).insults.has("idiot")
 
 
-def test_extra_columns(docs, words):
-    d = docs([words(i, 30) for i in range(6)]).withColumns({"id": F.lit("x"), "h": F.lit(1), "bytes": F.lit(2), "p": F.lit(3), "t": F.lit(4), "score": F.lit(5)})
-    assert sharding.shards(d, 500).columns[: len(d.columns)] == d.columns and mixing.mixed_documents(d).columns == d.columns
-    assert toxicity.drop_toxic(d, toxicity.Model()).columns == d.columns
+#: Names that operators use inside or give their results.
+TAKEN = "id h bytes p t score row depth full total shard page seq part shard_id shard_depth SHARD_BYTES tie copies row_id key n_tokens domain bucket upto held_out clauses item_id words start name __name".split()
+
+
+def test_extra_columns(spark, docs, words):
+    d = docs([words(i, 30) for i in range(6)]).withColumns({c: F.lit("x") for c in TAKEN})
+    placed = sharding.shards(d, 500)
+    assert placed.columns == [*d.columns, "shard_id_", "shard_depth_", "shard_bytes_"]
+    assert {(r["shard_id"], r["doc_id"]) for r in placed.collect()} == {("x", i) for i in range(6)}
+    assert len({r["shard_id_"] for r in placed.collect()}) > 1
+    assert sharding.shards(d.limit(0), 500).columns == placed.columns
+    bench = spark.createDataFrame([(1, words(2, 30))], "item_id long, text string").withColumns({"doc_id": F.lit(1), "t": F.lit(2)})
+    for out in (mixing.mixed_documents(d), toxicity.drop_toxic(d, toxicity.Model()), decontam.clean(d, bench)):
+        assert out.columns == d.columns and all(r["tie"] == "x" for r in out.collect())
+    assert sorted(r["doc_id"] for r in decontam.clean(d, bench).collect()) == [0, 1, 3, 4, 5]
+    for out in (langid.identify(d, None), toxicity.score(d, toxicity.Model()), mixing.mix(d), decontam.matches(d, bench), urlfilter.judge(d.withColumns({"page_id": F.col("doc_id"), "url": F.col("text"), "host": F.lit(1), "verdict": F.lit(1)}))):
+        assert out.count() >= 1
+
+
+def test_mixing_of_odd_rows(docs, words):
+    """Rows that share an id, or have none, are chosen for themselves."""
+    rows = [(7, words(i, 20), "en", "src1", 1) for i in range(6)] + [(None, words(50 + i, 20), "en", "src1", 1) for i in range(6)] + [(None, None, None, None, None)] * 2
+    out = mixing.mixed_documents(docs(rows), mixing.Targets(budget_pct=50, max_epochs=2)).collect()
+    used = [r["text"] for r in out if r["text"]]
+    assert len(used) == len(set(used)) == 6
+
+
+def test_package_for_executors():
+    import zipfile
+    from pathlib import Path
+
+    from tidelog.llm import kernels
+
+    names = zipfile.ZipFile(kernels.packed(Path(kernels.__file__).resolve().parents[2])).namelist()
+    assert {"tidelog/__init__.py", "tidelog/llm/kernels.py", "tidelog/llm/neardup.py"} <= set(names)
 
 
 SF = "/root/testdata/sf0.001"

@@ -26,10 +26,12 @@ def brute_quality(text):
 
 
 def test_quality(docs, words):
-    texts = [*ODD, words(1, 300), words(2, 50) + "\n" + words(2, 50) + "\n\n" + words(2, 50), "a\nb\na\n \na", words(3, 40, 3), "#a $$ <b>"]
+    texts = [*ODD, words(1, 300), words(2, 50) + "\n" + words(2, 50) + "\n\n" + words(2, 50), "a\nb\na\n \na", words(3, 40, 3), "#a $$ <b>", "— 😀 “é” ½ Ⅷ 中"]
     led = quality.ledger(docs(texts))
     got = {r["id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in led.collect()}
     assert got == {i: brute_quality(t) for i, t in enumerate(texts)}
+    letters = {r["id"]: r["n_letters"] for r in led.collect()}
+    assert letters == {i: sum(map(str.isalpha, t or "")) for i, t in enumerate(texts)}
     ab = {r["rule"]: r for r in quality.ablation(led).collect()}
     kept = quality.apply_policy(led).filter("kept").count()
     for rule, r in ab.items():

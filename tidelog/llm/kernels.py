@@ -8,7 +8,9 @@ memory does not depend on how many rows a partition has.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,25 +31,38 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of a frame, with this package on the Python workers' path."""
+    """The session of a frame, with this package within reach of the Python workers: by path where they share the driver's disk, else
+    as a file that Spark sends them."""
     spark = df.sparkSession
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    root = Path(__file__).resolve().parents[2]
+    if spark.sparkContext.master.startswith("local"):
+        env = spark.sparkContext.environment
+        if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH", "")) if x)
+    elif spark.sparkContext.applicationId not in _SENT:
+        spark.sparkContext.addPyFile(packed(root))
+        _SENT.add(spark.sparkContext.applicationId)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local default only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
+_SENT: set[str] = set()
+
+
+def packed(root: Path) -> str:
+    """This package as a zip file on the driver, from where Spark sends it to executors."""
+    path = Path(tempfile.mkdtemp()) / "tidelog.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.glob("tidelog/**/*.py")):
+            z.write(f, f.relative_to(root))
+    return str(path)
 
-        found = os.path.join(tempfile.gettempdir(), "tidelog-checkpoints")
-    return found
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables; a temporary one where a local session names none, an error where a cluster does not."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs a folder that all executors share in spark.checkpoint.dir")
+    return found or os.path.join(tempfile.gettempdir(), "tidelog-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,12 +77,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
+def free_names(df: DataFrame, *wanted: str, prefix: str = "__") -> list[str]:
     """A column name like each wanted one that the frame does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
     out = []
     for name in wanted:
-        free = f"__{name}"
+        free = f"{prefix}{name}"
         while free.lower() in taken:
             free += "_"
         taken.add(free.lower())

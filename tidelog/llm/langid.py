@@ -3,7 +3,7 @@
 Texts are compared by a blended-spectrum presence kernel: the number of byte n-grams
 (1 to ``ORDER`` bytes of the lower-cased text) that both have, divided by the root of the product of
 their own numbers.  The n-grams are the ``GRAMS`` ones whose presence differs most between languages.
-``LANDMARKS`` training texts give a Nyström map; one-versus-rest kernel ridge regression
+``LANDMARKS`` training texts of each language give a Nyström map; one-versus-rest kernel ridge regression
 on it gives a weight for each landmark and language.  A batch is scored by two matrix
 products: presence by landmarks, then kernel by languages.
 
@@ -30,7 +30,10 @@ from tidelog.llm import kernels
 ORDER = 4
 GRAMS = 4096
 PER_LANGUAGE = 500
-LANDMARKS = 192
+#: Landmarks of each language, and of all together; a language has one at least.
+LANDMARKS, MOST_LANDMARKS = 48, 8192
+#: Languages whose sampling shares are sent to every task; more are joined.
+BROADCAST_LABELS = 100_000
 RIDGE = 1.0
 LEAST_DF = 5
 _LATIN = re.compile("[A-Za-z]")
@@ -100,11 +103,11 @@ class Model:
         self.langs = sorted(set(y))
         x = self._unit(x)
         y = np.array(y)
-        # landmarks in turn from each language
+        # the first texts of each language
         turn = np.zeros(len(y), dtype=np.int64)
         for c in self.langs:
             turn[y == c] = np.arange((y == c).sum())
-        at = np.lexsort((y, turn))[:LANDMARKS]
+        at = np.flatnonzero(turn < max(1, min(LANDMARKS, MOST_LANDMARKS // len(self.langs))))
         self.landmarks = x[at]
         k = (self.landmarks @ self.landmarks.T).astype(np.float64)
         values, vectors = np.linalg.eigh(k)
@@ -133,10 +136,10 @@ class Model:
 
 def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     """rows (id, text, label): about per_label of each label, by a hash of the id."""
-    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(1000)
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     part = F.lit(float(per_label)) / F.col("n")
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(n), label).filter(spread < part).select(*rows.columns)  # 1000 labels at most
+    return rows.join(F.broadcast(n) if n.count() <= BROADCAST_LABELS else n, label).filter(spread < part).select(*rows.columns)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:

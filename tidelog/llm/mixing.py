@@ -14,7 +14,7 @@ with a third of all rows is never in one task.
 
 All numbers are integers, so the result does not depend on the order of additions.
 Defined cases: null domain, language or source is the child ``?``; null and wordless
-texts have no tokens and are in every epoch prefix they precede; repeated rows count and
+texts have no tokens and are in every epoch prefix they precede; rows without an id are ordered by their texts; repeated rows count and
 are chosen each; an empty table gives an empty result.
 """
 
@@ -104,10 +104,20 @@ def _leaf_columns(docs: DataFrame, targets: Targets) -> dict[str, Column]:
     }
 
 
+def _tie(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document chosen at least once: ``id, domain, lang, source, n_tokens, copies, whole_epochs``."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("?"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), tokens(text_col).alias("n_tokens"), *[c.alias(k) for k, c in _leaf_columns(docs, targets).items()])
+    return _chosen(docs, targets, id_col, text_col).drop("tie")
+
+
+def _chosen(docs: DataFrame, targets: Targets, id_col: str, text_col: str) -> DataFrame:
+    """As ``mix``, with ``tie``, a hash of the text that tells rows of one id apart."""
+    # rows without an id are spread by their texts
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), _tie(text_col).alias("tie"), tokens(text_col).alias("n_tokens"), *[c.alias(k) for k, c in _leaf_columns(docs, targets).items()])
     rows = kernels.cut(rows)
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("n"))
     plan = kernels.cut(budgets(leaves, targets))
@@ -121,16 +131,16 @@ def mix(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", t
     sums = ranked.groupBy(*on, "bucket").agg(F.sum("n_tokens").alias("t"))
     w = Window.partitionBy(*on).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).drop("t")
-    inside = Window.partitionBy(*on, "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*on, "bucket").orderBy("h", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranked.join(starts, [*on, "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
     copies = F.col("whole_epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("long")).filter("copies > 0").select("id", *on, "n_tokens", "copies", "whole_epochs")
+    return placed.withColumn("copies", copies.cast("long")).filter("copies > 0").select("id", *on, "n_tokens", "copies", "whole_epochs", "tie")
 
 
 def mixed_documents(docs: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows, each as often as it was chosen.  Rows that share an id are chosen as often as the most-chosen of them."""
-    chosen = mix(docs, targets, id_col, text_col).groupBy("id").agg(F.max("copies").alias("__copies"))
-    chosen = chosen.withColumnRenamed("id", "__id")
-    joined = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    joined = joined.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs' rows, each as often as it was chosen.  Rows that share id and text are chosen as often as the most-chosen of them."""
+    chosen = _chosen(docs, targets, id_col, text_col).groupBy("id", "tie").agg(F.max("copies").cast("int").alias("copies"))
+    # rows travel as one struct, so their columns cannot meet the working ones
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), _tie(text_col).alias("row_tie"))
+    joined = rows.join(chosen, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_tie") == F.col("tie")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -14,6 +14,7 @@ ledger, whose ablation has one row of zeros per rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,18 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 STANDARD = Policy("v1", tuple(name for name, _ in RULES.values()))
 
 
+_NOT_ASCII = re.compile("[^\x00-\x7f]+")
+
+
+def _other_letters(texts: list[bytes], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters beyond ASCII in each text."""
+    out = np.zeros(len(texts), dtype=np.int64)
+    high = np.diff(np.concatenate(([0], np.cumsum(data >= 0x80)))[at])
+    for i in np.flatnonzero(high).tolist():
+        out[i] = sum(map(str.isalpha, "".join(_NOT_ASCII.findall(texts[i].decode("utf-8", "replace")))))
+    return out
+
+
 def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     w = kernels.Words(texts)
     data = w.data
@@ -75,7 +88,7 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     out["word_chars"] = total(body & ((data & 0xC0) != 0x80))
     out["n_symbols"] = total(_SYMBOL[data])
     out["n_upper"] = total((data >= 65) & (data <= 90))
-    out["n_letters"] = total(((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC0))
+    out["n_letters"] = total(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 0x80)) + _other_letters(texts, data, at)
     out["n_marks"] = total((data == 33) | (data == 63))
 
     # lines with a word, and those equal to an earlier one of the same text

@@ -25,7 +25,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("failed_bits").bitwiseAND(quality.BASE.mask) != 0
     return led.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed_bits",
+        base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed_bits", "policy_version", "n_lines", "n_upper", "n_marks", "n_letters", "n_stutters",
     )
 
 
@@ -117,7 +117,7 @@ WITH d AS (
     coalesce(n_lines, 0)::BIGINT AS n_lines,
     length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
     length(regexp_replace(text, '[^!?]', '', 'g'))::BIGINT AS n_marks,
-    length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g'))::BIGINT AS n_letters,
+    length(regexp_replace(text, '\P{{L}}', '', 'g'))::BIGINT AS n_letters,
     coalesce(stut.n, 0)::BIGINT AS n_stutters
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN stut USING (doc_id)
 ), b AS (
@@ -125,7 +125,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_bits & {quality.BASE.mask}) <> 0 AS base_failed,
-  (failed_bits & {quality.STANDARD.mask | quality.BASE.mask}) = 0 AS kept, failed_bits
+  (failed_bits & {quality.STANDARD.mask | quality.BASE.mask}) = 0 AS kept, failed_bits, '{quality.STANDARD.version}' AS policy_version, n_lines, n_upper, n_marks, n_letters, n_stutters
 FROM b
 """
 

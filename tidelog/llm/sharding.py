@@ -14,7 +14,8 @@ bucket.  A row larger than the limit has a page to itself.
 
 Defined cases: null keys and texts hash as such and have no bytes beyond
 ``ROW_BYTES``; repeated rows are copies of one key; an empty table gives an empty
-result; extra columns are kept, and the working columns carry a prefix of their own.
+result; extra columns are kept whatever their names, and where the table has a column of an output's name, the output gets an
+underscore behind its own.
 """
 
 from __future__ import annotations
@@ -91,39 +92,40 @@ def shards(docs: DataFrame, limit: int, keys: Sequence[str] = ("doc_id",), text_
 
 def _place(docs: DataFrame, found: DataFrame, limit: int, keys: Sequence[str], text_col: str, spark) -> DataFrame:
     depths = sorted(r[0] for r in found.select("depth").distinct().collect())  # 61 values at most
-    n = found.count()
-    small = n <= BROADCAST_ENTRIES
-    table = found.select(F.col("depth").alias("__depth"), F.col("p").alias("__p"), F.col("bytes").alias("shard_bytes"), F.col("full").alias("__full"))
-    table = F.broadcast(table) if small else table
-    rows = docs.withColumn("__h", hash_of(keys))
+    names = kernels.free_names(docs, "shard_id", "shard_depth", "shard_bytes", prefix="")
     if not depths:
-        return docs.withColumns({"shard_id": F.lit(None).cast("string"), "shard_depth": F.lit(None).cast("int"), "shard_bytes": F.lit(None).cast("long")})
+        return docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, ("string", "int", "long"), strict=True)])
+    small = found.count() <= BROADCAST_ENTRIES
+    table = found.select("depth", "p", F.col("bytes").alias("total"), "full")
+    table = F.broadcast(table) if small else table
+    # rows travel as one struct, so their columns cannot meet the working ones
+    rows = docs.select(F.struct("*").alias("row"), hash_of(keys).alias("h"), row_bytes(text_col).alias("bytes"))
     # the shards are disjoint, so exactly one of a row's prefixes is in the directory
-    at = F.array(*[F.struct(F.lit(d).alias("d"), _prefix("__h", d).alias("p")) for d in depths])
+    at = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix("h", d).alias("p")) for d in depths])
     if small:
-        placed = rows.withColumn("__at", F.explode(at)).withColumns({"__depth": F.col("__at.d"), "__p": F.col("__at.p")}).drop("__at").join(table, ["__depth", "__p"])
+        placed = rows.select("row", "h", "bytes", F.inline(at)).join(table, ["depth", "p"])
     else:
-        where = rows.select("__h").distinct().select("__h", F.explode(at).alias("x")).select("__h", F.col("x.d").alias("__depth"), F.col("x.p").alias("__p")).join(table, ["__depth", "__p"])
-        placed = rows.join(where, "__h")
-    name = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("__p"), F.col("__depth").cast("int"), F.lit("0")))
-    placed = placed.withColumns({"shard_id": name, "shard_depth": F.col("__depth").cast("int")})
+        where = rows.select("h").distinct().select("h", F.inline(at)).join(table, ["depth", "p"])
+        placed = rows.join(where, "h")
+    prefix = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("p"), F.col("depth").cast("int"), F.lit("0")))
+    placed = placed.select("row", "bytes", prefix.alias("shard"), F.col("depth").cast("int").alias("depth"), "total", "full")
     if not found.filter("full").isEmpty():
-        placed = _pages(placed, limit, text_col)
-    return placed.drop("__depth", "__p", "__h", "__full")
+        placed = _pages(placed, limit)
+    return placed.select("row.*", *[F.col(c).alias(n) for c, n in zip(("shard", "depth", "total"), names, strict=True)])
 
 
-def _pages(placed: DataFrame, limit: int, text_col: str) -> DataFrame:
+def _pages(placed: DataFrame, limit: int) -> DataFrame:
     """Overflow pages for buckets of equal hashes.
 
     A page belongs to one partition's rows of a bucket; inside, rows fill it in turn.  The running
     sum covers one partition's share only, and page numbers carry the partition's number.
     """
-    rest = placed.filter("not __full")
-    full = placed.filter("__full").withColumns({"__part": F.spark_partition_id(), "__seq": F.monotonically_increasing_id(), "__bytes": row_bytes(text_col)})
-    w = Window.partitionBy("shard_id", "__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = placed.filter("not full")
+    full = placed.filter("full").withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()})
+    w = Window.partitionBy("shard", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a row starts a page once half a limit has passed, so no page exceeds the limit unless its row does
     step = max(1, limit // 2)
-    page = F.floor((F.sum("__bytes").over(w) - F.col("__bytes")) / step)
-    big = F.col("__bytes") > step
-    named = full.withColumn("__page", page).withColumn("shard_id", F.concat("shard_id", F.lit("+"), "__part", F.lit("."), "__page", F.when(big, F.concat(F.lit("."), F.col("__seq"))).otherwise(F.lit(""))))
-    return rest.unionByName(named.drop("__part", "__seq", "__bytes", "__page"))
+    page = F.floor((F.sum("bytes").over(w) - F.col("bytes")) / step)
+    alone = F.when(F.col("bytes") > step, F.concat(F.lit("."), F.col("seq"))).otherwise(F.lit(""))
+    named = full.withColumn("page", page).withColumn("shard", F.concat("shard", F.lit("+"), "part", F.lit("."), "page", alone))
+    return rest.unionByName(named.drop("part", "seq", "page"))
