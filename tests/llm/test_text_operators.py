@@ -161,18 +161,21 @@ def test_tokens(docs):
 def test_subtree_against_all_pairs():
     """Marks of one group's suffixes: every window that a leaf before has as well, and no other."""
     r = random.Random(9)
-    for _ in range(60):
+    for _ in range(300):
         window = r.choice((3, 5, 8))
-        leaves, owned = [], {}
-        for key in range(r.randrange(2, 14)):
+        leaves, owned, same = [], {}, r.choice((2, 3))
+        for key in range(r.choice((2, 2, r.randrange(2, 14)))):
             lead = r.randrange(window)
             n = r.randrange(1, lead + 2)
             w = [r.choice("ab") * (1 if r.random() < 0.8 else r.randrange(1, 3)) for _ in range(n + window - 1)]
             start = r.randrange(50)
-            leaves.append((key // 2, start, lead, n, " ".join(w).encode()))
+            leaves.append((key // same, start, lead, n, " ".join(w).encode()))
             for j in range(n):
                 # a leaf's windows count by where they stand around its suffix
-                owned.setdefault((lead - j, tuple(w[j : j + window])), []).append((key // 2, start + j))
+                owned.setdefault((lead - j, tuple(w[j : j + window])), []).append((key // same, start + j))
         r.shuffle(leaves)
         expected = sorted(p for places in owned.values() for p in places if p != min(places))
         assert sorted((a, b) for a, b, _ in substring.subtree(leaves, window)) == expected
+        if len(leaves) == 2:
+            both = sorted(leaves, key=lambda x: (x[0], x[1] + x[2]))
+            assert sorted((a, b + j) for a, b, n in substring._two(*both, window) for j in range(n)) == expected

@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,9 +271,20 @@ def _node(rows: list[tuple], low: int, high: int, window: int) -> Iterator[tuple
                     yield *mine, 1
 
 
-def _whole(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int]]:
+def _two(a: tuple, b: tuple, window: int) -> Iterator[tuple[int, int, int]]:
+    """As ``subtree`` for two leaves in the order of the corpus: one internal node at most, and one run of windows."""
+    (id1, start1, lead1, n1, words1), (id2, start2, lead2, n2, words2) = a, b
+    low, high = max(lead1 - n1, lead2 - n2) + 1, min(lead1, lead2)
+    if words1 != words2 or lead1 != lead2:
+        w1, w2 = words1.split(), words2.split()
+        low = max(low, window - _common(w1[lead1:], w2[lead2:]))
+        high = min(high, _common(w1[:lead1][::-1], w2[:lead2][::-1]))
+    if low <= high and (id1, start1 + lead1) != (id2, start2 + lead2):
+        yield id2, start2 + lead2 - high, high - low + 1
+
+
+def _whole(rows: list[tuple], first: dict[bytes, tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     """Marks of whole windows of one group, in the order of their places: each sequence's first stays."""
-    first: dict[bytes, tuple[int, int]] = {}
     for key, start, _, _, words in rows:
         if first.setdefault(b" ".join(words.split()), (key, start)) != (key, start):
             yield key, start, 1
@@ -282,40 +293,47 @@ def _whole(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int]]:
 def _trees(window: int) -> Callable:
     """Task: suffixes in the order of their groups -> marked spans ``id, start, n``."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
-        for (_, wide), group in groupby(rows(batches), key=lambda r: r[:2]):
-            if wide:
-                yield from _whole(leaf(group, found := []))
-            else:
-                leaves = list(leaf(group, found := []))
-                if len(leaves) > 1:
-                    yield from subtree(leaves, window)
-            yield from found
-
-    def leaf(group: Iterator[tuple], found: list) -> Iterator[tuple]:
-        for r in group:
-            if r[6] is None:
-                found.append((r[2], r[3], r[5]))
-            else:
-                yield r[2:]
+    def group(rows: list[tuple], first: dict | None) -> Iterator[tuple[int, int, int]]:
+        if first is not None:
+            yield from _whole(rows, first)
+        elif len(rows) == 2:
+            yield from _two(*sorted(rows, key=lambda r: (r[0], r[1] + r[2])), window)
+        elif len(rows) > 2:
+            yield from subtree(rows, window)
+
+    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: list[tuple[int, int, int]] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "start", "n"])
-        for x in marks(batches):
-            # windows of one leaf come one by one; most follow each other
-            if part and x[0] == part[-1][0] and x[1] == part[-1][1] + part[-1][2]:
-                part[-1] = (*part[-1][:2], part[-1][2] + x[2])
+        held: list[tuple] = []  # of the last group, which may go on in the next batch
+        last, first = None, None
+        for b in batches:
+            known = b.column(6).is_null()
+            spans = b.filter(known)
+            yield pa.RecordBatch.from_arrays([spans.column(2), spans.column(3), spans.column(5)], names=["id", "start", "n"])
+            b = b.filter(pa.compute.invert(known))
+            if not b.num_rows:
                 continue
-            if len(part) >= 50_000:
-                yield flush()
-                part.clear()
-            part.append(x)
-        yield flush()
+            k, wide = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            edge = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (wide[1:] != wide[:-1])) + 1).tolist(), len(k)]
+            rows = list(zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True))
+            found: list[tuple[int, int, int]] = []
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                name = (int(k[lo]), bool(wide[lo]))
+                if name != last:
+                    if len(held) > 1:
+                        found += group(held, None)
+                    held, last, first = [], name, {} if name[1] else None
+                if first is not None:
+                    found += group(rows[lo:hi], first)
+                elif hi < len(rows) and not held:
+                    if hi - lo > 1:
+                        found += group(rows[lo:hi], None)
+                else:
+                    held += rows[lo:hi]
+            yield out(found)
+        if len(held) > 1:
+            yield out(list(group(held, None)))
 
     return run
 
