@@ -57,7 +57,7 @@ def test_similar_groups(docs, words):
 def test_hub(docs, words, monkeypatch, small):
     """Copies of one text that are like it but not like each other, in whatever pieces their keys are taken."""
     if small:
-        for name, value in (("CHUNK", 16), ("BLOCK", 20), ("CROWD", 3), ("HOT_KEY", 64), ("HELD", 300), ("WATCHED", 4), ("AT_ONCE", 3)):
+        for name, value in (("CHUNK", 16), ("BLOCK", 20), ("CROWD", 3), ("CLUSTER", 40), ("HOT_KEY", 64), ("HELD", 300), ("WATCHED", 4), ("AT_ONCE", 3)):
             monkeypatch.setattr(neardup, name, value)
     base = words(7, 200)
     r = random.Random(1)
@@ -67,9 +67,11 @@ def test_hub(docs, words, monkeypatch, small):
     assert groups_of(docs(texts)) == dict(enumerate(expected))
 
 
-def test_crowd_without_a_hub(docs, words, monkeypatch):
+@pytest.mark.parametrize("whole", [True, False])
+def test_crowd_without_a_hub(docs, words, monkeypatch, whole):
     """Texts of one template: some alike, most not, so that crowded keys hold many classes."""
     monkeypatch.setattr(neardup, "BLOCK", 25)
+    monkeypatch.setattr(neardup, "CLUSTER", 10**6 if whole else 2)
     monkeypatch.setattr(neardup, "CHUNK", 32)
     base = words(9, 160)
     r = random.Random(2)

@@ -11,10 +11,11 @@ links reach.  64 bits cannot tell a similarity of 0.8 from a far lower one, so t
    they are the ones that differ between texts that are alike.  Who meets in a key is compared on 128 bits.
 3. *First round.*  Of those it meets, each text keeps its closest partner and the first (in a hash order) of the very close
    ones.  These links, at most two a text, are counted out on the texts' shingles, and join most of each class.
-4. *Second round.*  In the keys that still hold texts of different classes, every pair across classes is compared; those within
-   the complete distance are counted out as well.  A key's largest class is never compared with itself, so a group of copies
-   costs as many comparisons as it has members, times the few of other classes in the key.  A crowded key's texts bring their
-   shingles along, in blocks, and its pairs are counted where they meet: what leaves the task is a forest of counted links.
+4. *Second round.*  Partners, alike or not, make clusters.  In each of up to ``CLUSTER`` texts every pair across classes is compared.  So is
+   every pair that meets in a key and is in different clusters, or in a larger one; those within
+   the complete distance are counted out as well.  The largest class of a cluster or key is never compared with itself, so a group of copies
+   costs as many comparisons as it has members, times the few of other classes beside it.  Crowded texts bring their
+   shingles along, in blocks, and are counted where they meet: what leaves the task is a forest of counted links.
    At last each text is held against the one with the most links beside its partner: copies of one text that miss it meet each other.
 
 No link is taken on fingerprints alone, none is dropped but one that a counted path implies, and no key, group or candidate list has a cap.
@@ -56,6 +57,8 @@ CHUNK = 1024
 #: Entries of a key beyond which the second round counts pairs where they meet; entries of a side of one such comparison.
 CROWD = 8
 BLOCK = 2048
+#: Members of a cluster that is compared as a whole.
+CLUSTER = 20_000
 #: Entries of one key that one task of the first round takes, and the share of texts by which such keys are found.
 HOT_KEY = 50_000
 WATCHED = 64
@@ -379,38 +382,58 @@ def _settle(lay: Layout, similarity: float) -> object:
     return run
 
 
-def second_round(texts: DataFrame, sets: DataFrame, lay: Layout, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """texts: ``name, label, w0, ..., doubts``.  Two tables of ``a, b``: pairs of texts of different labels that meet in a small key and are within reach,
-    and counted links from the crowded keys, enough to connect all that are alike there.
+def _dealt(entries: DataFrame, block: int) -> DataFrame:
+    """entries: ``key, mask, name, label, w0, w1``.  The rows of cells ``key, i, j, side, ...`` of the keys that hold several labels, and ``crowd``.
 
     In each key the largest label's entries are dealt into blocks that meet the blocks of the others, and those meet
-    each other; the largest label's blocks do not meet.  Blocks of one key have about BLOCK entries.
+    each other; the largest label's blocks do not meet.  Blocks of one key have about ``block`` entries.
     """
+    sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    mixed = mixed.select("key", (F.col("n") > CROWD).alias("crowd"), F.col("m.label").alias("bulk"), blocks(F.col("m.n")).alias("kb"), blocks(F.col("n") - F.col("m.n")).alias("ko"))
+    inside = entries.join(mixed, "key").withColumn("of_bulk", F.col("label") == F.col("bulk"))
+    own = F.pmod(F.xxhash64("name"), F.when(F.col("of_bulk"), F.col("kb")).otherwise(F.col("ko"))).cast("int")
+    inside = inside.withColumn("own", own)
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    # cells: (block of the others, block of the bulk) and, below zero, (block of the others, later block of the others)
+    met = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: cell(o, F.col("own"), F.lit(1)))
+    other = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("kb") - 1), lambda k: cell(F.col("own"), k, F.lit(0))),
+        F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda k: cell(F.least(k, F.col("own")), -1 - F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1))),
+    )
+    return inside.select("key", "crowd", F.inline(F.when(F.col("of_bulk"), met).otherwise(other)), "mask", "name", "label", "w0", "w1")
+
+
+_CELL = ("key", "i", "j", "side", "mask", "name", "label", "w0", "w1")
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _counted_in_place(cells: DataFrame, sets: DataFrame, lay: Layout, similarity: float) -> DataFrame:
+    whole = _in_cells(cells.join(sets, "name")).select(*[F.col(c).cast("long") for c in _CELL], "shingles")
+    return kernels.cut(whole.mapInArrow(_settle(lay, similarity), "a long, b long"))
+
+
+def inside_clusters(texts: DataFrame, sets: DataFrame, lay: Layout, similarity: float) -> DataFrame:
+    """texts: ``name, label, cluster, w0, w1``.  ``a, b``: counted links that connect what is alike in each cluster."""
+    entries = texts.select(F.col("cluster").alias("key"), F.lit(0).cast("long").alias("mask"), "name", "label", "w0", "w1")
+    return _counted_in_place(_dealt(entries, BLOCK), sets, lay, similarity)
+
+
+def across_keys(texts: DataFrame, sets: DataFrame, lay: Layout, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """texts: ``name, label, w0, ..., doubts``.  Two tables of ``a, b``: pairs of texts of different labels that meet in a small key and are within reach,
+    and counted links from the crowded keys, enough to connect all that are alike there."""
     spark = kernels.session(texts)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = links = None
     for low in range(0, lay.segments, AT_ONCE):
-        entries = _entries(texts, lay, low, min(low + AT_ONCE, lay.segments), label=True)
-        sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        mixed = mixed.select("key", (F.col("n") > CROWD).alias("crowd"), F.col("m.label").alias("bulk"), blocks(F.col("m.n")).alias("kb"), blocks(F.col("n") - F.col("m.n")).alias("ko"))
-        inside = entries.join(mixed, "key").withColumn("of_bulk", F.col("label") == F.col("bulk"))
-        own = F.pmod(F.xxhash64("name"), F.when(F.col("of_bulk"), F.col("kb")).otherwise(F.col("ko"))).cast("int")
-        inside = kernels.cut(inside.withColumn("own", own))
-        cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-        # cells: (block of the others, block of the bulk) and, below zero, (block of the others, later block of the others)
-        met = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: cell(o, F.col("own"), F.lit(1)))
-        other = F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("kb") - 1), lambda k: cell(F.col("own"), k, F.lit(0))),
-            F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda k: cell(F.least(k, F.col("own")), -1 - F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1))),
-        )
-        dealt = inside.select("key", "crowd", F.inline(F.when(F.col("of_bulk"), met).otherwise(other)), "mask", "name", "label", "w0", "w1")
-        columns = [F.col(c).cast("long") for c in ("key", "i", "j", "side", "mask", "name", "label", "w0", "w1")]
-        few = dealt.filter(~F.col("crowd")).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns)
+        cells = kernels.cut(_dealt(_entries(texts, lay, low, min(low + AT_ONCE, lay.segments), label=True), BLOCK))
+        few = _in_cells(cells.filter(~F.col("crowd"))).select(*[F.col(c).cast("long") for c in _CELL])
         part = kernels.cut(few.mapInArrow(_compare(lay), "a long, b long").distinct())
-        many = dealt.filter("crowd").join(sets, "name").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select(*columns, "shingles")
-        counted = kernels.cut(many.mapInArrow(_settle(lay, similarity), "a long, b long"))
+        counted = _counted_in_place(cells.filter("crowd"), sets, lay, similarity)
         kernels.release(spark)
         pairs = part if pairs is None else pairs.unionByName(part)
         links = counted if links is None else links.unionByName(counted)
@@ -478,14 +501,20 @@ def links(texts: DataFrame, docs: DataFrame, lay: Layout, shingle: int = SHINGLE
     sets = kernels.cut(_shingles(wanted, docs, shingle))
     tried = kernels.cut(_pairs(_met(first)))
     sure = kernels.cut(_counted(tried, sets, similarity))
-    label = components(sure)
-    labelled = full.join(first.select("name"), "name", "left_semi").join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("root", "name"))
-    met, crowd = second_round(kernels.cut(labelled.select("name", "label", *_lane_names(lay), "doubts")), sets, lay, similarity)
+    label = components(sure).withColumnRenamed("node", "name").withColumnRenamed("root", "label")
+    cluster = components(tried).withColumnRenamed("node", "name").withColumnRenamed("root", "cluster")
+    small = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") <= CLUSTER)
+    cluster = cluster.join(small.select("cluster"), "cluster")
+    near = full.join(first.select("name"), "name", "left_semi").join(label, "name", "left").join(cluster, "name", "left")
+    near = kernels.cut(near.select("name", F.coalesce("label", "name").alias("label"), "cluster", *_lane_names(lay), "doubts"))
+    inside = inside_clusters(near.filter("cluster is not null"), sets, lay, similarity)
+    # what is in one small cluster has been compared as a whole
+    met, crowd = across_keys(near.withColumn("label", F.coalesce("cluster", "label")), sets, lay, similarity)
     met = met.join(tried, ["a", "b"], "left_anti")
     whole = lambda side: full.select(F.col("name").alias(side), F.array(*_lane_names(lay)).alias(f"{side}_w"))
     apart = F.aggregate(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = met.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= lay.far).select("a", "b")
-    found = sure.unionByName(crowd).unionByName(kernels.cut(_counted(near, sets, similarity))).distinct()
+    found = sure.unionByName(inside).unionByName(crowd).unionByName(kernels.cut(_counted(near, sets, similarity))).distinct()
     hubs = _beside_partners(first, found).join(tried, ["a", "b"], "left_anti").join(found, ["a", "b"], "left_anti")
     return found.unionByName(kernels.cut(_counted(hubs, sets, similarity)))
 
