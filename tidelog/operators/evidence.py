@@ -177,6 +177,14 @@ def listing(chunk_table: DataFrame, source: str | None = None) -> DataFrame:
     return rows.select("chunk_id", "source_id", "ordinal", "text_sha256", "token_count_est", snippet(F.col("text")).alias("snippet")).orderBy("source_id", "ordinal", "chunk_id")
 
 
+def chunk(chunk_table: DataFrame, chunk_id: str) -> DataFrame:
+    """One chunk with its snippet; an unknown id is an error."""
+    found = chunk_table.filter(F.col("chunk_id") == chunk_id).withColumn("snippet", snippet(F.col("text")))
+    if found.isEmpty():
+        raise TidelogError("AI_EVIDENCE_NOT_FOUND", "There is no such chunk", f"id={chunk_id}")
+    return found
+
+
 def context(chunk_table: DataFrame, centers: DataFrame, window: int) -> DataFrame:
     """``center_id, chunk_id, distance``: chunks of the same source up to window places away, for each center."""
     if not 0 <= window <= CONTEXT_MAX:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.errors import TidelogError
 from tidelog.schema import TABLES
-from tidelog.sources.workspace import Files, Workspace
+from tidelog.sources.workspace import Files, Workspace, tree_hashes
 
 VERSION = 1
 
@@ -22,7 +22,8 @@ def _table_hash(spark: SparkSession, path: str, name: str) -> str:
     return f"{r['n']}:{r['h'] or 0}"
 
 
-def create(w: Workspace, folder: str, export_time: str, app_version: str) -> dict:
+def create(w: Workspace, folder: str, export_time: str, app_version: str, artifacts: str | None = None) -> dict:
+    """A copy of every table, and of a folder of artifact files if one is given, with a manifest."""
     files = Files(w.spark, folder)
     if files.exists("manifest.json"):
         raise TidelogError("BACKUP_EXISTS", "There is a backup already", folder)
@@ -31,6 +32,11 @@ def create(w: Workspace, folder: str, export_time: str, app_version: str) -> dic
         w.table(name).write.mode("errorifexists").parquet(f"{folder}/{name}")
         hashes[name] = _table_hash(w.spark, f"{folder}/{name}", name)
     manifest = {"version": VERSION, "app_version": app_version, "export_time": export_time, "steps": w.applied(), "counts": w.counts(), "hashes": hashes}
+    if artifacts is not None:
+        files.copy(artifacts, "files")
+        manifest["files"] = tree_hashes(w.spark, f"{folder}/files")
+        if manifest["files"] != tree_hashes(w.spark, artifacts):
+            raise TidelogError("BACKUP_COPY_FAILED", "A file changed while it was copied", artifacts)
     files.write(json.dumps(manifest, indent=2, sort_keys=True), "manifest.json")
     return manifest
 
@@ -50,6 +56,8 @@ def restore(spark: SparkSession, folder: str, target: str, allow_overwrite: bool
     for name, h in manifest["hashes"].items():
         if _table_hash(spark, f"{folder}/{name}", name) != h:
             raise TidelogError("RESTORE_HASH_MISMATCH", "A table is not as listed", name)
+    if "files" in manifest and tree_hashes(spark, f"{folder}/files") != manifest["files"]:
+        raise TidelogError("RESTORE_HASH_MISMATCH", "An artifact file is not as listed", "files")
     parent, _, leaf = target.rstrip("/").rpartition("/")
     files = Files(spark, parent)
     if files.exists(leaf, "pointer.json") and not allow_overwrite:
@@ -57,6 +65,8 @@ def restore(spark: SparkSession, folder: str, target: str, allow_overwrite: bool
     stage = Workspace.create(spark, f"{parent}/.{leaf}.stage")
     for name in TABLES:
         stage.replace(name, spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}"))
+    if "files" in manifest:
+        stage.files.copy(f"{folder}/files", "files")
     old = files.exists(leaf)
     if old:
         files.delete(f"{leaf}.pre_restore")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable
 
@@ -12,13 +14,13 @@ from tidelog.errors import TidelogError
 from tidelog.operators import evidence
 from tidelog.operators.drafts import SECTIONS
 
-RULES = "Use only the evidence below. Cite every bullet and paragraph with [[chunk:<id>]]. Do not estimate numbers that the evidence does not state; write UNKNOWN."
+#: What each section asks for, what must carry a citation, and what to do without evidence.
 TASKS = {
-    "exec_summary": "Write an executive summary of the quarter in at most six bullets.",
-    "incident_highlights_top_n": "Describe the incidents that mattered most, one bullet each.",
-    "theme_analysis": "Group recurring causes into themes, with one paragraph for each.",
-    "action_plan_next_quarter": "Propose actions, one bullet each, with the evidence that calls for it.",
-    "quarter_narrative_recap": "Tell the quarter's course in a few paragraphs.",
+    "exec_summary": ("Summarize the quarter for leadership in at most six bullets.", "every claim", "write UNKNOWN in its place"),
+    "incident_highlights_top_n": ("List the incidents that mattered most, a bullet each.", "every bullet, on its own line", "leave the incident out"),
+    "theme_analysis": ("Group what recurs into themes, a bullet each.", "every bullet, on its own line", "leave the theme out"),
+    "action_plan_next_quarter": ("Propose actions for the next quarter, a bullet each.", "every bullet, on its own line", "leave the action out"),
+    "quarter_narrative_recap": ("Tell the course of the quarter in two to six short paragraphs with blank lines between.", "every paragraph", "leave the paragraph out"),
 }
 MARK = "[[chunk:"
 
@@ -26,7 +28,15 @@ MARK = "[[chunk:"
 def prompt(section: str, quarter: str, wish: str, blocks: str) -> str:
     if section not in SECTIONS:
         raise TidelogError("AI_SECTION_INVALID", "Unknown section", section)
-    return f"Quarter: {quarter}\n{TASKS[section]}\n{RULES}\nRequest: {wish}\n\nEvidence:\n{blocks}"
+    task, cite, without = TASKS[section]
+    rules = ["Take facts from the evidence below and from nowhere else.", f"Put a citation, written {MARK}<id>]], on {cite}.", f"Where the evidence does not say, {without}.", "Metrics in the evidence are final: do not calculate or estimate any.", "Answer in Markdown only."]
+    return "\n".join([f"Section: {section}", f"Quarter: {quarter}", task, *(f"- {r}" for r in rules), "", f"Request: {wish}", "", "Evidence:", blocks])
+
+
+def params_hash(model: str) -> str:
+    """Identity of what a text was generated with."""
+    # fixed values: the fields in their order
+    return hashlib.sha256(json.dumps({"v": 1, "api": "/api/generate", "model": model, "stream": False}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 def cited_ids(text: str) -> list[str]:
@@ -70,11 +80,43 @@ def loopback(url: str) -> bool:
 GUIDANCE = {
     "WORKSPACE_NOT_FOUND": "Choose a folder that holds a workspace, or create one.",
     "WORKSPACE_EXISTS": "Open the workspace, or choose an empty folder.",
+    "WORKSPACE_MOVE_FAILED": "Check that the folder can be written, then try again.",
+    "WORKSPACE_COPY_FAILED": "Check that both folders can be reached, then try again.",
+    "SHARED_FOLDER_MISSING": "Set spark.checkpoint.dir to a folder that all executors share.",
     "INGEST_SANITIZED_DB_NOT_EMPTY": "Import into a new, empty workspace.",
+    "INGEST_SANITIZED_MANIFEST_VERSION": "The export is of another version; make it again with this one.",
+    "INGEST_SANITIZED_FILE_MISSING": "The export is not whole; ask for a fresh one.",
     "INGEST_SANITIZED_HASH_MISMATCH": "The export was changed after it was written; ask for a fresh one.",
-    "AI_CITATION_REQUIRED": "Ask again; drafts without citations are not kept.",
+    "INGEST_SANITIZED_SIZE_MISMATCH": "The export was changed after it was written; ask for a fresh one.",
+    "INGEST_SANITIZED_METRICS_MISMATCH": "The export contradicts itself; make it again, and if that does not help take it as damaged.",
+    "AI_MODEL_UNREACHABLE": "Start the model server on this machine, then try again.",
+    "AI_EVIDENCE_EMPTY": "Add a source of evidence first.",
+    "AI_EVIDENCE_SOURCE_INVALID": "Check that the path exists and suits the type of source.",
+    "AI_EVIDENCE_NOT_FOUND": "Build the chunks again; the one asked for is gone.",
+    "AI_INDEX_NOT_READY": "Build the chunks, then the index.",
+    "AI_INDEX_BUILD_FAILED": "Build the index anew with one model for all chunks.",
+    "AI_RETRIEVAL_FAILED": "Ask a question that is not empty, with the model that the index was built with.",
+    "AI_CITATION_REQUIRED": "Choose evidence, and ask again for a text that cites it.",
+    "AI_CITATION_INVALID": "Ask again; the text may cite nothing but the chosen evidence.",
 }
 
 
 def guidance(code: str) -> str | None:
     return GUIDANCE.get(code)
+
+
+def ladder(healthy: bool | None, sources: int, chunks: int, indexed: bool | None, chosen: int) -> dict:
+    """What can be done with the evidence so far, and the first thing that is missing for a draft, by its code."""
+    steps = ((healthy is not False, "AI_MODEL_UNREACHABLE"), (sources > 0, "AI_EVIDENCE_EMPTY"), (chunks > 0, "AI_INDEX_NOT_READY"), (indexed is not False, "AI_INDEX_NOT_READY"))
+    missing = next((code for holds, code in steps if not holds), None)
+    search = missing is None and healthy is True and indexed is True
+    draft_ = search and chosen > 0
+    return {"can_search": search, "can_draft": draft_, "missing": missing or (None if draft_ else "AI_CITATION_REQUIRED")}
+
+
+def embedding_models(names: list[str]) -> list[str]:
+    return [n for n in names if "embed" in n]
+
+
+def drafting_models(names: list[str]) -> list[str]:
+    return [n for n in names if "embed" not in n]

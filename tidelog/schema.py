@@ -40,7 +40,15 @@ DRAFT = T.StructType(
         *_fields(("revision_notes", "branch_label"), T.StringType()),
     ]
 )
-TABLES = {"incidents": INCIDENT, "timeline_events": TIMELINE, "artifacts": ARTIFACT, "profiles": PROFILE, "drafts": DRAFT}
+SOURCE = T.StructType(_fields(("source_id", "type", "origin_kind", "path", "label", "created_at", "text"), T.StringType()))
+CHUNK = T.StructType(
+    [
+        *_fields(("chunk_id", "source_id"), T.StringType()), T.StructField("ordinal", T.IntegerType()), *_fields(("text", "text_sha256"), T.StringType()), T.StructField("token_count_est", T.IntegerType()),
+        T.StructField("meta", T.StructType([T.StructField("incident_keys", T.ArrayType(T.StringType())), T.StructField("kind", T.StringType()), T.StructField("time_range", T.StructType(_fields(("end_ts", "start_ts"), T.StringType())))])),
+    ]
+)
+VECTOR = T.StructType([*_fields(("chunk_id", "text_sha256"), T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+TABLES = {"incidents": INCIDENT, "timeline_events": TIMELINE, "artifacts": ARTIFACT, "profiles": PROFILE, "drafts": DRAFT, "sources": SOURCE, "chunks": CHUNK, "vectors": VECTOR}
 
 #: Schema steps in order: name -> what the step adds.
 STEPS: dict[str, tuple[str, ...]] = {
@@ -50,4 +58,5 @@ STEPS: dict[str, tuple[str, ...]] = {
     "0004_drafts": ("drafts",),
     "0005_draft_revisions": ("parent_draft_id", "revision_number", "revision_notes", "branch_label"),
     "0006_draft_hash": ("artifact_hash",),
+    "0007_evidence": ("sources", "chunks", "vectors"),
 }

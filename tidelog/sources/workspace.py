@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,13 @@ class Files:
         rows = self.spark.read.text(str(self.at(*parts)), wholetext=True).collect()
         return rows[0][0] if rows else ""
 
+    def copy(self, source: str, *parts: str) -> None:
+        """A file or folder with all that is in it, from anywhere that Spark reads."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        src = self._path(source)
+        if not hadoop.FileUtil.copy(src.getFileSystem(conf), src, self.fs, self.at(*parts), False, conf):
+            raise TidelogError("WORKSPACE_COPY_FAILED", "Could not copy", source)
+
     def delete(self, *parts: str) -> None:
         self.fs.delete(self.at(*parts), True)
 
@@ -108,6 +116,9 @@ class Workspace:
         todo = self.pending()
         if todo:
             p = self.pointer()
+            for name in TABLES.keys() - p["versions"].keys():
+                self.replace(name, self.spark.createDataFrame([], TABLES[name]))
+            p = self.pointer()
             p["steps"] = sorted({*p["steps"], *todo})
             self.files.put(json.dumps(p), "pointer.json")
         return todo
@@ -148,5 +159,14 @@ def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("filename")
 
 
+def tree_hashes(spark: SparkSession, folder: str) -> list[dict]:
+    """``filename`` (below the folder), ``bytes, sha256`` of all files under a folder, by name; a manifest lists them."""
+    root = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.element_at(F.split("path", re.escape(root) + "/", 2), -1)
+    rows = files.select(name.alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return sorted((r.asDict() for r in rows.collect()), key=lambda x: x["filename"])
+
+
 def text_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
