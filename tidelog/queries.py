@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -438,6 +439,18 @@ def _cells(s: SparkSession, d: str) -> DataFrame:
     return odd
 
 
+@query("csv_scan", f"""SELECT id, CASE WHEN id % 8 = 0 THEN 'DUP-' || (id % 40) ELSE external_id END AS external_id, CASE WHEN id % 12 <> 0 THEN title END AS title, severity, vendor,
+  CASE WHEN id % 6 = 0 THEN 'x' ELSE impact_pct::VARCHAR END AS impact_pct, {_ts('resolve_ts')} AS resolve_ts, false AS bad FROM inc""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # written as an issue tracker would export it, and read back by header
+    cells = _cells(s, d).withColumn("description", F.concat(F.lit('line one, "quoted"\nid='), F.col("row").cast("string")))
+    path = f"{durable.folder(s)}/tidelog/{uuid.uuid4().hex}"
+    cells.select(*[F.col(f).alias(f"Field {f}") for f in issues_csv.FIELDS]).write.option("header", True).option("escape", '"').csv(path)
+    got = issues_csv.mapped(issues_csv.read(s, path), issues_csv.header(s, path), {f: f"Field {f}" for f in issues_csv.FIELDS})
+    number = F.regexp_extract("description", r"\nid=(\d+)$", 1).cast("long")
+    return got.select(number.alias("id"), "external_id", "title", "severity", "vendor", "impact_pct", "resolve_ts", "bad")
+
+
 _START = f"CASE WHEN start_ts IS NULL AND id % 4 <> 1 THEN NULL WHEN id % 4 = 0 THEN strftime(start_ts, '%Y-%m-%d %H:%M:%S') WHEN id % 4 = 1 THEN '01/05/2026 12:00' ELSE {_ts('start_ts')} END"
 
 
@@ -493,14 +506,19 @@ def _(s: SparkSession, d: str) -> DataFrame:
 # --- transcripts
 
 
+def _line() -> Column:
+    """A turn's text as one line; a blank one is a dash."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")), F.lit("")), F.lit("-"))
+
+
 def _chat(s: SparkSession, d: str) -> DataFrame:
     c = ad.table(s, d, "conversations")
-    line = F.concat(F.when(F.col("conv_id") % 3 == 0, F.format_string("2026-01-%02dT00:00:%02dZ ", F.col("conv_id") % 28 + 1, F.col("turn") % 60)).otherwise(""), "role", F.lit(": t"), F.col("turn").cast("string"))
+    line = F.concat(F.when(F.col("conv_id") % 3 == 0, F.format_string("2026-01-%02dT00:00:%02dZ ", F.col("conv_id") % 28 + 1, F.col("turn") % 60)).otherwise(""), "role", F.lit(": "), _line())
     lines = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return lines.select(F.col("conv_id").cast("string").alias("source_id"), "text")
 
 
-_CHAT = "c AS (SELECT conv_id::VARCHAR AS source_id, conv_id, turn, role FROM conversations)"
+_CHAT = r"c AS (SELECT conv_id::VARCHAR AS source_id, conv_id, turn, role, coalesce(nullif(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ''), '-') AS said FROM conversations)"
 
 
 @query("transcript_preview", "SELECT source_id, CASE WHEN conv_id % 3 = 0 THEN 'line_rfc3339' ELSE 'raw_lines' END AS detected_format, count(*) AS line_count, count(*) AS message_count FROM c GROUP BY source_id, conv_id", _CHAT)
@@ -508,7 +526,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return transcripts.preview(_chat(s, d)).select("source_id", "detected_format", F.col("line_count").cast("long").alias("line_count"), F.col("message_count").cast("long").alias("message_count"))
 
 
-@query("transcript_events", "SELECT source_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS idx, CASE WHEN conv_id % 3 = 0 THEN printf('2026-01-%02dT00:00:%02dZ', conv_id % 28 + 1, turn % 60) END AS ts, role AS author, 't' || turn AS text FROM c", _CHAT)
+@query("transcript_events", "SELECT source_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS idx, CASE WHEN conv_id % 3 = 0 THEN printf('2026-01-%02dT00:00:%02dZ', conv_id % 28 + 1, turn % 60) END AS ts, role AS author, said AS text FROM c", _CHAT)
 def _(s: SparkSession, d: str) -> DataFrame:
     return transcripts.events(_chat(s, d)).select("source_id", "idx", "ts", "author", "text")
 
