@@ -123,6 +123,21 @@ def test_language(spark, docs):
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items())
     assert all(got[i]["lang_pred"] == c for i, _, c, *_ in rows[:240]) and all(0 <= x["score"] <= 1 for x in got.values())
     assert {got[900 + i]["lang_pred"] for i in range(3)} == {"und"}
+    # every prediction again, by the kernel's definition on sets of byte n-grams
+    import numpy as np
+
+    m = langid.train(d)
+    spelled = [int(k) for k in m.grams.keys]
+    grams = [bytes(k >> 8 * i & 255 for i in range(k >> 40)) for k in spelled]
+    held = lambda t: {g for g in grams if g in (t or "").lower().encode()}
+    marks = [{g for g, x in zip(grams, row, strict=True) if x} for row in m.landmarks]
+    for i, t, *_ in [*rows[:30], *rows[243:]]:
+        own = held(t)
+        k = np.array([len(own & x) / np.sqrt(max(1, len(own)) * max(1, len(x))) for x in marks])
+        f = k @ m.weights + m.bias
+        lettered = any(map(str.isalpha, t or ""))
+        assert got[i]["lang_pred"] == (m.langs[int(f.argmax())] if lettered else "und")
+        assert got[i]["score"] == pytest.approx(min(1, max(0, (f.max() + 1) / 2)) if lettered else 0, abs=1e-4)
     none = docs([(1, "abc", None, None, None)])
     assert langid.train(none) is None and langid.identify(none, None).first()["lang_pred"] == "und"
 
@@ -351,6 +366,18 @@ def test_toxicity(spark, docs, words):
     assert all(0 <= x["score"] <= 1 and x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items())
     assert {x["doc_id"] for x in toxicity.drop_toxic(d, m).collect()} == {i for i, x in got.items() if x["score"] < toxicity.THRESHOLD}
     assert toxicity.train(d, lab.limit(0)).insults.has("idiot")
+    # every score again, clause by clause
+    import math
+
+    for i, t, *_ in rows:
+        tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,\n]", (t or "").lower() + "\n")
+        kinds = read_by_hand([toxicity.END if x in ".!?;:,\n" else m.symbol(x) for x in tokens])
+        assert got[i]["clauses"] == kinds
+        z = m.weights[-1] + (m.weights[-2] * math.log2(sum(x in ".!?;:,\n" for x in tokens)) if kinds else 0)
+        for n, k in enumerate(toxicity.PRIOR):
+            if k in kinds:
+                z += m.weights[n] + m.weights[len(toxicity.PRIOR) + n] * math.log2(kinds.count(k))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 #: Names that operators use inside or give their results.
