@@ -307,25 +307,11 @@ def _beside(model: Model, text: str) -> set[tuple[str, str, str]]:
     return out
 
 
-def _gain(k1: float, k0: float, base: float) -> float:
-    """Likelihood ratio statistic of k1 toxic and k0 clean uses against a share of ``base``."""
-    n = k1 + k0
-    return 2 * sum(k * math.log(k / (n * b)) for k, b in ((k1, base), (k0, 1 - base)) if k)
-
-
-def lexicon(toxic: dict[str, int], clean: dict[str, int], base: float) -> tuple[set[str], set[str]]:
-    """Insults and possible insults, from context counts: features whose share of toxic contexts is
-    beyond chance (likelihood ratio, corrected for the number of features) and at least ``CERTAIN``
-    or, for possible ones, ``PRECISION``."""
-    bar = 2 * math.log(max(len(toxic), 1) / 0.05)
-
-    def chosen(f: str) -> bool:
-        k1, k0 = toxic[f], clean.get(f, 0)
-        n = k1 + k0
-        return k1 >= PRECISION * n and _gain(k1, k0, base) >= bar
+def lexicon(toxic: dict[str, int], share: dict[str, float]) -> tuple[set[str], set[str]]:
+    """Insults and possible insults from chosen features: their numbers of toxic uses and shares of toxic ones.  Insults have a share of ``CERTAIN``."""
 
     def family(picked: dict[str, int]) -> set[str]:
-        # of beginnings with nearly the same contexts, the longest says what the words have in common
+        # of beginnings with nearly the same uses, the longest says what the words have in common
         stems = {f[1:] for f in picked if f[0] == "p"}
         whole = {f[1:] for f in picked if f[0] == "w"}
         longer = lambda s: (picked[k + t] for k, names in (("p", stems), ("w", whole)) for t in names if t.startswith(s) and k + t != "p" + s)
@@ -333,23 +319,26 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], base: float) -> tuple[
         closed = {s for s in closed if not any(s[:n] in closed for n in range(1, len(s)))}
         return {"w" + w for w in whole if not any(w[:n] in closed for n in range(1, len(w)))} | {"p" + s for s in closed}
 
-    share = {f: k / (k + clean.get(f, 0)) for f, k in toxic.items() if chosen(f)}
-    sure = family({f: toxic[f] for f, x in share.items() if x >= CERTAIN})
-    rest = family({f: toxic[f] for f, x in share.items() if x < CERTAIN})
-    return sure, rest
+    return family({f: toxic[f] for f, x in share.items() if x >= CERTAIN}), family({f: toxic[f] for f, x in share.items() if x < CERTAIN})
+
+
+def _beyond_chance(counted: DataFrame, base: float, tests: int) -> DataFrame:
+    """counted (n1, n0): rows whose share of toxic uses differs from ``base`` beyond chance, corrected for the number of tests (likelihood ratio)."""
+    n = F.col("n1") + F.col("n0")
+    part = lambda k, b: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (n * b))).otherwise(0.0)
+    return counted.filter(2 * (part("n1", base) + part("n0", 1 - base)) >= 2 * math.log(max(tests, 1) / 0.05))
 
 
-def word_classes(counts: dict[tuple[str, str], tuple[int, int]]) -> tuple[set[str], set[str]]:
-    """Targets and softeners from ``(side, word) -> (toxic, clean)`` numbers of different surroundings of that word beside an insult: words whose share
-    of toxic ones is beyond chance (corrected for the number of words) above that of all, or, before the insult, half of it or less."""
-    all1, all0 = (sum(x[i] for x in counts.values()) for i in (0, 1))
-    if not all1 or not all0:
+def word_classes(sides: DataFrame) -> tuple[set[str], set[str]]:
+    """Targets and softeners from ``side, word, n1, n0``, the numbers of different toxic and clean surroundings of that word beside an insult: words whose share
+    of toxic ones is beyond chance above that of all, or, before the insult, half of it or less."""
+    total = sides.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.lit(1)).alias("tests")).first()
+    if not total["n1"] or not total["n0"]:
         return set(), set()
-    base = all1 / (all1 + all0)
-    bar = 2 * math.log(len(counts) / 0.05)
-    sure = {k: x for k, x in counts.items() if sum(x) >= LEAST_CONTEXTS and _gain(*x, base) >= bar}
-    share = lambda x: x[0] / (x[0] + x[1])
-    return {w for (_, w), x in sure.items() if share(x) > base}, {w for (side, w), x in sure.items() if side == "b" and share(x) <= base / 2}
+    base = total["n1"] / (total["n1"] + total["n0"])
+    sure = _beyond_chance(sides, base, total["tests"]).collect()  # of a bounded sample
+    share = lambda r: r["n1"] / (r["n1"] + r["n0"])
+    return {r["word"] for r in sure if share(r) > base}, {r["word"] for r in sure if r["side"] == "b" and share(r) <= base / 2}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
@@ -382,13 +371,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = per_label(_uses, 2).groupBy("f0").agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(f"n{x}") for x in (1, 0)])
     starts = [F.when(F.length("f0") > k, F.concat(F.lit("p"), F.substring("f0", 1, k))) for k in PREFIXES]
     seen = words.select(F.explode(F.array_compact(F.array(F.concat(F.lit("w"), F.col("f0")), *starts))).alias("f"), "n1", "n0")
-    seen = seen.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") >= LEAST_CONTEXTS).collect()  # of a bounded sample
-    insults, possible = lexicon({r["f"]: r["n1"] for r in seen}, {r["f"]: r["n0"] for r in seen}, n_toxic / (n_toxic + n_clean))
+    seen = kernels.cut(seen.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") >= LEAST_CONTEXTS))
+    chosen_features = _beyond_chance(seen.filter(F.col("n1") >= PRECISION * (F.col("n1") + F.col("n0"))), n_toxic / (n_toxic + n_clean), seen.count()).collect()
+    insults, possible = lexicon({r["f"]: r["n1"] for r in chosen_features}, {r["f"]: r["n1"] / (r["n1"] + r["n0"]) for r in chosen_features})
     model = Model(insults, possible)
     held = spark.sparkContext.broadcast(model)
     sides = per_label(lambda t: _beside(held.value, t), 3).groupBy("f0", "f1").agg(*[F.sum((F.col("toxic") == x).cast("long")).alias(f"n{x}") for x in (1, 0)])
-    sides = sides.filter(F.col("n1") + F.col("n0") >= LEAST_CONTEXTS).collect()
-    targets, softeners = word_classes({(r["f0"], r["f1"]): (r["n1"], r["n0"]) for r in sides})
+    sides = kernels.cut(sides.filter(F.col("n1") + F.col("n0") >= LEAST_CONTEXTS).withColumnsRenamed({"f0": "side", "f1": "word"}))
+    targets, softeners = word_classes(sides)
     model = Model(insults, possible, targets, softeners)
     again = spark.sparkContext.broadcast(model)
 
