@@ -63,7 +63,7 @@ CLUSTER = 20_000
 HOT_KEY = 50_000
 WATCHED = 64
 #: Entries that are shuffled at one time, as segments; rows of a table that is sent to every task at most.
-AT_ONCE = 5
+AT_ONCE = 9
 BROADCAST_ROWS = 200_000
 #: Entries that a task holds at once.
 HELD = 200_000
@@ -87,13 +87,13 @@ class Layout:
 @lru_cache
 def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> Layout:
     """Sizes for n rows.  A pair's sums are taken as normal with the correlation that its similarity gives; the chance that it meets
-    in a segment comes from 20,000 seeded draws of that model."""
+    in a segment comes from 4,000 seeded draws of that model."""
     width = min(46, max(16, math.ceil(math.log2(max(n, 2))) + 6))
     doubts = 3 if width < 32 else 4
     rho = 2 * similarity / (1 + similarity)
     rng = np.random.default_rng(1)
-    a = rng.standard_normal((20_000, width))
-    b = rho * a + math.sqrt(1 - rho * rho) * rng.standard_normal((20_000, width))
+    a = rng.standard_normal((4_000, width))
+    b = rho * a + math.sqrt(1 - rho * rho) * rng.standard_normal((4_000, width))
     lost = (a > 0) != (b > 0)
     for x in (a, b):
         np.put_along_axis(lost, np.argsort(np.abs(x), axis=1)[:, :doubts], False, axis=1)
