@@ -126,6 +126,25 @@ def test_sanitized_round_trip(spark, tmp_path, story):
         sanitizing.restore(spark, folder)
 
 
+def test_large_export_round_trip(spark, tmp_path, story):
+    events = spark.createDataFrame([(1, 1, "chat", "2026-02-03T06:10:00Z", "ann", "message", "secret words", None, "x")], TIMELINE)
+    folder = str(tmp_path / "export")
+    manifest = sanitizing.export_large(spark, story[0].repartition(2), events, folder, "2026-03-01T00:00:00Z", "1.0")
+    assert manifest["incident_count"] == 5 and len(manifest["files"]) >= 3
+    table, made, _ = sanitizing.restore(spark, folder)
+    assert table.count() == 5 and [r["text"] for r in made.collect()] == [sanitizing.REDACTED]
+    with pytest.raises(TidelogError, match="EXPORT_SANITIZED_EXISTS"):
+        sanitizing.export_large(spark, story[0], events, folder, "t", "1.0")
+    part = tmp_path / "export" / manifest["files"][0]["filename"]
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_text(part.read_text().replace("SEV", "SAV"))
+    with pytest.raises(TidelogError, match="HASH_MISMATCH"):
+        sanitizing.restore(spark, folder)
+    part.unlink()
+    with pytest.raises(TidelogError, match="FILE_MISSING"):
+        sanitizing.restore(spark, folder)
+
+
 def test_workspace_backup_restore(spark, tmp_path, story):
     w = Workspace.create(spark, str(tmp_path / "w"))
     assert w.is_empty() and w.pending() == []

@@ -12,7 +12,7 @@ from tidelog.errors import TidelogError
 from tidelog.functions import incident as inc
 from tidelog.operators import tables
 from tidelog.schema import INCIDENT, METRICS, MOMENTS, RAW, TIMELINE
-from tidelog.sources.workspace import Files, text_hash
+from tidelog.sources.workspace import Files, file_hashes, text_hash, tree_hashes
 
 REDACTED = "[REDACTED]"
 REDACTION_MARK = '{"text_redacted":true}'
@@ -54,7 +54,7 @@ def _ordered_events(events: DataFrame) -> DataFrame:
 
 
 def export(spark: SparkSession, incidents: DataFrame, events: DataFrame, folder: str, export_time: str, app_version: str) -> dict:
-    """Three pretty JSON files and a manifest in a new folder.  For review-sized sets; ``export_large`` has no driver step."""
+    """Three pretty JSON files and a manifest in a new folder.  For review-sized sets; ``export_large`` is for any."""
     files = Files(spark, folder)
     if files.exists():
         raise TidelogError("EXPORT_SANITIZED_EXISTS", "The export folder exists already", folder)
@@ -70,10 +70,25 @@ def export(spark: SparkSession, incidents: DataFrame, events: DataFrame, folder:
     return manifest
 
 
-def export_large(incidents: DataFrame, events: DataFrame, folder: str) -> None:
-    incident_rows(incidents).write.mode("errorifexists").json(f"{folder}/incidents")
-    event_rows(events, incidents).write.mode("errorifexists").json(f"{folder}/timeline_events")
-    warning_rows(incidents).write.mode("errorifexists").json(f"{folder}/warnings")
+#: The folders of a large export, whose files are JSON lines.
+FOLDERS = ("incidents", "timeline_events", "warnings")
+
+
+def export_large(spark: SparkSession, incidents: DataFrame, events: DataFrame, folder: str, export_time: str, app_version: str) -> dict:
+    """As ``export`` for sets of any size: three folders of JSON lines, written and hashed on the workers, and a manifest of their files."""
+    files = Files(spark, folder)
+    if files.exists():
+        raise TidelogError("EXPORT_SANITIZED_EXISTS", "The export folder exists already", folder)
+    for name, frame in zip(FOLDERS, (incident_rows(incidents), event_rows(events, incidents), warning_rows(incidents)), strict=True):
+        frame.write.option("ignoreNullFields", False).json(f"{folder}/{name}")
+    listed = [f | {"filename": f"{name}/{f['filename']}"} for name in FOLDERS for f in tree_hashes(spark, f"{folder}/{name}")]
+    manifest = {"manifest_version": MANIFEST_VERSION, "app_version": app_version, "export_time": export_time, "incident_count": incidents.count(), "files": listed}
+    files.write(json.dumps(manifest, indent=2), "manifest.json")
+    return manifest
+
+
+def _is_large(spark: SparkSession, folder: str) -> bool:
+    return Files(spark, folder).exists(FOLDERS[0])
 
 
 def verify(spark: SparkSession, folder: str) -> dict:
@@ -83,21 +98,29 @@ def verify(spark: SparkSession, folder: str) -> dict:
     if manifest.get("manifest_version") != MANIFEST_VERSION:
         raise TidelogError("INGEST_SANITIZED_MANIFEST_VERSION", "Unknown manifest version", str(manifest.get("manifest_version")))
     listed = {f["filename"]: f for f in manifest["files"]}
-    for name in FILES:
-        if name not in listed or not files.exists(name):
-            raise TidelogError("INGEST_SANITIZED_FILE_MISSING", "A required file is missing", name)
-    found = {r["filename"]: r for r in spark.read.format("binaryFile").load([f"{folder}/{n}" for n in FILES]).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.sha2("content", 256).alias("sha256")).collect()}
-    for name in FILES:
+    if _is_large(spark, folder):
+        found = {f"{name}/{f['filename']}": f for name in FOLDERS for f in tree_hashes(spark, f"{folder}/{name}")}
+        wanted = sorted(listed.keys() | found.keys())
+    else:
+        wanted = list(FILES)
+        for name in wanted:
+            if name not in listed or not files.exists(name):
+                raise TidelogError("INGEST_SANITIZED_FILE_MISSING", "A required file is missing", name)
+        found = {r["filename"]: r.asDict() for r in file_hashes(spark, f"{folder}/*.json").collect()}
+    for name in wanted:
+        if name not in listed or name not in found:
+            raise TidelogError("INGEST_SANITIZED_FILE_MISSING", "A file is missing, or not listed", name)
         if found[name]["sha256"] != listed[name]["sha256"]:
             raise TidelogError("INGEST_SANITIZED_HASH_MISMATCH", "A file is not as listed", name)
-        if found[name]["length"] != listed[name]["bytes"]:
+        if found[name]["bytes"] != listed[name]["bytes"]:
             raise TidelogError("INGEST_SANITIZED_SIZE_MISMATCH", "A file is not as listed", name)
     return manifest
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    get = lambda name, schema: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/{name}")
-    return get(FILES[0], INCIDENTS), get(FILES[1], EVENTS), get(FILES[2], WARNINGS)
+    large = _is_large(spark, folder)
+    get = lambda name, schema: spark.read.schema(schema).option("multiLine", not large).option("mode", "FAILFAST").json(f"{folder}/{name}")
+    return tuple(get(n, t) for n, t in zip(FOLDERS if large else FILES, (INCIDENTS, EVENTS, WARNINGS), strict=True))
 
 
 def restored(rows: DataFrame) -> DataFrame:
