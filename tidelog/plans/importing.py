@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.functions import incident as inc
 from tidelog.functions import times
 from tidelog.operators import tables
@@ -57,14 +58,16 @@ def merge(rows: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def upsert(staged: DataFrame, incidents: DataFrame) -> ImportResult:
-    ranked = first_rows(staged)
-    merged = merge(ranked.filter("usable and reason is null"), incidents)
+    # what both results and warnings come from is written once
+    ranked = durable.written(first_rows(staged))
+    merged = durable.written(merge(ranked.filter("usable and reason is null"), incidents))
     # uniqueness against what is stored under another id
     other = incidents.select(F.col("id").alias("__id"), F.col("fingerprint").alias("__fp"))
     clash = merged.filter("outcome <> 'skipped'").join(other, (F.col("fingerprint") == F.col("__fp")) & ~F.col("__id").eqNullSafe(F.col("old_id"))).select("row").distinct().withColumn("clash", F.lit(True))
     settled = merged.join(clash, "row", "left")
     late = F.when(F.col("clash"), F.when(F.col("outcome") == "inserted", "Uniqueness constraint conflict while inserting incident").otherwise("Uniqueness constraint conflict while updating incident"))
     settled = settled.withColumns({"reason": late, "outcome": F.when(F.col("clash"), "skipped").otherwise(F.col("outcome"))})
+    settled = durable.written(settled)
     changed = settled.filter("outcome = 'updated'").withColumn("id", F.col("old_id"))
     added = tables.next_ids(settled.filter("outcome = 'inserted'"), incidents, [F.col("row")])
     names = INCIDENT.fieldNames()
