@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, hardneg, langid, mixing, quality, sharding, simhash, substring, tokencount, topk, toxicity, urlfilter
+from tidelog.llm import decontam, hardneg, langid, mixing, quality, sharding, simhash, substring, tokencount, topk, toxicity, trie, urlfilter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,6 +130,40 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score, positive_rank::INT AS positive_rank FROM n WHERE rank <= 10
 """
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(*trie.grafted(trie.turns(_table(spark, sf_dir, "conversations")), every=20, spread=4))
+
+
+# crc32 as a table of 256 remainders, made in eight steps, and a fold over the digits of the id
+OP13_SQL = rf"""
+WITH RECURSIVE steps(n, c, k) AS (
+  SELECT n, n, 0 FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8
+), own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, l, xor(list_reduce([4294967295::BIGINT] || [ascii(ch)::BIGINT FOR ch IN string_split(conv_id::VARCHAR, '')], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc
+), c AS (
+  SELECT h.conv_id, coalesce(b.l[:h.h], []) || h.l[h.h + 1:] AS l FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20
+), p AS (
+  SELECT conv_id, len(l) AS len, d AS depth, md5(l[:d]::VARCHAR || d) AS node, CASE WHEN d > 0 THEN md5(l[:d - 1]::VARCHAR || (d - 1)) END AS parent,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].text, '{WORD}')) ELSE 0 END AS words, [md5(l[:k]::VARCHAR || k) FOR k IN range(0, d + 1)] AS above
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM c)
+), n AS (
+  SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(above) AS above,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256 FROM p GROUP BY ALL
+), kids AS (
+  SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent
+), below AS (
+  SELECT a AS node, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM (SELECT n.*, n_children, unnest(above) AS a FROM n LEFT JOIN kids USING (node)) GROUP BY a
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n m ON m.node = n.parent LEFT JOIN kids ON kids.node = n.node JOIN below ON below.node = n.node
+"""
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
@@ -252,5 +286,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_topk": op11_topk,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_topk": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_topk": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
