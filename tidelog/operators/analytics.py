@@ -13,29 +13,32 @@ from tidelog.functions import times
 TOP = 8
 
 
-def bucket_members(incidents: DataFrame, bucket: Column) -> DataFrame:
-    """``key, id``: the members of buckets as rows, for tables whose buckets are too large for one array each."""
-    return incidents.select(bucket.alias("key"), "id")
+# Every distribution has two forms: with an array of ids in each row, for review-sized sets, or, with_ids=False, counts only. Members of
+# buckets of any size are bitmaps, in operators/membership.py.
 
 
-def _ids() -> Column:
-    return F.array_sort(F.collect_list("id")).alias("incident_ids")
+def _ids(with_ids: bool) -> list[Column]:
+    return [F.array_sort(F.collect_list("id")).alias("incident_ids")] if with_ids else []
 
 
-def severity_counts(incidents: DataFrame) -> DataFrame:
-    return incidents.groupBy(inc.category("severity").alias("severity")).agg(F.count(F.lit(1)).alias("count"), _ids()).orderBy("severity")
+def _names(with_ids: bool) -> list[str]:
+    return ["incident_ids"] if with_ids else []
 
 
-def category_mix(incidents: DataFrame, column: str) -> DataFrame:
+def severity_counts(incidents: DataFrame, with_ids: bool = True) -> DataFrame:
+    return incidents.groupBy(inc.category("severity").alias("severity")).agg(F.count(F.lit(1)).alias("count"), *_ids(with_ids)).orderBy("severity")
+
+
+def category_mix(incidents: DataFrame, column: str, with_ids: bool = True) -> DataFrame:
     """``key, label, count, incident_ids`` by count, then label."""
-    out = incidents.groupBy(inc.category(column).alias("label")).agg(F.count(F.lit(1)).alias("count"), _ids())
-    return out.select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "count", "incident_ids").orderBy(F.desc("count"), "label")
+    out = incidents.groupBy(inc.category(column).alias("label")).agg(F.count(F.lit(1)).alias("count"), *_ids(with_ids))
+    return out.select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "count", *_names(with_ids)).orderBy(F.desc("count"), "label")
 
 
-def duration_histogram(measured: DataFrame, metric: str, name: str) -> DataFrame:
+def duration_histogram(measured: DataFrame, metric: str, name: str, with_ids: bool = True) -> DataFrame:
     """``key, label, count, incident_ids`` by bucket; empty buckets are absent."""
-    out = measured.groupBy(times.bucket(F.col(metric)).alias("b")).agg(F.count(F.lit(1)).alias("count"), _ids())
-    return out.orderBy(times.bucket_rank(F.col("b"))).select(F.concat(F.lit(f"{name}:"), "b").alias("key"), times.bucket_label(F.col("b")).alias("label"), "count", "incident_ids")
+    out = measured.groupBy(times.bucket(F.col(metric)).alias("b")).agg(F.count(F.lit(1)).alias("count"), *_ids(with_ids))
+    return out.orderBy(times.bucket_rank(F.col("b"))).select(F.concat(F.lit(f"{name}:"), "b").alias("key"), times.bucket_label(F.col("b")).alias("label"), "count", *_names(with_ids))
 
 
 def _ranked(groups: DataFrame, order: list[Column], top: int) -> DataFrame:
@@ -44,25 +47,28 @@ def _ranked(groups: DataFrame, order: list[Column], top: int) -> DataFrame:
     return groups.withColumn("rn", rn).withColumn("over", F.col("rn") > top)
 
 
-def top_by_count(incidents: DataFrame, column: str, top: int = TOP) -> DataFrame:
-    """The largest categories, and one ``OTHER`` row (last, apart from a category of that name) for the rest."""
-    groups = incidents.groupBy(inc.category(column).alias("k")).agg(F.count(F.lit(1)).alias("count"), F.collect_list("id").alias("ids"))
+def _merged_ids(with_ids: bool) -> list[Column]:
+    return [F.array_sort(F.flatten(F.collect_list("incident_ids"))).alias("incident_ids")] if with_ids else []
+
+
+def top_by_count(incidents: DataFrame, column: str, top: int = TOP, with_ids: bool = True) -> DataFrame:
+    """The largest categories, and one ``OTHER`` row (last, with ``is_overflow``, apart from a category of that name) for the rest."""
+    groups = incidents.groupBy(inc.category(column).alias("k")).agg(F.count(F.lit(1)).alias("count"), *_ids(with_ids))
     ranked = _ranked(groups, [F.desc("count"), F.col("k")], top)
     label = F.when(F.col("over"), "OTHER").otherwise(F.col("k"))
-    out = ranked.groupBy("over", label.alias("label")).agg(F.sum("count").alias("count"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("incident_ids"), F.min("rn").alias("rn"))
-    return out.orderBy("rn").select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "count", "incident_ids")
+    out = ranked.groupBy("over", label.alias("label")).agg(F.sum("count").alias("count"), *_merged_ids(with_ids), F.min("rn").alias("rn"))
+    return out.orderBy("rn").select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "count", *_names(with_ids), F.col("over").alias("is_overflow"))
 
 
-def top_by_pain(measured: DataFrame, column: str, top: int = TOP) -> DataFrame:
+def top_by_pain(measured: DataFrame, column: str, top: int = TOP, with_ids: bool = True) -> DataFrame:
     """As ``top_by_count``, ranked by the sum of known impact, then count, then name."""
-    groups = measured.groupBy(inc.category(column).alias("k")).agg(inc.saturating_sum(F.col("pain")).alias("pain_sum"), F.count(F.lit(1)).alias("count"), F.count("pain").alias("pain_known_count"), F.collect_list("id").alias("ids"))
+    groups = measured.groupBy(inc.category(column).alias("k")).agg(inc.saturating_sum(F.col("pain")).alias("pain_sum"), F.count(F.lit(1)).alias("count"), F.count("pain").alias("pain_known_count"), *_ids(with_ids))
     ranked = _ranked(groups, [F.desc("pain_sum"), F.desc("count"), F.col("k")], top)
     label = F.when(F.col("over"), "OTHER").otherwise(F.col("k"))
     out = ranked.groupBy("over", label.alias("label")).agg(
-        inc.saturating_sum(F.col("pain_sum")).alias("pain_sum"), F.sum("count").alias("count"), F.sum("pain_known_count").alias("pain_known_count"),
-        F.array_sort(F.flatten(F.collect_list("ids"))).alias("incident_ids"), F.min("rn").alias("rn"),
+        inc.saturating_sum(F.col("pain_sum")).alias("pain_sum"), F.sum("count").alias("count"), F.sum("pain_known_count").alias("pain_known_count"), *_merged_ids(with_ids), F.min("rn").alias("rn"),
     )
-    return out.orderBy("rn").select(F.concat(F.lit(f"{column}_pain:"), "label").alias("key"), "label", "pain_sum", "count", "pain_known_count", "incident_ids")
+    return out.orderBy("rn").select(F.concat(F.lit(f"{column}_pain:"), "label").alias("key"), "label", "pain_sum", "count", "pain_known_count", *_names(with_ids), F.col("over").alias("is_overflow"))
 
 
 def with_pain(measured: DataFrame) -> DataFrame:

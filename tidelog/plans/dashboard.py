@@ -9,25 +9,45 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import incident as inc
 from tidelog.operators import analytics as an
+from tidelog.operators import membership as ms
 
 
 def measured(incidents: DataFrame) -> DataFrame:
     return an.with_pain(inc.with_metrics(incidents))
 
 
-def frames(incidents: DataFrame) -> dict[str, DataFrame]:
-    """Every data set of the dashboard, each reconciling to the incident total."""
+def frames(incidents: DataFrame, with_ids: bool = True) -> dict[str, DataFrame]:
+    """Every data set of the dashboard, each reconciling to the incident total.
+
+    with_ids: an array of ids in every row, as the document has it; without, the frames stay small however many incidents there are.
+    """
+    m = measured(incidents)
+    return {
+        "severity_counts": an.severity_counts(m, with_ids),
+        "detection_source_mix": an.category_mix(m, "detection_source", with_ids),
+        "it_awareness_lag_buckets": an.duration_histogram(m, "it_awareness_lag_seconds", "it_awareness_lag", with_ids),
+        "time_to_mitigation_buckets": an.duration_histogram(m, "time_to_mitigation_seconds", "time_to_mitigation", with_ids),
+        "time_to_resolve_buckets": an.duration_histogram(m, "mttr_seconds", "time_to_resolve", with_ids),
+        "top_vendors_by_count": an.top_by_count(m, "vendor", with_ids=with_ids),
+        "top_services_by_count": an.top_by_count(m, "service", with_ids=with_ids),
+        "top_vendors_by_pain": an.top_by_pain(m, "vendor", with_ids=with_ids),
+        "top_services_by_pain": an.top_by_pain(m, "service", with_ids=with_ids),
+    }
+
+
+def members(incidents: DataFrame) -> dict[str, DataFrame]:
+    """The same data sets with bitmaps of their members, for sets of incidents of any size (``operators.membership``)."""
     m = measured(incidents)
     return {
-        "severity_counts": an.severity_counts(m),
-        "detection_source_mix": an.category_mix(m, "detection_source"),
-        "it_awareness_lag_buckets": an.duration_histogram(m, "it_awareness_lag_seconds", "it_awareness_lag"),
-        "time_to_mitigation_buckets": an.duration_histogram(m, "time_to_mitigation_seconds", "time_to_mitigation"),
-        "time_to_resolve_buckets": an.duration_histogram(m, "mttr_seconds", "time_to_resolve"),
-        "top_vendors_by_count": an.top_by_count(m, "vendor"),
-        "top_services_by_count": an.top_by_count(m, "service"),
-        "top_vendors_by_pain": an.top_by_pain(m, "vendor"),
-        "top_services_by_pain": an.top_by_pain(m, "service"),
+        "severity_counts": ms.severity(m),
+        "detection_source_mix": ms.mix(m, "detection_source"),
+        "it_awareness_lag_buckets": ms.histogram(m, "it_awareness_lag_seconds", "it_awareness_lag"),
+        "time_to_mitigation_buckets": ms.histogram(m, "time_to_mitigation_seconds", "time_to_mitigation"),
+        "time_to_resolve_buckets": ms.histogram(m, "mttr_seconds", "time_to_resolve"),
+        "top_vendors_by_count": ms.top_by_count(m, "vendor"),
+        "top_services_by_count": ms.top_by_count(m, "service"),
+        "top_vendors_by_pain": ms.top_by_pain(m, "vendor"),
+        "top_services_by_pain": ms.top_by_pain(m, "service"),
     }
 
 

@@ -67,7 +67,7 @@ def _items(frame: DataFrame, name: str = "label") -> list[str]:
 def _head(incidents: DataFrame, title: str) -> list[str]:
     """The report up to the incident table, from small aggregated frames."""
     m = dashboard.measured(incidents)
-    f = dashboard.frames(incidents)
+    f = dashboard.frames(incidents, with_ids=False)
     points = [an.rank_percentiles(m, x).first() for x in METRICS]
     total = points[0]["total"]
     out = [f"# {title}", "", f"Incident count: **{total}**", "", HEADINGS["summary"], ""]
@@ -79,7 +79,7 @@ def _head(incidents: DataFrame, title: str) -> list[str]:
         out += ["", *([HEADINGS[above], ""] if above else []), HEADINGS[name], "", *_items(f[frame])]
     for kind in ("vendors", "services"):
         out += ["", HEADINGS[f"{kind}_pain"], ""]
-        out += [f"- {r['label']}: pain_sum={r['pain_sum']}, incidents={r['count']}, pain_known={r['pain_known_count']}" for r in f[f"top_{kind}_by_pain"].drop("incident_ids").collect()]
+        out += [f"- {r['label']}: pain_sum={r['pain_sum']}, incidents={r['count']}, pain_known={r['pain_known_count']}" for r in f[f"top_{kind}_by_pain"].collect()]
     out += ["", HEADINGS["response"], "", HEADINGS["mitigation"], "", *_items(f["time_to_mitigation_buckets"]), "", HEADINGS["resolve"], "", *_items(f["time_to_resolve_buckets"])]
     out += ["", HEADINGS["incidents"], "", "In the order of `external_id` (none first), `title` and `id`.", ""]
     return [*out, "| External ID | Title | Severity | Detection | Vendor | Service | MTTR | Warnings |", "|---|---|---|---|---|---|---:|---:|"]

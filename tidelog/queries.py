@@ -16,6 +16,7 @@ from tidelog.functions.warn import codes
 from tidelog.operators import analytics as an
 from tidelog.operators import drafts as dr
 from tidelog.operators import evidence as ev
+from tidelog.operators import membership as ms
 from tidelog.operators import tables as tb
 from tidelog.plans import dashboard, importing, report, sanitizing
 from tidelog.schema import METRICS, MOMENTS
@@ -94,61 +95,88 @@ def query(name: str, sql: str | None = None, ctes: str = INC) -> Callable[[Query
     return keep
 
 
-def _text(c: str) -> Column:
-    """An array of ids as one string, so that results compare by value."""
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+# --- distributions and rankings (A01-A08, A10, L01, W05, X04-X06, P03, P04); members are bitmaps, a row for each bucket and 32,768 ids
 
 
-IDS = "string_agg(id::VARCHAR, ',' ORDER BY id) AS incident_ids"
+def _bits_sql(source: str, *keys: str) -> str:
+    """``source`` (keys and id) as bitmaps: keys, block, in_block and a hash of the bitmap in hexadecimal."""
+    k = "".join(f"{x}, " for x in keys)
+    block = "CASE WHEN id > 0 THEN (id - 1) // 32768 + 1 ELSE -(-id // 32768) END"
+    return f"""(SELECT {k}block, sum(n)::BIGINT AS in_block, sha256(string_agg(printf('%02X', v), '' ORDER BY octet)) AS bits FROM (
+      SELECT {k}block, octet, sum(v)::BIGINT AS v, sum(n) AS n FROM (
+        SELECT {k}{block} AS block, abs(id - CASE WHEN id > 0 THEN 1 ELSE 0 END) % 32768 // 8 AS octet, 1 << (abs(id - CASE WHEN id > 0 THEN 1 ELSE 0 END) % 8)::INT AS v, 1 AS n FROM (SELECT DISTINCT {k}id FROM {source})
+        UNION ALL SELECT {k}block, octet, 0, 0 FROM (SELECT DISTINCT {k}{block} AS block FROM {source}), range(4096) r(octet)) GROUP BY ALL) GROUP BY ALL)"""
 
-# --- distributions and rankings
 
+def _bits(sets: DataFrame, *columns: str | Column) -> DataFrame:
+    """Bitmaps as they compare by value."""
+    return sets.select(*columns, "block", F.bitmap_count("bits").alias("in_block"), F.sha2(F.hex("bits").cast("binary"), 256).alias("bits"))
 
-@query("severity_counts", f"SELECT coalesce(severity, 'UNKNOWN') AS severity, count(*) AS n, {IDS} FROM inc GROUP BY 1")
+
+_COUNT = F.col("count").alias("n")
+
+
+@query("severity_counts", f"SELECT severity, sum(in_block) OVER (PARTITION BY severity)::BIGINT AS n, block, in_block, bits FROM {_bits_sql("(SELECT id, coalesce(severity, 'UNKNOWN') AS severity FROM inc)", 'severity')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return an.severity_counts(ad.incidents(s, d)).select("severity", F.col("count").alias("n"), _text("incident_ids"))
+    return _bits(ms.severity(ad.incidents(s, d)), "severity", _COUNT)
 
 
-@query("detection_source_mix", f"SELECT 'detection_source:' || coalesce(detection_source, 'UNKNOWN') AS key, coalesce(detection_source, 'UNKNOWN') AS label, count(*) AS n, {IDS} FROM inc GROUP BY 1, 2")
+@query("detection_source_mix", f"SELECT 'detection_source:' || label AS key, label, sum(in_block) OVER (PARTITION BY label)::BIGINT AS n, block, in_block, bits FROM {_bits_sql("(SELECT id, coalesce(detection_source, 'UNKNOWN') AS label FROM inc)", 'label')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return an.category_mix(ad.incidents(s, d), "detection_source").select("key", "label", F.col("count").alias("n"), _text("incident_ids"))
+    return _bits(ms.mix(ad.incidents(s, d), "detection_source"), "key", "label", _COUNT)
 
 
 _BUCKET = "CASE WHEN {c} IS NULL THEN 'unknown' " + " ".join(f"WHEN {{c}} <= {t} THEN '{k}'" for t, k, _ in times.BUCKETS) + f" ELSE '{times.OVER[0]}' END"
 _LABEL = "CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in times.BUCKET_LABELS.items()) + " END"
 for _metric, _name in (("it_awareness_lag_seconds", "it_awareness_lag"), ("time_to_mitigation_seconds", "time_to_mitigation"), ("mttr_seconds", "time_to_resolve")):
 
-    @query(f"duration_histogram_{_name}", f"SELECT '{_name}:' || b AS key, {_LABEL} AS label, count(*) AS n, {IDS} FROM (SELECT id, {_BUCKET.format(c=_metric)} AS b FROM m) GROUP BY b")
+    @query(f"duration_histogram_{_name}", f"SELECT '{_name}:' || b AS key, {_LABEL} AS label, sum(in_block) OVER (PARTITION BY b)::BIGINT AS n, block, in_block, bits FROM {_bits_sql(f'(SELECT id, {_BUCKET.format(c=_metric)} AS b FROM m)', 'b')}")
     def _(s: SparkSession, d: str, metric: str = _metric, name: str = _name) -> DataFrame:
-        return an.duration_histogram(inc.with_metrics(ad.incidents(s, d)), metric, name).select("key", "label", F.col("count").alias("n"), _text("incident_ids"))
+        return _bits(ms.histogram(inc.with_metrics(ad.incidents(s, d)), metric, name), "key", "label", _COUNT)
 
 
 def _top_sql(column: str, pain: bool) -> str:
     by = "pain_sum DESC, n DESC, k" if pain else "n DESC, k"
-    extra = "sum(pain_sum)::BIGINT AS pain_sum, sum(known)::BIGINT AS pain_known, " if pain else ""
-    return f"""SELECT CASE WHEN rn > 8 THEN 'OTHER' ELSE k END AS label, {extra}sum(n)::BIGINT AS n, (SELECT string_agg(x, ',' ORDER BY x::BIGINT) FROM (SELECT unnest(string_split(string_agg(ids, ','), ',')) AS x)) AS incident_ids, min(rn) AS rn FROM (
-      SELECT *, row_number() OVER (ORDER BY {by}) AS rn FROM (SELECT coalesce({column}, 'UNKNOWN') AS k, coalesce(sum(pain), 0)::BIGINT AS pain_sum, count(pain) AS known, count(*) AS n, string_agg(id::VARCHAR, ',') AS ids FROM p GROUP BY 1))
-      GROUP BY rn > 8, 1"""
+    extra = "pain_sum, pain_known, " if pain else ""
+    return f"""{extra}n, rn, block, in_block, bits FROM (SELECT CASE WHEN rn > 8 THEN 'OTHER' ELSE k END AS label, rn > 8 AS is_overflow, sum(pain_sum)::BIGINT AS pain_sum, sum(known)::BIGINT AS pain_known, sum(n)::BIGINT AS n, min(rn) AS rn FROM placed GROUP BY 1, 2)
+      JOIN {_bits_sql("(SELECT p.id, CASE WHEN rn > 8 THEN 'OTHER' ELSE k END AS label, rn > 8 AS is_overflow FROM p JOIN placed ON coalesce(p." + column + ", 'UNKNOWN') = k)", "label", "is_overflow")} USING (label, is_overflow)""", f"""placed AS (
+      SELECT *, row_number() OVER (ORDER BY {by}) AS rn FROM (SELECT coalesce({column}, 'UNKNOWN') AS k, coalesce(sum(pain), 0)::BIGINT AS pain_sum, count(pain) AS known, count(*) AS n FROM p GROUP BY 1))"""
 
 
 for _c in ("vendor", "service"):
+    for _pain in (False, True):
+        _sql, _placed = _top_sql(_c, _pain)
 
-    @query(f"top_{_c}s_by_count", _top_sql(_c, False))
-    def _(s: SparkSession, d: str, c: str = _c) -> DataFrame:
-        out = an.top_by_count(ad.incidents(s, d), c)
-        return _with_rank(out, ["label", F.col("count").alias("n")])
+        @query(f"dashboard_{_c}_pain" if _pain else f"top_{_c}s_by_count", f"SELECT label, is_overflow, {_sql}", f"{INC}, {_placed}")
+        def _(s: SparkSession, d: str, c: str = _c, pain: bool = _pain) -> DataFrame:
+            i = ad.incidents(s, d)
+            if pain:
+                return _bits(ms.top_by_pain(dashboard.measured(i), c), "label", "is_overflow", "pain_sum", F.col("pain_known_count").alias("pain_known"), _COUNT, "rn")
+            return _bits(ms.top_by_count(i, c), "label", "is_overflow", _COUNT, "rn")
 
-    @query(f"dashboard_{_c}_pain", _top_sql(_c, True))
-    def _(s: SparkSession, d: str, c: str = _c) -> DataFrame:
-        out = an.top_by_pain(dashboard.measured(ad.incidents(s, d)), c)
-        return _with_rank(out, ["label", "pain_sum", F.col("pain_known_count").alias("pain_known"), F.col("count").alias("n")])
+
+@query("bucket_intersection", f"SELECT * FROM {_bits_sql("(SELECT id FROM p WHERE severity = 'SEV1' AND mttr_seconds > 86400)")}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = inc.with_metrics(ad.incidents(s, d))
+    return _bits(ms.intersect(ms.severity(m).filter("severity = 'SEV1'"), ms.histogram(m, "mttr_seconds", "r").filter("key = 'r:gt_24h'")))
 
 
-def _with_rank(ranked: DataFrame, columns: list) -> DataFrame:
-    from pyspark.sql import Window
+@query("bucket_difference", f"SELECT * FROM {_bits_sql("(SELECT id FROM p WHERE coalesce(severity, '') <> 'SEV1' AND mttr_seconds > 86400)")}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = inc.with_metrics(ad.incidents(s, d))
+    return _bits(ms.minus(ms.histogram(m, "mttr_seconds", "r").filter("key = 'r:gt_24h'"), ms.severity(m).filter("severity = 'SEV1'")))
 
-    # nine rows at most
-    return ranked.withColumn("rn", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).select(*columns, _text("incident_ids"), "rn")
+
+@query("bucket_crossing", f"SELECT coalesce(severity, 'UNKNOWN') AS severity, {_BUCKET.format(c='mttr_seconds')} AS bucket, count(*) AS n FROM m GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = inc.with_metrics(ad.incidents(s, d))
+    by = ms.histogram(m, "mttr_seconds", "r").withColumn("label", F.substr("key", F.lit(3)))
+    return ms.crossed(ms.severity(m).withColumnRenamed("severity", "label"), by).select(F.col("a_label").alias("severity"), F.col("b_label").alias("bucket"), _COUNT)
+
+
+@query("bucket_ids", "SELECT coalesce(severity, 'UNKNOWN') AS severity, id FROM inc")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ms.ids(ms.severity(ad.incidents(s, d))).select("severity", "id")
 
 
 @query("incident_metrics", f"SELECT id, {', '.join(METRICS)}, pain FROM p")
@@ -210,10 +238,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return an.summaries(ad.incidents(s, d), 2).withColumn("warning_count", F.col("warning_count").cast("long"))
 
 
-@query("bucket_reconciliation", "SELECT count(*)::BIGINT AS count_sum, count(*) AS n_ids, count(DISTINCT id) AS distinct_ids, count(*) AS total, true AS ok FROM inc")
+@query("bucket_reconciliation", "SELECT count(*)::BIGINT AS count_sum, count(DISTINCT id) AS distinct_ids, count(*) AS total, true AS ok FROM inc")
 def _(s: SparkSession, d: str) -> DataFrame:
     i = ad.incidents(s, d)
-    return an.reconciles(an.top_by_count(i, "vendor"), i)
+    return ms.reconciles(ms.top_by_count(i, "vendor"), i)
 
 
 @query("saturating_sum", "SELECT vendor, CASE WHEN sum(x) > 9223372036854775807 THEN 9223372036854775807 ELSE sum(x) END::BIGINT AS total FROM (SELECT vendor, (9000000000000000000 + id)::HUGEINT AS x FROM inc) GROUP BY vendor")
@@ -281,8 +309,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("drill_down", "SELECT id, title FROM p WHERE mttr_seconds > 86400")
 def _(s: SparkSession, d: str) -> DataFrame:
     i = ad.incidents(s, d)
-    b = an.duration_histogram(inc.with_metrics(i), "mttr_seconds", "r").filter(F.col("key") == "r:gt_24h").select(F.explode("incident_ids").alias("id"))
-    return tb.in_ids(i, b).select("id", "title")
+    return ms.rows_of(i, ms.histogram(inc.with_metrics(i), "mttr_seconds", "r").filter("key = 'r:gt_24h'")).select("id", "title")
 
 
 @query("redacted_events", "SELECT id FROM tl WHERE text = '[REDACTED]'", INC + "," + EVENTS)
