@@ -262,7 +262,9 @@ def nodes(rows: DataFrame, convs: DataFrame) -> DataFrame:
     late = late.select("i", F.greatest("lo", "v").alias("lo"), F.least("hi", "w").alias("hi"), "r", F.least("mn", "mn2").alias("mn"))
     segments = kind(_SEGMENT, "i", "lo", "hi", "r", "mn").unionByName(late).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "r", "mn"))).alias("segs"))
     far = kind(_ASKED, "blk", "lcp", "x", "block").drop("x").join(kind(_SUFFIX, "block", "v", "w", "l2"), "block").filter("v < lcp AND w >= lcp").select(F.col("blk").alias("block"), "lcp", "l2")
-    placed = order.join(kind(_OPENER, "i", "x", "y", "l1").drop("x", "y"), "i", "left").join(far, ["block", "lcp"], "left").withColumn("l", F.coalesce("l1", "l2")).select("i", "conv_id", "len", "lcp", "l")
+    opened = kernels.cut(order.join(kind(_OPENER, "i", "x", "y", "l").drop("x", "y"), "i", "left").select("i", "block", "conv_id", "len", "lcp", "l"))
+    outside = opened.filter("l IS NULL AND i > 0").drop("l").join(far, ["block", "lcp"]).withColumnRenamed("l2", "l")  # openers in earlier blocks
+    placed = opened.filter("l IS NOT NULL OR i = 0").unionByName(outside).drop("block")
     kids = placed.filter("len > lcp AND i > 0").groupBy("l", "lcp").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("l").alias("i")).agg(F.collect_list(F.struct(F.col("lcp").alias("depth"), "n")).alias("kids"))
     copies = placed.filter("len = lcp").select("l", "conv_id")
     firsts = placed.join(copies.select(F.col("l").alias("i")).distinct(), "i", "left_semi").select(F.col("i").alias("l"), "conv_id")
