@@ -68,7 +68,7 @@ class Session:
             if found is None:
                 raise TidelogError("PROFILE_NOT_FOUND", "There is no such profile", str(mapping))
             mapping = found["mapping"]
-        cells = issues_csv.mapped(issues_csv.read(self.spark, path), issues_csv.header(self.spark, path), mapping)
+        cells = issues_csv.mapped(issues_csv.read_ranges(self.spark, path), issues_csv.header(self.spark, path), mapping)
         result = importing.upsert(issues_csv.staged(cells), self.workspace.table("incidents"))
         out = result.summary()
         self.workspace.replace("incidents", result.incidents)

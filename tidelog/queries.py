@@ -478,6 +478,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return got.select(number.alias("id"), "external_id", "title", "severity", "vendor", "impact_pct", "resolve_ts", "bad")
 
 
+@query("csv_ranges", """SELECT row_number() OVER (ORDER BY id) - 1 AS row, id, CASE WHEN id % 8 = 0 THEN 'DUP-' || (id % 40) ELSE external_id END AS external_id, CASE WHEN id % 12 <> 0 THEN title END AS title, vendor, false AS bad FROM inc""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # files in the order of the ids, each read in many ranges; every row has line ends and quotes inside
+    cells = _cells(s, d).withColumn("description", F.concat(F.lit('line one, "quoted"\n\n,",\nid='), F.col("row").cast("string")))
+    path = f"{durable.folder(s)}/tidelog/{uuid.uuid4().hex}"
+    out = cells.repartitionByRange("row").sortWithinPartitions("row").select(*[F.col(f).alias(f"Field {f}") for f in issues_csv.FIELDS])
+    out.write.option("header", True).option("escape", '"').csv(path)
+    got = issues_csv.mapped(issues_csv.read_ranges(s, path, 1 << 15), issues_csv.header(s, path), {f: f"Field {f}" for f in issues_csv.FIELDS})
+    return got.select("row", F.regexp_extract("description", r"\nid=(\d+)$", 1).cast("long").alias("id"), "external_id", "title", "vendor", "bad")
+
+
 _START = f"CASE WHEN start_ts IS NULL AND id % 4 <> 1 THEN NULL WHEN id % 4 = 0 THEN strftime(start_ts, '%Y-%m-%d %H:%M:%S') WHEN id % 4 = 1 THEN '01/05/2026 12:00' ELSE {_ts('start_ts')} END"
 
 

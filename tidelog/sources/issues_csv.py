@@ -13,6 +13,7 @@ from tidelog.functions import incident as inc
 from tidelog.functions import times
 from tidelog.functions.warn import compact, warning
 from tidelog.schema import MOMENTS, PERCENTS, TEXTS, WARNINGS
+from tidelog.sources import csv_ranges
 
 BAD = "_corrupt_record"
 FIELDS = (*TEXTS, *PERCENTS, *MOMENTS)
@@ -29,7 +30,8 @@ def header(spark: SparkSession, path: str) -> list[str]:
 def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """``row`` (0-based) and every column as text ``c0, c1, ...``; rows of another width carry ``_corrupt_record``.
 
-    A file is one partition because quoted fields may span lines; many files are read in parallel.
+    A file is one partition, as Spark's reader has it where quoted fields may span lines; many files are read in parallel.  For one large
+    file there is ``read_ranges``.
     """
     n = len(header(spark, path))
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(n)]
@@ -41,6 +43,14 @@ def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     return reader.csv(path).withColumn("row", F.monotonically_increasing_id())
 
 
+def read_ranges(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """As ``read``, with many tasks for each file; rows are numbered from 0 through the files in order of their paths.  In
+    ``_corrupt_record`` lines end with line feeds, whatever they end with in the file."""
+    names = [f"c{i}" for i in range(len(header(spark, path)))]
+    rows = csv_ranges.rows(spark, path, range_bytes).withColumn("x", csv_ranges.fields(F.col("text"), names, BAD))
+    return rows.select("row", "x.*")
+
+
 def preview(spark: SparkSession, path: str, max_rows: int) -> tuple[list[str], list[list[str]]]:
     """Headers and the first rows; any bad row is an error."""
     names = header(spark, path)
