@@ -535,6 +535,30 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return importing.upsert(staged, first).outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("import_in_order", f"""SELECT id * 10 + k AS row, CASE WHEN k = 0 AND id % 3 <> 1 THEN 'skipped' WHEN k = 2 AND id % 3 = 2 THEN 'inserted' ELSE 'updated' END AS outcome,
+  CASE WHEN k = 0 AND id % 3 <> 1 THEN '{importing.CONFLICT_ON_UPDATE}' END AS reason FROM inc, range(3) t(k) WHERE ack_ts IS NOT NULL AND NOT (id % 3 = 0 AND k = 1)""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Rows that depend on earlier ones, for every incident.  Beside it a companion with another title and the same moments is stored.  A row
+    that gives the companion the incident's title fails while the incident has it, and succeeds after a row has given that another one; a row
+    without an id then finds whichever has the fingerprint, or nobody."""
+    i = ad.incidents(s, d).filter("ack_ts is not null").withColumn("external_id", F.concat(F.lit("I-"), F.col("id").cast("string")))
+    other = i.withColumns({"id": -F.col("id") - 1, "external_id": F.concat(F.lit("C-"), F.col("id").cast("string")), "title": F.concat(F.lit("Companion "), F.col("id").cast("string"))})
+    both = i.unionByName(other)
+    stored = durable.written(both.withColumn("fingerprint", inc.fingerprint()))
+    n = F.col("id")
+    rename = F.struct(F.col("external_id").alias("ext"), F.concat(F.lit("Renamed "), n.cast("string")).alias("name"), F.lit(False).alias("timed"), F.lit(None).cast("string").alias("sev"))
+    take = F.struct(F.concat(F.lit("C-"), n.cast("string")).alias("ext"), F.col("title").alias("name"), F.lit(False).alias("timed"), F.lit(None).cast("string").alias("sev"))
+    find = F.struct(F.lit(None).cast("string").alias("ext"), F.col("title").alias("name"), F.lit(True).alias("timed"), F.lit("SEV9").alias("sev"))
+    nothing = F.lit(None).cast(s.createDataFrame([], "x struct<ext:string,name:string,timed:boolean,sev:string>").schema["x"].dataType)
+    steps = F.when(n % 3 == 0, F.array(take, nothing, find)).when(n % 3 == 1, F.array(rename, take, find)).otherwise(F.array(take, rename, find))
+    rows = i.select("*", F.posexplode(steps).alias("k", "step")).filter("step is not null")
+    cells = rows.select(
+        (n * 10 + F.col("k")).alias("row"), F.lit(False).alias("bad"), F.col("step.ext").alias("external_id"), F.col("step.name").alias("title"), F.col("step.sev").alias("severity"),
+        *[F.when(F.col("step.timed"), F.col(m)).alias(m) for m in MOMENTS], *[F.lit(None).cast("string").alias(f) for f in issues_csv.FIELDS if f not in ("external_id", "title", "severity", *MOMENTS)],
+    )
+    return importing.upsert(issues_csv.staged(cells), stored).outcomes.select("row", "outcome", "reason")
+
+
 @query("assigned_ids", "SELECT row_number() OVER (ORDER BY id) AS id, id AS row FROM fr WHERE ext IS NULL OR rn = 1", INC + "," + _UPSERT)
 def _(s: SparkSession, d: str) -> DataFrame:
     first = importing.first_rows(issues_csv.staged(_cells(s, d))).filter("usable and reason is null").drop("id")
