@@ -129,6 +129,18 @@ def data_hash(incidents: DataFrame) -> DataFrame:
     return incidents.sparkSession.createDataFrame([(digest.hexdigest(),)], "data_hash string")
 
 
+def content_hash(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``content_hash, rows``: 256 bits that change with any value of any row, and not with the rows' order.
+
+    The four 64-bit parts of each row's SHA-256 are added up apart, modulo 2^64, so tasks and table versions add up too, and repeated rows count.
+    """
+    digest = rows.select(F.sha2(F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    part = lambda k: F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")
+    sums = digest.agg(*[F.coalesce(F.sum(part(k)), F.lit(0)).alias(f"s{k}") for k in range(4)], F.count(F.lit(1)).alias("rows"))
+    wrapped = lambda k: F.lpad(F.lower(F.conv((F.col(f"s{k}") % F.lit(str(2**64)).cast("decimal(38,0)")).cast("string"), 10, 16)), 16, "0")
+    return sums.select(F.concat(*[wrapped(k) for k in range(4)]).alias("content_hash"), "rows")
+
+
 def summaries(incidents: DataFrame, version: int = 2) -> DataFrame:
     """The dashboard's incident list, in canonical order."""
     m = with_warnings(inc.with_metrics(incidents))

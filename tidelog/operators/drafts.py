@@ -42,11 +42,20 @@ def artifact_hash() -> Column:
 
 
 def create(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The table with new drafts: checked, hashed, numbered in their chains, with ids from the largest on in the order of ``created_at`` and hash."""
+    """The table with new drafts: checked, hashed, numbered in their chains, with ids from the largest on in the order of ``created_at`` and hash.
+
+    A hash is stored once: a draft that is there already, or twice among the new ones, is an error (``not_known`` leaves those out).  Called inside
+    ``Workspace.update`` this holds for several writers too.
+    """
     wrong = new.select(fault().alias("e")).filter("e is not null").limit(1).collect()
     if wrong:
         raise TidelogError(wrong[0]["e"]["code"], wrong[0]["e"]["message"])
-    rows = with_revisions(new.withColumn("artifact_hash", artifact_hash()).drop("id"), existing)
+    hashed = new.withColumn("artifact_hash", artifact_hash()).drop("id")
+    again = existing.select("artifact_hash").join(hashed.select("artifact_hash").distinct(), "artifact_hash", "left_semi").unionByName(hashed.groupBy("artifact_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("artifact_hash"))
+    repeat = again.first()
+    if repeat:
+        raise TidelogError("DB_AI_DRAFT_CREATE_FAILED", "A draft with this content is stored already", f"artifact_hash={repeat['artifact_hash']}")
+    rows = with_revisions(hashed, existing)
     return existing.unionByName(tables.next_ids(rows, existing, [F.col("created_at"), F.col("artifact_hash")]).select(*existing.columns))
 
 
@@ -99,5 +108,6 @@ def with_revisions(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def not_known(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New drafts whose hash is not there yet."""
-    return new.join(existing.select("artifact_hash"), "artifact_hash", "left_anti")
+    """New drafts whose hash is not there yet, each once (the one with the smallest id, if they have ids)."""
+    once = tables.first_of(new, "artifact_hash", [F.col("id").asc_nulls_last(), F.col("created_at")], exempt_null=False)
+    return once.join(existing.select("artifact_hash"), "artifact_hash", "left_anti")

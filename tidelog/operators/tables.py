@@ -74,18 +74,35 @@ def ranked(frame: DataFrame, order: list[Column], name: str = "rn") -> DataFrame
     return placed.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + inside + 1).drop("__range", "__at", "__before")
 
 
+def _distinct_in_order(values: DataFrame, column: str) -> DataFrame:
+    """``value, rn``: distinct non-blank values with their place in order, from 1."""
+    return ranked(values.select(F.col(column).alias("value")).filter(F.trim("value") != "").distinct(), [F.col("value")])
+
+
 def numbered(values: DataFrame, column: str, prefix: str) -> DataFrame:
     """``value, pseudonym``: distinct non-blank values, numbered in order from 001."""
-    v = values.select(F.col(column).alias("value")).filter(F.trim("value") != "").distinct()
-    return v.withColumn("pseudonym", F.format_string("%s_%03d", F.lit(prefix), F.row_number().over(Window.orderBy("value"))))
+    return _distinct_in_order(values, column).select("value", F.format_string("%s_%03d", F.lit(prefix), "rn").alias("pseudonym"))
+
+
+#: Letters of a name at most: names of 13 letters are more than a long counts.
+LETTERS = 13
+
+
+def letters(n: Column) -> Column:
+    """1, 2, ... as A..Z, AA, AB, ..., ZZ, AAA, ...: numbers in base 26 without a zero."""
+    start = F.struct(F.lit("").alias("text"), n.cast("long").alias("rest"))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        more = F.struct(F.concat(F.char((rest - 1) % 26 + 65), state["text"]).alias("text"), F.call_function("div", rest - 1, F.lit(26).cast("long")).alias("rest"))
+        return F.when(rest > 0, more).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LETTERS)), start, step, lambda state: state["text"])
 
 
 def lettered(values: DataFrame, column: str, prefix: str) -> DataFrame:
-    """As ``numbered`` with letters A..Z; from the 27th on, AA, AB, ..."""
-    v = values.select(F.col(column).alias("value")).filter(F.trim("value") != "").distinct()
-    n = F.row_number().over(Window.orderBy("value")) - 1
-    letters = F.when(F.col("n") < 26, F.char(F.col("n") + 65)).otherwise(F.concat(F.char(F.floor(F.col("n") / 26) + 64), F.char(F.col("n") % 26 + 65)))
-    return v.withColumn("n", n).select("value", F.concat(F.lit(f"{prefix}_"), letters).alias("pseudonym"))
+    """As ``numbered`` with letters A..Z; from the 27th on, AA, AB, ..., and so on with more letters."""
+    return _distinct_in_order(values, column).select("value", F.concat(F.lit(f"{prefix}_"), letters(F.col("rn"))).alias("pseudonym"))
 
 
 def incident_keys(incidents: DataFrame) -> DataFrame:

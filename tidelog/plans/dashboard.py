@@ -68,14 +68,17 @@ def payload(incidents: DataFrame, version: int = 2) -> dict:
 
 
 class Cache:
-    """Payloads by data hash and version for a time; the clock is an argument."""
+    """Payloads for a time, by what stands for the incidents' contents and by version; the clock is an argument.
+
+    A workspace gives a key for each version of a table; without one the contents are hashed in Spark, whatever their order.
+    """
 
     def __init__(self, ttl_seconds: float = 300):
         self.ttl, self.kept = ttl_seconds, {}
         self.hits = self.misses = 0
 
-    def get(self, incidents: DataFrame, version: int, now: float) -> dict:
-        key = an.data_hash(incidents).first()["data_hash"]
+    def get(self, incidents: DataFrame, version: int, now: float, key: str | None = None) -> dict:
+        key = key or an.content_hash(incidents).first()["content_hash"]
         held = self.kept.get(version)
         if held and held[0] == key and now - held[1] < self.ttl:
             self.hits += 1

@@ -19,6 +19,7 @@ class ImportResult:
     incidents: DataFrame  # the new version of the table
     outcomes: DataFrame  # row, outcome (inserted / updated / skipped), reason, external_id, fingerprint
     warnings: DataFrame  # row, code, message, details
+    changes: DataFrame  # the rows of the new version that changed or came
 
     def summary(self) -> dict[str, int]:
         n = {r["outcome"]: r["n"] for r in self.outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -177,10 +178,11 @@ def upsert(staged: DataFrame, incidents: DataFrame) -> ImportResult:
     changed = final.filter("came is null").withColumn("id", F.col("old_id"))
     added = tables.next_ids(final.filter("came is not null"), incidents, [F.col("came")])
     kept = incidents.join(changed.select("id"), "id", "left_anti")
-    table = kept.select(*names).unionByName(changed.select(*names)).unionByName(added.select(*names))
+    changes = changed.select(*names).unionByName(added.select(*names))
+    table = kept.select(*names).unionByName(changes)
     lost = ranked.filter("not usable or reason is not null").select("row", F.lit("skipped").alias("outcome"), "reason", "external_id", "fingerprint")
     outcomes = settled.select("row", "outcome", "reason", "external_id", "fingerprint").unionByName(lost)
     # a row that repeats an id is dropped before its cells are read
     seen = ranked.filter(F.col("reason").isNull() | (F.col("reason") != REPEATED_ID))
     warnings = seen.select("row", F.posexplode("row_warnings").alias("pos", "w")).orderBy("row", "pos").select("row", "w.*")
-    return ImportResult(table, outcomes, warnings)
+    return ImportResult(table, outcomes, warnings, changes)

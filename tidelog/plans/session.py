@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.errors import TidelogError
 from tidelog.functions import incident as inc
 from tidelog.operators import drafts as dr
@@ -18,7 +19,7 @@ from tidelog.operators import tables as tb
 from tidelog.plans import backup, dashboard, drafting, importing, report, sanitizing
 from tidelog.schema import DRAFT
 from tidelog.sources import demo, issues_csv, transcripts
-from tidelog.sources.workspace import Workspace
+from tidelog.sources.workspace import Changed, Snapshot, Workspace
 
 #: Workspaces that are remembered; chunks and drafts that a list shows at once.
 RECENT, SHOWN_CHUNKS, SHOWN_DRAFTS = 8, 50, 25
@@ -45,12 +46,13 @@ class Session:
     def create(self, root: str) -> Workspace:
         return self._use(Workspace.create(self.spark, root))
 
-    def open(self, root: str) -> Workspace:
-        return self._use(Workspace.open(self.spark, root))
+    def open(self, root: str, migrate: bool = False) -> Workspace:
+        """A workspace that lacks schema steps is an error unless the user has agreed to apply them."""
+        return self._use(Workspace.open(self.spark, root, migrate))
 
-    def load_all(self, root: str, now: float = 0.0) -> dict:
+    def load_all(self, root: str, now: float = 0.0, migrate: bool = False) -> dict:
         """Opens a workspace and reads what the first page shows, in that order: incidents, dashboard, validation, report."""
-        self.open(root)
+        self.open(root, migrate)
         return {"incidents": self.incidents()[0], "dashboard": self.dashboard(now=now), "validation": self.validation(), "report": self.report()}
 
     # incidents
@@ -58,7 +60,7 @@ class Session:
     def seed_demo(self) -> int:
         if not self.workspace.is_empty():
             raise TidelogError("DEMO_NOT_EMPTY", "The demonstration set needs an empty workspace")
-        self.workspace.replace("incidents", demo.incidents(self.spark))
+        self.workspace.update(lambda at: {"incidents": demo.incidents(self.spark)})
         return self.workspace.counts()["incidents"]
 
     def import_csv(self, path: str, mapping: Mapping[str, str | None] | int) -> dict:
@@ -69,9 +71,15 @@ class Session:
                 raise TidelogError("PROFILE_NOT_FOUND", "There is no such profile", str(mapping))
             mapping = found["mapping"]
         cells = issues_csv.mapped(issues_csv.read_ranges(self.spark, path), issues_csv.header(self.spark, path), mapping)
-        result = importing.upsert(issues_csv.staged(cells), self.workspace.table("incidents"))
-        out = result.summary()
-        self.workspace.replace("incidents", result.incidents)
+        out: dict[str, int] = {}
+
+        def upsert(at: Snapshot) -> dict:
+            result = importing.upsert(issues_csv.staged(cells), at.table("incidents"))
+            out.update(result.summary())
+            changes = durable.written(result.changes)
+            return {"incidents": Changed(changes, changes.select("id"))}
+
+        self.workspace.update(upsert)
         return out
 
     def preview_csv(self, path: str, max_rows: int = 20) -> tuple[list[str], list[list[str]]]:
@@ -91,7 +99,8 @@ class Session:
         return rows.filter(F.size("warnings") > 0).select("id", "external_id", "title", "warnings").orderBy(*inc.canonical_order())
 
     def dashboard(self, version: int = 2, now: float = 0.0) -> dict:
-        return self._cache.get(self.workspace.table("incidents"), version, now)
+        at = self.workspace.snapshot()
+        return self._cache.get(at.table("incidents"), version, now, at.key("incidents"))
 
     def report(self) -> str:
         return report.markdown(self.workspace.table("incidents"))
@@ -103,24 +112,32 @@ class Session:
 
     def ingest_transcript(self, text: str, created_at: str, incident_id: int | None = None, title: str | None = None) -> DataFrame:
         """Adds the messages; its warnings come back."""
-        w = self.workspace
-        incidents, events, warnings = transcripts.ingest(text, w.table("incidents"), w.table("timeline_events"), created_at, incident_id, title)
-        w.replace("timeline_events", events)
-        if title is not None:
-            w.replace("incidents", incidents)
-        return warnings
+        found: list[DataFrame] = []
+
+        def ingest(at: Snapshot) -> dict:
+            incidents, events, warnings = transcripts.ingest(text, at.table("incidents"), at.table("timeline_events"), created_at, incident_id, title)
+            found[:] = [warnings]
+            return {"timeline_events": events} | ({"incidents": incidents} if title is not None else {})
+
+        self.workspace.update(ingest)
+        return found[0]
 
     # evidence
 
     def add_source(self, source_type: str, origin_kind: str, label: str, created_at: str, path: str | None = None, text: str | None = None) -> str:
         new = ev.new_source(self.spark, source_type, origin_kind, label, created_at, path, text)
-        self.workspace.replace("sources", ev.register(self.workspace.table("sources"), new))
+        self.workspace.update(lambda at: {"sources": ev.register(at.table("sources"), new)})
         return new.first()["source_id"]
 
     def build_chunks(self, source: str | None = None) -> int:
-        w = self.workspace
-        w.replace("chunks", ev.rebuild(self.spark, w.table("sources"), w.table("chunks"), lambda folder: sanitizing.read(self.spark, folder), source))
-        return w.table("chunks").count()
+        """Chunks of all sources anew, or of one, of which only its part of the table is written; the number of chunks."""
+
+        def build(at: Snapshot) -> dict:
+            made = ev.rebuild(self.spark, at.table("sources"), None, lambda folder: sanitizing.read(self.spark, folder), source)
+            return {"chunks": made if source is None else Changed(made, self.spark.createDataFrame([(source,)], "source_id string"))}
+
+        self.workspace.update(build)
+        return self.workspace.table("chunks").count()
 
     def chunks(self, limit: int = SHOWN_CHUNKS, offset: int = 0, source: str | None = None) -> tuple[DataFrame, dict]:
         return ev.chunk_page(self.workspace.table("chunks"), limit, offset, source)
@@ -138,10 +155,16 @@ class Session:
 
     def build_index(self, embed: ev.Embedder, model: str, updated_at: str, source: str | None = None) -> ev.IndexStatus:
         w = self.workspace
-        vectors, status = ev.refresh_index(w.table("chunks"), w.table("vectors"), self.index_status(), embed, model, updated_at, source)
-        w.replace("vectors", vectors)
-        ev.write_status(w.files, status)
-        return status
+        made: list[ev.IndexStatus] = []
+
+        def build(at: Snapshot) -> dict:
+            vectors, status = ev.refresh_index(at.table("chunks"), at.table("vectors"), self.index_status(), embed, model, updated_at, source)
+            made[:] = [status]
+            return {"vectors": vectors}
+
+        w.update(build)
+        ev.write_status(w.files, made[0])
+        return made[0]
 
     def ask(self, embed: ev.Embedder, question: str, k: int = 10, sources: list[str] | None = None) -> DataFrame:
         w = self.workspace
@@ -157,10 +180,16 @@ class Session:
         """Generates, checks and stores a section; its id."""
         made = drafting.draft(self.workspace.table("chunks"), chosen, section, quarter, wish, generate)
         row = dict.fromkeys(DRAFT.fieldNames()) | {"quarter_label": quarter, "section_type": section, "draft_text": made["text"], "citation_chunk_ids": made["citations"], "model_name": model, "model_params_hash": drafting.params_hash(model), "prompt_template_version": "v1", "created_at": created_at, "parent_draft_id": parent}
-        old = self.workspace.table("drafts")
-        new = dr.create(self.spark.createDataFrame([row], DRAFT), old)
-        self.workspace.replace("drafts", new)
-        return self.workspace.table("drafts").agg(F.max("id")).first()[0]
+        new = self.spark.createDataFrame([row], DRAFT)
+        ids: list[int] = []
+
+        def create(at: Snapshot) -> dict:
+            drafts = durable.written(dr.create(new, at.table("drafts")))
+            ids[:] = [drafts.agg(F.max("id")).first()[0]]
+            return {"drafts": drafts}
+
+        self.workspace.update(create)
+        return ids[0]
 
     def drafts(self, quarter: str | None = None, limit: int = SHOWN_DRAFTS) -> DataFrame:
         return dr.listed(self.workspace.table("drafts"), quarter).limit(limit)
@@ -181,8 +210,13 @@ class Session:
 
     def import_sanitized(self, folder: str) -> list[dict]:
         """Fills an empty workspace from an export; what was lost on the way comes back as notes."""
-        w = self.workspace
-        incidents, events, notes = sanitizing.restore(self.spark, folder, w.is_empty())
-        w.replace("incidents", incidents)
-        w.replace("timeline_events", events)
-        return notes
+        found: list[list[dict]] = []
+
+        def fill(at: Snapshot) -> dict:
+            empty = all(at.table(n).isEmpty() for n in ("incidents", "timeline_events", "artifacts"))
+            incidents, events, notes = sanitizing.restore(self.spark, folder, empty)
+            found[:] = [notes]
+            return {"incidents": incidents, "timeline_events": events}
+
+        self.workspace.update(fill)
+        return found[0]

@@ -353,6 +353,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tag("vendor", tb.lettered(i, "vendor", "VENDOR")).unionByName(tag("service", tb.numbered(i, "service", "SERVICE"))).unionByName(tag("detection_source", tb.numbered(i, "detection_source", "DETECT")))
 
 
+@query("pseudonyms_of_many", """WITH v AS (SELECT user_id::VARCHAR AS value FROM events UNION SELECT 'd' || doc_id FROM documents), n AS (SELECT value, row_number() OVER (ORDER BY value) AS n FROM v),
+  l AS (SELECT *, CASE WHEN n <= 26 THEN 1 WHEN n <= 702 THEN 2 WHEN n <= 18278 THEN 3 WHEN n <= 475254 THEN 4 WHEN n <= 12356630 THEN 5 ELSE 6 END AS size FROM n)
+  SELECT value, 'V_' || list_aggregate([chr(65 + (((n - 1 - [0, 26, 702, 18278, 475254, 12356630][size]) // (26 ** (size - 1 - i))::BIGINT) % 26)::INT) FOR i IN range(0, size)], 'string_agg', '') AS pseudonym FROM l""", "")
+def _(s: SparkSession, d: str) -> DataFrame:
+    users = ad.table(s, d, "events").select(F.col("user_id").cast("string").alias("value"))
+    docs = ad.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("value"))
+    return tb.lettered(users.unionByName(docs), "value", "V")
+
+
 _SAN_COLUMNS = ["incident_key", "severity", "detection_source", "vendor", "service", "impact_pct", "service_health_pct", *MOMENTS, *METRICS, "warning_count"]
 
 
@@ -791,6 +800,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dr.create(new, old).filter("id > 10").select(F.col("id").alias("new_id"), "artifact_hash")
 
 
+@query("draft_repeats", f"SELECT 10 + row_number() OVER (ORDER BY created_at, h, id) AS new_id, h AS artifact_hash FROM (SELECT id, created_at, sha256({_DRAFT_JSON}) AS h FROM dr WHERE len(cites) > 0) WHERE id % 3 <> 0", DRAFTS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    # every draft is offered twice, and every third is stored already
+    x = dr.valid(ad.drafts(s, d)).withColumns({"parent_draft_id": F.lit(None).cast("long"), "artifact_hash": dr.artifact_hash()})
+    stored = x.filter("id % 3 = 0").unionByName(x.limit(1).withColumns({"id": F.lit(10).cast("long"), "artifact_hash": F.lit("other")}))
+    fresh = dr.not_known(x.unionByName(x), stored)
+    base = stored.filter("artifact_hash = 'other'")
+    return dr.create(fresh, base).filter("id > 10").select(F.col("id").alias("new_id"), "artifact_hash")
+
+
 @query("draft_revisions", "SELECT a.id, CASE WHEN b.id IS NULL THEN 1 ELSE 2 END AS revision_number FROM dr a LEFT JOIN dr b ON a.parent_draft_id = b.id WHERE a.parent_draft_id IS NULL OR b.id IS NOT NULL", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     x = ad.drafts(s, d)
@@ -840,6 +859,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return an.data_hash(ad.incidents(s, d))
 
 
+@query("content_hash", """SELECT string_agg(printf('%016x', x), '' ORDER BY k) AS content_hash, any_value(n) AS rows FROM (
+  SELECT k, (sum(('0x' || substr(h, 16 * k + 1, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::UBIGINT AS x, count(*) AS n FROM (
+    SELECT k, sha256('{"id":' || id || ',"external_id":' || coalesce('"' || external_id || '"', 'null') || ',"title":"' || title || '","severity":' || coalesce('"' || severity || '"', 'null') || '}') AS h FROM inc, range(4) r(k)) GROUP BY k)""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return an.content_hash(ad.incidents(s, d), ["id", "external_id", "title", "severity"])
+
+
 @query("file_safe_times", f"SELECT id, regexp_replace({_ts('first_observed_ts')}, '[^A-Za-z0-9]', '_', 'g') AS name FROM inc")
 def _(s: SparkSession, d: str) -> DataFrame:
     return ad.incidents(s, d).select("id", times.file_safe(F.col("first_observed_ts")).alias("name"))
