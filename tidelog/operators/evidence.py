@@ -18,6 +18,8 @@ from tidelog.sources.workspace import Files
 
 CHUNK_BYTES = 1600
 SNIPPET_BYTES = 280
+#: Texts above this size are packed by ``packed_by_jumps``.
+LONG_BYTES = 1 << 20
 TOP_K_MAX = 50
 CONTEXT_MAX = 50
 EMBED_BYTES = 12_000
@@ -56,6 +58,34 @@ def packed(text: Column, most: int = CHUNK_BYTES) -> Column:
     return F.aggregate(paragraphs(text), empty, add, lambda s: F.when(s["buf"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))))
 
 
+def packed_by_jumps(sources: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
+    """As ``packed``, for texts of any number of paragraphs: ``source_id, ordinal, text``.
+
+    Running sums of bytes tell for every paragraph where the next chunk would begin if one began with it.  Following these pointers from the
+    first paragraph marks the chunks' beginnings; pointers are doubled each round, so a text of a million chunks takes twenty rounds.
+    """
+    rows = sources.select("source_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "p"))
+    by = Window.partitionBy("source_id").orderBy("pos")
+    # where a paragraph begins, with the two bytes between paragraphs; one row more ends the text
+    begin = F.coalesce(F.sum(F.octet_length("p")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 2 * F.col("pos")
+    rows = durable.written(rows.withColumn("u", begin.cast("long")))
+    end = rows.groupBy("source_id").agg((F.max("pos") + 1).alias("pos"), F.max(F.col("u") + F.octet_length("p") + 2).alias("u"))
+    reach = Window.partitionBy("source_id").orderBy("u").rangeBetween(Window.unboundedPreceding, most + 2)
+    following = F.greatest(F.count(F.lit(1)).over(reach) - 1, F.col("pos") + 1).cast("int")
+    jump = durable.written(rows.select("source_id", "pos", "u").unionByName(end).withColumn("to", following).join(end.select("source_id", F.col("pos").alias("n")), "source_id").filter("to < n").select("source_id", "pos", "to"))
+    marks = durable.written(rows.filter("pos = 0").select("source_id", "pos"))
+    while True:
+        more = durable.written(marks.join(jump, ["source_id", "pos"]).select("source_id", F.col("to").alias("pos")))
+        if more.isEmpty():
+            break
+        marks = marks.unionByName(more)
+        further = jump.select("source_id", F.col("pos").alias("to"), F.col("to").alias("then"))
+        jump = durable.written(jump.join(further, ["source_id", "to"]).select("source_id", "pos", F.col("then").alias("to")))
+    counted = rows.join(marks.withColumn("first", F.lit(1)), ["source_id", "pos"], "left").withColumn("ordinal", (F.sum(F.coalesce("first", F.lit(0))).over(by) - 1).cast("int"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])  # of one chunk
+    return counted.groupBy("source_id", "ordinal").agg(F.array_join(pieces, "\n\n").alias("text"))
+
+
 #: The kinds of sources, of origins and of chunks.
 SOURCE_TYPES = ("sanitized_export", "slack_transcript", "incident_report_md", "freeform_text")
 ORIGINS = ("file", "directory", "paste")
@@ -82,9 +112,14 @@ def chunk_rows(drafts: DataFrame) -> DataFrame:
     return out.withColumn("chunk_id", F.sha2(key, 256)).select("chunk_id", "source_id", "ordinal", "text", "text_sha256", "token_count_est", "meta")
 
 
-def chunks(sources: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
-    """sources (source_id, text) -> the chunks of their paragraphs."""
-    drafts = sources.select("source_id", F.posexplode(packed(F.col("text"), most)).alias("ordinal", "text"))
+def chunks(sources: DataFrame, most: int = CHUNK_BYTES, long_bytes: int = LONG_BYTES) -> DataFrame:
+    """sources (source_id, text) -> the chunks of their paragraphs.  Texts of more than ``long_bytes`` are packed paragraph by paragraph over the
+    cluster, others each in its row; the chunks are the same."""
+    is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
+    drafts = sources.filter(~is_long).select("source_id", F.posexplode(packed(F.col("text"), most)).alias("ordinal", "text"))
+    large = sources.filter(is_long)
+    if not large.isEmpty():
+        drafts = drafts.unionByName(packed_by_jumps(large, most))
     return chunk_rows(drafts.withColumn("meta", meta(F.lit(PARAGRAPH))))
 
 
@@ -105,6 +140,7 @@ def bundle_text() -> Column:
 def bundle_chunks(source_id: str, incidents: DataFrame, events: DataFrame, warnings: DataFrame) -> DataFrame:
     """The chunks of an export without free text: one for each incident, in order of key.  The tables are those of ``sanitizing.read``,
     whose events may bring ``pos``, their place in the file; else they are ordered as the export writes them."""
+    events = events.join(incidents.select("incident_key"), "incident_key", "left_semi")  # those of unknown incidents may be many
     order = ["pos"] if "pos" in events.columns else [F.col("ts").isNotNull().alias("known"), "ts", "source"]
     per_event = events.groupBy("incident_key").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct("ts", "source", "kind", "text_redacted").alias("e")))).alias("x"))
     per_event = per_event.select("incident_key", F.transform("x", lambda x: x["e"]).alias("events"))
@@ -146,16 +182,25 @@ def new_source(spark: SparkSession, source_type: str, origin_kind: str, label: s
     return row.select(source_id(F.col("type"), F.col("origin_kind"), F.col("path")).alias("source_id"), "type", "origin_kind", "path", "label", "created_at", line_ends(F.col("text")).alias("text"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark names it when it reads it: with the scheme and host of its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def source_texts(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """``source_id, text`` of the registered sources that hold text: pastes as stored, files read whole by Spark."""
     pasted = sources.filter("origin_kind = 'paste'").select("source_id", "text")
-    paths = [r["path"] for r in sources.filter("origin_kind = 'file' and type <> 'sanitized_export'").select("path").distinct().collect()]  # registered by hand
-    if not paths:
+    in_files = sources.filter("origin_kind = 'file' and type <> 'sanitized_export'").select("source_id", "path")
+    named = [(r["source_id"], qualified(spark, r["path"])) for r in in_files.collect()]  # registered by hand
+    if not named:
         return pasted
-    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), F.decode("content", "utf-8").alias("text"))
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    files = sources.filter("origin_kind = 'file' and type <> 'sanitized_export'").withColumn("path", plain).drop("text").join(read, "path")
-    return pasted.unionByName(files.select("source_id", "text"))
+    read = spark.read.format("binaryFile").load(sorted({p for _, p in named})).select(F.col("path").alias("__path"), F.decode("content", "utf-8").alias("text"))
+    files = durable.written(spark.createDataFrame(named, "source_id string, __path string").join(read, "__path", "left").select("source_id", "text"))
+    lost = [r["source_id"] for r in files.filter("text is null").select("source_id").limit(5).collect()]
+    if lost:
+        raise TidelogError("AI_EVIDENCE_SOURCE_INVALID", "A registered file gives no text", ", ".join(lost))
+    return pasted.unionByName(files)
 
 
 def rebuild(spark: SparkSession, sources: DataFrame, stored: DataFrame | None, read_export: Callable[[str], tuple[DataFrame, DataFrame, DataFrame]], only: str | None = None) -> DataFrame:

@@ -41,7 +41,9 @@ def incident_rows(incidents: DataFrame) -> DataFrame:
 
 def event_rows(events: DataFrame, incidents: DataFrame) -> DataFrame:
     keys = tables.incident_keys(incidents).withColumnRenamed("id", "incident_id")
-    return events.join(keys, "incident_id", "left").select(F.coalesce("incident_key", F.lit("INC_UNKNOWN")).alias("incident_key"), "source", "ts", "kind", F.lit(True).alias("text_redacted"))
+    # events without an incident need no partner, and may be many
+    known = events.filter("incident_id is not null").join(keys, "incident_id", "left")
+    return known.unionByName(events.filter("incident_id is null").withColumn("incident_key", F.lit(None).cast("string"))).select(F.coalesce("incident_key", F.lit("INC_UNKNOWN")).alias("incident_key"), "source", "ts", "kind", F.lit(True).alias("text_redacted"))
 
 
 def warning_rows(incidents: DataFrame) -> DataFrame:

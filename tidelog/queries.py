@@ -341,7 +341,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("event_keys", "SELECT tl.id, coalesce(incident_key, 'INC_UNKNOWN') AS incident_key FROM tl LEFT JOIN ik ON tl.incident_id = ik.id", INC + "," + EVENTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     keys = tb.incident_keys(ad.incidents(s, d)).withColumnRenamed("id", "incident_id")
-    return ad.timeline(s, d).join(keys, "incident_id", "left").select("id", F.coalesce("incident_key", F.lit("INC_UNKNOWN")).alias("incident_key"))
+    e = ad.timeline(s, d)
+    known = e.filter("incident_id is not null").join(keys, "incident_id", "left").select("id", F.coalesce("incident_key", F.lit("INC_UNKNOWN")).alias("incident_key"))
+    return known.unionByName(e.filter("incident_id is null").select("id", F.lit("INC_UNKNOWN").alias("incident_key")))
 
 
 @query("pseudonyms", """SELECT 'vendor' AS field, vendor AS value, 'VENDOR_' || chr((64 + row_number() OVER (ORDER BY vendor))::INT) AS pseudonym FROM (SELECT DISTINCT vendor FROM inc WHERE trim(vendor) <> '')
@@ -602,7 +604,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return transcripts.events(_chat(s, d)).select("source_id", "idx", "ts", "author", "text")
 
 
-@query("transcript_json_events")
+@query("transcript_json_events", """SELECT conv_id::VARCHAR AS source_id, (row_number() OVER (PARTITION BY conv_id ORDER BY role, text, turn) - 1)::INT AS idx,
+  strftime(to_timestamp(1700000000 + turn) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '.0001Z' AS ts, role AS author, trim(text) AS text FROM conversations""", "")
 def _(s: SparkSession, d: str) -> DataFrame:
     c = ad.table(s, d, "conversations")
     item = F.struct(F.lit("message").alias("type"), F.col("role").alias("user"), F.col("text"), F.concat((F.lit(1700000000) + F.col("turn")).cast("string"), F.lit(".000100")).alias("ts"))
@@ -654,6 +657,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).drop("meta")
 
 
+@query("evidence_chunks_by_jumps", "SELECT * FROM chunk", CHUNKS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    # every text goes the way of the long ones
+    return ev.chunks(ad.sources(s, d), long_bytes=0).drop("meta")
+
+
 @query("chunk_listing", f"SELECT chunk_id, source_id, ordinal, text_sha256, token_count_est, {_snippet_sql('text')} AS snippet FROM chunk", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
     return ev.listing(_chunks(s, d))
@@ -740,11 +749,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return hits.join(ev.locator(v), "chunk_id").select("chunk_id", "locator.source_id", "locator.text_sha256")
 
 
-@query("index_build")
+_EMBEDDED = f"CASE WHEN strlen(text) <= {ev.EMBED_BYTES} THEN text ELSE left(text, len([n FOR n IN range(1, {ev.EMBED_BYTES + 1}) IF strlen(left(text, n::BIGINT)) <= {ev.EMBED_BYTES}])::BIGINT) END"
+
+
+@query("index_build", f"SELECT chunk_id, text_sha256, length(t)::BIGINT AS n, length(t) - length(replace(t, 'a', '')) AS n_a, length(t) - length(replace(t, 'b', '')) AS n_b FROM (SELECT *, {_EMBEDDED} AS t FROM chunk)", CHUNKS)
 def _(s: SparkSession, d: str) -> DataFrame:
     c = _chunks(s, d)
     none = c.select("chunk_id", "text_sha256", F.array().cast("array<float>").alias("embedding")).limit(0)
-    return ev.build_index(c, none, lambda xs: [[float(len(x)), float(x.count("a")), float(x.count("b"))] for x in xs])
+    built = ev.build_index(c, none, lambda xs: [[float(len(x)), float(x.count("a")), float(x.count("b"))] for x in xs])
+    return built.select("chunk_id", "text_sha256", *[F.col("embedding")[i].cast("long").alias(name) for i, name in enumerate(("n", "n_a", "n_b"))])
 
 
 @query("latest_sources", "SELECT source AS source_id, max(doc_id) AS newest FROM documents GROUP BY 1", "")
@@ -822,9 +835,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ad.drafts(s, d).select("id", F.array_join(ev.cited(F.col("draft_text")), ",").alias("cited"))
 
 
-@query("uncited_bullets")
+@query("uncited_bullets", """SELECT id, coalesce(list_aggregate([i::VARCHAR FOR i IN list_transform(b, lambda x, i: CASE WHEN NOT contains(x, '[[chunk:') THEN i END) IF i IS NOT NULL], 'string_agg', ','), '') AS missing
+  FROM (SELECT id, [x FOR x IN string_split(CASE WHEN id % 3 = 0 THEN replace(draft_text, '[[chunk: ', '(') WHEN id % 3 = 1 THEN replace(draft_text, ' ', chr(10) || ' - ') ELSE draft_text END, chr(10)) IF starts_with(ltrim(x), '- ') OR starts_with(ltrim(x), '* ')] AS b FROM dr)""", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return ad.drafts(s, d).select("id", F.array_join(F.transform(ev.uncited(F.col("draft_text"), "bullet"), lambda x: x.cast("string")), ",").alias("missing"))
+    # some drafts lose their first citation, some have a bullet for every word
+    text = F.when(F.col("id") % 3 == 0, F.replace("draft_text", F.lit("[[chunk: "), F.lit("("))).when(F.col("id") % 3 == 1, F.replace("draft_text", F.lit(" "), F.lit("\n - "))).otherwise(F.col("draft_text"))
+    return ad.drafts(s, d).select("id", F.array_join(F.transform(ev.uncited(text, "bullet"), lambda x: x.cast("string")), ",").alias("missing"))
 
 
 @query("citations_not_allowed", "SELECT id, 'c' || turn AS cited FROM dr WHERE turn > 6 AND turn <> conv_id % 7", DRAFTS)

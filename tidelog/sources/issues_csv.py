@@ -80,14 +80,14 @@ def staged(cells: DataFrame) -> DataFrame:
     row = F.concat(F.lit("row="), F.col("row").cast("string"))
     warnings: list[Column] = []
     for m in MOMENTS:
-        stored = F.when(F.col(f"{m}_raw").isNotNull() & F.col(m).isNull(), warning("INGEST_TS_RAW_STORED", f"Stored raw timestamp for {m} (no canonical)", row))
+        stored = F.when(F.col(f"{m}_raw").isNotNull() & F.col(m).isNull(), warning("INGEST_TS_RAW_STORED", f"{m} was kept as it was written, as its time is not certain", row))
         warnings += [F.col(f"{m}_warnings"), compact(stored)]
     for p in PERCENTS:
         x = inc.percent(F.col(p), p)
         out = out.withColumns({f"__c_{p}": x["value"], f"__w_{p}": x["warnings"]})
         warnings.append(F.col(f"__w_{p}"))
-    title = compact(warning("INGEST_MISSING_TITLE", "Row missing required title", row))
-    broken = compact(warning("INGEST_CSV_PARSE_FAILED", "Failed to parse CSV row", row))
+    title = compact(warning("INGEST_MISSING_TITLE", "The row has no title", row))
+    broken = compact(warning("INGEST_CSV_PARSE_FAILED", "The row does not fit the header", row))
     out = out.withColumn("row_warnings", F.when(F.col("bad"), broken).when(F.col("title").isNull(), title).otherwise(F.concat(*warnings)).cast(WARNINGS))
     out = out.withColumns({p: F.col(f"__c_{p}") for p in PERCENTS}).withColumn("fingerprint", inc.fingerprint())
     return times.once(out.drop(*[c for c in out.columns if c.startswith("__") or c.endswith("_warnings") and c != "row_warnings"]))
