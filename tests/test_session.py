@@ -70,7 +70,7 @@ def test_recent_list(spark, tmp_path):
     assert s.recent[0] == w.root and len(s.recent) == RECENT and f"/old{RECENT - 1}" not in s.recent
 
 
-def test_prompts_and_models():
+def test_prompts_and_models(spark):
     for section in drafting.TASKS:
         text = drafting.prompt(section, "2026-Q1", "be brief", "[[chunk:c]] ...")
         assert "2026-Q1" in text and "be brief" in text and text.endswith("[[chunk:c]] ...") and "do not calculate" in text

@@ -65,7 +65,7 @@ def test_distributions(story):
 
 def test_percentiles(story):
     m = inc.with_metrics(story[0])
-    got = {x: tuple(an.rank_percentiles(m, x).first())[1:] for x in METRICS}
+    got = {r["metric"]: tuple(r)[1:] for r in an.rank_percentiles(m, list(METRICS)).collect()}
     assert got["mttd_seconds"] == (3, 5, 60, 60) and got["mttr_seconds"] == (4, 5, 3000, 7200)
     assert m.agg(an.percentile(F.col("mtta_seconds"), 90)).first()[0] == 60
 

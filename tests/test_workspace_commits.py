@@ -145,3 +145,23 @@ def test_the_dashboard_follows_edits(spark, tmp_path):
     assert "SEV9" in {r["severity"] for r in second["severity_counts"]} and second["incident_count"] == first["incident_count"]
     now = s.workspace.snapshot().state["tables"]["incidents"]["parts"]
     assert len([p for p in now if now[p] != parts.get(p)]) == 1
+
+
+def chain(spark, n, first=0):
+    return [dict.fromkeys(DRAFT.fieldNames()) | {"id": first + i, "parent_draft_id": first + i - 1 if i else None, "revision_number": i + 1} for i in range(n)]
+
+
+def test_ancestors_of_a_deep_chain_and_rings(spark):
+    rows = chain(spark, 10_000)
+    ring = [dict.fromkeys(DRAFT.fieldNames()) | {"id": 20_000 + i, "parent_draft_id": 20_000 + (i + 1) % 3} for i in range(3)]
+    into = [dict.fromkeys(DRAFT.fieldNames()) | {"id": 20_010, "parent_draft_id": 20_000}, dict.fromkeys(DRAFT.fieldNames()) | {"id": 20_011, "parent_draft_id": 99_999}]
+    drafts = spark.createDataFrame(rows + ring + into, DRAFT)
+    got = dr.ancestors(drafts, spark.createDataFrame([(9_999,), (3,), (20_000,), (20_011,)], "id long")).orderBy("id", "position").collect()
+    assert [tuple(r) for r in got] == [(3, i, i) for i in range(4)] + [(9_999, i, i) for i in range(10_000)]
+    assert sorted((r.id, r.code) for r in dr.rings(drafts).collect()) == [(i, "DB_AI_DRAFT_RING") for i in (20_000, 20_001, 20_002, 20_010)]
+
+
+def test_siblings_in_order(spark):
+    rows = [dict.fromkeys(DRAFT.fieldNames()) | {"id": i, "parent_draft_id": p, "revision_number": v} for i, p, v in ((1, None, 1), (2, 1, 3), (3, 1, 2), (4, 1, 2), (5, 9, 1))]
+    got = dr.siblings(spark.createDataFrame(rows, DRAFT)).orderBy("id", "position").collect()
+    assert [tuple(r) for r in got] == [(2, 3, 1), (2, 4, 2), (3, 4, 1), (3, 2, 2), (4, 3, 1), (4, 2, 2)]

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog import durable
 from tidelog.functions import incident as inc
 from tidelog.functions import times
 
@@ -86,22 +87,30 @@ def percentile(values: Column, p: int) -> Column:
     return F.when(F.size(known) > 0, F.get(known, at))
 
 
-def rank_percentiles(measured: DataFrame, metric: str, points: tuple[int, ...] = (50, 90)) -> DataFrame:
-    """``metric, known, total, p50, p90``, exact for any number of rows.
+def rank_percentiles(measured: DataFrame, metrics: list[str], by: tuple[str, ...] = (), points: tuple[int, ...] = (50, 90)) -> DataFrame:
+    """``<by>, metric, known, total, p50, p90`` of all metrics (and groups), exact for any number of rows.
 
-    The values are counted by value first, so the ranking runs over distinct durations with a running sum
-    in two steps (ranges, then the range that holds the rank) and no task gets all incidents.
+    One pass over the rows counts the values of every metric by value.  Ranks are then looked for among distinct durations, all at once, with
+    running sums in two steps: over ranges of values, and in the range that holds the rank.
     """
-    counts = measured.groupBy(F.col(metric).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    keys = [*by, "metric"]
+    stacked = measured.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")).select(*by, "x.*")
+    counts = durable.written(stacked.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("known"), F.sum("n").alias("total"))
     ranges = counts.filter("v is not null").withColumn("r", F.shiftright("v", 10))
-    total = measured.agg(F.count(metric).alias("known"), F.count(F.lit(1)).alias("total"))
-    per = ranges.groupBy("r").agg(F.sum("n").alias("m"))
-    before = per.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    inside = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranges.join(before, "r").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    picks = placed.crossJoin(F.broadcast(total))  # one row
-    values = [F.min(F.when(F.col("upto") > F.floor((F.col("known") - 1) * p / 100), F.col("v"))).alias(f"p{p}") for p in points]
-    return total.crossJoin(F.broadcast(picks.agg(*values))).select(F.lit(metric).alias("metric"), "known", "total", *[f"p{p}" for p in points])
+    over = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy(*keys, "r").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(over), F.lit(0))).drop("m").alias("b")
+    inside = Window.partitionBy(*keys, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranges.withColumn("upto", F.sum("n").over(inside)).alias("a")
+    placed = placed.join(before, [*equal_columns("a", "b", keys), F.col("a.r") == F.col("b.r")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "v", (F.col("before") + F.col("upto")).alias("upto"))
+    joined = totals.alias("t").join(placed.alias("p"), equal_columns("t", "p", keys), "left")
+    picks = [F.min(F.when(F.col("upto") > F.floor((F.col("known") - 1) * p / 100), F.col("v"))).alias(f"p{p}") for p in points]
+    return joined.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], "known", "total").agg(*picks)
+
+
+def equal_columns(a: str, b: str, keys: list[str]) -> list[Column]:
+    """Join conditions on keys that may be null."""
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
 
 
 def known_of_total(measured: DataFrame, columns: list[str]) -> DataFrame:

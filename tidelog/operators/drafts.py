@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog import durable
@@ -73,10 +73,38 @@ def listed(drafts: DataFrame, quarter: str | None = None) -> DataFrame:
 
 
 def lineage(drafts: DataFrame) -> DataFrame:
-    """``id, root_id, depth`` (0 at the root) of every draft whose chain of parents is whole.
+    """``id, root_id, depth`` (0 at the root) of every draft whose chain of parents is whole; drafts in a ring or without a known root are left out."""
+    return _walked(drafts).filter("done").select("id", F.col("up").alias("root_id"), F.col("steps").cast("int").alias("depth"))
 
-    By pointer jumping: each round doubles the reach of every draft, so a chain of a million takes twenty; drafts in a ring or
-    without a known root never arrive and are left out.
+
+def rings(drafts: DataFrame) -> DataFrame:
+    """``id, code``: drafts whose parents lead round in a ring, or into one."""
+    return _walked(drafts).filter("not done").select("id", F.lit("DB_AI_DRAFT_RING").alias("code"))
+
+
+def ancestors(drafts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``id, position, ancestor_id``: the path from the root (position 0) to each draft itself, or to those whose ``id`` is in ``only``.
+
+    Ancestors 1, 2, 4, ... levels up are tables; each round puts those of one more distance behind all that are known, so every row of the result is made
+    once, in as many rounds as the depth has binary digits.  Drafts without a whole chain are left out.
+    """
+    whole = durable.written(lineage(drafts).select("id", "depth"))
+    chosen = whole if only is None else whole.join(only.select("id").distinct(), "id", "left_semi")
+    above = durable.written(drafts.filter("parent_draft_id is not null").select("id", F.col("parent_draft_id").alias("up")).join(whole.select("id"), "id", "left_semi"))
+    paths, step = durable.written(chosen.select("id", "depth", F.lit(0).alias("distance"), F.col("id").alias("ancestor_id"))), 1
+    while True:
+        more = durable.written(paths.join(above.select(F.col("id").alias("ancestor_id"), "up"), "ancestor_id").select("id", "depth", (F.col("distance") + step).alias("distance"), F.col("up").alias("ancestor_id")))
+        if more.isEmpty():
+            break
+        paths, step = paths.unionByName(more), step * 2
+        above = durable.written(above.join(above.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+    return paths.select("id", (F.col("depth") - F.col("distance")).alias("position"), "ancestor_id")
+
+
+def _walked(drafts: DataFrame) -> DataFrame:
+    """Every draft followed up its parents by pointer jumping: each round doubles the reach, so a chain of a million takes twenty.
+
+    ``done`` are those at a root; drafts in a ring never arrive, those without a known root go.
     """
     state = durable.written(drafts.select("id", F.coalesce("parent_draft_id", "id").alias("up"), F.when(F.col("parent_draft_id").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent_draft_id").isNull().alias("done")))
     # a chain has fewer steps than there are drafts
@@ -86,12 +114,17 @@ def lineage(drafts: DataFrame) -> DataFrame:
         above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
         moved = state.filter("not done").join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"))
         state = durable.written(state.filter("done").unionByName(moved))
-    return state.filter("done").select("id", F.col("up").alias("root_id"), F.col("steps").cast("int").alias("depth"))
+    return state
 
 
 def siblings(drafts: DataFrame) -> DataFrame:
+    """``id, sibling_id, position``: other drafts of the same parent, by revision and id, from 1."""
     a = drafts.filter("parent_draft_id is not null").select("id", "parent_draft_id")
-    return a.join(a.select(F.col("id").alias("sibling_id"), "parent_draft_id"), "parent_draft_id").filter("id <> sibling_id").select("id", "sibling_id")
+    place = F.row_number().over(Window.partitionBy("parent_draft_id").orderBy("revision_number", "id"))
+    b = drafts.filter("parent_draft_id is not null").select(F.col("id").alias("sibling_id"), "parent_draft_id", place.alias("place"))
+    own = b.select(F.col("sibling_id").alias("id"), F.col("place").alias("own"))
+    pairs = a.join(b, "parent_draft_id").filter("id <> sibling_id").join(own, "id")
+    return pairs.select("id", "sibling_id", (F.col("place") - (F.col("place") > F.col("own")).cast("int")).alias("position"))
 
 
 def children(drafts: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.errors import TidelogError
 from tidelog.operators import evidence
 from tidelog.operators.drafts import SECTIONS
+from tidelog.plans.dashboard import gate
 
 #: What each section asks for, what must carry a citation, and what to do without evidence.
 TASKS = {
@@ -39,22 +40,29 @@ def params_hash(model: str) -> str:
     return hashlib.sha256(json.dumps({"v": 1, "api": "/api/generate", "model": model, "stream": False}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def cited_ids(text: str) -> list[str]:
-    return sorted({x.strip() for x in re.findall(evidence.CITE, text)} - {""})
+def checked(drafts: DataFrame, by: str = "bullet") -> DataFrame:
+    """drafts (``text, allowed``: ids of the chosen chunks) plus ``cited`` and the first ``fault``: a text has to cite, in every bullet or paragraph, and
+    allowed chunks only.  A fault has ``code, message, details``."""
+    fault = lambda code, message, details: F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), details.alias("details"))
+    none = F.lit(None).cast("string")
+    bare = evidence.uncited(F.col("text"), by)
+    out = drafts.withColumn("cited", evidence.cited(F.col("text")))
+    other = F.array_except("cited", "allowed")
+    first = (
+        F.when(~F.contains("text", F.lit(MARK)), fault("AI_CITATION_REQUIRED", "The draft has no citation", none))
+        .when(F.size(bare) > 0, fault("AI_CITATION_REQUIRED", f"A {by} has no citation", F.array_join(F.transform(bare, lambda x: x.cast("string")), ",")))
+        .when(F.size(other) > 0, fault("AI_CITATION_INVALID", "A citation is not among the chosen evidence", F.array_join(other, ",")))
+    )
+    return out.withColumn("fault", first)
 
 
 def check(text: str, allowed: list[str], by: str = "bullet") -> list[str]:
-    """The cited ids, if the text cites, cites allowed chunks only, and leaves no bullet or paragraph without."""
-    if MARK not in text:
-        raise TidelogError("AI_CITATION_REQUIRED", "The draft has no citation")
-    parts = [x for x in text.split("\n") if x.lstrip().startswith(("- ", "* "))] if by == "bullet" else [x for x in text.split("\n\n") if x.strip()]
-    bare = [i + 1 for i, x in enumerate(parts) if MARK not in x]
-    if bare:
-        raise TidelogError("AI_CITATION_REQUIRED", f"A {by} has no citation", ",".join(map(str, bare)))
-    ids = cited_ids(text)
-    if other := sorted(set(ids) - set(allowed)):
-        raise TidelogError("AI_CITATION_INVALID", "A citation is not among the chosen evidence", ",".join(other))
-    return ids
+    """The cited ids of one text; a fault is an error."""
+    one = SparkSession.active().createDataFrame([(text, allowed)], "text string, allowed array<string>")
+    r = checked(one, by).first()
+    if r["fault"]:
+        raise TidelogError(*r["fault"])
+    return r["cited"]
 
 
 def draft(chunk_table: DataFrame, chosen: list[str], section: str, quarter: str, wish: str, generate: Callable[[str], str]) -> dict:
@@ -107,11 +115,19 @@ def guidance(code: str) -> str | None:
 
 def ladder(healthy: bool | None, sources: int, chunks: int, indexed: bool | None, chosen: int) -> dict:
     """What can be done with the evidence so far, and the first thing that is missing for a draft, by its code."""
-    steps = ((healthy is not False, "AI_MODEL_UNREACHABLE"), (sources > 0, "AI_EVIDENCE_EMPTY"), (chunks > 0, "AI_INDEX_NOT_READY"), (indexed is not False, "AI_INDEX_NOT_READY"))
-    missing = next((code for holds, code in steps if not holds), None)
-    search = missing is None and healthy is True and indexed is True
-    draft_ = search and chosen > 0
-    return {"can_search": search, "can_draft": draft_, "missing": missing or (None if draft_ else "AI_CITATION_REQUIRED")}
+    one = SparkSession.active().createDataFrame([(healthy, sources, chunks, indexed, chosen)], "healthy boolean, sources long, chunks long, indexed boolean, chosen long")
+    return ladder_of(one).select("can_search", "can_draft", "missing").first().asDict()
+
+
+#: What a draft needs, in this order: the code of what is missing, and the condition; what isn't known yet doesn't hold anyone up.
+LADDER = [("AI_MODEL_UNREACHABLE", "coalesce(healthy, true)"), ("AI_EVIDENCE_EMPTY", "sources > 0"), ("AI_INDEX_NOT_READY", "chunks > 0 AND coalesce(indexed, true)")]
+
+
+def ladder_of(states: DataFrame) -> DataFrame:
+    """states (``healthy, sources, chunks, indexed, chosen``) plus ``can_search, can_draft, missing``."""
+    out = gate(states, LADDER).withColumn("can_search", F.col("blocked_by").isNull() & F.coalesce(F.col("healthy") & F.col("indexed"), F.lit(False)))
+    out = out.withColumn("can_draft", F.col("can_search") & (F.col("chosen") > 0))
+    return out.withColumn("missing", F.coalesce("blocked_by", F.when(~F.col("can_draft"), "AI_CITATION_REQUIRED"))).drop("blocked_by")
 
 
 def embedding_models(names: list[str]) -> list[str]:

@@ -18,9 +18,10 @@ from tidelog.operators import drafts as dr
 from tidelog.operators import evidence as ev
 from tidelog.operators import membership as ms
 from tidelog.operators import tables as tb
-from tidelog.plans import dashboard, importing, report, sanitizing
+from tidelog.plans import dashboard, drafting, importing, report, sanitizing
 from tidelog.schema import METRICS, MOMENTS
 from tidelog.sources import demo, issues_csv, transcripts
+from tidelog.sources.workspace import Changed, Snapshot, Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,12 +187,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("metric_percentiles", " UNION ALL ".join(f"SELECT '{x}' AS metric, count({x}) AS known, count(*) AS total, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 50) // 100 + 1] AS p50, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 90) // 100 + 1] AS p90 FROM m" for x in METRICS))
 def _(s: SparkSession, d: str) -> DataFrame:
-    m = inc.with_metrics(ad.incidents(s, d)).select(*METRICS)
-    out = None
-    for x in METRICS:
-        one = an.rank_percentiles(m, x)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return an.rank_percentiles(inc.with_metrics(ad.incidents(s, d)), list(METRICS))
+
+
+@query("metric_percentiles_by_severity", " UNION ALL ".join(f"SELECT coalesce(severity, 'UNKNOWN') AS severity, '{x}' AS metric, count({x}) AS known, count(*) AS total, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 50) // 100 + 1] AS p50, (list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL))[((count({x}) - 1) * 90) // 100 + 1] AS p90 FROM m GROUP BY 1" for x in METRICS))
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = inc.with_metrics(ad.incidents(s, d)).withColumn("severity", inc.category("severity"))
+    return an.rank_percentiles(m, list(METRICS), ("severity",))
 
 
 @query("metric_coverage", " UNION ALL ".join(f"SELECT '{x}' AS metric, count({x}) AS known, count(*) AS total FROM m" for x in METRICS))
@@ -798,11 +800,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dr.children(ad.drafts(s, d))
 
 
-@query("draft_siblings", "SELECT a.id, b.id AS sibling_id FROM dr a JOIN dr b ON a.conv_id = b.conv_id AND a.id <> b.id WHERE a.turn > 0 AND b.turn > 0", DRAFTS)
+@query("draft_ancestors", "SELECT a.id, b.turn % 5 AS position, b.id AS ancestor_id FROM dr a JOIN dr b ON a.conv_id = b.conv_id AND a.turn // 5 = b.turn // 5 AND b.turn <= a.turn", DRAFTS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dr.ancestors(ad.drafts(s, d))
+
+
+@query("draft_siblings", """SELECT a.id, b.id AS sibling_id, row_number() OVER (PARTITION BY a.id ORDER BY -b.turn // 2, b.id) AS position FROM dr a JOIN dr b ON a.conv_id = b.conv_id AND a.id <> b.id WHERE a.turn > 0 AND b.turn > 0""", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    # here every turn revises its conversation's first
+    # here every turn revises its conversation's first, and later turns have smaller revision numbers, two the same
     first = F.col("id") - F.col("id") % 1000
-    return dr.siblings(ad.drafts(s, d).withColumn("parent_draft_id", F.when(F.col("id") != first, first)))
+    return dr.siblings(ad.drafts(s, d).withColumns({"parent_draft_id": F.when(F.col("id") != first, first), "revision_number": -F.floor((F.col("id") % 1000) / 2).cast("int")}))
 
 
 @query("draft_created", f"SELECT 10 + row_number() OVER (ORDER BY created_at, h, id) AS new_id, h AS artifact_hash FROM (SELECT id, created_at, sha256({_DRAFT_JSON}) AS h FROM dr WHERE len(cites) > 0)", DRAFTS)
@@ -843,10 +850,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ad.drafts(s, d).select("id", F.array_join(F.transform(ev.uncited(text, "bullet"), lambda x: x.cast("string")), ",").alias("missing"))
 
 
-@query("citations_not_allowed", "SELECT id, 'c' || turn AS cited FROM dr WHERE turn > 6 AND turn <> conv_id % 7", DRAFTS)
+@query("citations_not_allowed", """SELECT id, CASE WHEN NOT contains(t, '[[chunk:') OR bare <> '' THEN 'AI_CITATION_REQUIRED' WHEN other <> '' THEN 'AI_CITATION_INVALID' END AS code,
+  CASE WHEN NOT contains(t, '[[chunk:') THEN NULL WHEN bare <> '' THEN bare WHEN other <> '' THEN other END AS details
+  FROM (SELECT id, t, coalesce(list_aggregate([i::VARCHAR FOR i IN list_transform([x FOR x IN string_split(t, chr(10)) IF starts_with(ltrim(x), '- ') OR starts_with(ltrim(x), '* ')], lambda x, i: CASE WHEN NOT contains(x, '[[chunk:') THEN i END) IF i IS NOT NULL], 'string_agg', ','), '') AS bare,
+    CASE WHEN turn > 6 AND turn <> conv_id % 7 THEN 'c' || turn ELSE '' END AS other
+    FROM (SELECT *, CASE WHEN id % 4 = 0 THEN replace(draft_text, '[[chunk:', '((') WHEN id % 4 = 1 THEN draft_text ELSE replace(replace(draft_text, '- plain', 'plain'), chr(10) || chr(10), ' ') END AS t FROM dr))""", DRAFTS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    allowed = F.array(*[F.lit(f"c{i}") for i in range(7)])
-    return ad.drafts(s, d).select("id", F.explode(F.array_except(ev.cited(F.col("draft_text")), allowed)).alias("cited"))
+    # some drafts cite nothing, some have bullets without a citation, others' bullets all have one, but not always of a chosen chunk
+    n = F.col("id") % 4
+    whole = F.replace(F.replace("draft_text", F.lit("- plain"), F.lit("plain")), F.lit("\n\n"), F.lit(" "))
+    text = F.when(n == 0, F.replace("draft_text", F.lit("[[chunk:"), F.lit("(("))).when(n == 1, F.col("draft_text")).otherwise(whole)
+    found = drafting.checked(ad.drafts(s, d).select("id", text.alias("text"), F.array(*[F.lit(f"c{i}") for i in range(7)]).alias("allowed")))
+    return found.select("id", "fault.code", "fault.details")
 
 
 @query("draft_sections", "SELECT section_type, count(*) AS n FROM dr GROUP BY 1", DRAFTS)
@@ -870,6 +885,30 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dashboard.gate(ad.incidents(s, d), [("impact", "impact_pct is not null"), ("health", "service_health_pct > 3")]).select("id", "blocked_by")
 
 
+@query("drafting_ladder", """SELECT id, CASE WHEN id % 4 = 1 THEN 'AI_MODEL_UNREACHABLE' WHEN id % 3 = 0 THEN 'AI_EVIDENCE_EMPTY' WHEN id % 5 = 0 OR id % 7 = 0 THEN 'AI_INDEX_NOT_READY' WHEN id % 4 = 2 OR id % 7 = 1 OR id % 2 = 0 THEN 'AI_CITATION_REQUIRED' END AS missing,
+  id % 4 NOT IN (1, 2) AND id % 3 > 0 AND id % 5 > 0 AND id % 7 > 1 AS can_search, id % 4 NOT IN (1, 2) AND id % 3 > 0 AND id % 5 > 0 AND id % 7 > 1 AND id % 2 > 0 AS can_draft FROM inc""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    unknown = lambda by, is_: F.when(n % by != is_, n % by != (1 if by == 4 else 0))
+    states = ad.incidents(s, d).select("id", unknown(4, 2).alias("healthy"), (n % 3).alias("sources"), (n % 5).alias("chunks"), unknown(7, 1).alias("indexed"), (n % 2).alias("chosen"))
+    return drafting.ladder_of(states).select("id", "missing", "can_search", "can_draft")
+
+
+@query("keyed_change", "SELECT id, CASE WHEN id % 7 = 0 THEN 'SEV9' ELSE severity END AS severity FROM inc WHERE id % 11 <> 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # a stored table of which some rows change and some go, by key
+    w = Workspace.create(s, f"{durable.folder(s)}/tidelog/{uuid.uuid4().hex}")
+    w.replace("incidents", ad.incidents(s, d))
+
+    def change(at: Snapshot) -> dict:
+        rows = at.table("incidents")
+        keys = rows.filter("id % 7 = 0 OR id % 11 = 0").select("id")
+        return {"incidents": Changed(rows.filter("id % 7 = 0 AND id % 11 <> 0").withColumn("severity", F.lit("SEV9")), keys)}
+
+    w.update(change)
+    return w.table("incidents").select("id", "severity")
+
+
 @query("data_hash", "SELECT sha256(string_agg(id::VARCHAR, '' ORDER BY coalesce(external_id, ''), title, id)) AS data_hash FROM inc")
 def _(s: SparkSession, d: str) -> DataFrame:
     return an.data_hash(ad.incidents(s, d))
