@@ -114,17 +114,18 @@ def _bits(sets: DataFrame, *columns: str | Column) -> DataFrame:
     return sets.select(*columns, "block", F.bitmap_count("bits").alias("in_block"), F.sha2(F.hex("bits").cast("binary"), 256).alias("bits"))
 
 
-_COUNT = F.col("count").alias("n")
+def _count() -> Column:
+    return F.col("count").alias("n")
 
 
 @query("severity_counts", f"SELECT severity, sum(in_block) OVER (PARTITION BY severity)::BIGINT AS n, block, in_block, bits FROM {_bits_sql("(SELECT id, coalesce(severity, 'UNKNOWN') AS severity FROM inc)", 'severity')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _bits(ms.severity(ad.incidents(s, d)), "severity", _COUNT)
+    return _bits(ms.severity(ad.incidents(s, d)), "severity", _count())
 
 
 @query("detection_source_mix", f"SELECT 'detection_source:' || label AS key, label, sum(in_block) OVER (PARTITION BY label)::BIGINT AS n, block, in_block, bits FROM {_bits_sql("(SELECT id, coalesce(detection_source, 'UNKNOWN') AS label FROM inc)", 'label')}")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _bits(ms.mix(ad.incidents(s, d), "detection_source"), "key", "label", _COUNT)
+    return _bits(ms.mix(ad.incidents(s, d), "detection_source"), "key", "label", _count())
 
 
 _BUCKET = "CASE WHEN {c} IS NULL THEN 'unknown' " + " ".join(f"WHEN {{c}} <= {t} THEN '{k}'" for t, k, _ in times.BUCKETS) + f" ELSE '{times.OVER[0]}' END"
@@ -133,7 +134,7 @@ for _metric, _name in (("it_awareness_lag_seconds", "it_awareness_lag"), ("time_
 
     @query(f"duration_histogram_{_name}", f"SELECT '{_name}:' || b AS key, {_LABEL} AS label, sum(in_block) OVER (PARTITION BY b)::BIGINT AS n, block, in_block, bits FROM {_bits_sql(f'(SELECT id, {_BUCKET.format(c=_metric)} AS b FROM m)', 'b')}")
     def _(s: SparkSession, d: str, metric: str = _metric, name: str = _name) -> DataFrame:
-        return _bits(ms.histogram(inc.with_metrics(ad.incidents(s, d)), metric, name), "key", "label", _COUNT)
+        return _bits(ms.histogram(inc.with_metrics(ad.incidents(s, d)), metric, name), "key", "label", _count())
 
 
 def _top_sql(column: str, pain: bool) -> str:
@@ -152,8 +153,8 @@ for _c in ("vendor", "service"):
         def _(s: SparkSession, d: str, c: str = _c, pain: bool = _pain) -> DataFrame:
             i = ad.incidents(s, d)
             if pain:
-                return _bits(ms.top_by_pain(dashboard.measured(i), c), "label", "is_overflow", "pain_sum", F.col("pain_known_count").alias("pain_known"), _COUNT, "rn")
-            return _bits(ms.top_by_count(i, c), "label", "is_overflow", _COUNT, "rn")
+                return _bits(ms.top_by_pain(dashboard.measured(i), c), "label", "is_overflow", "pain_sum", F.col("pain_known_count").alias("pain_known"), _count(), "rn")
+            return _bits(ms.top_by_count(i, c), "label", "is_overflow", _count(), "rn")
 
 
 @query("bucket_intersection", f"SELECT * FROM {_bits_sql("(SELECT id FROM p WHERE severity = 'SEV1' AND mttr_seconds > 86400)")}")
@@ -172,7 +173,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     m = inc.with_metrics(ad.incidents(s, d))
     by = ms.histogram(m, "mttr_seconds", "r").withColumn("label", F.substr("key", F.lit(3)))
-    return ms.crossed(ms.severity(m).withColumnRenamed("severity", "label"), by).select(F.col("a_label").alias("severity"), F.col("b_label").alias("bucket"), _COUNT)
+    return ms.crossed(ms.severity(m).withColumnRenamed("severity", "label"), by).select(F.col("a_label").alias("severity"), F.col("b_label").alias("bucket"), _count())
 
 
 @query("bucket_ids", "SELECT coalesce(severity, 'UNKNOWN') AS severity, id FROM inc")
