@@ -1,6 +1,9 @@
 """Every query with SQL gives the same rows in DuckDB on the smallest tables."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -44,3 +47,8 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).limit(5).collect() is not None
+
+
+def test_entry_is_imported_before_a_session_exists():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
