@@ -147,3 +147,39 @@ def test_layout():
     # entries of a text grow far more slowly than the table
     entries = [x.segments << x.doubts for x in sizes]
     assert entries == sorted(entries) and entries[-1] < 40 * entries[1] and all(64 * x.lanes >= x.segments * x.width for x in sizes)
+
+
+def test_a_cut_key_is_handed_on_whole(monkeypatch):
+    """Of a key with more rows than a task holds, the few rows of the last piece are handed on too, though none has a partner there."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "HELD", 50)
+    monkeypatch.setattr(neardup, "CHUNK", 16)
+    r = np.random.default_rng(1)
+    key = np.repeat([5, 7, 9], [3, 53, 4])
+    columns = [key, np.zeros(60, np.int64), np.arange(60), r.integers(-(2**62), 2**62, 60), r.integers(-(2**62), 2**62, 60)]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "mask", "name", "w0", "w1"])
+    lay = neardup.Layout(20, 3, 4, 4, 0, 0, 0)
+    for size in (60, 7):
+        got = [n for b in neardup._partners(lay)(iter([rows.slice(i, size) for i in range(0, 60, size)])) for n in b.column("name").to_pylist()]
+        assert sorted(got) == list(range(3, 56))
+
+
+def test_unlike_texts_of_one_name_all_stay(docs, words, monkeypatch):
+    import numpy as np
+
+    texts = [words(i, 60) for i in range(6)] + [words(0, 60)]
+    same = neardup._names
+
+    def few(h, first):
+        return np.where(same(h, first) % neardup.U64(2) == 0, neardup.U64(1), same(h, first))
+
+    named = same(*neardup._sets([t.encode() for t in texts], 5))
+    assert 1 < sum(int(x) % 2 == 0 for x in named[:6]) < 6
+    monkeypatch.setattr(neardup, "_names", few)
+    frame = docs(texts)
+    _, names = neardup.classes(frame)
+    assert not names.filter("unlike").isEmpty()
+    kept = {x.doc_id for x in neardup.keep_one(frame).collect()}
+    assert kept >= set(range(6))

@@ -230,7 +230,8 @@ def _partners(lay: Layout) -> object:
     """Task of the first round: entries in key order -> ``name, bits, partner, rank, first`` for each entry that meets another:
     the closest one, and of the very close ones the first in a hash order.  Entries of keys over ``CHUNK`` come out in any case."""
 
-    def piece(rows: np.ndarray) -> pa.RecordBatch:
+    def piece(rows: np.ndarray, cut: int | None) -> pa.RecordBatch:
+        """cut: the last key of the rows before; one that goes on here was too large to be held at once, however few of its rows are left."""
         rank = kernels.finish(rows[:, 2].view(U64)).view(np.int64)
         order = np.lexsort((rank, rows[:, 0]))
         rows, rank = rows[order], rank[order]
@@ -240,6 +241,8 @@ def _partners(lay: Layout) -> object:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.zeros(0, np.int64)
         size = np.diff(np.append(start, n))
         size_of = np.repeat(size, size)
+        if cut is not None:
+            size_of = np.where(key == cut, CHUNK + 1, size_of)
         place = np.arange(n) - np.repeat(start, size)
         best = np.full(n, 1000, dtype=np.int64)
         who = np.zeros(n, dtype=np.int64)
@@ -270,8 +273,10 @@ def _partners(lay: Layout) -> object:
         return pa.RecordBatch.from_arrays(cols, names=["name", "bits", "partner", "rank", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = None
         for rows in _whole_keys(batches, 1, HELD):
-            yield piece(rows)
+            yield piece(rows, cut)
+            cut = int(rows[-1, 0])
 
     return run
 
@@ -520,39 +525,49 @@ def links(texts: DataFrame, docs: DataFrame, lay: Layout, shingle: int = SHINGLE
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows ``id, name``, and for each name ``root`` (its class), ``lead`` (no_id, id, n: the name's first id and how many rows have both)."""
+    """Rows ``id, name``, and for each name ``root`` (its class), ``lead`` (no_id, id, n: the name's first id and how many rows have both), and whether
+    it is the name of ``unlike`` texts, of which ten billion are expected to have a handful."""
     lay = layout(docs.count(), similarity)
     rows = kernels.cut(fingerprints(docs, lay, shingle, id_col, text_col))
     kept = ["size", *_lane_names(lay), "doubts"]
     by_id = rows.groupBy("name", "id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in kept])
     lead = F.struct(F.col("id").isNull().alias("no_id"), "id", "n")
-    texts = kernels.cut(by_id.groupBy("name").agg(F.min(lead).alias("lead"), *[F.first(c).alias(c) for c in kept]))
+    # unlike sets of one 64-bit name differ in 128 bits of their sums or in size
+    mark = F.struct("w0", "w1", "size")
+    texts = by_id.groupBy("name").agg(F.min(lead).alias("lead"), *[F.first(c).alias(c) for c in kept], F.min(mark).alias("least"), F.max(mark).alias("most"))
+    texts = kernels.cut(texts.withColumn("unlike", ~F.col("least").eqNullSafe(F.col("most"))).drop("least", "most"))
     kernels.release(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     label = components(links(texts, src, lay, shingle, similarity))
     named = texts.join(label.withColumnRenamed("node", "name"), "name", "left")
-    return rows.select("id", "name"), kernels.cut(named.select("name", F.coalesce("root", "name").alias("root"), "lead"))
+    return rows.select("id", "name"), kernels.cut(named.select("name", F.coalesce("root", "name").alias("root"), "lead", "unlike"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, name, component_id`` (the smallest id of its class; null if all are)."""
+    """One row per input row: ``id, name, component_id`` (the smallest id of its class; null if all are).  Texts that share a name but are not alike
+    are each in a class of their own."""
     rows, names = classes(docs, shingle, similarity, id_col, text_col)
     least = names.groupBy("root").agg(F.min("lead.id").alias("component_id"))
-    return rows.join(names.join(least, "root").select("name", "component_id"), "name").select("id", "name", "component_id")
+    named = names.join(least, "root").select("name", "component_id", "unlike")
+    return rows.join(named, "name").select("id", "name", F.when(F.col("unlike"), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of similar texts: the one with the smallest id (null last), and of several the one with the
-    smallest name.  Of rows that share both id and name, any one stays."""
+    smallest name.  Of rows that share both id and name, any one stays.  Texts that share a name but are not alike all stay."""
     _, names = classes(docs, shingle, similarity, id_col, text_col)
-    best = names.groupBy("root").agg(F.min(F.struct("lead.no_id", "lead.id", "name", "lead.n")).alias("m"))
+    doubtful = names.filter("unlike").select("name")
+    best = names.filter("not unlike").groupBy("root").agg(F.min(F.struct("lead.no_id", "lead.id", "name", "lead.n")).alias("m"))
     extra = kernels.free_names(docs, "name", "no_id", "id", "n")
     name, no_id, known, n = extra
     best = kernels.cut(best.select(F.col("m.name").alias(name), F.col("m.no_id").alias(no_id), F.coalesce("m.id", F.lit(0)).alias(known), F.col("m.n").alias(n)))
     rows = _named(docs, shingle, text_col, name)
     rows = rows.withColumns({no_id: F.col(id_col).cast("long").isNull(), known: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
     on = [name, no_id, known]
+    apart = None if doubtful.isEmpty() else rows.join(doubtful.withColumnRenamed("name", name), name, "left_semi").select(*docs.columns)
     kept = rows.join(best.filter(F.col(n) == 1).select(*on), on, "left_semi").select(*docs.columns)
+    if apart is not None:
+        kept = kept.unionByName(apart)
     if best.filter(F.col(n) > 1).isEmpty():
         return kept
     repeated = rows.join(best.filter(F.col(n) > 1).select(*on), on, "left_semi").dropDuplicates(on)
