@@ -257,3 +257,24 @@ def test_transcript_targets(spark):
     for kw, code in (({"incident_id": 1, "title": "x"}, "AMBIGUOUS"), ({}, "TARGET_REQUIRED"), ({"title": " "}, "TITLE_REQUIRED"), ({"incident_id": 5}, "NOT_FOUND"), ({"title": "Outage"}, "CREATE_FAILED")):
         with pytest.raises(TidelogError, match=code):
             tr.target(table, text, **kw)
+
+
+def test_many_queries_at_once(spark, monkeypatch):
+    import math
+    import random
+
+    r = random.Random(6)
+    vec = lambda n: [r.gauss(0, 1) for _ in range(n)]
+    rows = [(f"c{i:03d}", vec(8) if i % 9 else [0.0] * 8) for i in range(120)] + [(f"d{i}", [1.0] * 8) for i in range(40)] + [("n", None), ("short", [1.0]), ("bad", [float("nan")] * 8)]
+    asked = [(f"q{i}", vec(8)) for i in range(7)] + [("ones", [2.0] * 8), ("zero", [0.0] * 8), ("one", [3.0]), ("none", None)]
+    monkeypatch.setattr(ev, "QUERY_BLOCK", 4)
+    frame = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    got = ev.search_many(frame, spark.createDataFrame(asked, "query_id string, embedding array<float>"), 12).collect()
+    want = {}
+    for q, a in asked:
+        if a and any(a):
+            size = lambda x: math.sqrt(sum(c * c for c in x))
+            scored = [(-round(sum(x * y for x, y in zip(a, v, strict=True)) / size(a) / size(v), 5), c) for c, v in rows if v and len(v) == len(a) and any(v) and v[0] == v[0]]
+            want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(sorted(scored)[:12])}
+    assert {(x.query_id, x["rank"]): (x.chunk_id, round(x.score, 5)) for x in got} == want
+    assert ev.search_many(frame, spark.createDataFrame([], "query_id string, embedding array<float>"), 3).collect() == []

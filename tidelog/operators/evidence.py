@@ -6,7 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from tidelog.errors import TidelogError
 from tidelog.operators import tables
 from tidelog.schema import METRICS, MOMENTS
 from tidelog.sources.workspace import Files
+from tidelog.workers import reach
 
 CHUNK_BYTES = 1600
 SNIPPET_BYTES = 280
@@ -260,6 +265,72 @@ def search(vectors: DataFrame, query: list[float], k: int, sources: DataFrame |
     return scored.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+#: Queries that are scored at one time, and the components they may have together; a task multiplies so many vectors by them at once.
+QUERY_BLOCK, QUERY_VALUES, VECTOR_RUN = 1024, 1 << 21, 2048
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact top-k by cosine of many queries (``query_id, embedding``): ``query_id, rank, chunk_id, score``, rank from 1.
+
+    Queries go round in blocks of bounded size.  Tasks multiply their vectors by a block, run by run, and hold the k best of each query; what
+    all tasks held is merged once.  Vectors without length, null ones and those of another length than the query's are no candidates, and a
+    query without length has no hits.  Scores are doubles.
+    """
+    k, spark = max(1, min(k, TOP_K_MAX)), reach(vectors.sparkSession)
+    widest = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    per_block = max(1, min(QUERY_BLOCK, QUERY_VALUES // widest))
+    placed = durable.written(tables.ranked(queries.filter("query_id is not null and embedding is not null").select(F.col("query_id").cast("string").alias("query_id"), "embedding"), [F.col("query_id")]))
+    found = None
+    for start in range(0, placed.count(), per_block):
+        rows = placed.filter(F.col("rn").between(start + 1, start + per_block)).orderBy("rn").collect()  # one block
+        block = spark.sparkContext.broadcast([(r["query_id"], r["embedding"]) for r in rows])
+        hits = vectors.filter("embedding is not null").select("chunk_id", "embedding").mapInArrow(_scored(block, k), "query_id string, chunk_id string, score double")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return spark.createDataFrame([], "query_id string, rank int, chunk_id string, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "chunk_id", "score")
+
+
+def _scored(block: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best vectors of a partition for each query of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[int]] = {}
+        for n, (_, v) in enumerate(block.value):
+            by_size.setdefault(len(v), []).append(n)
+        units = {}
+        for size, at in by_size.items():
+            m = np.array([block.value[n][1] for n in at], dtype=np.float64).reshape(len(at), size)
+            length = np.sqrt((m * m).sum(1))
+            units[size] = ([n for n, x in zip(at, length, strict=True) if x], m[length > 0] / length[length > 0, None])
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, VECTOR_RUN):
+                ids, vecs = batch.column(0)[start : start + VECTOR_RUN].to_numpy(zero_copy_only=False), batch.column(1)[start : start + VECTOR_RUN]
+                sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+                for size in np.intersect1d(sizes, list(units)).tolist():
+                    at, unit = units[size]
+                    mine = np.flatnonzero(sizes == size)
+                    m = pc.list_flatten(vecs.take(pa.array(mine))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(mine), size)
+                    length = np.sqrt((m * m).sum(1))
+                    some = np.isfinite(length) & (length > 0)
+                    scores = (unit @ (m[some] / length[some, None]).T)
+                    names = ids[mine[some]]
+                    for q, row in zip(at, scores, strict=True):
+                        held = best.get(q)
+                        s, i = (row, names) if held is None else (np.concatenate((held[0], row)), np.concatenate((held[1], names)))
+                        if len(s) > k:  # ties at the cut stay until they are put in order
+                            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                            s, i = s[keep], i[keep]
+                        order = np.lexsort((i.astype(str), -s))[:k]
+                        best[q] = (s[order], i[order])
+        for q, (s, i) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block.value[q][0]] * len(s), pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def dims(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count_distinct(F.size("embedding")).alias("n_dims"), F.min(F.size("embedding")).alias("dims"), F.count(F.lit(1)).alias("n"))
 

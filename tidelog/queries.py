@@ -745,6 +745,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ev.wrong_citations(cites.withColumn("chunk_id", F.when(n % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).otherwise(F.col("chunk_id"))), v)
 
 
+@query("vector_search_many", """SELECT query_id, rank::INT AS rank, chunk_id, score FROM (
+  SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.chunk_id) AS rank
+  FROM v a JOIN v b ON a.vec_id % 5 = 0 AND a.vec_id % 35 <> 0 AND b.vec_id % 7 <> 0) WHERE rank <= 50""", _V)
+def _(s: SparkSession, d: str) -> DataFrame:
+    # every fifth vector asks; every seventh has no length here
+    n = F.substring("chunk_id", 2, 8).cast("long")
+    v = ad.vectors(s, d).withColumn("embedding", F.when(n % 7 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+    asked = v.filter(n % 5 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    return ev.search_many(v, asked, 50).withColumn("score", F.round("score", 6))
+
+
 @query("hit_locators", "SELECT chunk_id, source_id, text_sha256 FROM (SELECT * FROM v, q ORDER BY list_cosine_similarity(embedding, qe) DESC, chunk_id LIMIT 10)", _V)
 def _(s: SparkSession, d: str) -> DataFrame:
     v = ad.vectors(s, d).withColumn("ordinal", F.lit(0))
