@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,18 @@ from tidelog.errors import TidelogError
 def folder(spark: SparkSession) -> str:
     """The shared folder; a temporary one where a local session names none, an error where a cluster does not."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise TidelogError("SHARED_FOLDER_MISSING", "A cluster needs a folder that all executors share in spark.checkpoint.dir")
     return (found or os.path.join(tempfile.gettempdir(), "tidelog-checkpoints")).rstrip("/")
 
 
+def written_by(frame: DataFrame, column: str) -> str:
+    """The folder of a table with a folder for each value of a column."""
+    path = f"{folder(frame.sparkSession)}/tidelog/{uuid.uuid4().hex}"
+    frame.write.partitionBy(column).parquet(path)
+    return path
+
+
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a table of its own: no lineage beyond its files, so a lost executor repeats nothing before it."""
     spark = frame.sparkSession

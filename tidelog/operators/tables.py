@@ -34,15 +34,59 @@ def artifacts_of(artifacts: DataFrame, incident_id: int) -> DataFrame:
 SORTS = {"created_at": "start_ts", "start_ts": "start_ts", "title": "title", None: "id", "id": "id"}
 
 
-def page(frame: DataFrame, limit: int = PAGE, offset: int = 0, sort: str | None = None, descending: bool = False) -> tuple[DataFrame, dict]:
-    """A page and its envelope.  Sorting by ``created_at`` means by ``start_ts``."""
+def _check_page(limit: int, offset: int, sort: str | None) -> None:
     if not 1 <= limit <= PAGE_MAX or offset < 0 or sort not in SORTS:
         raise TidelogError("INVALID_PAGINATION", "Pagination is out of range", f"limit={limit}; offset={offset}; sort={sort}")
+
+
+def _page_order(sort: str | None, descending: bool) -> list[Column]:
     key = F.col(SORTS[sort])
-    order = [key.desc_nulls_last() if descending else key.asc_nulls_first()] + ([] if SORTS[sort] == "id" else [F.col("id")])
-    total = frame.count()
-    rows = frame.orderBy(*order).offset(offset).limit(limit)
-    return rows, {"total": total, "limit": limit, "offset": offset, "has_next": offset + limit < total, "has_prev": offset > 0}
+    return [key.desc_nulls_last() if descending else key.asc_nulls_first()] + ([] if SORTS[sort] == "id" else [F.col("id")])
+
+
+def _envelope(total: int, limit: int, offset: int) -> dict:
+    return {"total": total, "limit": limit, "offset": offset, "has_next": offset + limit < total, "has_prev": offset > 0}
+
+
+def page(frame: DataFrame, limit: int = PAGE, offset: int = 0, sort: str | None = None, descending: bool = False) -> tuple[DataFrame, dict]:
+    """A page and its envelope.  Sorting by ``created_at`` means by ``start_ts``.  For many or deep pages of one frame there is ``Pages``."""
+    _check_page(limit, offset, sort)
+    return frame.orderBy(*_page_order(sort, descending)).offset(offset).limit(limit), _envelope(frame.count(), limit, offset)
+
+
+#: Rows of one range of a page index.
+RANGE_ROWS = 50_000
+
+
+class Pages:
+    """Pages of a frame in one order, however deep, each read from the range that holds it.
+
+    The frame is dealt into ranges of the order once and written, a folder for each; the driver keeps how many rows each has.  A page
+    starts in the range that the counts before it tell, and reads that one, or two where it goes over an edge.
+    """
+
+    def __init__(self, frame: DataFrame, sort: str | None = None, descending: bool = False, range_rows: int = RANGE_ROWS):
+        _check_page(PAGE, 0, sort)
+        self.spark, self.schema, self.order, self.sort = frame.sparkSession, frame.schema, _page_order(sort, descending), sort
+        n = max(1, -(-frame.count() // range_rows))
+        dealt = frame.repartitionByRange(n, *self.order).withColumn("__range", F.spark_partition_id())
+        self.folder = durable.written_by(dealt, "__range")
+        sizes = self.spark.read.schema(dealt.schema).parquet(self.folder).groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()  # a row for each range
+        self.ranges = [(r["__range"], r["n"]) for r in sizes]
+        self.total = sum(n for _, n in self.ranges)
+
+    def page(self, limit: int = PAGE, offset: int = 0) -> tuple[DataFrame, dict]:
+        _check_page(limit, offset, self.sort)
+        before, first, held = 0, 0, []
+        for name, n in self.ranges:
+            if before + n > offset and before < offset + limit:
+                first = first if held else before
+                held.append(f"{self.folder}/__range={name}")
+            before += n
+        if not held:
+            return self.spark.createDataFrame([], self.schema), _envelope(self.total, limit, offset)
+        rows = self.spark.read.schema(self.schema).parquet(*held).orderBy(*self.order).offset(offset - first).limit(limit)
+        return rows, _envelope(self.total, limit, offset)
 
 
 def lookup(frame: DataFrame, column: str, value: object) -> DataFrame:

@@ -302,6 +302,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return tb.page(ad.incidents(s, d), 20, 20, "created_at", True)[0].select("id", "title")
 
 
+@query("incident_page_deep", "SELECT id, title FROM inc ORDER BY start_ts DESC NULLS LAST, id LIMIT 100 OFFSET (SELECT count(*) // 2 FROM inc)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    pages = tb.Pages(ad.incidents(s, d), "created_at", True, range_rows=500)
+    return pages.page(100, pages.total // 2)[0].select("id", "title")
+
+
 @query("point_lookup", "SELECT id, title FROM inc WHERE external_id = 'INC-' || (SELECT min(id) FROM inc WHERE id % 13 <> 0)")
 def _(s: SparkSession, d: str) -> DataFrame:
     i = ad.incidents(s, d)
