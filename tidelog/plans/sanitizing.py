@@ -29,9 +29,12 @@ EVENTS = T.StructType([*[T.StructField(c, T.StringType()) for c in ("incident_ke
 WARNINGS = T.StructType([T.StructField("incident_key", T.StringType()), T.StructField("code", T.StringType())])
 
 
-def incident_rows(incidents: DataFrame) -> DataFrame:
+# keys: those of tables.incident_keys, for callers that need them more than once
+
+
+def incident_rows(incidents: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Incidents with keys for ids, pseudonyms for categories, metrics and a warning count; no title, no description."""
-    out = incidents.join(tables.incident_keys(incidents), "id")
+    out = incidents.join(tables.incident_keys(incidents) if keys is None else keys, "id")
     for column, make, prefix in (("vendor", tables.lettered, "VENDOR"), ("service", tables.numbered, "SERVICE"), ("detection_source", tables.numbered, "DETECT")):
         names = make(incidents, column, prefix)
         out = out.join(names, F.col(column) == F.col("value"), "left").withColumn(column, F.col("pseudonym")).drop("value", "pseudonym")
@@ -39,15 +42,15 @@ def incident_rows(incidents: DataFrame) -> DataFrame:
     return out.select("incident_key", "severity", "detection_source", "vendor", "service", "impact_pct", "service_health_pct", *MOMENTS, F.struct(*METRICS).alias("metrics"), "warning_count")
 
 
-def event_rows(events: DataFrame, incidents: DataFrame) -> DataFrame:
-    keys = tables.incident_keys(incidents).withColumnRenamed("id", "incident_id")
+def event_rows(events: DataFrame, incidents: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    keys = (tables.incident_keys(incidents) if keys is None else keys).withColumnRenamed("id", "incident_id")
     # events without an incident need no partner, and may be many
     known = events.filter("incident_id is not null").join(keys, "incident_id", "left")
     return known.unionByName(events.filter("incident_id is null").withColumn("incident_key", F.lit(None).cast("string"))).select(F.coalesce("incident_key", F.lit("INC_UNKNOWN")).alias("incident_key"), "source", "ts", "kind", F.lit(True).alias("text_redacted"))
 
 
-def warning_rows(incidents: DataFrame) -> DataFrame:
-    keyed = incidents.join(tables.incident_keys(incidents), "id")
+def warning_rows(incidents: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    keyed = incidents.join(tables.incident_keys(incidents) if keys is None else keys, "id")
     return keyed.select("incident_key", F.explode(F.transform(inc.validation_warnings(), lambda w: w["code"])).alias("code"))
 
 
@@ -60,7 +63,8 @@ def export(spark: SparkSession, incidents: DataFrame, events: DataFrame, folder:
     files = Files(spark, folder)
     if files.exists():
         raise TidelogError("EXPORT_SANITIZED_EXISTS", "The export folder exists already", folder)
-    frames = (incident_rows(incidents).orderBy("incident_key"), _ordered_events(event_rows(events, incidents)), warning_rows(incidents).orderBy("incident_key", "code"))
+    keys = tables.incident_keys(incidents)
+    frames = (incident_rows(incidents, keys).orderBy("incident_key"), _ordered_events(event_rows(events, incidents, keys)), warning_rows(incidents, keys).orderBy("incident_key", "code"))
     listed = []
     for name, frame in zip(FILES, frames, strict=True):
         whole = frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
@@ -81,7 +85,8 @@ def export_large(spark: SparkSession, incidents: DataFrame, events: DataFrame, f
     files = Files(spark, folder)
     if files.exists():
         raise TidelogError("EXPORT_SANITIZED_EXISTS", "The export folder exists already", folder)
-    for name, frame in zip(FOLDERS, (incident_rows(incidents), event_rows(events, incidents), warning_rows(incidents)), strict=True):
+    keys = tables.incident_keys(incidents)
+    for name, frame in zip(FOLDERS, (incident_rows(incidents, keys), event_rows(events, incidents, keys), warning_rows(incidents, keys)), strict=True):
         frame.write.option("ignoreNullFields", False).json(f"{folder}/{name}")
     listed = [f | {"filename": f"{name}/{f['filename']}"} for name in FOLDERS for f in tree_hashes(spark, f"{folder}/{name}")]
     manifest = {"manifest_version": MANIFEST_VERSION, "app_version": app_version, "export_time": export_time, "incident_count": incidents.count(), "files": listed}

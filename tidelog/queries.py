@@ -450,7 +450,8 @@ _BUNDLE_SQL = f"""SELECT incident_key, (row_number() OVER (ORDER BY incident_key
 @query("incident_bundles", _BUNDLE_SQL, INC + "," + SAN + "," + EVENTS)
 def _(s: SparkSession, d: str) -> DataFrame:
     i = ad.incidents(s, d)
-    out = ev.bundle_chunks("export", sanitizing.incident_rows(i), sanitizing.event_rows(ad.timeline(s, d), i), sanitizing.warning_rows(i))
+    keys = tb.incident_keys(i)
+    out = ev.bundle_chunks("export", sanitizing.incident_rows(i, keys), sanitizing.event_rows(ad.timeline(s, d), i, keys), sanitizing.warning_rows(i, keys))
     return out.select(F.col("meta.incident_keys")[0].alias("incident_key"), "ordinal", "text")
 
 
