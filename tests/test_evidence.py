@@ -220,7 +220,10 @@ def test_drafts(spark):
     first, second = table.orderBy("id").collect()
     assert first["artifact_hash"] == sha('{"quarter_label":"2026-Q1","section_type":"exec_summary","draft_text":"a \\"b\\" ü","citation_chunk_ids":["c1","c2"],"model_name":"m","model_params_hash":"p","prompt_template_version":"v","created_at":"2026-01-01T00:00:00Z"}')
     assert (first["id"], second["id"], first["revision_number"]) == (1, 2, 1) and first["artifact_hash"] != second["artifact_hash"]
-    more = dr.create(spark.createDataFrame([draft(parent_draft_id=2)], DRAFT), table)
+    # the parent isn't part of a draft's identity, the time is
+    with pytest.raises(TidelogError, match="DB_AI_DRAFT_CREATE_FAILED"):
+        dr.create(spark.createDataFrame([draft(parent_draft_id=2)], DRAFT), table)
+    more = dr.create(spark.createDataFrame([draft(parent_draft_id=2, created_at="2026-01-03T00:00:00Z")], DRAFT), table)
     assert dr.get(more, 3).first()["revision_number"] == 2
     with pytest.raises(TidelogError, match="DB_NOT_FOUND"):
         dr.get(more, 9)

@@ -50,13 +50,12 @@ def create(new: DataFrame, existing: DataFrame) -> DataFrame:
     wrong = new.select(fault().alias("e")).filter("e is not null").limit(1).collect()
     if wrong:
         raise TidelogError(wrong[0]["e"]["code"], wrong[0]["e"]["message"])
-    hashed = new.withColumn("artifact_hash", artifact_hash()).drop("id")
+    hashed = with_revisions(new.withColumn("artifact_hash", artifact_hash()).drop("id"), existing)
     again = existing.select("artifact_hash").join(hashed.select("artifact_hash").distinct(), "artifact_hash", "left_semi").unionByName(hashed.groupBy("artifact_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("artifact_hash"))
     repeat = again.first()
     if repeat:
         raise TidelogError("DB_AI_DRAFT_CREATE_FAILED", "A draft with this content is stored already", f"artifact_hash={repeat['artifact_hash']}")
-    rows = with_revisions(hashed, existing)
-    return existing.unionByName(tables.next_ids(rows, existing, [F.col("created_at"), F.col("artifact_hash")]).select(*existing.columns))
+    return existing.unionByName(tables.next_ids(hashed, existing, [F.col("created_at"), F.col("artifact_hash")]).select(*existing.columns))
 
 
 def get(drafts: DataFrame, draft_id: int) -> DataFrame:
