@@ -444,3 +444,19 @@ def test_pipeline(spark):
     assert ids(four) == sorted(r["id"] for r in mixing.mix(three, cp.MIX).collect() for _ in range(r["copies"]))
     five = cp.shard(spark, four, SF)
     assert ids(five) == ids(four) and all(f.columns == names for f in (one, two, three, four)) and len(cp.STAGES) == 5
+
+
+def test_language_with_many_labels(docs, monkeypatch):
+    """Hundreds of label values need no column each; every learned one can be told."""
+    r = random.Random(8)
+    alphabet = [chr(0x4E00 + i) for i in range(600)]
+    rows = []
+    for c in range(300):
+        own = alphabet[2 * c : 2 * c + 2]
+        rows += [(1000 * c + i, " ".join("".join(r.choice(own) for _ in range(3)) for _ in range(8)), f"l{c:03d}", "s", 1) for i in range(12)]
+    monkeypatch.setattr(langid, "MOST_TEXTS", 3000)
+    frame = docs(rows, 4)
+    got = langid.identify(frame, langid.train(frame)).collect()
+    true = {x[0]: x[2] for x in rows}
+    held = [x for x in got if x.held_out]
+    assert len(got) == len(rows) and sum(x.lang_pred == true[x.id] for x in held) > 0.9 * len(held)

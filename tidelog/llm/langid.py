@@ -30,6 +30,8 @@ from tidelog.llm import kernels
 ORDER = 4
 GRAMS = 4096
 PER_LANGUAGE = 500
+#: Texts of all languages together, about, where there are many.
+MOST_TEXTS = 20_000
 #: Landmarks of each language, and of all together; a language has one at least.
 LANDMARKS, MOST_LANDMARKS = 48, 8192
 #: Languages whose sampling shares are sent to every task; more are joined.
@@ -146,7 +148,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = kernels.session(docs)
     rows = docs.filter(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and lang <> 'und' and text is not null")
-    chosen = kernels.cut(sample(rows, "lang", PER_LANGUAGE))
+    labels = max(1, rows.select("lang").distinct().count())
+    chosen = kernels.cut(sample(rows, "lang", max(1, min(PER_LANGUAGE, MOST_TEXTS // labels))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernels.slices(batches):
@@ -159,12 +162,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 keys, n = np.unique(np.concatenate(seen), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([c] * len(keys), pa.string()), pa.array(n.astype(np.int64))], names=["k", "lang", "n"])
 
-    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = kernels.cut(chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
+    n_labels = sizes.count()
+    if not n_labels:
         return None
-    df = chosen.mapInArrow(count, "k long, lang string, n long").groupBy("k").agg(*[(F.sum(F.when(F.col("lang") == c, F.col("n")).otherwise(0)) / n).alias(f"r{i}") for i, (c, n) in enumerate(sorted(sizes.items()))], F.sum("n").alias("df"))
-    rates = [F.col(f"r{i}") for i in range(len(sizes))]
-    gap = F.greatest(*rates) - F.least(*rates) if len(rates) > 1 else rates[0]
+    # how often each label's texts have a gram; a label that lacks it has no row
+    per = chosen.mapInArrow(count, "k long, lang string, n long").groupBy("k", "lang").agg(F.sum("n").alias("n")).join(sizes, "lang").withColumn("rate", F.col("n") / F.col("size"))
+    df = per.groupBy("k").agg(F.max("rate").alias("most"), F.when(F.count(F.lit(1)) == n_labels, F.min("rate")).otherwise(0.0).alias("least"), F.sum("n").alias("df"))
+    gap = F.col("most") - F.col("least") if n_labels > 1 else F.col("most")
     keys = df.filter(F.col("df") >= LEAST_DF).orderBy(F.desc(gap), "k").limit(GRAMS).select("k").collect()
     grams = Grams(np.array([r["k"] for r in keys], dtype=np.int64))
     shared = spark.sparkContext.broadcast(grams)
