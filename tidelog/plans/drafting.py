@@ -90,6 +90,10 @@ GUIDANCE = {
     "WORKSPACE_EXISTS": "Open the workspace, or choose an empty folder.",
     "WORKSPACE_MOVE_FAILED": "Check that the folder can be written, then try again.",
     "WORKSPACE_COPY_FAILED": "Check that both folders can be reached, then try again.",
+    "WORKSPACE_CONFLICT": "Someone else changed the same tables; look at the new state, then try again.",
+    "WORKSPACE_MIGRATION_PENDING": "Agree to the schema steps, or open the workspace with the version that wrote it.",
+    "INGEST_CSV_RANGES_CHANGED": "Import again without changing how Spark cuts files meanwhile.",
+    "DB_AI_DRAFT_CREATE_FAILED": "The draft is stored already; open that one.",
     "SHARED_FOLDER_MISSING": "Set spark.checkpoint.dir to a folder that all executors share.",
     "INGEST_SANITIZED_DB_NOT_EMPTY": "Import into a new, empty workspace.",
     "INGEST_SANITIZED_MANIFEST_VERSION": "The export is of another version; make it again with this one.",
