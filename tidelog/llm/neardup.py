@@ -500,6 +500,7 @@ def _beside_partners(first: DataFrame, sure: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, docs: DataFrame, lay: Layout, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """texts: a row for each name; docs: ``id, text``.  ``a, b``: counted links that connect every class."""
+    spark = texts.sparkSession
     full = texts.filter("size > 0")
     first = first_round(full, lay)
     wanted = full.join(first.select("name"), "name", "left_semi").select("name", F.col("lead.no_id").alias("no_id"), F.coalesce("lead.id", F.lit(0)).alias("id"))
@@ -507,15 +508,19 @@ def links(texts: DataFrame, docs: DataFrame, lay: Layout, shingle: int = SHINGLE
     tried = kernels.cut(_pairs(_met(first)))
     sure = kernels.cut(_counted(tried, sets, similarity))
     label = components(sure).withColumnRenamed("node", "name").withColumnRenamed("root", "label")
+    kernels.release(spark)  # hundreds of plans by now; their memory goes back
     cluster = components(tried).withColumnRenamed("node", "name").withColumnRenamed("root", "cluster")
     small = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") <= CLUSTER)
     cluster = cluster.join(small.select("cluster"), "cluster")
     near = full.join(first.select("name"), "name", "left_semi").join(label, "name", "left").join(cluster, "name", "left")
     near = kernels.cut(near.select("name", F.coalesce("label", "name").alias("label"), "cluster", *_lane_names(lay), "doubts"))
+    kernels.release(spark)
     inside = inside_clusters(near.filter("cluster is not null"), sets, lay, similarity)
+    kernels.release(spark)
     # what is in one small cluster has been compared as a whole
     met, crowd = across_keys(near.withColumn("label", F.coalesce("cluster", "label")), sets, lay, similarity)
     met = met.join(tried, ["a", "b"], "left_anti")
+    kernels.release(spark)
     whole = lambda side: full.select(F.col("name").alias(side), F.array(*_lane_names(lay)).alias(f"{side}_w"))
     apart = F.aggregate(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = met.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= lay.far).select("a", "b")
@@ -538,7 +543,10 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     texts = kernels.cut(texts.withColumn("unlike", ~F.col("least").eqNullSafe(F.col("most"))).drop("least", "most"))
     kernels.release(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    label = components(links(texts, src, lay, shingle, similarity))
+    counted = links(texts, src, lay, shingle, similarity)
+    kernels.release(docs.sparkSession)
+    label = components(counted)
+    kernels.release(docs.sparkSession)
     named = texts.join(label.withColumnRenamed("node", "name"), "name", "left")
     return rows.select("id", "name"), kernels.cut(named.select("name", F.coalesce("root", "name").alias("root"), "lead", "unlike"))
 
