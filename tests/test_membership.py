@@ -1,10 +1,13 @@
 """Bitmaps of bucket members against sets of ids."""
 
+import datetime
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import queries
 from tidelog.operators import analytics as an
 from tidelog.operators import membership as ms
 
@@ -42,6 +45,44 @@ def test_buckets_reconcile_and_overlaps_do_not(spark):
     assert ms.reconciles(top.limit(0), rows.limit(0)).first()["ok"]
 
 
+def test_reconciliation_holds_counts_and_listed_ids_against_the_rows(spark):
+    made = [(i, f"v{i % 11}" if i % 11 else "OTHER") for i in range(1, 400)] + [(40_000, None)]
+    rows = spark.createDataFrame(made, "id long, vendor string")
+    counted, top = an.top_by_count(rows, "vendor", with_ids=False), ms.top_by_count(rows, "vendor")
+    got = lambda *frames: ms.reconciliation(*frames).first().asDict()
+    whole = {"count_sum": 400, "n_ids": 400, "distinct_ids": 400, "total": 400, "ok": True}
+    assert got(counted, top, rows) == whole and list(got(counted, top, rows)) == list(whole)
+    assert got(counted.withColumn("count", F.col("count") + 1), top, rows) == whole | {"count_sum": 409, "ok": False}
+    extra = top.filter("label = 'v1'")
+    n = extra.agg(F.sum("listed")).first()[0]
+    assert got(counted, top.unionByName(extra), rows) == whole | {"n_ids": 400 + n, "ok": False}
+    assert got(counted, top.filter("label != 'v1'"), rows) == whole | {"n_ids": 400 - n, "distinct_ids": 400 - n, "ok": False}
+    # an id that is repeated in its bucket or in another, and one that is missing
+    for odd, sizes in (((1, "v1"), (401, 401, 400, 401)), ((1, "v2"), (401, 401, 400, 401)), ((None, "v1"), (401, 400, 400, 401))):
+        more = spark.createDataFrame([*made, odd], "id long, vendor string")
+        assert tuple(got(an.top_by_count(more, "vendor", with_ids=False), ms.top_by_count(more, "vendor"), more).values()) == (*sizes, False)
+    # as many ids, but not the table's
+    other = rows.withColumn("id", F.col("id") + 1)
+    assert got(counted, ms.top_by_count(other, "vendor"), rows) == whole | {"ok": False}
+    none = rows.limit(0)
+    assert got(an.top_by_count(none, "vendor", with_ids=False), ms.top_by_count(none, "vendor"), none) == dict.fromkeys(whole, 0) | {"ok": True}
+
+
+def test_query_reconciles_listed_ids_of_a_table_that_repeats_some(spark, tmp_path):
+    at = datetime.datetime(2026, 1, 1)
+    # users 1 and 13 have one vendor and the same event ids; user 14 has them too, with another vendor
+    events = [(k if u in (13, 14) else 1000 * (u - 1) + k, at + datetime.timedelta(minutes=k), u, "view", 1.0, "{}") for u in range(1, 40) for k in range(1, 14)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(path)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    cursor = duck.execute(queries.ORACLE["bucket_reconciliation"])
+    expected = dict(zip([c[0] for c in cursor.description], cursor.fetchone(), strict=True))
+    assert expected == {"count_sum": 117, "n_ids": 117, "distinct_ids": 111, "total": 117, "ok": True}
+    # the SQL takes unique ids for granted, the check finds that they aren't
+    assert queries.QUERIES["bucket_reconciliation"](spark, str(tmp_path)).first().asDict() == expected | {"ok": False}
+
+
 @pytest.mark.parametrize("pain", [False, True])
 def test_members_are_those_of_the_arrays(spark, pain):
     rows = spark.createDataFrame([(i * 37, f"v{i % 14}" if i % 5 else None if i % 2 else "OTHER", 2**62 if i % 3 == 0 else i if i % 4 else None) for i in range(1, 300)], "id long, vendor string, pain long")

@@ -103,23 +103,26 @@ def histogram(measured: DataFrame, metric: str, name: str) -> DataFrame:
     return out.select(F.concat(F.lit(f"{name}:"), "b").alias("key"), times.bucket_label(F.col("b")).alias("label"), "count", "block", "bits")
 
 
-def _merged(base: DataFrame, groups: DataFrame, order: list[Column], top: int) -> tuple[DataFrame, DataFrame]:
-    """Each category's place, and the bitmaps of the first ``top`` and of the rest, which is one set: OTHER.
+def _merged(base: DataFrame, groups: DataFrame, order: list[Column], top: int, *sums: str) -> tuple[DataFrame, DataFrame]:
+    """Each category's place, and the bitmaps (and sums) of the first ``top`` and of the rest, which is one set: OTHER.
 
     groups has a row for each category, so the window sees categories, not incidents.
     """
     placed = groups.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("is_overflow", F.col("rn") > top)
     placed = placed.withColumn("label", F.when(F.col("is_overflow"), "OTHER").otherwise(F.col("k")))
-    sets = base.select("k", "block", "bits").join(placed.select("k", "label", "is_overflow"), "k").groupBy("label", "is_overflow", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    sets = base.select("k", "block", "bits", *sums).join(placed.select("k", "label", "is_overflow"), "k").groupBy("label", "is_overflow", "block").agg(F.bitmap_or_agg("bits").alias("bits"), *[F.sum(c).alias(c) for c in sums])
     return placed, sets
 
 
 def top_by_count(incidents: DataFrame, column: str, top: int = TOP) -> DataFrame:
-    """``key, label, is_overflow, rn, count, block, bits``; a category that is called OTHER stays apart from the rest."""
-    base = build(incidents, inc.category(column).alias("k"))
-    placed, sets = _merged(base, counts(base, "k"), [F.desc("count"), F.col("k")], top)
+    """``key, label, is_overflow, rn, count, block, bits, listed``; a category that is called OTHER stays apart from the rest.
+
+    listed: how many ids the bucket's rows name in the block, repeated ones each time.
+    """
+    base = build(incidents, inc.category(column).alias("k"), listed=F.count("id"))
+    placed, sets = _merged(base, counts(base, "k"), [F.desc("count"), F.col("k")], top, "listed")
     sums = placed.groupBy("label", "is_overflow").agg(F.sum("count").alias("count"), F.min("rn").alias("rn"))
-    return sums.join(sets, ["label", "is_overflow"]).select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "is_overflow", "rn", "count", "block", "bits")
+    return sums.join(sets, ["label", "is_overflow"]).select(F.concat(F.lit(f"{column}:"), "label").alias("key"), "label", "is_overflow", "rn", "count", "block", "bits", "listed")
 
 
 def top_by_pain(measured: DataFrame, column: str, top: int = TOP) -> DataFrame:
@@ -142,15 +145,35 @@ def crossed(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("a_label", "b_label").agg(F.sum(F.bitmap_count("bits")).alias("count")).filter("count > 0")
 
 
+def _met(buckets: DataFrame, incidents: DataFrame, *sums: Column) -> DataFrame:
+    """The buckets' ids and the table's, block by block; ``equal``: the bits of the buckets add up to those of their union, which is the bitmap of the table."""
+    parts = buckets.groupBy("block").agg(F.sum(F.bitmap_count("bits")).alias("in_buckets"), F.bitmap_or_agg("bits").alias("bits"), *sums)
+    met = parts.join(build(incidents).withColumnRenamed("bits", "all_bits"), "block", "full")
+    return met.withColumn("equal", F.coalesce((F.col("bits") == F.col("all_bits")) & (F.col("in_buckets") == F.bitmap_count("all_bits")), F.lit(False)))
+
+
 def reconciles(buckets: DataFrame, incidents: DataFrame) -> DataFrame:
-    """One row: whether the buckets share no incident and together have them all.  Checked block by block: the bits of the buckets add up to
-    those of their union, which is the bitmap of the table."""
-    parts = buckets.groupBy("block").agg(F.sum(F.bitmap_count("bits")).alias("in_buckets"), F.bitmap_or_agg("bits").alias("bits"))
-    whole = build(incidents).withColumnRenamed("bits", "all_bits")
-    met = parts.join(whole, "block", "full")
-    equal = F.coalesce((F.col("bits") == F.col("all_bits")) & (F.col("in_buckets") == F.bitmap_count("all_bits")), F.lit(False))
-    out = met.agg(
+    """One row: whether the buckets share no incident and together have them all, by bitmaps alone."""
+    return _met(buckets, incidents).agg(
         F.coalesce(F.sum("in_buckets"), F.lit(0)).alias("count_sum"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("distinct_ids"),
-        F.coalesce(F.sum(F.bitmap_count("all_bits")), F.lit(0)).alias("total"), F.coalesce(F.bool_and(equal), F.lit(True)).alias("ok"),
+        F.coalesce(F.sum(F.bitmap_count("all_bits")), F.lit(0)).alias("total"), F.coalesce(F.bool_and("equal"), F.lit(True)).alias("ok"),
+    )
+
+
+def reconciliation(counted: DataFrame, buckets: DataFrame, incidents: DataFrame) -> DataFrame:
+    """One row: whether a data set's own counts add up to the total and the ids that its buckets list are all incidents, once each.
+
+    counted has the data set's ``count``, made from rows and not from bitmaps; buckets are its members with ``listed``.  The total is of rows, so a
+    repeated or missing id shows; ``ok`` also holds the buckets against the table block by block.
+    """
+    met = _met(buckets, incidents, F.sum("listed").alias("listed"))
+    ids = met.agg(
+        F.coalesce(F.sum("listed"), F.lit(0)).alias("n_ids"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("distinct_ids"), F.coalesce(F.bool_and("equal"), F.lit(True)).alias("equal")
     )
-    return out
+    sums = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"))
+    total = incidents.agg(F.count(F.lit(1)).alias("total"))
+    out = sums.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(total))  # one row each
+    ok = F.col("equal")
+    for c in ("count_sum", "n_ids", "distinct_ids"):
+        ok = ok & (F.col(c) == F.col("total"))
+    return out.select("count_sum", "n_ids", "distinct_ids", "total", ok.alias("ok"))
