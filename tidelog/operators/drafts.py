@@ -41,21 +41,24 @@ def artifact_hash() -> Column:
     return F.sha2(F.to_json(F.struct(*HASHED)), 256)
 
 
-def create(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The table with new drafts: checked, hashed, numbered in their chains, with ids from the largest on in the order of ``created_at`` and hash.
+def create(new: DataFrame, existing: DataFrame, copies: bool = False) -> DataFrame:
+    """The table with new drafts: checked, hashed, numbered in their chains, with ids from the largest on in the order of ``created_at``, hash and the ids they come with.
 
     A hash is stored once: a draft that is there already, or twice among the new ones, is an error (``not_known`` leaves those out).  Called inside
-    ``Workspace.update`` this holds for several writers too.
+    ``Workspace.update`` this holds for several writers too.  With ``copies`` drafts of one content that come together are all stored, each with an id of
+    its own; one that is there already is an error still, so nothing that came is stored a second time.
     """
     wrong = new.select(fault().alias("e")).filter("e is not null").limit(1).collect()
     if wrong:
         raise TidelogError(wrong[0]["e"]["code"], wrong[0]["e"]["message"])
-    hashed = with_revisions(new.withColumn("artifact_hash", artifact_hash()).drop("id"), existing)
-    again = existing.select("artifact_hash").join(hashed.select("artifact_hash").distinct(), "artifact_hash", "left_semi").unionByName(hashed.groupBy("artifact_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("artifact_hash"))
+    hashed = with_revisions(new.withColumn("artifact_hash", artifact_hash()), existing)
+    again = existing.select("artifact_hash").join(hashed.select("artifact_hash").distinct(), "artifact_hash", "left_semi")
+    if not copies:
+        again = again.unionByName(hashed.groupBy("artifact_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("artifact_hash"))
     repeat = again.first()
     if repeat:
         raise TidelogError("DB_AI_DRAFT_CREATE_FAILED", "A draft with this content is stored already", f"artifact_hash={repeat['artifact_hash']}")
-    return existing.unionByName(tables.next_ids(hashed, existing, [F.col("created_at"), F.col("artifact_hash")]).select(*existing.columns))
+    return existing.unionByName(tables.next_ids(hashed, existing, [F.col(c) for c in ("created_at", "artifact_hash", "id") if c in hashed.columns]).select(*existing.columns))
 
 
 def get(drafts: DataFrame, draft_id: int) -> DataFrame:
