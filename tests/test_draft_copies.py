@@ -34,6 +34,19 @@ def test_created(spark, turns):
     assert len(rows) == len(TURNS) - 1 and len({h for _, h in rows}) == 6 + 4
 
 
+def test_repeats(spark, turns):
+    # of the turns whose id no 3 divides one shares its content with a stored one, or with another, or its id with a turn of other words
+    rows = as_sql(spark, turns, "draft_repeats")
+    assert len(rows) == len([1 for c, t, _ in TURNS if c != 11 and (c * 1000 + t) % 3]) and len({h for _, h in rows}) < len(rows)
+
+
+def test_known_by_id_and_hash(spark):
+    frame = lambda *rows: spark.createDataFrame([(i, h, "2026-01-01T00:00:00Z") for i, h in rows], "id long, artifact_hash string, created_at string")
+    new, there = frame((1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c")), frame((3, "c"), (9, "a"))
+    got = lambda *by: sorted((r.id, r.artifact_hash) for r in dr.not_known(new, there, *by).collect())
+    assert got() == [(2, "b")] and got(("id", "artifact_hash")) == [(1, "a"), (2, "a"), (2, "b")]
+
+
 def test_copies_that_come_together(spark):
     row = dict.fromkeys(DRAFT.fieldNames()) | {"quarter_label": "Q", "section_type": "exec_summary", "draft_text": "x", "citation_chunk_ids": ["c"], "model_name": "m", "model_params_hash": "h", "prompt_template_version": "v1", "created_at": "2026-01-02T00:00:00Z"}
     new = spark.createDataFrame([row | {"id": i, "branch_label": f"b{i}"} for i in (9, 7, 8)] + [row | {"id": 10, "created_at": "2026-01-01T00:00:00Z"}], DRAFT)

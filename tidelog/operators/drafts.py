@@ -142,7 +142,8 @@ def with_revisions(new: DataFrame, existing: DataFrame) -> DataFrame:
     return out.withColumn("revision_number", (F.coalesce("__rev", F.lit(0)) + 1).cast("int")).drop("__rev")
 
 
-def not_known(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New drafts whose hash is not there yet, each once (the one with the smallest id, if they have ids)."""
-    once = tables.first_of(new, "artifact_hash", [F.col("id").asc_nulls_last(), F.col("created_at")], exempt_null=False)
-    return once.join(existing.select("artifact_hash"), "artifact_hash", "left_anti")
+def not_known(new: DataFrame, existing: DataFrame, by: tuple[str, ...] = ("artifact_hash",)) -> DataFrame:
+    """New drafts whose hash is not there yet, each once (the one with the smallest id, if they have ids).  Where drafts of one content are drafts of
+    their own, ``by`` names all that tells drafts apart: id and hash."""
+    once = tables.first_of(new, [*by], [F.col("id").asc_nulls_last(), F.col("created_at")], exempt_null=False)
+    return once.join(existing.select(*by), [*by], "left_anti")

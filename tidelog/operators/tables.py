@@ -98,8 +98,8 @@ def in_ids(frame: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return frame.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_semi")
 
 
-def first_of(frame: DataFrame, key: str, order: list[Column], exempt_null: bool = True) -> DataFrame:
-    """The first row of each key; with exempt_null, rows without a key all stay."""
+def first_of(frame: DataFrame, key: str | list[str], order: list[Column], exempt_null: bool = True) -> DataFrame:
+    """The first row of each key; with exempt_null (for a key of one column), rows without a key all stay."""
     w = Window.partitionBy(key).orderBy(*order)
     ranked = frame.withColumn("__rn", F.row_number().over(w))
     keep = (F.col("__rn") == 1) | (F.col(key).isNull() if exempt_null else F.lit(False))
